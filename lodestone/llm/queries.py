@@ -4,12 +4,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, url_rules
+from . import block_naming, line_chunks, mixing, url_rules
 from .common import table
 
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 
 
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_naming.exact_dedup(table(spark, sf_dir, "documents"))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_chunks.line_dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), url_rules.rule_table(spark, RULES))
 
@@ -18,10 +26,25 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op9_url_filter": op9_url_filter, "op10_mix_sources": op10_mix_sources}
+QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op3_line_dedup": op3_line_dedup, "op9_url_filter": op9_url_filter, "op10_mix_sources": op10_mix_sources}
 
 _fits = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{v}|{h}{p}'" for v, h, p in sorted(RULES, key=lambda r: -len(r[1] + r[2])))
 SQL = {
+    "op2_exact_dedup": r"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t FROM documents),
+     r AS (SELECT doc_id, t, row_number() OVER (PARTITION BY t ORDER BY n DESC, doc_id) AS rn, count(*) OVER (PARTITION BY t) AS group_size,
+                  first_value(doc_id) OVER (PARTITION BY t ORDER BY n DESC, doc_id) AS keep_id FROM d)
+SELECT doc_id, keep_id, group_size, rn = 1 AS kept, sha256(t) AS text_sha256 FROM r""",
+    "op3_line_dedup": r"""
+WITH d AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+     x AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM d),
+     h AS (SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h FROM x),
+     c AS (SELECT *, CASE WHEN i >= 3 AND (lag(h, 2) OVER w * 31 + lag(h, 1) OVER w) % 2 = 0 THEN 1 ELSE 0 END AS s FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+     g AS (SELECT *, sum(s) OVER (PARTITION BY doc_id ORDER BY i) AS pos FROM c),
+     k AS (SELECT doc_id, pos, string_agg(line, chr(10) ORDER BY i) AS chunk, count(*) AS n FROM g GROUP BY doc_id, pos),
+     f AS (SELECT *, n >= 2 AND row_number() OVER (PARTITION BY chunk, n >= 2 ORDER BY doc_id, pos) > 1 AS gone FROM k)
+SELECT doc_id, CASE WHEN bool_or(gone) THEN coalesce(string_agg(chunk, chr(10) ORDER BY pos) FILTER (NOT gone), '') ELSE string_agg(chunk, chr(10) ORDER BY pos) END AS text,
+       CAST(sum(n) AS BIGINT) AS n_lines, CAST(coalesce(sum(n) FILTER (gone), 0) AS BIGINT) AS n_removed FROM f GROUP BY doc_id""",
     "op9_url_filter": f"""
 WITH u AS (SELECT page_id, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '') AS h,
                   coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
