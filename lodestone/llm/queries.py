@@ -4,12 +4,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_naming, line_chunks, mixing, url_rules
-from .common import table
+from . import block_naming, langid, line_chunks, mixing, toxicity, url_rules
+from .common import crc, table
 
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"), crc(F.col("doc_id")) % 4 != 2)
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, learn = table(spark, sf_dir, "documents"), crc(F.col("doc_id")) % 3 != 1
+    model = toxicity.fit(toxicity.labelled(docs, table(spark, sf_dir, "labels"), learn))
+    rows = docs.select("doc_id", F.coalesce(~learn, F.lit(False)).alias("held_out"), "text")
+    return toxicity.score(rows, model).drop("text")
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_naming.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -26,7 +37,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op3_line_dedup": op3_line_dedup, "op9_url_filter": op9_url_filter, "op10_mix_sources": op10_mix_sources}
+QUERIES = {"op1_language_id": op1_language_id, "op5_toxicity": op5_toxicity, "op2_exact_dedup": op2_exact_dedup, "op3_line_dedup": op3_line_dedup, "op9_url_filter": op9_url_filter, "op10_mix_sources": op10_mix_sources}
 
 _fits = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{v}|{h}{p}'" for v, h, p in sorted(RULES, key=lambda r: -len(r[1] + r[2])))
 SQL = {
