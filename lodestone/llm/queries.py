@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_naming, langid, line_chunks, mixing, toxicity, url_rules
+from . import block_naming, jaccard_join, langid, line_chunks, mixing, toxicity, url_rules
 from .common import crc, table
 
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
@@ -29,6 +29,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_chunks.line_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link_components(table(spark, sf_dir, "documents"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), url_rules.rule_table(spark, RULES))
 
@@ -37,7 +41,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op1_language_id": op1_language_id, "op5_toxicity": op5_toxicity, "op2_exact_dedup": op2_exact_dedup, "op3_line_dedup": op3_line_dedup, "op9_url_filter": op9_url_filter, "op10_mix_sources": op10_mix_sources}
+QUERIES = {"op1_language_id": op1_language_id, "op5_toxicity": op5_toxicity, "op2_exact_dedup": op2_exact_dedup, "op3_line_dedup": op3_line_dedup, "op7_jaccard_join": op7_jaccard_join, "op9_url_filter": op9_url_filter, "op10_mix_sources": op10_mix_sources}
 
 _fits = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{v}|{h}{p}'" for v, h, p in sorted(RULES, key=lambda r: -len(r[1] + r[2])))
 SQL = {
@@ -56,6 +60,18 @@ WITH d AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS l F
      f AS (SELECT *, n >= 2 AND row_number() OVER (PARTITION BY chunk, n >= 2 ORDER BY doc_id, pos) > 1 AS gone FROM k)
 SELECT doc_id, CASE WHEN bool_or(gone) THEN coalesce(string_agg(chunk, chr(10) ORDER BY pos) FILTER (NOT gone), '') ELSE string_agg(chunk, chr(10) ORDER BY pos) END AS text,
        CAST(sum(n) AS BIGINT) AS n_lines, CAST(coalesce(sum(n) FILTER (gone), 0) AS BIGINT) AS n_removed FROM f GROUP BY doc_id""",
+    "op7_jaccard_join": r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+     s AS MATERIALIZED (SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 4], ' ') END AS g
+           FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i FROM d WHERE len(w) > 0)),
+     n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+     k AS MATERIALIZED (SELECT g FROM s GROUP BY g HAVING count(*) > 1),
+     f AS MATERIALIZED (SELECT s.* FROM s SEMI JOIN k ON s.g = k.g),
+     p AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM f AS a JOIN f AS b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+     e AS MATERIALIZED (SELECT p.a, p.b FROM p JOIN n AS x ON x.doc_id = p.a JOIN n AS y ON y.doc_id = p.b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+     r AS (SELECT a AS node, a AS reach FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.reach = e.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m.c, d.doc_id)) AS component_id
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT node, min(reach) AS c FROM r GROUP BY node) AS m ON m.node = d.doc_id""",
     "op9_url_filter": f"""
 WITH u AS (SELECT page_id, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '') AS h,
                   coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),

@@ -24,8 +24,8 @@ from .hashing import NON_LETTERS, chunks, span_hashes, words
 
 #: Rows of each class to learn from; bits of a hashed term; terms rarer than this in the sample are left out.
 SAMPLE, BITS, RARE = 4000, 26, 4
-RANK, EPOCHS, BATCH, RATE, DECAY = 6, 12, 64, 0.1, 1e-4
-LINEAR_L1, LINEAR_EPOCHS = 2.0, 3
+RANK, EPOCHS, BATCH, RATE, DECAY = 6, 40, 64, 0.1, 1e-5
+LINEAR_L1, LINEAR_EPOCHS = 8.0, 3
 STEMS = (4, 5, 6)
 
 
