@@ -207,3 +207,15 @@ def _open(posts: DataFrame, comps: DataFrame | None) -> DataFrame:
     now = posts.join(comps, posts["rid"] == comps["node"], "left").select(*posts.columns, F.coalesce("comp", "rid").alias("comp"))
     many = now.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
     return now.join(many, "token", "left_semi")
+
+
+def keep_one(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """docs without the documents that link, over any number of links, with one of a smaller id.
+
+    An id goes if all its rows do; if ids repeat, equal rows of one id are made one.
+    """
+    found = stash(link_components(docs, threshold).select("doc_id", "component_id"), "linked")
+    ids = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_and(F.col("doc_id") != F.col("component_id")).alias("goes"))
+    gone = stash(ids.where("goes or n > 1").select(F.col("doc_id").alias("_id"), "goes"), "linked-ids")
+    out = join_small(docs, gone.where("goes").select("_id"), docs["doc_id"] == F.col("_id"), "left_anti")
+    return out.dropDuplicates(["doc_id", "text"]) if gone.where("not goes").limit(1).count() else out

@@ -104,4 +104,4 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: docs' rows, each as often as it is taken, range-sorted by finish time."""
     cols = tuple(docs.columns)
     taken = mix_sources(docs, keep=cols, **how)
-    return taken.where("times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times")))).orderBy("_copy", "finish").select(*cols)
+    return taken.where("times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times")))).orderBy(F.col("finish") + (F.col("_copy") - 1) * F.col("source_size") / F.col("target"), "_copy").select(*cols)
