@@ -22,12 +22,21 @@ MULTIPLIER = 31
 
 def line_chunks(text: Column, modulus: int = MODULUS) -> Column:
     """Array of chunks, each an array of lines; joining all by newlines gives the text back."""
-    lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
-    hashes = F.transform(lines, lambda x: F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long"))
-    both = F.transform(F.arrays_zip(F.slice(hashes, 1, F.greatest(F.size(hashes) - 2, F.lit(0))).alias("a"), F.slice(hashes, 2, F.greatest(F.size(hashes) - 2, F.lit(0))).alias("b")), lambda p, i: F.when((p["a"] * MULTIPLIER + p["b"]) % modulus == 0, i + 2))
-    starts = F.concat(F.array(F.lit(0)), F.array_compact(both))
-    spans = F.arrays_zip(starts.alias("s"), F.concat(F.slice(starts, 2, F.size(starts)), F.array(F.size(lines))).alias("e"))
-    return F.transform(spans, lambda p: F.slice(lines, p["s"] + 1, p["e"] - p["s"]))
+    def cut(lines: Column) -> Column:
+        hashes = F.transform(lines, lambda x: F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long"))
+        return _let(hashes, lambda h: _let(starts(h), lambda s: F.transform(s, lambda a, i: F.slice(lines, a + 1, F.coalesce(F.get(s, i + 1), F.size(lines)) - a))))
+
+    def starts(h: Column) -> Column:
+        ends = F.zip_with(h, F.slice(h, 2, F.size(h)), lambda a, b: (a * MULTIPLIER + b) % modulus == 0)
+        after = F.filter(F.transform(ends, lambda e, i: F.when(e, i + 2).otherwise(0)), lambda at: (at > 0) & (at < F.size(h)))
+        return F.concat(F.array(F.lit(0)), after)
+
+    return _let(F.split(F.coalesce(text, F.lit("")), "\n", -1), cut)
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.transform(F.array(value), body)[0]
 
 
 def line_dedup(docs: DataFrame, min_lines: int = 2, modulus: int = MODULUS) -> DataFrame:
@@ -36,7 +45,7 @@ def line_dedup(docs: DataFrame, min_lines: int = 2, modulus: int = MODULUS) -> D
     chunked = rows.select("doc_id", "rid", F.posexplode(line_chunks(F.col("text"), modulus)).alias("pos", "chunk")).where(F.size("chunk") >= min_lines)
     chunked = chunked.select("doc_id", "rid", "pos", F.concat_ws("\n", "chunk").alias("chunk")).withColumn("h", F.xxhash64("chunk"))
     again = stash(chunked.groupBy("h").count().where("count > 1").select("h"), "chunk-hashes")
-    some = join_small(chunked, again, "h")
+    some = stash(join_small(chunked, again, "h"), "chunks")
     first = F.min(F.struct("doc_id", "rid", "pos"))
     # bytes are compared here: the key is the chunk itself, not its hash; its salted part comes first
     part = some.groupBy("chunk", F.pmod("rid", F.lit(32)).alias("salt")).agg(first.alias("f"))
