@@ -1,6 +1,7 @@
 """Helpers shared by the training-data operators."""
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -31,7 +32,19 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends there, and lost executors lose nothing."""
     spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stashed_at = path
+    return out
+
+
+def unstash(*dfs: DataFrame) -> None:
+    """Deletes stashed tables that nothing reads any more, and lets Spark drop the shuffles of finished steps."""
+    for df in dfs:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        at = jvm.org.apache.hadoop.fs.Path(df._stashed_at)
+        at.getFileSystem(conf).delete(at, True)
+    gc.collect()
+    dfs[0].sparkSession._jvm.System.gc()
 
 
 def join_small(df: DataFrame, small: DataFrame, on, how: str = "inner", rows: int = SMALL_ROWS) -> DataFrame:

@@ -3,14 +3,17 @@
 Two documents link when the Jaccard similarity of their sets of five-word shingles is at least THRESHOLD percent.
 
 1. Equal sets become one (a 128-bit digest of the sorted 64-bit shingle hashes stands for a set).
-2. Shingles are ordered alike in all sets: rare ones by hash, then the most frequent ones by how often they occur
-   (counted over all documents). If two sets link, their prefixes of n - ceil(t n) + l shingles share at least l.
-3. Each shingle's list of sets is joined with one leader of the list, and links that verify are merged, in a few
-   rounds with other leaders. A list whose sets are all in one component needs no more work, so a group of near
-   copies costs a row for each of its sets, not for each pair.
-4. All pairs of different components that are left in some list are joined. Here each set picks its l, and with it how
-   far its prefix reaches, by the estimated cost of its candidates (list lengths, and verifications at 1/l of them);
-   candidates must share l prefix shingles before they are verified on whole sets.
+2. Shingles are ordered alike in all sets, by hash. If two sets link, their prefixes of n - ceil(t n) + l shingles share
+   at least l of these, for any l up to ceil(t n). Each set posts the longest prefix that may be asked for.
+3. Sets that have too few posted shingles in common with any others to link at all drop out.
+4. Each shingle's list of sets is joined with one leader of the list; pairs that share many are verified, and links are
+   merged, in a few rounds with other leaders. A list whose sets are all in one component needs no more work, so a group
+   of near copies costs a row for each of its sets, not for each pair.
+5. All pairs of different components that are left in some list are joined. Here each set picks its l, and with it how far
+   its prefix reaches, by the estimated cost of its candidates (list lengths, and verifications at 1 / l of them).
+   With h shingles of long lists among its prefix, a link shares at least l - h of the others, so long lists are passed
+   over by lengthening the prefix; only sets that no l up to the longest frees of them are joined over long lists,
+   among sets of like size. Candidates with enough shared shingles are verified on whole sets.
 
 No list is capped and no link between different components is lost. Null and empty texts have an empty set and link
 with nothing; texts under five words are one shingle; ties and repeated rows (also of one id) are rows of their own.
@@ -24,18 +27,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_small, stash
+from .common import join_small, stash, unstash
 from .hashing import chunks, mix, span_hashes, words
 
 WIDTH, THRESHOLD = 5, 80
-#: The longest prefix takes so many shingles more than the shortest. Verifying costs as much as so many list entries.
-LEVELS, VERIFY = 3, 20
-#: The order of shingles puts at most so many last. Which ones only affects speed.
-FREQUENT, FLUSH = 1 << 17, 2_000_000
+#: Choices of l are 1 and one more than these shares (in percent) of a set's size.
+CHOICES = (0, 5, 10)
+#: Verifying costs as much as so many list entries. Lists of more sets than LONG are passed over where possible.
+VERIFY, LONG = 20, 16
 ROUNDS = 3
+#: So many row numbers at most are broadcast.
+KEYS = 1_000_000
 
 
 def shingle_sets(texts: list[str | None], width: int = WIDTH) -> Iterator[np.ndarray]:
@@ -61,51 +66,21 @@ def shingle_sets(texts: list[str | None], width: int = WIDTH) -> Iterator[np.nda
                 yield np.zeros(0, np.int64)
 
 
-def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held, n = [], 0
-
-    def out() -> pa.RecordBatch:
-        h, c = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(h[c > 2]), pa.array(c[c > 2])], names=["h", "n"])
-
-    for b in batches:
-        for s in shingle_sets(b.column(0).to_pylist()):
-            held.append(s)
-            n += len(s)
-            if n > FLUSH:
-                yield out()
-                held, n = [], 0
-    if n:
-        yield out()
-
-
-def _prefix_length(n: np.ndarray | int, level: int = 1, threshold: int = THRESHOLD):
-    return n - (n * threshold + 99) // 100 + level
-
-
-def prefix_rows(docs: DataFrame) -> DataFrame:
+def prefix_rows(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """docs: doc_id, text. Each row's rid, doc_id, n, sig, and its longest prefix."""
-    top = docs.select("text").mapInArrow(_frequent, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n >= 8").orderBy(F.desc("n"), "h").limit(FREQUENT).collect()  # FREQUENT rows at most
-    keys = np.array([r.h for r in top], np.int64)
-    by = np.argsort(keys)
-    shared = docs.sparkSession.sparkContext.broadcast((keys[by], (-np.arange(len(keys)))[by]))
     kind = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("sig", pa.binary()), ("tokens", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, row = TaskContext.get().partitionId(), 0
-        often, rank = shared.value
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 ids, texts = (c.to_pylist() for c in b.slice(at, 1000).columns)
                 out = []
                 for i, s in zip(ids, shingle_sets(texts), strict=True):
-                    t = s
-                    if len(often) and len(s):
-                        j = np.minimum(np.searchsorted(often, s), len(often) - 1)
-                        hit = often[j] == s
-                        if hit.any():
-                            t = np.concatenate([s[~hit], s[hit][np.argsort(rank[j[hit]], kind="stable")]])
-                    out.append((part << 33 | row, i, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), t[: _prefix_length(len(s), LEVELS)] if len(s) else t))
+                    n = len(s)
+                    # a larger partner, of up to n / t shingles, may ask for its own l
+                    longest = n - (n * threshold + 99) // 100 + 1 + n * CHOICES[-1] // threshold
+                    out.append((part << 33 | row, i, n, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), s[:longest]))
                     row += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), kind, strict=True)], schema=kind)
 
@@ -150,53 +125,86 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return two.where(both * 100 >= threshold * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
-def _similar_size(a: str, b: str, threshold: int):
-    return (F.least(a, b) * 100 >= F.greatest(a, b) * threshold)
+def _alike(a: str, b: str, threshold: int) -> Column:
+    return F.least(a, b) * 100 >= F.greatest(a, b) * threshold
+
+
+def postings(rows: DataFrame, copies: DataFrame, threshold: int) -> DataFrame:
+    """token, rid, n, e (the l from which on the prefix has this shingle, less 1), df: of sets that may link at all."""
+    base = F.col("n") - F.floor((F.col("n") * threshold + 99) / 100)
+    posts = join_small(rows, copies, "rid", "left_anti", KEYS).select("rid", "n", base.alias("base"), F.posexplode("tokens").alias("i", "token"))
+    posts = posts.select("token", "rid", "n", F.greatest(F.lit(0), F.col("i") - F.col("base")).cast("int").alias("e"))
+    listed = Window.partitionBy("token")
+    posts = stash(posts.withColumn("df", F.count("*").over(listed)).where("df > 1"), "postings")
+    unstash(rows)
+    for _ in range(2):
+        # a link shares the l of its larger set, and that is no less than the smaller set's own
+        able = posts.groupBy("rid", "n").agg(F.count("*").alias("c")).where(F.col("c") >= 1 + F.floor(F.col("n") * CHOICES[-1] / 100))
+        able = stash(able.select("rid"), "able")
+        some = join_small(posts.drop("df"), able, "rid", "left_semi", KEYS).withColumn("df", F.count("*").over(listed)).where("df > 1")
+        old, posts = posts, stash(some, "postings")
+        unstash(old, able)
+    return posts
+
+
+def _left_pairs(left: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a, b) of different components that share enough prefix shingles, the larger set a choosing how many."""
+    n, far = F.col("n"), F.col("df") > LONG
+    options = [1 + F.floor(n * c / 100) for c in CHOICES]
+    sums = []
+    for k, l in enumerate(options):
+        sums += [F.sum(F.when((F.col("e") < l) & far, 1).otherwise(0)).alias(f"h{k}"), F.sum(F.when((F.col("e") < l) & ~far, F.col("df") - 1).otherwise(0)).alias(f"s{k}")]
+    cost = lambda k: F.when(options[k] > F.col(f"h{k}"), F.col(f"s{k}") * (1 + VERIFY / (options[k] - F.col(f"h{k}"))))
+    picks = [F.struct(cost(k).alias("cost"), options[k].alias("l"), (options[k] - F.col(f"h{k}")).alias("need")) for k in range(len(options))]
+    best = F.array_min(F.filter(F.array(*picks), lambda p: p["cost"].isNotNull()))
+    chosen = left.groupBy("rid", "n").agg(*sums).select("rid", best.alias("p"), options[-1].alias("most"))
+    chosen = chosen.select("rid", F.coalesce("p.l", "most").alias("l"), F.coalesce("p.need", "most").alias("need"), F.col("p").isNull().alias("stuck"))
+    x = left.join(chosen, "rid").where("e < l").select("token", F.col("rid").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), "df", "l", "need", "stuck")
+    y = left.select("token", F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), "e", "df")
+    larger = (F.col("na") > F.col("nb")) | (F.col("na") == F.col("nb")) & (F.col("a") > F.col("b"))
+    meet = (F.col("ca") != F.col("cb")) & (F.col("e") < F.col("l")) & larger & _alike("na", "nb", threshold)
+    near = x.where(F.col("df") <= LONG).join(y.where(F.col("df") <= LONG).drop("df"), "token").where(meet).select("a", "b", "need")
+    # long lists: by sizes that may link, a set's own step of size or the next
+    step = lambda c: F.floor(F.log(F.col(c).cast("double")) / float(np.log(100 / threshold))).cast("int")
+    xs = x.where((F.col("df") > LONG) & F.col("stuck")).withColumn("step", step("na"))
+    ys = y.where(F.col("df") > LONG).drop("df").withColumn("step", F.explode(F.sequence(step("nb"), step("nb") + 1)))
+    far_pairs = xs.join(ys, ["token", "step"]).where(meet).select("a", "b", "need")
+    return near.union(far_pairs).groupBy("a", "b", "need").count().where("count >= need").select("a", "b")
 
 
 def link_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """docs: doc_id, text. One row per document: doc_id, n_shingles, component_id (smallest id in reach)."""
-    rows = stash(prefix_rows(docs), "prefixes")
-    groups = stash(rows.where("n > 0").groupBy("sig").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("least"), F.count("*").alias("c")), "equal-sets")
-    reps = rows.join(groups.select("rid"), "rid", "left_semi")
-    base = F.col("n") - F.floor((F.col("n") * threshold + 99) / 100) + 1
-    posts = reps.select("rid", "n", base.alias("base"), F.posexplode("tokens").alias("i", "token")).select("token", "rid", "n", F.greatest(F.lit(1), F.col("i") - F.col("base") + 2).cast("byte").alias("level"))
-    w = Window.partitionBy("token")
-    posts = posts.withColumn("df", F.count("*").over(w)).where("df > 1")
-    posts = stash(posts, "postings")
-    comps, edges = None, None
-    wanted = stash(rows.select("rid", "doc_id", "sig").join(posts.select("rid").distinct(), "rid"), "candidates")
+    rows = stash(prefix_rows(docs, threshold), "prefixes")
+    members = stash(rows.drop("tokens"), "members")
+    groups = stash(members.where("n > 0").groupBy("sig").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("least")), "equal-sets")
+    copies = stash(members.join(groups, "rid", "left_anti").select("rid"), "copies")
+    posts = postings(rows, copies, threshold)
+    wanted = stash(members.select("rid", "doc_id", "sig").join(posts.select("rid").distinct(), "rid"), "candidates")
     sets = _sets_of(docs, wanted)
+    comps, edges = None, None
     for turn in range(ROUNDS):
-        open_posts = _open(posts, comps)
-        lead = open_posts.groupBy("token").agg(F.min_by(F.struct("rid", "n", "comp"), F.xxhash64("rid", F.lit(turn))).alias("l"))
-        pairs = open_posts.join(lead, "token").where((F.col("l.comp") != F.col("comp")) & (F.least("n", F.col("l.n")) * 100 >= F.greatest("n", F.col("l.n")) * threshold)).select(F.least("rid", F.col("l.rid")).alias("a"), F.greatest("rid", F.col("l.rid")).alias("b")).distinct()
+        now = _open(posts, comps)
+        lead = now.groupBy("token").agg(F.min_by(F.struct("rid", "n", "comp"), F.xxhash64("rid", F.lit(turn))).alias("l"))
+        meet = (F.col("l.comp") != F.col("comp")) & (F.least("n", F.col("l.n")) * 100 >= F.greatest("n", F.col("l.n")) * threshold)
+        pairs = now.join(lead, "token").where(meet).select(F.least("rid", F.col("l.rid")).alias("a"), F.greatest("rid", F.col("l.rid")).alias("b"), "n")
+        pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("c"), F.min("n").alias("n")).where("c * 10 >= n").select("a", "b")
         found = stash(_verified(pairs, sets, threshold), "links")
-        edges = found if edges is None else edges.union(found)
         if not found.limit(1).count():
             break
+        edges = found if edges is None else edges.union(found)
         comps = components(edges)
-    # what is left: pairs of different components that share as many prefix shingles as the larger set asks for
-    left = stash(_open(posts, comps), "left")
-    cost = [F.sum(F.when(F.col("level") <= k, F.col("df") - 1).otherwise(0)) * (1 + VERIFY / k) for k in range(1, LEVELS + 1)]
-    need = F.floor((F.first("n") * threshold + 99) / 100)  # no more than a link shares
-    pick = F.lit(1)
-    for k in range(2, LEVELS + 1):
-        pick = F.when((need >= k) & (F.least(*cost[: k - 1]) > cost[k - 1]) if k > 2 else (need >= k) & (cost[0] > cost[1]), k).otherwise(pick)
-    levels = left.groupBy("rid").agg(pick.cast("int").alias("l"))
-    x = left.join(levels, "rid").where("level <= l").select("token", F.col("rid").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), "l")
-    y = left.select("token", F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), "level")
-    larger = (F.col("na") > F.col("nb")) | (F.col("na") == F.col("nb")) & (F.col("a") > F.col("b"))
-    pairs = x.join(y, "token").where((F.col("ca") != F.col("cb")) & (F.col("level") <= F.col("l")) & larger & _similar_size("na", "nb", threshold))
-    pairs = pairs.groupBy("a", "b", "l").count().where("count >= l").select("a", "b")
-    found = stash(_verified(pairs, sets, threshold), "links")
+    found = stash(_verified(_left_pairs(stash(_open(posts, comps), "left"), threshold), sets, threshold), "links")
     if found.limit(1).count():
-        edges = edges.union(found)
+        edges = found if edges is None else edges.union(found)
         comps = components(edges)
-    member = groups.join(comps, groups["rid"] == comps["node"], "left").select("sig", "least", F.coalesce("comp", "rid").alias("comp")) if comps is not None else groups.select("sig", "least", F.col("rid").alias("comp"))
+    if comps is None:
+        member = groups.select("sig", "least", F.col("rid").alias("comp"))
+    else:
+        member = groups.join(comps, groups["rid"] == comps["node"], "left").select("sig", "least", F.coalesce("comp", "rid").alias("comp"))
     least = member.groupBy("comp").agg(F.min("least").alias("component_id"))
     by_sig = stash(member.join(least, "comp").select("sig", "component_id"), "components")
-    out = rows.select("doc_id", "n", "sig").join(by_sig, "sig", "left")
+    unstash(posts)
+    out = members.select("doc_id", "n", "sig").join(by_sig, "sig", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
