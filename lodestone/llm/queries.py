@@ -16,7 +16,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, learn = table(spark, sf_dir, "documents"), crc(F.col("doc_id")) % 3 != 1
-    model = toxicity.fit(toxicity.labelled(docs, table(spark, sf_dir, "labels"), learn))
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), learn)
     rows = docs.select("doc_id", F.coalesce(~learn, F.lit(False)).alias("held_out"), "text")
     return toxicity.score(rows, model).drop("text")
 

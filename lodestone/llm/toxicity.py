@@ -128,12 +128,14 @@ def predict(m: dict, texts: list[str | None]) -> np.ndarray:
     return _sigmoid(_raw(m, *_distinct(texts, m["keys"]), len(texts))[0])
 
 
-def fit(train: DataFrame, sample: int = SAMPLE) -> dict:
-    """train: doc_id, text, label (0 or 1). The model; its size follows the sample, not the table."""
-    n = {r.y: r.n for r in train.groupBy(F.col("label").cast("int").alias("y")).agg(F.count("*").alias("n")).collect() if r.y in (0, 1)}
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", sample: int = SAMPLE) -> dict:
+    """docs: doc_id, text; labels: doc_id, label (0 or 1); learn: which labels, by doc_id. The model; its size follows the sample."""
+    known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & learn)
+    n = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     share = tuple(min(1.0, sample / max(1, n.get(k, 0))) for k in (0, 1))
     key = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(5)), F.lit(1 << 30))
-    some = train.select("doc_id", "text", F.col("label").cast("int").alias("y"), key.alias("k")).where(" or ".join(f"y = {c} and k < {int(share[c] * (1 << 30)) + 1}" for c in (0, 1)))
+    some = known.withColumn("k", key).where(" or ".join(f"y = {c} and k < {int(share[c] * (1 << 30)) + 1}" for c in (0, 1)))
+    some = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # about 2 * sample rows of numbers
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["k", "doc_id", "y"], kind="stable")
@@ -159,9 +161,3 @@ def score(docs: DataFrame, model: dict, threshold: float = 0.7) -> DataFrame:
 
     schema = docs.withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema
     return docs.mapInArrow(run, schema)
-
-
-def labelled(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic") -> DataFrame:
-    """docs' texts with the labels that may be learned."""
-    known = labels.where(F.col(label).isNotNull()).select("doc_id", F.col(label).alias("label")).where(learn)
-    return docs.select("doc_id", "text").join(known, "doc_id")
