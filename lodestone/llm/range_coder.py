@@ -3,7 +3,8 @@
 A block is cut into lanes, runs of neighbouring ids that are coded in step by one shared model, each with a range
 coder of its own, so that numpy handles a step of all lanes at once. For each id the contexts of order 2 and order 1 name
 a candidate; whether it is right is coded with a probability that mixes, in the logistic domain with learned weights, what
-order 2, order 1 and order 0 say of it. Otherwise the id itself is coded by adaptive order-0 frequencies.
+order 2, order 1 and order 0 say of it. Otherwise the id itself is coded by adaptive order-0 frequencies. Contexts learn
+at every step, the mix every PACE steps, and order 0 at steps that grow by a third.
 
 All arithmetic is in integers, so that files decode on any machine. Each block starts from a fresh model and carries a
 CRC-32 of its ids.
@@ -15,102 +16,95 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"LDC1"
+MAGIC = b"LDC2"
 #: Bits of order-0 frequencies and of candidate probabilities; lanes at most, steps at least; slots of order 2.
-ORDER0, FLAG, LANES, STEPS, SLOTS = 20, 12, 4096, 64, 1 << 18
+ORDER0, FLAG, LANES, STEPS, SLOTS, PACE = 20, 12, 4096, 64, 1 << 18, 8
 _U = np.uint64
-_TOP, _LOW = _U(1 << 48), _U(1 << 32)
+_TOP, _LOW, _WORD = _U(1 << 48), _U(1 << 40), _U(16)
 _p = np.arange(1, 1 << FLAG) / (1 << FLAG)
 _STRETCH = np.concatenate([[-2047], np.clip(np.rint(np.log(_p / (1 - _p)) * 256), -2047, 2047)]).astype(np.int64)
 _SQUASH = np.clip(np.rint((1 << FLAG) / (1 + np.exp(-np.arange(-2048, 2048) / 256))), 1, (1 << FLAG) - 1).astype(np.int64)
 
 
 class _Model:
+    """What coder and decoder know alike. A context's entry is its id and, in 4 bits, how sure it is."""
+
     def __init__(self, ids: int, lanes: int):
         self.n = ids
         self.prev, self.prev2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.id1, self.sure1 = np.zeros(ids, np.int32), np.zeros(ids, np.int8)
-        self.id2, self.sure2 = np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int8)
-        # hits and trials by what order 2, order 1 and order 0 know of the candidate
-        self.hits = [np.full(k, 1, np.int64) for k in (16, 32, 32)]
-        self.tried = [np.full(k, 4, np.int64) for k in (16, 32, 32)]
+        self.one, self.two = np.zeros(ids, np.int32), np.zeros(SLOTS, np.int32)
+        # hits and trials by how sure order 2 is, how sure order 1 is and whether it agrees, how common the candidate is
+        self.hits, self.tried = [np.ones(k, np.int64) for k in (16, 32, 32)], [np.full(k, 4, np.int64) for k in (16, 32, 32)]
         self.weights = np.full((16, 3), 22000, np.int64)
-        self.count, self.seen, self.step, self.next = np.zeros(ids, np.int64), [], 0, 1
+        self.count, self.seen, self.flags, self.step, self.next = np.zeros(ids, np.int64), [], [], 0, 1
+        self._mix()
         self._rebuild()
 
+    def _mix(self) -> None:
+        """The probability for each combination of the three keys."""
+        if self.flags:
+            got = np.bincount(np.concatenate(self.flags), minlength=2 << 14).reshape(16, 32, 32, 2)
+            self.flags = []
+            tried = got.sum(3)
+            err = (got[..., 1] << FLAG) - self.p.reshape(16, 32, 32) * tried
+            rows = np.maximum(1, tried.sum((1, 2)))
+            for j, axes in enumerate(((1, 2), (0, 2), (0, 1))):
+                shape = [1, 1, 1]
+                shape[j] = -1
+                self.weights[:, j] += (err * self.inputs[j].reshape(shape)).sum((1, 2)) // (rows * 128)
+                self.hits[j] += got[..., 1].sum(axes)
+                self.tried[j] += tried.sum(axes)
+                if self.tried[j].max() > 1 << 20:
+                    self.hits[j], self.tried[j] = (self.hits[j] + 1) >> 1, (self.tried[j] >> 1) + 2
+        self.inputs = [_STRETCH[(h << FLAG) // t] for h, t in zip(self.hits, self.tried, strict=True)]
+        w, (a, b, c) = self.weights, self.inputs
+        dot = (w[:, 0] * a)[:, None, None] + (w[:, 1, None] * b)[:, :, None] + (w[:, 2, None] * c)[:, None, :]
+        self.p = _SQUASH[np.clip(dot >> 16, -2047, 2047) + 2048].reshape(-1)
+
     def _rebuild(self) -> None:
         if self.seen:
             self.count += np.bincount(np.concatenate(self.seen), minlength=self.n)
             self.seen = []
-        total = int(self.count.sum())
-        self.freq = 1 + self.count * ((1 << ORDER0) - self.n) // max(1, total)
-        self.freq[0] += (1 << ORDER0) - int(self.freq.sum())
-        self.cum = np.cumsum(self.freq) - self.freq
-        self.common = np.minimum(31, np.frexp(self.freq.astype(np.float64))[1]).astype(np.int64)
+        freq = 1 + self.count * ((1 << ORDER0) - self.n) // max(1, int(self.count.sum()))
+        freq[0] += (1 << ORDER0) - int(freq.sum())
+        self.sizes, self.cum, self.freq = freq, (np.cumsum(freq) - freq).astype(_U), freq.astype(_U)
+        self.common = np.minimum(31, np.frexp(freq.astype(np.float64))[1]).astype(np.int32)
         self.inverse = None
 
-    def guess(self) -> None:
+    def guess(self) -> tuple[np.ndarray, np.ndarray]:
         """The candidate of each lane, and its probability in FLAG bits."""
         at = (self.prev2 * 40503 + self.prev * 2654435761) >> 7
         self.slot = (at ^ (at >> 17)) & (SLOTS - 1)
-        self.g2, self.n2 = self.id2[self.slot], self.sure2[self.slot]
-        self.g1, self.n1 = self.id1[self.prev], self.sure1[self.prev]
-        self.cand = np.where(self.n2 > 0, self.g2, self.g1)
-        self.keys = [self.n2.astype(np.int64), self.n1 + 16 * (self.g1 == self.cand), self.common[self.cand]]
-        self.inputs = [_STRETCH[(h << FLAG) // t][k] for h, t, k in zip(self.hits, self.tried, self.keys, strict=True)]
-        w = self.weights[self.keys[0]]
-        dot = (w[:, 0] * self.inputs[0] + w[:, 1] * self.inputs[1] + w[:, 2] * self.inputs[2]) >> 16
-        self.p = _SQUASH[np.clip(dot, -2047, 2047) + 2048]
+        self.e2, self.e1 = self.two[self.slot], self.one[self.prev]
+        n2, g1 = self.e2 & 15, self.e1 >> 4
+        self.cand = np.where(n2 > 0, self.e2 >> 4, g1)
+        agree = (g1 == self.cand).astype(np.int32)
+        self.key = ((n2 * 2 + agree) * 16 + (self.e1 & 15)) * 32 + self.common[self.cand]
+        return self.cand, self.p[self.key].astype(_U)
 
     def learn(self, ids: np.ndarray, hit: np.ndarray) -> None:
-        flag = hit.astype(np.float64)
-        err = (hit.astype(np.int64) << FLAG) - self.p
-        k0 = self.keys[0]
-        n = np.maximum(1, np.bincount(k0, minlength=16))
-        for j, k in enumerate(self.keys):
-            size = len(self.hits[j])
-            self.hits[j] += np.bincount(k, flag, size).astype(np.int64)
-            self.tried[j] += np.bincount(k, minlength=size)
-            if self.tried[j].max() > 1 << 20:
-                self.hits[j] = (self.hits[j] + 1) >> 1
-                self.tried[j] = (self.tried[j] >> 1) + 2
-            # sums of whole numbers below 2**53 are exact
-            self.weights[:, j] += np.bincount(k0, (err * self.inputs[j]).astype(np.float64), 16).astype(np.int64) // (n * 512)
-        for guess, sure, g, s, at in ((self.id2, self.sure2, self.g2, self.n2, self.slot), (self.id1, self.sure1, self.g1, self.n1, self.prev)):
-            same = g == ids
-            guess[at] = np.where(same | (s > 1), g, ids)
-            sure[at] = np.where(same, np.minimum(s + 1, 15), np.maximum(s >> 1, 1))
+        self.flags.append(self.key * 2 + hit)
+        fresh = (ids << 4).astype(np.int32) + 1
+        for table, e, at in ((self.two, self.e2, self.slot), (self.one, self.e1, self.prev)):
+            sure, same = e & 15, (e >> 4) == ids
+            table[at] = np.where(same, e + (sure < 15), np.where(sure > 1, e - (sure - (sure >> 1)), fresh))
         self.prev2, self.prev = self.prev, ids
         self.seen.append(ids)
         self.step += 1
+        if self.step % PACE == 0 or self.step < PACE:
+            self._mix()
         if self.step == self.next:
             self._rebuild()
             self.next = self.step + max(1, self.step // 3)
 
 
-def _encode(low, rng, pos, out, lanes, cum, freq, bits) -> None:
-    """Codes one symbol in the given lanes (None: in all)."""
-    if lanes is None:
-        r = rng >> _U(bits)
-        low += r * cum
-        np.multiply(r, freq, out=rng)
-        live = np.arange(len(low))
-    else:
-        r = rng[lanes] >> _U(bits)
-        low[lanes] += r * cum
-        rng[lanes] = r * freq
-        live = lanes
-    while len(live):
-        a, b = low[live], rng[live]
-        same = (a ^ (a + b)) < _TOP
-        move = same | (b < _LOW)
-        if not move.any():
-            return
-        live, a, b, same = live[move], a[move], b[move], same[move]
-        b = np.where(same, b, (~a + _U(1)) & (_LOW - _U(1)))
-        out[live, pos[live]] = (a >> _U(48)).astype(np.uint16)
-        pos[live] += 1
-        low[live], rng[live] = a << _U(16), b << _U(16)
+def _settled(low: np.ndarray, rng: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """Lanes whose next word is fixed or forced, and the ranges to go on with; None if there are none."""
+    same = (low ^ (low + rng)) < _TOP
+    move = same | (rng < _LOW)
+    if not move.any():
+        return None
+    return move, np.where(move & ~same, (~low + _U(1)) & (_LOW - _U(1)), rng)
 
 
 def encode_block(ids: np.ndarray, alphabet: int) -> bytes:
@@ -122,22 +116,30 @@ def encode_block(ids: np.ndarray, alphabet: int) -> bytes:
     grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
     model = _Model(alphabet, lanes)
     low, rng, pos = np.zeros(lanes, _U), np.full(lanes, 2**64 - 1, _U), np.zeros(lanes, np.int64)
-    out = np.zeros((lanes, 3 * steps + 16), np.uint16)
-    full = _U(1 << FLAG)
+    wide = 3 * steps + 16
+    out, base, full = np.zeros(lanes * wide, np.uint16), np.arange(lanes) * wide, _U(1 << FLAG)
     for step in grid:
-        model.guess()
-        hit, p = model.cand == step, model.p.astype(_U)
-        _encode(low, rng, pos, out, None, np.where(hit, _U(0), p), np.where(hit, p, full - p), FLAG)
-        miss = np.flatnonzero(~hit)
-        if len(miss):
-            s = step[miss]
-            _encode(low, rng, pos, out, miss, model.cum[s].astype(_U), model.freq[s].astype(_U), ORDER0)
+        cand, p = model.guess()
+        hit = cand == step
+        r = rng >> _U(FLAG)
+        # a miss goes on within its part of the range
+        part = (r * (full - p)) >> _U(ORDER0)
+        rp = r * p
+        low = np.where(hit, low, low + rp + part * model.cum[step])
+        rng = np.where(hit, rp, part * model.freq[step])
+        while (moved := _settled(low, rng)) is not None:
+            move, rng = moved
+            at = np.flatnonzero(move)
+            out[base[at] + pos[at]] = low[at] >> _U(48)
+            pos += move
+            shift = move * _WORD
+            low, rng = low << shift, rng << shift
         model.learn(step, hit)
     for _ in range(4):
-        out[np.arange(lanes), pos] = (low >> _U(48)).astype(np.uint16)
+        out[base + pos] = low >> _U(48)
         pos += 1
-        low <<= _U(16)
-    words = out[np.arange(out.shape[1])[None, :] < pos[:, None]]
+        low = low << _WORD
+    words = out.reshape(lanes, wide)[np.arange(wide)[None, :] < pos[:, None]]
     crc = zlib.crc32(ids.astype("<u4").tobytes())
     return struct.pack("<4sIIIII", MAGIC, alphabet, n, lanes, steps, crc) + pos.astype("<u4").tobytes() + words.astype("<u2").tobytes()
 
@@ -148,49 +150,34 @@ def decode_block(raw: bytes) -> np.ndarray:
         raise ValueError("not a block of this format")
     sizes = np.frombuffer(raw, "<u4", lanes, 24).astype(np.int64)
     words = np.concatenate([np.frombuffer(raw, "<u2", -1, 24 + 4 * lanes), np.zeros(8, "<u2")]).astype(_U)
+    last = len(words) - 1
     at = np.cumsum(sizes) - sizes
     code = np.zeros(lanes, _U)
     for _ in range(4):
-        code = code << _U(16) | words[at]
-        at += 1
-    model = _Model(alphabet, lanes)
+        code = code << _WORD | words[at]
+        at = at + 1
+    model, full = _Model(alphabet, lanes), _U(1 << FLAG)
     low, rng = np.zeros(lanes, _U), np.full(lanes, 2**64 - 1, _U)
     grid = np.zeros((steps, lanes), np.int64)
-
-    def renew(live: np.ndarray) -> None:
-        while len(live):
-            a, b = low[live], rng[live]
-            same = (a ^ (a + b)) < _TOP
-            move = same | (b < _LOW)
-            if not move.any():
-                return
-            live, a, b, same = live[move], a[move], b[move], same[move]
-            b = np.where(same, b, (~a + _U(1)) & (_LOW - _U(1)))
-            code[live] = code[live] << _U(16) | words[np.minimum(at[live], len(words) - 1)]
-            at[live] += 1
-            low[live], rng[live] = a << _U(16), b << _U(16)
-
-    every = np.arange(lanes)
     for t in range(steps):
-        model.guess()
-        p = model.p.astype(_U)
+        cand, p = model.guess()
+        if model.inverse is None:
+            model.inverse = np.repeat(np.arange(alphabet, dtype=np.int32), model.sizes)
         r = rng >> _U(FLAG)
-        hit = (code - low) // r < p
-        low += np.where(hit, _U(0), r * p)
-        rng = r * np.where(hit, p, _U(1 << FLAG) - p)
-        renew(every)
-        step = model.cand.astype(np.int64)
-        miss = np.flatnonzero(~hit)
-        if len(miss):
-            if model.inverse is None:
-                model.inverse = np.repeat(np.arange(alphabet, dtype=np.int32), model.freq)
-            r = rng[miss] >> _U(ORDER0)
-            v = np.minimum((code[miss] - low[miss]) // r, _U((1 << ORDER0) - 1)).astype(np.int64)
-            s = model.inverse[v].astype(np.int64)
-            low[miss] += r * model.cum[s].astype(_U)
-            rng[miss] = r * model.freq[s].astype(_U)
-            renew(miss)
-            step[miss] = s
+        rp = r * p
+        off = code - low
+        hit = off < rp
+        part = (r * (full - p)) >> _U(ORDER0)
+        v = np.minimum((off - rp) // part, _U((1 << ORDER0) - 1)).astype(np.int64)
+        step = np.where(hit, cand, model.inverse[v]).astype(np.int64)
+        low = np.where(hit, low, low + rp + part * model.cum[step])
+        rng = np.where(hit, rp, part * model.freq[step])
+        while (moved := _settled(low, rng)) is not None:
+            move, rng = moved
+            shift = move * _WORD
+            code = np.where(move, code << _WORD | words[np.minimum(at, last)], code)
+            at = at + move
+            low, rng = low << shift, rng << shift
         grid[t] = step
         model.learn(step, hit)
     ids = np.ascontiguousarray(grid.T).reshape(-1)[:n]

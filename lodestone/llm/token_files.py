@@ -13,6 +13,7 @@ Empty tables give empty files. A document longer than a block has a block of its
 """
 from __future__ import annotations
 
+import os
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import join_small, stash
 from .range_coder import decode_block, encode_block
 
-BLOCK, PIECES = 1 << 20, 400_000
+BLOCK, PIECES = 1 << 20, 500_000
 _FILE = "part int, seq int, ids_before long, docs array<long>, lengths array<int>, payload binary"
 _KIND = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("ids_before", pa.int64()), ("docs", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("payload", pa.binary())])
 
@@ -35,16 +36,41 @@ class Encoder:
     """Ids of texts, as bytes of unsigned 32-bit numbers."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks in parallel; threads would take memory of their own
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
         self.size = self.tok.get_vocab_size()
         self.known: dict[str, bytes] = {}
+        # a byte-level tokenizer without a normalizer splits a word from its punctuation: words can go to the model itself
+        self.plain = self.tok.normalizer is None and type(self.tok.pre_tokenizer).__name__ == "ByteLevel"
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def _learn(self, pieces: list[str]) -> None:
+        """Encodes pieces, each after a space."""
+        known, rest = self.known, []
+        if self.plain:
+            model, marks = self.tok.model, {}
+            for p in pieces:
+                w = p.rstrip(_MARKS)
+                if not w.isalpha():
+                    rest.append(p)
+                    continue
+                if w not in known:
+                    known[w] = array("I", [t.id for t in model.tokenize((" " + w).encode().decode("latin-1").translate(_BYTE_CHARS))]).tobytes()
+                if w != p:
+                    tail = p[len(w) :]
+                    if tail not in marks:
+                        marks[tail] = self.whole(tail)
+                    known[p] = known[w] + marks[tail]
+        else:
+            rest = pieces
+        for p, e in zip(rest, self.tok.encode_batch_fast([" " + p for p in rest], add_special_tokens=False), strict=True):
+            known[p] = array("I", e.ids).tobytes()
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > PIECES:
             self.known.clear()
@@ -52,9 +78,7 @@ class Encoder:
         known = self.known
         new = {p for c in cut for p in c[1:] if p not in known}
         odd = {p for p in new if not p or p[0].isspace()}
-        new = [p for p in new if p not in odd]
-        for p, e in zip(new, self.tok.encode_batch_fast([" " + p for p in new], add_special_tokens=False), strict=True):
-            known[p] = array("I", e.ids).tobytes()
+        self._learn([p for p in new if p not in odd])
         out = []
         for t, c in zip(texts, cut, strict=True):
             if odd and not odd.isdisjoint(c[1:]) or c[0][-1:].isspace():
@@ -64,11 +88,25 @@ class Encoder:
         return out
 
 
+#: Marks that may follow a word; an apostrophe or a digit may not, as the tokenizer may join it with what follows.
+_MARKS = ",.;:!?)]}%$#&*@/+=<>|~^-"
+#: Byte-level tokenizers write a byte that is no printable Latin-1 character as the next unused one from 256 on.
+_BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b))}
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """This Python worker's encoder; its pieces stay known from task to task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, block: int = BLOCK) -> DataFrame:
     """docs: doc_id, text. Writes the block files and returns them as a table. tokenizer: a file on every executor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, seq, before = Encoder(tokenizer), TaskContext.get().partitionId(), 0, 0
+        enc, part, seq, before = encoder(tokenizer), TaskContext.get().partitionId(), 0, 0
         end = array("I", [end_id]).tobytes()
         held, docs, lengths, n = [], [], [], 0
 
@@ -77,7 +115,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, block: int =
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _KIND, strict=True)], schema=_KIND)
 
         for b in batches:
-            for at in range(0, b.num_rows, 500):
+            for at in range(0, b.num_rows, 200):
                 ids, texts = (c.to_pylist() for c in b.slice(at, 500).columns)
                 for i, e in zip(ids, enc([t or "" for t in texts]), strict=True):
                     held += (e, end)
