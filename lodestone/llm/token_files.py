@@ -116,7 +116,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, block: int =
 
         for b in batches:
             for at in range(0, b.num_rows, 200):
-                ids, texts = (c.to_pylist() for c in b.slice(at, 500).columns)
+                ids, texts = (c.to_pylist() for c in b.slice(at, 200).columns)
                 for i, e in zip(ids, enc([t or "" for t in texts]), strict=True):
                     held += (e, end)
                     docs.append(i)
