@@ -106,10 +106,11 @@ def low_pockets(df: DataFrame, sets: list[list[str]], min_rows: int = 3, gap: fl
 def leave_one_out(df: DataFrame, col: str, min_rows: int = 5) -> DataFrame:
     """The index without each category, from one pass: totals less the category's own sums."""
     g = df.groupBy(F.col(col).alias("excluded")).agg(F.count("*").alias("excluded_rows"), F.sum("weighted_binding").alias("b"), F.sum("analysis_weight").alias("w"))
-    t = Window.partitionBy(F.lit(0))
-    g = g.withColumns({"B": F.sum("b").over(t), "W": F.sum("w").over(t), "N": F.sum("excluded_rows").over(t)})
-    rest = F.when(F.col("W") - F.col("w") > 1e-12, (F.col("B") - F.col("b")) / (F.col("W") - F.col("w"))).otherwise(0.0)
-    out = g.select("excluded", "excluded_rows", (F.col("excluded_rows") / F.col("N")).alias("excluded_share"), rest.alias("index_without"), (rest - F.col("B") / F.col("W")).alias("delta_from_full"))
+    t = Window.partitionBy(F.lit(0))  # one row for each category
+    g = g.withColumns({"all_b": F.sum("b").over(t), "all_w": F.sum("w").over(t), "all_rows": F.sum("excluded_rows").over(t)})
+    left = F.col("all_w") - F.col("w")
+    rest = F.when(left > 1e-12, (F.col("all_b") - F.col("b")) / left).otherwise(0.0)
+    out = g.select("excluded", "excluded_rows", (F.col("excluded_rows") / F.col("all_rows")).alias("excluded_share"), rest.alias("index_without"), (rest - F.col("all_b") / F.col("all_w")).alias("delta_from_full"))
     return out.where(F.col("excluded_rows") >= min_rows)
 
 
