@@ -12,8 +12,8 @@ Two documents link when the Jaccard similarity of their sets of five-word shingl
 5. All pairs of different components that are left in some list are joined. Here each set picks its l, and with it how far
    its prefix reaches, by the estimated cost of its candidates (list lengths, and verifications at 1 / l of them).
    With h shingles of long lists among its prefix, a link shares at least l - h of the others, so long lists are passed
-   over by lengthening the prefix; only sets that no l up to the longest frees of them are joined over long lists,
-   among sets of like size. Candidates with enough shared shingles are verified on whole sets.
+   over by lengthening the prefix. Candidates with enough shared shingles are verified on whole sets. Sets that no l
+   frees of long lists (odd members of large families of near copies) are compared with their family block by block.
 
 No list is capped and no link between different components is lost. Null and empty texts have an empty set and link
 with nothing; texts under five words are one shingle; ties and repeated rows (also of one id) are rows of their own.
@@ -25,6 +25,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
@@ -34,11 +35,13 @@ from .common import join_small, stash, unstash
 from .hashing import chunks, mix, span_hashes, words
 
 WIDTH, THRESHOLD = 5, 80
-#: Choices of l are 1 and one more than these shares (in percent) of a set's size.
-CHOICES = (0, 5, 10)
-#: Verifying costs as much as so many list entries. Lists of more sets than LONG are passed over where possible.
-VERIFY, LONG = 20, 16
-ROUNDS = 3
+#: The first postings serve an l of up to one more than this share (in percent) of a set's size; the last step, on the
+#: whole sets that are left, chooses among these shares.
+FIRST, CHOICES = 10, (0, 5, 10, 20, 30, 40, 50, 60, 70)
+#: Verifying costs as much as so many list entries. Lists of more sets than LONG are passed over where possible. Sets in a
+#: block of a family.
+VERIFY, LONG, PART = 20, 16, 256
+ROUNDS = 4
 #: So many row numbers at most are broadcast.
 KEYS = 1_000_000
 
@@ -79,7 +82,7 @@ def prefix_rows(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
                 for i, s in zip(ids, shingle_sets(texts), strict=True):
                     n = len(s)
                     # a larger partner, of up to n / t shingles, may ask for its own l
-                    longest = n - (n * threshold + 99) // 100 + 1 + n * CHOICES[-1] // threshold
+                    longest = n - (n * threshold + 99) // 100 + 1 + n * FIRST // threshold
                     out.append((part << 33 | row, i, n, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), s[:longest]))
                     row += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), kind, strict=True)], schema=kind)
@@ -139,7 +142,7 @@ def postings(rows: DataFrame, copies: DataFrame, threshold: int) -> DataFrame:
     unstash(rows)
     for _ in range(2):
         # a link shares the l of its larger set, and that is no less than the smaller set's own
-        able = posts.groupBy("rid", "n").agg(F.count("*").alias("c")).where(F.col("c") >= 1 + F.floor(F.col("n") * CHOICES[-1] / 100))
+        able = posts.groupBy("rid", "n").agg(F.count("*").alias("c")).where(F.col("c") >= 1 + F.floor(F.col("n") * FIRST / 100))
         able = stash(able.select("rid"), "able")
         some = join_small(posts.drop("df"), able, "rid", "left_semi", KEYS).withColumn("df", F.count("*").over(listed)).where("df > 1")
         old, posts = posts, stash(some, "postings")
@@ -147,29 +150,94 @@ def postings(rows: DataFrame, copies: DataFrame, threshold: int) -> DataFrame:
     return posts
 
 
-def _left_pairs(left: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (a, b) of different components that share enough prefix shingles, the larger set a choosing how many."""
+def _left(posts: DataFrame, comps: DataFrame | None, sets: DataFrame, threshold: int) -> DataFrame:
+    """Entries (as postings, with comp) of the whole sets that may still link with a set of another component."""
+    able = _open(posts, comps).groupBy("rid", "n", "comp").agg(F.count("*").alias("c")).where(F.col("c") >= 1 + F.floor(F.col("n") * FIRST / 100))
+    base = F.col("n") - F.floor((F.col("n") * threshold + 99) / 100)
+    rows = able.join(sets, "rid").select("rid", "n", "comp", base.alias("base"), F.posexplode("set").alias("i", "token"))
+    rows = rows.select("token", "rid", "n", "comp", F.greatest(F.lit(0), F.col("i") - F.col("base")).cast("int").alias("e"))
+    w = Window.partitionBy("token")
+    rows = rows.withColumns({"df": F.count("*").over(w), "_lo": F.min("comp").over(w), "_hi": F.max("comp").over(w)})
+    return stash(rows.where("_lo <> _hi").drop("_lo", "_hi"), "left")
+
+
+def _left_pairs(left: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of different components that share enough prefix shingles, the larger set a choosing how many; and
+    the prefixes (rid, token, df) of sets for which no choice passes over the long lists."""
     n, far = F.col("n"), F.col("df") > LONG
     options = [1 + F.floor(n * c / 100) for c in CHOICES]
     sums = []
     for k, l in enumerate(options):
         sums += [F.sum(F.when((F.col("e") < l) & far, 1).otherwise(0)).alias(f"h{k}"), F.sum(F.when((F.col("e") < l) & ~far, F.col("df") - 1).otherwise(0)).alias(f"s{k}")]
-    cost = lambda k: F.when(options[k] > F.col(f"h{k}"), F.col(f"s{k}") * (1 + VERIFY / (options[k] - F.col(f"h{k}"))))
+    possible = lambda k: (options[k] > F.col(f"h{k}")) & (options[k] * 100 <= n * threshold)
+    cost = lambda k: F.when(possible(k), F.col(f"s{k}") * (1 + VERIFY / (options[k] - F.col(f"h{k}"))))
     picks = [F.struct(cost(k).alias("cost"), options[k].alias("l"), (options[k] - F.col(f"h{k}")).alias("need")) for k in range(len(options))]
     best = F.array_min(F.filter(F.array(*picks), lambda p: p["cost"].isNotNull()))
-    chosen = left.groupBy("rid", "n").agg(*sums).select("rid", best.alias("p"), options[-1].alias("most"))
+    most = F.when(n > 1, 1 + F.floor(n * FIRST / 100)).otherwise(1)
+    chosen = left.groupBy("rid", "n").agg(*sums).select("rid", best.alias("p"), most.alias("most"))
     chosen = chosen.select("rid", F.coalesce("p.l", "most").alias("l"), F.coalesce("p.need", "most").alias("need"), F.col("p").isNull().alias("stuck"))
     x = left.join(chosen, "rid").where("e < l").select("token", F.col("rid").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), "df", "l", "need", "stuck")
     y = left.select("token", F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), "e", "df")
     larger = (F.col("na") > F.col("nb")) | (F.col("na") == F.col("nb")) & (F.col("a") > F.col("b"))
     meet = (F.col("ca") != F.col("cb")) & (F.col("e") < F.col("l")) & larger & _alike("na", "nb", threshold)
-    near = x.where(F.col("df") <= LONG).join(y.where(F.col("df") <= LONG).drop("df"), "token").where(meet).select("a", "b", "need")
-    # long lists: by sizes that may link, a set's own step of size or the next
-    step = lambda c: F.floor(F.log(F.col(c).cast("double")) / float(np.log(100 / threshold))).cast("int")
-    xs = x.where((F.col("df") > LONG) & F.col("stuck")).withColumn("step", step("na"))
-    ys = y.where(F.col("df") > LONG).drop("df").withColumn("step", F.explode(F.sequence(step("nb"), step("nb") + 1)))
-    far_pairs = xs.join(ys, ["token", "step"]).where(meet).select("a", "b", "need")
-    return near.union(far_pairs).groupBy("a", "b", "need").count().where("count >= need").select("a", "b")
+    near = x.where((F.col("df") <= LONG) & ~F.col("stuck")).join(y.where(F.col("df") <= LONG).drop("df"), "token").where(meet)
+    near = near.groupBy("a", "b", "need").count().where("count >= need").select("a", "b")
+    return near, stash(x.where("stuck").select(F.col("a").alias("rid"), "token", "df"), "stuck")
+
+
+def _dense_links(left: DataFrame, stuck: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Links of the sets that are stuck in long lists, block by block.
+
+    Sets that share shingles with stuck ones form families; a family's stuck sets and all its sets are dealt into blocks
+    of like size, and each pair of blocks is compared whole by products of 0/1 matrices. Only links are emitted.
+    """
+    entries = left.join(stuck.select("token").distinct(), "token", "left_semi").select("token", "rid")
+    lead = entries.groupBy("token").agg(F.min("rid").alias("lead"))
+    family = components(entries.join(lead, "token").select(F.col("rid").alias("a"), F.col("lead").alias("b")).distinct())
+    step = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / threshold))).cast("int")
+    docs = left.select("rid", "n", "comp").distinct().join(family.select(F.col("node").alias("rid"), F.col("comp").alias("family")), "rid").withColumn("step", step)
+    docs = docs.join(stuck.select("rid").distinct().withColumn("stuck", F.lit(True)), "rid", "left").withColumn("stuck", F.coalesce("stuck", F.lit(False)))
+    docs = stash(docs, "families")
+    # a stuck set meets sets of its own step of size and of the next ones; blocks are counted for each family and step
+    seek = docs.where("stuck").withColumn("at", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)))
+    many = seek.groupBy("family", "at").agg(F.count("*").alias("s")).join(docs.groupBy("family", F.col("step").alias("at")).agg(F.count("*").alias("c")), ["family", "at"])
+    many = stash(many.select("family", "at", F.ceil(F.col("s") / PART).cast("int").alias("i_n"), F.ceil(F.col("c") / PART).cast("int").alias("j_n")), "blocks")
+    h = F.xxhash64("rid")
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left_side = seek.join(many, ["family", "at"]).select("family", "at", F.pmod(h, F.col("i_n")).cast("int").alias("i"), numbers("j_n").alias("j"), "rid", "comp", F.lit(True).alias("asks"))
+    right_side = docs.withColumnRenamed("step", "at").join(many, ["family", "at"]).select("family", "at", numbers("i_n").alias("i"), F.pmod(h, F.col("j_n")).cast("int").alias("j"), "rid", "comp", F.lit(False).alias("asks"))
+    dealt = left_side.select("family", "at", "i", "j", "rid", "comp", "asks").unionByName(right_side.select("family", "at", "i", "j", "rid", "comp", "asks")).join(sets, "rid")
+
+    def links(pdf: pd.DataFrame) -> pd.DataFrame:
+        asks = pdf.asks.to_numpy(bool)
+        size = np.array([len(s) for s in pdf["set"]])
+        flat = np.concatenate(list(pdf["set"]))
+        owner = np.repeat(np.arange(len(pdf)), size)
+        token, inverse, count = np.unique(flat, return_inverse=True, return_counts=True)
+        often = count > 1
+        column = np.cumsum(often) - 1
+        hit = often[inverse]
+        owner, column, width = owner[hit], column[inverse[hit]], int(often.sum())
+        left_rows, right_rows = np.flatnonzero(asks), np.flatnonzero(~asks)
+        place = np.empty(len(pdf), np.int64)
+        place[left_rows], place[right_rows] = np.arange(len(left_rows)), np.arange(len(right_rows))
+        both = np.zeros((len(left_rows), len(right_rows)), np.float32)
+        for c in range(0, width, 4096):
+            some = (column >= c) & (column < c + 4096)
+            o, k = owner[some], column[some] - c
+            a, b = np.zeros((len(left_rows), 4096), np.float32), np.zeros((len(right_rows), 4096), np.float32)
+            m = asks[o]
+            a[place[o[m]], k[m]] = 1
+            b[place[o[~m]], k[~m]] = 1
+            both += a @ b.T
+        o = both.astype(np.int64)
+        comp, rid = pdf.comp.to_numpy(), pdf.rid.to_numpy()
+        good = (o * 100 >= threshold * (size[left_rows][:, None] + size[right_rows][None, :] - o)) & (comp[left_rows][:, None] != comp[right_rows][None, :])
+        x, y = np.nonzero(good)
+        x, y = rid[left_rows[x]], rid[right_rows[y]]
+        return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+
+    return dealt.groupBy("family", "at", "i", "j").applyInPandas(links, "a long, b long").distinct()
 
 
 def link_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -193,7 +261,12 @@ def link_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
             break
         edges = found if edges is None else edges.union(found)
         comps = components(edges)
-    found = stash(_verified(_left_pairs(stash(_open(posts, comps), "left"), threshold), sets, threshold), "links")
+    left = _left(posts, comps, sets, threshold)
+    near, stuck = _left_pairs(left, threshold)
+    found = _verified(near, sets, threshold)
+    if stuck.limit(1).count():
+        found = found.union(_dense_links(left, stuck, sets, threshold))
+    found = stash(found, "links")
     if found.limit(1).count():
         edges = found if edges is None else edges.union(found)
         comps = components(edges)
