@@ -61,7 +61,8 @@ def mix_sources(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: int
     before = sums.select("rank", "_range", (F.sum("_sum").over(Window.partitionBy("rank").orderBy("_range")) - F.col("_sum")).alias("_before"))
     inside = F.sum("_size").over(Window.partitionBy("rank", "_range").orderBy("_h", "doc_id", "_size").rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("_in", inside).join(before, ["rank", "_range"]).withColumn("_cum", F.col("_before") + F.col("_in"))
-    copies = [(F.col("source_size") * k + F.col("_cum")) / F.col("target") for k in range(cap)]
+    # a source of size 0 has no target and is never served
+    copies = [(F.col("source_size") * k + F.col("_cum")) / F.nullif("target", F.lit(0.0)) for k in range(cap)]
     rows = stash(rows.select(*keep, F.col("_size").alias("size"), "rank", "source_size", "target", *[c.alias(f"_f{k}") for k, c in enumerate(copies)]), "mix")
     time, rank = _cut(rows.select("rank", "size", F.explode(F.array(*[f"_f{k}" for k in range(cap)])).alias("t")).where("t is not null"), budget)
     served = sum((F.when((F.col(f"_f{k}") < time) | (F.col(f"_f{k}") == time) & (F.col("rank") <= rank), 1).otherwise(0) for k in range(cap)), F.lit(0))
@@ -104,4 +105,4 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: docs' rows, each as often as it is taken, range-sorted by finish time."""
     cols = tuple(docs.columns)
     taken = mix_sources(docs, keep=cols, **how)
-    return taken.where("times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times")))).orderBy(F.col("finish") + (F.col("_copy") - 1) * F.col("source_size") / F.col("target"), "_copy").select(*cols)
+    return taken.where("times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times")))).orderBy(F.col("finish") + (F.col("_copy") - 1) * F.col("source_size") / F.nullif("target", F.lit(0.0)), "_copy").select(*cols)

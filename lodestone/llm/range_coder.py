@@ -7,7 +7,7 @@ order 2, order 1 and order 0 say of it. Otherwise the id itself is coded by adap
 at every step, the mix every PACE steps, and order 0 at steps that grow by a third.
 
 All arithmetic is in integers, so that files decode on any machine. Each block starts from a fresh model and carries a
-CRC-32 of its ids.
+CRC-32 of its ids and one of its bytes.
 """
 from __future__ import annotations
 
@@ -141,15 +141,18 @@ def encode_block(ids: np.ndarray, alphabet: int) -> bytes:
         low = low << _WORD
     words = out.reshape(lanes, wide)[np.arange(wide)[None, :] < pos[:, None]]
     crc = zlib.crc32(ids.astype("<u4").tobytes())
-    return struct.pack("<4sIIIII", MAGIC, alphabet, n, lanes, steps, crc) + pos.astype("<u4").tobytes() + words.astype("<u2").tobytes()
+    body = pos.astype("<u4").tobytes() + words.astype("<u2").tobytes()
+    return struct.pack("<4sIIIIII", MAGIC, alphabet, n, lanes, steps, crc, zlib.crc32(body)) + body
 
 
 def decode_block(raw: bytes) -> np.ndarray:
-    magic, alphabet, n, lanes, steps, crc = struct.unpack_from("<4sIIIII", raw)
+    magic, alphabet, n, lanes, steps, crc, body = struct.unpack_from("<4sIIIIII", raw)
     if magic != MAGIC:
         raise ValueError("not a block of this format")
-    sizes = np.frombuffer(raw, "<u4", lanes, 24).astype(np.int64)
-    words = np.concatenate([np.frombuffer(raw, "<u2", -1, 24 + 4 * lanes), np.zeros(8, "<u2")]).astype(_U)
+    if zlib.crc32(raw[28:]) != body:
+        raise ValueError("block is damaged")
+    sizes = np.frombuffer(raw, "<u4", lanes, 28).astype(np.int64)
+    words = np.concatenate([np.frombuffer(raw, "<u2", -1, 28 + 4 * lanes), np.zeros(8, "<u2")]).astype(_U)
     last = len(words) - 1
     at = np.cumsum(sizes) - sizes
     code = np.zeros(lanes, _U)
