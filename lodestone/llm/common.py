@@ -38,13 +38,18 @@ def stash(df: DataFrame, name: str) -> DataFrame:
 
 
 def unstash(*dfs: DataFrame) -> None:
-    """Deletes stashed tables that nothing reads any more, and lets Spark drop the shuffles of finished steps."""
+    """Deletes stashed tables that nothing reads any more."""
     for df in dfs:
         jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
         at = jvm.org.apache.hadoop.fs.Path(df._stashed_at)
         at.getFileSystem(conf).delete(at, True)
+    release(dfs[0].sparkSession)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of finished steps now: it does so when their plans are collected as garbage."""
     gc.collect()
-    dfs[0].sparkSession._jvm.System.gc()
+    spark._jvm.System.gc()
 
 
 def join_small(df: DataFrame, small: DataFrame, on, how: str = "inner", rows: int = SMALL_ROWS) -> DataFrame:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hash32, join_small, n_words, stash
+from .common import hash32, join_small, n_words, release, stash
 
 #: Hash ranges of a source, each of which is one window group; and parts into which a range of time is cut.
 RANGES, PARTS = 1024, 2048
@@ -64,6 +64,7 @@ def mix_sources(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: int
     # a source of size 0 has no target and is never served
     copies = [(F.col("source_size") * k + F.col("_cum")) / F.nullif("target", F.lit(0.0)) for k in range(cap)]
     rows = stash(rows.select(*keep, F.col("_size").alias("size"), "rank", "source_size", "target", *[c.alias(f"_f{k}") for k, c in enumerate(copies)]), "mix")
+    release(rows.sparkSession)
     time, rank = _cut(rows.select("rank", "size", F.explode(F.array(*[f"_f{k}" for k in range(cap)])).alias("t")).where("t is not null"), budget)
     served = sum((F.when((F.col(f"_f{k}") < time) | (F.col(f"_f{k}") == time) & (F.col("rank") <= rank), 1).otherwise(0) for k in range(cap)), F.lit(0))
     return rows.withColumn("times", served).select(*keep, "size", "source_size", "target", F.col("_f0").alias("finish"), "times", (F.col("size") * F.col("times")).cast("long").alias("taken"))
@@ -103,6 +104,7 @@ def _cut(events: DataFrame, budget: float) -> tuple[float, int]:
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: docs' rows, each as often as it is taken, range-sorted by finish time."""
-    cols = tuple(docs.columns)
-    taken = mix_sources(docs, keep=cols, **how)
-    return taken.where("times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times")))).orderBy(F.col("finish") + (F.col("_copy") - 1) * F.col("source_size") / F.nullif("target", F.lit(0.0)), "_copy").select(*cols)
+    rows = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("_row"))  # so that no name clashes
+    taken = mix_sources(rows, keep=("_row",), **how)
+    again = (F.col("_copy") - 1) * F.col("source_size") / F.nullif("target", F.lit(0.0))
+    return taken.where("times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times")))).orderBy(F.col("finish") + again, "_copy").select("_row.*")
