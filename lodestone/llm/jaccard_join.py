@@ -104,6 +104,17 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "comp")
 
 
+def merge(comps: DataFrame | None, links: DataFrame) -> DataFrame:
+    """comps (node, comp) with the components that links (a, b) join made one; only joined components are walked."""
+    if comps is None:
+        return components(links)
+    of = lambda c: comps.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}"))
+    pairs = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).distinct().where("a <> b")
+    over = components(pairs)
+    kept = comps.join(over.select(F.col("node").alias("comp"), F.col("comp").alias("over")), "comp", "left").select("node", F.coalesce("over", "comp").alias("comp"))
+    return stash(kept.unionByName(over.join(comps, "node", "left_anti")), "components")
+
+
 def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """wanted: rid, doc_id, sig. (rid, set) of these, read again from their texts."""
     kind = pa.schema([("sig", pa.binary()), ("set", pa.list_(pa.int64()))])
@@ -193,7 +204,11 @@ def _dense_links(left: DataFrame, stuck: DataFrame, sets: DataFrame, threshold:
     """
     entries = left.join(stuck.select("token").distinct(), "token", "left_semi").select("token", "rid")
     lead = entries.groupBy("token").agg(F.min("rid").alias("lead"))
-    family = components(entries.join(lead, "token").select(F.col("rid").alias("a"), F.col("lead").alias("b")).distinct())
+    leads = stash(entries.join(lead, "token").select("rid", "lead").distinct(), "leads")
+    least = leads.groupBy("rid").agg(F.min("lead").alias("least"))
+    # leaders that meet in some set are of one family; sets take the family of their least leader
+    family = components(leads.join(least, "rid").select(F.col("lead").alias("a"), F.col("least").alias("b")).distinct())
+    family = least.join(family, least["least"] == family["node"]).select(F.col("rid").alias("node"), "comp")
     step = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / threshold))).cast("int")
     docs = left.select("rid", "n", "comp").distinct().join(family.select(F.col("node").alias("rid"), F.col("comp").alias("family")), "rid").withColumn("step", step)
     docs = docs.join(stuck.select("rid").distinct().withColumn("stuck", F.lit(True)), "rid", "left").withColumn("stuck", F.coalesce("stuck", F.lit(False)))
@@ -249,7 +264,7 @@ def link_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     posts = postings(rows, copies, threshold)
     wanted = stash(members.select("rid", "doc_id", "sig").join(posts.select("rid").distinct(), "rid"), "candidates")
     sets = _sets_of(docs, wanted)
-    comps, edges = None, None
+    comps = None
     for turn in range(ROUNDS):
         now = _open(posts, comps)
         lead = now.groupBy("token").agg(F.min_by(F.struct("rid", "n", "comp"), F.xxhash64("rid", F.lit(turn))).alias("l"))
@@ -259,8 +274,7 @@ def link_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         found = stash(_verified(pairs, sets, threshold), "links")
         if not found.limit(1).count():
             break
-        edges = found if edges is None else edges.union(found)
-        comps = components(edges)
+        comps = merge(comps, found)
     left = _left(posts, comps, sets, threshold)
     near, stuck = _left_pairs(left, threshold)
     found = _verified(near, sets, threshold)
@@ -268,8 +282,7 @@ def link_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         found = found.union(_dense_links(left, stuck, sets, threshold))
     found = stash(found, "links")
     if found.limit(1).count():
-        edges = found if edges is None else edges.union(found)
-        comps = components(edges)
+        comps = merge(comps, found)
     if comps is None:
         member = groups.select("sig", "least", F.col("rid").alias("comp"))
     else:
