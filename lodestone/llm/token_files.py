@@ -5,17 +5,19 @@ document with an end id, and packs whole documents into blocks of about BLOCK id
 Parquet table in the shared folder: part and seq give its place, docs and lengths its documents, ids_before its offset
 in its part, payload its bytes. Blocks are independent, so any of them can be read (and a lost task rerun) alone.
 
-Encoding is by pieces: the tokenizer never merges across a space that a non-space follows, so a text is cut there
-and each distinct piece is encoded once for each task; texts with other white space beside spaces are encoded whole.
+Encoding is by pieces: the tokenizer never merges across a space that a non-space follows, so a text is cut there.
+A Python worker encodes a piece with the library when it first meets it and then knows it by 96 bits of hash, among
+PIECES at most; texts with rare white space are encoded whole.
 
 Null text counts as empty (the end id alone). Repeated ids keep an order by the text's hash; null ids come first.
 Empty tables give empty files. A document longer than a block has a block of its own, whole.
 """
 from __future__ import annotations
 
+import itertools
 import os
+import re
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,15 +27,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import join_small, stash
+from .hashing import WHITE, chunks, span_hashes
 from .range_coder import decode_block, encode_block
 
-BLOCK, PIECES = 1 << 20, 500_000
+#: Ids in a block; pieces that a worker remembers, and the slots for them.
+BLOCK, PIECES, SLOT_BITS = 1 << 20, 2_000_000, 22
+SLOTS = 1 << SLOT_BITS
 _FILE = "part int, seq int, ids_before long, docs array<long>, lengths array<int>, payload binary"
 _KIND = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("ids_before", pa.int64()), ("docs", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("payload", pa.binary())])
 
 
 class Encoder:
-    """Ids of texts, as bytes of unsigned 32-bit numbers."""
+    """Ids of texts, by pieces that are known from before; arrays hold what is known, so it stays small."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks in parallel; threads would take memory of their own
@@ -42,52 +47,119 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
         self.size = self.tok.get_vocab_size()
-        self.known: dict[str, bytes] = {}
         # a byte-level tokenizer without a normalizer splits a word from its punctuation: words can go to the model itself
         self.plain = self.tok.normalizer is None and type(self.tok.pre_tokenizer).__name__ == "ByteLevel"
-
-    def whole(self, text: str) -> bytes:
-        return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Encodes pieces, each after a space."""
-        known, rest = self.known, []
-        if self.plain:
-            model, marks = self.tok.model, {}
-            for p in pieces:
-                w = p.rstrip(_MARKS)
-                if not w.isalpha():
-                    rest.append(p)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.key, self.check = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.uint32)
+        self.first, self.count = np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)
+        self.pool, self.used, self.pieces = np.zeros(1 << 20, np.uint32), 0, 0
+        self.tails: dict[str, list[int]] = {}
+
+    def whole(self, text: str) -> list[int]:
+        return self.tok.encode(text, add_special_tokens=False).ids
+
+    def _ids_of(self, pieces: list[str]) -> list[list[int]]:
+        """Ids of each distinct piece."""
+        out: list[list[int] | None] = [None] * len(pieces)
+        rest, model = [], self.tok.model
+        for k, p in enumerate(pieces):
+            if self.plain and p[:1] == " ":
+                w = p[1:].rstrip(_MARKS)
+                if w.isalpha():
+                    ids = [t.id for t in model.tokenize("\u0120" + w if w.isascii() else (" " + w).encode().decode("latin-1").translate(_BYTE_CHARS))]
+                    if tail := p[len(w) + 1 :]:
+                        if tail not in self.tails:
+                            self.tails[tail] = self.whole(tail)
+                        ids += self.tails[tail]
+                    out[k] = ids
                     continue
-                if w not in known:
-                    known[w] = array("I", [t.id for t in model.tokenize((" " + w).encode().decode("latin-1").translate(_BYTE_CHARS))]).tobytes()
-                if w != p:
-                    tail = p[len(w) :]
-                    if tail not in marks:
-                        marks[tail] = self.whole(tail)
-                    known[p] = known[w] + marks[tail]
-        else:
-            rest = pieces
-        for p, e in zip(rest, self.tok.encode_batch_fast([" " + p for p in rest], add_special_tokens=False), strict=True):
-            known[p] = array("I", e.ids).tobytes()
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > PIECES:
-            self.known.clear()
-        cut = [t.split(" ") for t in texts]
-        known = self.known
-        new = {p for c in cut for p in c[1:] if p not in known}
-        odd = {p for p in new if not p or p[0].isspace()}
-        self._learn([p for p in new if p not in odd])
-        out = []
-        for t, c in zip(texts, cut, strict=True):
-            if odd and not odd.isdisjoint(c[1:]) or c[0][-1:].isspace():
-                out.append(self.whole(t))
-            else:
-                out.append((self.whole(c[0]) if c[0] else b"") + b"".join([known[p] for p in c[1:]]))
+            rest.append(k)
+        for k, e in zip(rest, self.tok.encode_batch_fast([pieces[k] for k in rest], add_special_tokens=False), strict=True):
+            out[k] = e.ids
         return out
 
+    def _slots(self, h: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """Slot of each key; -1 if it is not known."""
+        at = (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        found, todo = np.full(len(h), -1, np.int64), np.arange(len(h))
+        while len(todo):
+            k = self.key[at[todo]]
+            hit = (k == h[todo]) & (self.check[at[todo]] == check[todo])
+            found[todo[hit]] = at[todo[hit]]
+            todo = todo[~hit & (k != 0)]
+            at[todo] = (at[todo] + 1) & (SLOTS - 1)
+        return found
+
+    def _add(self, h: np.ndarray, check: np.ndarray, ids: list[list[int]]) -> None:
+        """Stores distinct new keys."""
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        total = int(n.sum())
+        while self.used + total > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.used : self.used + total] = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, total)
+        first = self.used + np.cumsum(n) - n
+        self.used, self.pieces = self.used + total, self.pieces + len(ids)
+        at, todo = (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64), np.arange(len(h))
+        while len(todo):
+            free = self.key[at[todo]] == 0
+            slot, one = np.unique(at[todo[free]], return_index=True)
+            take = todo[free][one]
+            self.key[slot], self.check[slot], self.first[slot], self.count[slot] = h[take], check[take], first[take], n[take]
+            todo = np.setdiff1d(todo, take, assume_unique=True)
+            at[todo] = np.where(self.key[at[todo]] == 0, at[todo], (at[todo] + 1) & (SLOTS - 1))
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and how many each has."""
+        if self.pieces > PIECES:
+            self._forget()
+        ids, lengths = [], np.zeros(len(texts), np.int64)
+        for a, b, data, offsets in chunks([t.encode("utf-8", "surrogatepass") for t in texts]):
+            for t in range(a, b):
+                if _ODD.search(texts[t]):
+                    return self._apart(texts)
+            # chunks ends each text by a newline, which is not the text's
+            begins = np.zeros(len(data), bool)
+            np.logical_and(data[:-1] == 32, ~WHITE[data[1:]], out=begins[:-1])
+            begins[offsets[:-1]] = True
+            starts = np.flatnonzero(begins)
+            ends = np.append(starts[1:], offsets[-1])
+            last = np.searchsorted(starts, offsets[1:]) - 1
+            ends[last] = offsets[1:] - 1
+            h = span_hashes(data, starts, ends) | np.uint64(1)
+            total = np.concatenate([[0], np.cumsum(_CHECK[data], dtype=np.uint32)]).astype(np.uint32)
+            check = total[ends] - total[starts]
+            slots = self._slots(h, check)
+            raw = data.tobytes()
+            while (new := np.flatnonzero(slots < 0)).size:  # again only where equal hashes differ in their check
+                one = new[np.unique(h[new], return_index=True)[1]]
+                self._add(h[one], check[one], self._ids_of([raw[s:e].decode("utf-8", "surrogatepass") for s, e in zip(starts[one].tolist(), ends[one].tolist(), strict=True)]))
+                slots[new] = self._slots(h[new], check[new])
+            n, first = self.count[slots].astype(np.int64), self.first[slots].astype(np.int64)
+            done = np.cumsum(n)
+            ids.append(self.pool[np.repeat(first - (done - n), n) + np.arange(done[-1] if len(done) else 0)])
+            lengths[a:b] = np.diff(np.concatenate([[0], done[last]]))
+        return (np.concatenate(ids) if ids else np.zeros(0, np.uint32)), lengths
+
+    def _apart(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As __call__, with the texts of rare white space encoded whole."""
+        odd = [bool(_ODD.search(t)) for t in texts]
+        ids, n = self([t for t, o in zip(texts, odd, strict=True) if not o])
+        at, out, lengths, k = 0, [], [], 0
+        for t, o in zip(texts, odd, strict=True):
+            if o:
+                out.append(np.array(self.whole(t), np.uint32))
+            else:
+                out.append(ids[at : at + n[k]])
+                at, k = at + n[k], k + 1
+            lengths.append(len(out[-1]))
+        return np.concatenate(out), np.array(lengths, np.int64)
+
 
+#: White space and controls beside space, tab, newline and return.
+_ODD = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f\x85\xa0\u1680\u2000-\u200f\u2028\u2029\u202f\u205f\u3000\ufeff]")
+_CHECK = np.random.default_rng(77).integers(0, 2**32, 256, dtype=np.uint32)
 #: Marks that may follow a word; an apostrophe or a digit may not, as the tokenizer may join it with what follows.
 _MARKS = ",.;:!?)]}%$#&*@/+=<>|~^-"
 #: Byte-level tokenizers write a byte that is no printable Latin-1 character as the next unused one from 256 on.
@@ -107,21 +179,23 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, block: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, seq, before = encoder(tokenizer), TaskContext.get().partitionId(), 0, 0
-        end = array("I", [end_id]).tobytes()
         held, docs, lengths, n = [], [], [], 0
 
         def out() -> pa.RecordBatch:
-            row = (part, seq, before, docs, lengths, encode_block(np.frombuffer(b"".join(held), np.uint32), enc.size))
+            row = (part, seq, before, docs, lengths, encode_block(np.concatenate(held), enc.size))
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _KIND, strict=True)], schema=_KIND)
 
         for b in batches:
             for at in range(0, b.num_rows, 200):
-                ids, texts = (c.to_pylist() for c in b.slice(at, 200).columns)
-                for i, e in zip(ids, enc([t or "" for t in texts]), strict=True):
-                    held += (e, end)
+                doc_ids, texts = (c.to_pylist() for c in b.slice(at, 200).columns)
+                found, sizes = enc([t or "" for t in texts])
+                found = np.insert(found, np.cumsum(sizes), end_id)
+                begin = 0
+                for i, size in zip(doc_ids, (sizes + 1).tolist(), strict=True):
+                    held.append(found[begin : begin + size])
                     docs.append(i)
-                    lengths.append(len(e) // 4 + 1)
-                    n += lengths[-1]
+                    lengths.append(size)
+                    begin, n = begin + size, n + size
                     if n >= block:
                         yield out()
                         held, docs, lengths, seq, before, n = [], [], [], seq + 1, before + n, 0
