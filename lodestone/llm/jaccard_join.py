@@ -200,7 +200,7 @@ def _dense_links(left: DataFrame, stuck: DataFrame, sets: DataFrame, threshold:
     """Links of the sets that are stuck in long lists, block by block.
 
     Sets that share shingles with stuck ones form families; a family's stuck sets and all its sets are dealt into blocks
-    of like size, and each pair of blocks is compared whole by products of 0/1 matrices. Only links are emitted.
+    of like size, and each pair of blocks is compared whole by products of 0/1 matrices. Only links are emitted, and of these only as many as join the same components.
     """
     entries = left.join(stuck.select("token").distinct(), "token", "left_semi").select("token", "rid")
     lead = entries.groupBy("token").agg(F.min("rid").alias("lead"))
@@ -249,7 +249,22 @@ def _dense_links(left: DataFrame, stuck: DataFrame, sets: DataFrame, threshold:
         comp, rid = pdf.comp.to_numpy(), pdf.rid.to_numpy()
         good = (o * 100 >= threshold * (size[left_rows][:, None] + size[right_rows][None, :] - o)) & (comp[left_rows][:, None] != comp[right_rows][None, :])
         x, y = np.nonzero(good)
-        x, y = rid[left_rows[x]], rid[right_rows[y]]
+        x, y = left_rows[x], right_rows[y]
+        # what a block's links join, fewer links join as well: a spanning forest of the components they meet
+        code = np.unique(comp, return_inverse=True)[1]
+        once = np.unique(code[x] * len(pdf) + code[y], return_index=True)[1]
+        above = list(range(len(pdf)))
+        keep = []
+        for k in once.tolist():
+            u, v = int(code[x[k]]), int(code[y[k]])
+            while above[u] != u:
+                above[u] = u = above[above[u]]
+            while above[v] != v:
+                above[v] = v = above[above[v]]
+            if u != v:
+                above[u] = v
+                keep.append(k)
+        x, y = rid[x[keep]], rid[y[keep]]
         return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
 
     return dealt.groupBy("family", "at", "i", "j").applyInPandas(links, "a long, b long").distinct()
