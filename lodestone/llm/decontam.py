@@ -30,6 +30,8 @@ RATE, Q, MIN_CHARS = 0.08, 10, 8
 BLOCK_CHARS, CHUNK = 4 << 20, 1 << 20
 _WHITE = re.compile(r"\s+")
 _TABLE_BITS = 22
+#: Stands before a document's first character; no character has this code.
+_OUTSIDE = np.uint32(0xFFFFFFFF)
 
 
 def normalise(text: str | None) -> str:
@@ -147,9 +149,11 @@ class Items:
             s, t = max(0, first), min(size, first + 2 * w + 2 * k + m)
             if t <= s or best.get((key, i), (1,))[0] == 0:
                 continue
-            found = best_alignment(self.codes[i], c[starts[key] + s : starts[key] + t], k)
+            left = min(k, max(0, -first))  # diagonals below 0: the item's first characters have no partner
+            region = np.concatenate([np.full(left, _OUTSIDE), c[starts[key] + s : starts[key] + t]])
+            found = best_alignment(self.codes[i], region, k)
             if found:
-                new = (found[0], s + found[1], s)
+                new = (found[0], s - left + found[1], s)
                 best[key, i] = min(best.get((key, i), new), new)
         for (key, i), (edits, end, _) in sorted(best.items()):
             yield int(key), int(i), edits, max(0, end - int(self.m[i])), end

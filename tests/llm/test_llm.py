@@ -300,6 +300,22 @@ def test_leaks_equal_brute_force(spark):
     assert got == want
 
 
+def test_leaks_at_the_edges_of_documents_equal_brute_force(spark):
+    r = random.Random(8)
+    items = [(i, prose(r, 14)) for i in range(4)] + [(4, "fourteen chars")]
+    rows = []
+    for i, t in items:
+        k = decontam.edits_of(len(t))
+        for n in {1, k // 2, k, k + 1}:
+            for c in (t[n:], t[:-n or None], t[:1] + t[1 + n :], t[n // 2 : len(t) - (n - n // 2)], t[: len(t) // 2] + t[len(t) // 2 + n :]):
+                for whole in (c, c + " " + prose(r, 20), prose(r, 20) + " " + c):
+                    rows.append((len(rows), whole))
+    found = decontam.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    texts = {d: decontam.normalise(t) for d, t in rows}
+    assert {(x.doc_id, x.item_id) for x in found} == {(d, i) for d, t in texts.items() for i, x in items if edit_distance_within(x, t, decontam.edits_of(len(x)))}
+    assert all(0 <= x.start < x.end <= len(texts[x.doc_id]) for x in found)
+
+
 def test_decontaminate_keeps_the_rest(spark, docs):
     bench = spark.createDataFrame([(1, prose(random.Random(5), 60)[:120])], "item_id long, text string")
     assert decontam.decontaminate(docs, bench.limit(0)).count() == docs.count()
