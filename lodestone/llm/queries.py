@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_naming, decontam, jaccard_join, langid, line_chunks, mixing, token_files, toxicity, url_rules, wrapper
+from . import block_naming, decontam, jaccard_join, langid, line_chunks, line_windows, mixing, token_files, toxicity, url_rules, wrapper
 from .common import crc, table
 
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
@@ -29,6 +29,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_chunks.line_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_windows.passage_dedup(table(spark, sf_dir, "documents"))
+
+
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrapper.extract(table(spark, sf_dir, "pages"))
 
@@ -56,7 +60,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op1_language_id": op1_language_id, "op5_toxicity": op5_toxicity, "op2_exact_dedup": op2_exact_dedup, "op3_line_dedup": op3_line_dedup, "op4_html_extraction": op4_html_extraction, "op6_token_files": op6_token_files, "op7_jaccard_join": op7_jaccard_join, "op8_decontaminate": op8_decontaminate, "op9_url_filter": op9_url_filter, "op10_mix_sources": op10_mix_sources}
+QUERIES = {"op1_language_id": op1_language_id, "op5_toxicity": op5_toxicity, "op2_exact_dedup": op2_exact_dedup, "op3_line_dedup": op3_line_dedup, "op3_passage_dedup": op3_passage_dedup, "op4_html_extraction": op4_html_extraction, "op6_token_files": op6_token_files, "op7_jaccard_join": op7_jaccard_join, "op8_decontaminate": op8_decontaminate, "op9_url_filter": op9_url_filter, "op10_mix_sources": op10_mix_sources}
 
 _fits = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{v}|{h}{p}'" for v, h, p in sorted(RULES, key=lambda r: -len(r[1] + r[2])))
 SQL = {

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import block_naming, decontam, dom, jaccard_join, langid, line_chunks, mixing, queries, range_coder, token_files, toxicity, url_rules, wrapper
+from lodestone.llm import block_naming, decontam, dom, jaccard_join, langid, line_chunks, line_windows, mixing, queries, range_coder, token_files, toxicity, url_rules, wrapper
 
 D = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -89,6 +89,37 @@ def test_repeated_chunks_go_and_boundaries_resist_shifts(spark):
     assert got[2].n_removed > 10 and got[2].text.startswith("a\nb\nc") and got[2].text.endswith("end")
 
 
+def brute_passages(rows):
+    """rows in order of doc_id: (doc_id, kept text, lines, removed) with windows of two lines."""
+    first, out = {}, []
+    for d, (i, t) in enumerate(rows):
+        lines, gone = (t or "").split("\n"), set()
+        for k in range(len(lines) - 1):
+            f = first.setdefault((lines[k], lines[k + 1]), (d, k))
+            if f[0] != d or k > f[1] + 1:
+                gone |= {k, k + 1}
+        out.append((i, "\n".join(x for k, x in enumerate(lines) if k not in gone) if gone else t, len(lines), len(gone)))
+    return out
+
+
+def test_all_lines_of_repeated_passages_go(spark):
+    r = random.Random(6)
+    passages = [[prose(r, 9) for _ in range(n)] for n in (2, 3, 5, 8, 20)]
+    rows = [(i, "\n".join(["top %d" % i, *p, "end %d" % i])) for i, p in enumerate(passages * 4)]
+    rows += [(30, None), (31, ""), (32, "x\nx\nx\nx\nx"), (33, "one\n\n\ntwo"), (34, "a\nb\na\nb\nc"), (35, "x\nx\nb")]
+    got = sorted(tuple(x) for x in line_windows.passage_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).select("doc_id", "text", "n_lines", "n_removed").collect())
+    assert got == brute_passages(rows)
+    assert all(t == f"top {i}\nend {i}" for i, t, *_ in got if 5 <= i < 20)
+    assert got[22][1] == "x\nx"
+
+
+def test_passages_of_the_documents_equal_brute_force(spark):
+    t = spark.read.parquet(f"{D}/documents.parquet")
+    rows = sorted((x.doc_id, x.text) for x in t.select("doc_id", "text").collect())
+    got = sorted(tuple(x) for x in line_windows.passage_dedup(t).select("doc_id", "text", "n_lines", "n_removed").collect())
+    assert got == brute_passages(rows) and sum(x[3] for x in got) > 0
+
+
 # url rules
 def test_url_rules_equal_brute_force(spark):
     rules = queries.RULES
