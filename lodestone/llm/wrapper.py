@@ -17,14 +17,14 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import join_small, stash
 from .dom import Node, match, parse
 from .url_rules import host_path
 
-CONSTANT, LEAST = 0.8, 5
+CONSTANT, LEAST, ALIKE = 0.8, 5, 0.5
 #: References of so many hosts at most are broadcast.
 HOSTS = 2_000
 
@@ -53,15 +53,32 @@ def content_leaves(root: Node) -> list[Node]:
     return [t for t in leaves(root) if not t.apart]
 
 
+def _aligned(root: Node, reference: tuple[Node, dict[int, int]] | None) -> dict[int, int]:
+    """Slots of the page's text nodes, by their id()."""
+    if not reference:
+        return {}
+    pairs: list[tuple[Node, Node]] = []
+    match(reference[0], root, pairs)
+    return {id(b): reference[1][id(a)] for a, b in pairs if id(a) in reference[1] and b.tag == "#text"}
+
+
 def page_blocks(page: str | None, reference: tuple[Node, dict[int, int]] | None) -> list[tuple[str, int]]:
     """(text, slot) of each text block that may be content; slot -1: none of the reference's."""
+    return blocks_and_layout(page, reference)[0]
+
+
+def blocks_and_layout(page: str | None, reference: tuple[Node, dict[int, int]] | None) -> tuple[list[tuple[str, int]], int]:
+    """page_blocks, and 0 where the page has the reference's layout, else a number made of the elements of its outermost two levels."""
     root = parse(page or "")
-    slots: dict[int, int] = {}
-    if reference:
-        pairs: list[tuple[Node, Node]] = []
-        match(reference[0], root, pairs)
-        slots = {id(b): reference[1][id(a)] for a, b in pairs if id(a) in reference[1] and b.tag == "#text"}
-    return [(t.text, slots.get(id(t), -1)) for t in content_leaves(root)]
+    slots = _aligned(root, reference)
+    return [(t.text, slots.get(id(t), -1)) for t in content_leaves(root)], _layout(root, slots, reference)
+
+
+def _layout(root: Node, slots: dict[int, int], reference: tuple[Node, dict[int, int]] | None) -> int:
+    if not reference or len(slots) >= ALIKE * min(len(leaves(root)), len(reference[1])):
+        return 0
+    names = {k.tag for k in root.kids} | {f"{k.tag}/{x.tag}" for k in root.kids for x in k.kids}
+    return (xxhash.xxh3_64_intdigest("|".join(sorted(names))) >> 1) or 1
 
 
 def _reference(page: str | None) -> tuple[Node, dict[int, int]] | None:
@@ -71,34 +88,51 @@ def _reference(page: str | None) -> tuple[Node, dict[int, int]] | None:
     return root, {id(t): k for k, t in enumerate(leaves(root))}
 
 
+_BLOCKS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("layout", pa.int64()), ("html", pa.string()), ("blocks", pa.list_(pa.struct([("text", pa.string()), ("slot", pa.int32()), ("h", pa.int64())])))])
+_BLOCKS_DDL = "page_id long, url string, host string, layout long, html string, blocks array<struct<text:string,slot:int,h:long>>"
+
+
+def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of page_id, url, html, host, layout, ref. Where layout is null it is found out; html stays for pages of another one."""
+    known: dict[tuple, tuple | None] = {}
+    for b in batches:
+        for at in range(0, b.num_rows, 200):
+            out = []
+            for page_id, url, page, host, layout, ref in zip(*(c.to_pylist() for c in b.slice(at, 200).columns), strict=True):
+                if (key := (host, layout)) not in known:
+                    if len(known) > 500:
+                        known.clear()
+                    known[key] = _reference(ref)
+                found, own = blocks_and_layout(page, known[key])
+                own = own if layout is None else layout
+                blocks = [{"text": t, "slot": s, "h": xxhash.xxh3_64_intdigest(t) >> 1} for t, s in found]
+                out.append((page_id, url, host, own, page if layout is None and own else None, blocks))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _BLOCKS, strict=True)], schema=_BLOCKS)
+
+
+def _first() -> Column:
+    return F.min_by("html", F.struct(F.xxhash64("page_id"), "page_id", F.xxhash64("html"))).alias("ref")
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """pages: page_id, url, html. One row per page: page_id, url, text, n_chars."""
     host = host_path(F.col("url"))[0]
     rows = pages.select("page_id", "url", "html", host.alias("host"))
-    refs = stash(rows.where("host <> '' and html is not null").groupBy("host").agg(F.min_by("html", F.struct(F.xxhash64("page_id"), "page_id", F.xxhash64("html"))).alias("ref")), "references")
-    kind = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("blocks", pa.list_(pa.struct([("text", pa.string()), ("slot", pa.int32()), ("h", pa.int64())])))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple | None] = {}
-        for b in batches:
-            for at in range(0, b.num_rows, 200):
-                out = []
-                for page_id, url, page, host, ref in zip(*(c.to_pylist() for c in b.slice(at, 200).columns), strict=True):
-                    if host not in known:
-                        if len(known) > 500:
-                            known.clear()
-                        known[host] = _reference(ref)
-                    found = page_blocks(page, known[host])
-                    out.append((page_id, url, host, [{"text": t, "slot": s, "h": xxhash.xxh3_64_intdigest(t) >> 1} for t, s in found]))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), kind, strict=True)], schema=kind)
-
-    joined = join_small(rows, refs, "host", "left", HOSTS).select(F.col("page_id").cast("long"), "url", "html", "host", "ref")
-    blocks = stash(joined.mapInArrow(run, "page_id long, url string, host string, blocks array<struct<text:string,slot:int,h:long>>"), "blocks")
-    filled = blocks.select("host", F.explode(F.transform("blocks", lambda b: F.struct(b["slot"].alias("slot"), b["h"].alias("h")))).alias("b")).select("host", "b.slot", "b.h").where("slot >= 0")
-    same = filled.groupBy("host", "slot", "h").count().groupBy("host", "slot").agg(F.sum("count").alias("n"), F.max("count").alias("most"))
-    template = stash(same.where((F.col("n") >= LEAST) & (F.col("most") >= CONSTANT * F.col("n"))).groupBy("host").agg(F.collect_set("slot").alias("fixed")), "template")
-    full = join_small(blocks, template, "host", "left", 10 * HOSTS)
-    kept = F.filter("blocks", lambda b: ~F.coalesce(F.array_contains("fixed", b["slot"]), F.lit(False)))
+    refs = stash(rows.where("host <> '' and html is not null").groupBy("host").agg(_first()), "references")
+    joined = join_small(rows, refs, "host", "left", HOSTS).select(F.col("page_id").cast("long"), "url", "html", "host", F.lit(None).cast("long").alias("layout"), "ref")
+    blocks = stash(joined.mapInArrow(_run, _BLOCKS_DDL), "blocks")
+    # pages of other layouts
+    odd = blocks.where("layout <> 0")
+    refs = stash(odd.groupBy("host", "layout").agg(F.count("*").alias("n"), _first()).where(F.col("n") >= LEAST).drop("n"), "layout-references")
+    again = join_small(odd.drop("blocks"), refs, ["host", "layout"], "inner", HOSTS).select("page_id", "url", "html", "host", "layout", "ref")
+    own = stash(again.mapInArrow(_run, _BLOCKS_DDL), "layout-blocks").drop("html")
+    rest = join_small(blocks.drop("html"), refs.select("host", "layout"), ["host", "layout"], "left_anti", 10 * HOSTS)
+    blocks = rest.withColumn("layout", F.lit(0).cast("long")).unionByName(own)
+    filled = blocks.select("host", "layout", F.explode(F.transform("blocks", lambda b: F.struct(b["slot"].alias("slot"), b["h"].alias("h")))).alias("b")).select("host", "layout", "b.slot", "b.h").where("slot >= 0")
+    same = filled.groupBy("host", "layout", "slot", "h").count().groupBy("host", "layout", "slot").agg(F.sum("count").alias("n"), F.max(F.struct("count", "h")).alias("most"))
+    template = stash(same.where((F.col("n") >= LEAST) & (F.col("most.count") >= CONSTANT * F.col("n"))).groupBy("host", "layout").agg(F.collect_list(F.struct("slot", F.col("most.h").alias("h"))).alias("fixed")), "template")
+    full = join_small(blocks, template, ["host", "layout"], "left", 10 * HOSTS)
+    kept = F.filter("blocks", lambda b: ~F.coalesce(F.array_contains("fixed", F.struct(b["slot"].alias("slot"), b["h"].alias("h"))), F.lit(False)))
     kept = F.when(F.size(kept) > 0, kept).otherwise(F.col("blocks"))
     text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n\n")
     return full.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

@@ -294,6 +294,22 @@ def test_keep_one_of_each_group(spark, docs):
     assert {r.doc_id for r in kept.where("doc_id is not null").collect()} == want and kept.columns == docs.columns
 
 
+def test_only_the_constant_text_of_a_slot_is_template(spark):
+    def page(i, story):
+        return (i, f"http://h.example/{i}", f"<body><div><p>About this site</p><p>{story}</p><p>More of {story}</p><p>Note {i}</p></div></body>")
+
+    pages = [page(i, "the copied story") for i in range(18)] + [page(i, f"story {i}") for i in (18, 19)]
+    got = {r.page_id: r.text for r in wrapper.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert {i: got[i] for i in (18, 19)} == {i: f"story {i}\n\nMore of story {i}\n\nNote {i}" for i in (18, 19)}
+
+
+def test_each_layout_of_a_host_has_its_template(spark):
+    kinds = ["<div><p>First house</p><p>Story {0}</p><p>Call us</p></div>", "<section><table><tr><td>Second house</td></tr><tr><td>Tale {0}</td></tr></table></section>", "<ul><li>Third house</li><li>Item {0}</li></ul>"]
+    pages = [(i, f"http://h.example/{i}", f"<body>{kinds[i % 3].format(i)}</body>") for i in range(24)] + [(99, "http://h.example/99", "<body><dl><dt>alone</dt></dl></body>")]
+    got = {r.page_id: r.text for r in wrapper.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"{('Story', 'Tale', 'Item')[i % 3]} {i}" for i in range(24)} | {99: "alone"}
+
+
 # decontamination
 def edit_distance_within(item, text, k):
     row = [0] * (len(text) + 1)
