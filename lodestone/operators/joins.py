@@ -63,7 +63,7 @@ def neighbour_pairs(df: DataFrame, order: str, span: int, first: int, sets: str,
     rows = df.orderBy(order).limit(first).withColumn("pos", F.row_number().over(Window.orderBy(order)))
     a = rows.select(F.col(order).alias("a"), F.col("pos"), F.col(sets).alias("sa"))
     b = rows.select(F.col(order).alias("b"), F.col(sets).alias("sb"), F.explode(F.sequence(F.col("pos") - span, F.col("pos") - 1)).alias("pos"))
-    j = F.size(F.array_intersect("sa", "sb")) / F.size(F.array_union("sa", "sb"))
+    j = F.size(F.array_intersect("sa", "sb")) / F.nullif(F.size(F.array_union("sa", "sb")), F.lit(0))
     return a.join(b, "pos").select("a", "b", j.alias("similarity")).where(F.col("similarity") >= t)
 
 

@@ -75,12 +75,38 @@ def _(s, d):
     return dd.template_filter(_word_sets(s, d).where(F.size("words") > 3), "doc_id", "lang", "words", 0.8, [F.size("words")])
 
 
+def _text_sets(s, d):
+    """Documents with the set of their whole text's words as numbers."""
+    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda x: x != "")
+    return table(s, d, "documents").select("doc_id", "lang", "source", F.array_distinct(F.transform(words, lambda w: tx.hash_rank(w))).alias("words"))
+
+
 @query("j08_refined_pairs")
 def _(s, d):
-    """Candidates by shared words, then the exact sequence similarity of the first lines."""
-    sets = _word_sets(s, d).where(F.size("words") > 3)
-    lines = table(s, d, "documents").select("doc_id", F.split("text", "\n")[0].alias("line"))
-    return dd.refine_pairs(jn.similar_pairs(sets, "doc_id", ["lang"], "words", 0.8), lines, "doc_id", "line", 0.9)
+    """Candidates by shared words, then the exact sequence similarity of the whole texts."""
+    texts = table(s, d, "documents").select("doc_id", "text")
+    return dd.refine_pairs(jn.similar_pairs(_text_sets(s, d), "doc_id", ["lang"], "words", 0.8), texts, "doc_id", "text", 0.9)
+
+
+# the SQL twins of the queries by first lines fix their results; these are by whole texts
+@query("j08_d04_narrative_pairs_texts")
+def _(s, d):
+    return dd.narrative_pairs(_text_sets(s, d), "doc_id", "lang", "source", "words", 0.8)
+
+
+@query("d05_template_filter_texts")
+def _(s, d):
+    return dd.template_filter(_text_sets(s, d), "doc_id", "lang", "words", 0.8, [F.size("words")])
+
+
+@query("j09_d06_source_overlap_texts")
+def _(s, d):
+    return dd.source_overlap(_text_sets(s, d), "source", "words", 5, 0.05)
+
+
+@query("j10_d07_neighbours_texts")
+def _(s, d):
+    return jn.neighbour_pairs(_text_sets(s, d), "doc_id", 99, 2000, "words", 0.7)
 
 
 @query("j09_d06_source_overlap", sql("SELECT x.source AS a, y.source AS b, count(*) / (min(x.n) + min(y.n) - count(*)) AS overlap FROM (SELECT source, w, count(*) OVER (PARTITION BY source) AS n FROM (SELECT DISTINCT source, unnest(words) AS w FROM ws) WHERE source IN (SELECT source FROM ws GROUP BY source ORDER BY count(*) DESC, source LIMIT 5)) x JOIN (SELECT source, w, count(*) OVER (PARTITION BY source) AS n FROM (SELECT DISTINCT source, unnest(words) AS w FROM ws) WHERE source IN (SELECT source FROM ws GROUP BY source ORDER BY count(*) DESC, source LIMIT 5)) y ON x.w = y.w AND x.source < y.source GROUP BY 1, 2 HAVING count(*) / (min(x.n) + min(y.n) - count(*)) >= 0.05", WORDS, "overlap"))
