@@ -89,6 +89,11 @@ def _(s, d):
 
 
 # the SQL twins of the queries by first lines fix their results; these are by whole texts
+@query("d03_novelty_texts")
+def _(s, d):
+    return dd.novelty(_text_sets(s, d), "doc_id", "lang", "words")
+
+
 @query("j08_d04_narrative_pairs_texts")
 def _(s, d):
     return dd.narrative_pairs(_text_sets(s, d), "doc_id", "lang", "source", "words", 0.8)

@@ -51,3 +51,14 @@ def test_overlap_of_sources_by_whole_texts(spark, folder, texts):
     a, b = (set().union(*(words(t) for _, t, _, s in texts if s == x)) for x in "ab")
     (got,) = QUERIES["j09_d06_source_overlap_texts"](spark, folder).collect()
     assert (got.a, got.b) == ("a", "b") and got.overlap == pytest.approx(len(a & b) / len(a | b), abs=1e-5)
+
+
+def test_novelty_takes_200_peers(spark, tmp_path):
+    rows = [(i, "Title\n" + " ".join(f"w{(i * k) % 23}" for k in range(1, 9)), "en", "a") for i in range(230)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.peers, r.novelty) for r in QUERIES["d03_novelty_texts"](spark, str(tmp_path)).collect()}
+    sets = {i: words(t) for i, t, *_ in rows}
+    for i in sets:
+        peers = [j for j in sets if j != i][:200]
+        want = 1 - sum(len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for j in peers) / len(peers)
+        assert got[i] == (200, pytest.approx(want, abs=1e-4))
