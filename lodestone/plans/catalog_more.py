@@ -178,11 +178,9 @@ def _(s, d):
  JOIN (SELECT raw_binding, year - avg(year) OVER () AS xc, row_number() OVER (ORDER BY attestation_id) AS i FROM ev) p ON p.i = dr.i GROUP BY dr.size, dr.rep) GROUP BY size""", EV, "slope_se"))
 def _(s, d):
     rows = evidence(s, d).select("attestation_id", "year", "raw_binding")
-    # points are numbered by id; the years are centred afterwards
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(F.lit("all"))
-    rows = rows.select((F.col("year") - F.avg("year").over(w)).alias("x"), "raw_binding", "attestation_id")
+    # points are numbered by id; the years are centred afterwards, by a mean that is one row
+    mean = F.broadcast(rows.agg(F.avg("year").alias("_mean")))
+    rows = rows.join(mean, F.lit(True)).select((F.col("year") - F.col("_mean")).alias("x"), "raw_binding", "attestation_id")
     return rs.sufficiency_curve(rows, "attestation_id", "raw_binding", [50, 100, 200], 40, 17, at="x")
 
 

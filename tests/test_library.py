@@ -167,3 +167,10 @@ def test_empty_tables(spark, f):
     from lodestone.plans.views import evidence
 
     assert f(evidence(spark, "/root/testdata/sf0.001").limit(0)).count() == 0
+
+
+def test_sufficiency_curve_has_no_window_of_all_rows(spark):
+    from lodestone.plans import catalog_more
+
+    plan = catalog_more.QUERIES["t08_sufficiency_curve"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "avg(year" in plan and not any("avg(year" in line and "windowspecdefinition" in line for line in plan.splitlines())
