@@ -5,18 +5,21 @@ document with an end id, and packs whole documents into blocks of about BLOCK id
 Parquet table in the shared folder: part and seq give its place, docs and lengths its documents, ids_before its offset
 in its part, payload its bytes. Blocks are independent, so any of them can be read (and a lost task rerun) alone.
 
-Encoding is by pieces: the tokenizer never merges across a space that a non-space follows, so a text is cut there.
-A Python worker encodes a piece with the library when it first meets it and then knows it by 96 bits of hash, among
-PIECES at most; texts with rare white space are encoded whole.
+The ids are those of the library's plain call with add_special_tokens=False; a special token's string in a text gives
+that token. A byte-level BPE tokenizer cuts a text into pieces by character classes and encodes each piece for itself. The
+cuts are found for many texts at once; the library's model encodes a piece when a Python worker first meets it, and the
+worker then knows it by 96 bits of hash, among PIECES at most. Texts with special tokens, rare white space or unassigned
+characters, and all texts of other tokenizers, are encoded whole.
 
 Null text counts as empty (the end id alone). Repeated ids keep an order by the text's hash; null ids come first.
-Empty tables give empty files. A document longer than a block has a block of its own, whole.
+Empty tables give empty files. A document is never split: the block in which it begins takes it whole. Columns other
+than doc_id and text are not read.
 """
 from __future__ import annotations
 
 import itertools
 import os
-import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -27,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import join_small, stash
-from .hashing import WHITE, chunks, span_hashes
+from .hashing import chunks, span_hashes
 from .range_coder import decode_block, encode_block
 
 #: Ids in a block; pieces that a worker remembers, and the slots for them.
@@ -35,6 +38,69 @@ BLOCK, PIECES, SLOT_BITS = 1 << 20, 2_000_000, 22
 SLOTS = 1 << SLOT_BITS
 _FILE = "part int, seq int, ids_before long, docs array<long>, lengths array<int>, payload binary"
 _KIND = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("ids_before", pa.int64()), ("docs", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("payload", pa.binary())])
+#: Classes of characters: letters, numbers, other marks, plain white space, a text's end, and those of texts encoded whole.
+LETTER, NUMBER, MARK, SPACE, END, UNSURE = range(6)
+_CLASSES: list[np.ndarray] = []
+
+
+def _class_of(i: int) -> int:
+    c, kind = chr(i), unicodedata.category(chr(i))
+    if c in " \t\n\r":
+        return SPACE
+    if c.isspace() or i < 32 or i == 127 or kind in ("Cn", "Cs"):
+        return UNSURE
+    return {"L": LETTER, "N": NUMBER}.get(kind[0], MARK)
+
+
+def char_classes(data: np.ndarray) -> np.ndarray:
+    """The class of the character that each byte of UTF-8 is part of."""
+    if not _CLASSES:
+        _CLASSES.append(np.fromiter(map(_class_of, range(0x110000)), np.uint8, 0x110000))
+    table = _CLASSES[0]
+    out = table[np.minimum(data, 127)]
+    at = np.flatnonzero(data >= 0xC0)
+    if len(at):
+        first = data[at].astype(np.int32)
+        more = 1 + (first >= 0xE0) + (first >= 0xF0)
+        code = (first & (63 >> more)) << 6 | data[at + 1] & 63
+        for k in (2, 3):
+            long = np.flatnonzero(more >= k)
+            code[long] = code[long] << 6 | data[at[long] + k] & 63
+        kind = table[code]
+        out[at] = kind
+        for k in (1, 2, 3):
+            long = more >= k
+            out[at[long] + k] = kind[long]
+    return out
+
+
+def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the pieces of texts (as chunks joins them), and the texts that are better encoded whole.
+
+    A piece is a run of letters, numbers or marks, with one space before it if there is one; an apostrophe with the letters
+    of a contraction; or the rest of a run of white space.
+    """
+    k = char_classes(data)
+    k[offsets[1:] - 1] = END
+    new = np.empty(len(data), bool)
+    new[0] = True
+    np.not_equal(k[1:], k[:-1], out=new[1:])
+    new[offsets[:-1]] = True
+    after = np.flatnonzero((k[:-1] == SPACE) & (k[1:] < SPACE)) + 1
+    new[after - 1] = True
+    new[after] = data[after - 1] != 32
+    quote = np.flatnonzero((data == 39) & new)
+    a, b = data[quote + 1], data[np.minimum(quote + 2, len(data) - 1)]
+    one = quote[np.isin(a, [ord(c) for c in "stmd"])]
+    two = quote[np.isin(a.astype(np.int32) << 8 | b, [ord(x) << 8 | ord(y) for x, y in ("re", "ve", "ll")])]
+    for at, n in ((one, 2), (two, 3)):
+        new[at + 1] = False
+        new[at + n] = True
+    starts = np.flatnonzero(new)
+    ends = np.append(starts[1:], len(data))
+    text = k[starts] != END
+    odd = np.unique(np.searchsorted(offsets, np.flatnonzero(k == UNSURE), "right") - 1)
+    return starts[text], ends[text], odd
 
 
 class Encoder:
@@ -44,41 +110,20 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks in parallel; threads would take memory of their own
         from tokenizers import Tokenizer
 
-        self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.size = self.tok.get_vocab_size()
-        # a byte-level tokenizer without a normalizer splits a word from its punctuation: words can go to the model itself
-        self.plain = self.tok.normalizer is None and type(self.tok.pre_tokenizer).__name__ == "ByteLevel"
+        self.tok = t = Tokenizer.from_file(path)
+        self.size = t.get_vocab_size()
+        pre = t.pre_tokenizer
+        self.by_pieces = t.normalizer is None and type(pre).__name__ == "ByteLevel" and pre.use_regex and not pre.add_prefix_space and type(t.model).__name__ == "BPE" and t.truncation is None and t.padding is None
+        self.special = [x.content for x in t.get_added_tokens_decoder().values()]
         self._forget()
 
     def _forget(self) -> None:
         self.key, self.check = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.uint32)
         self.first, self.count = np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)
-        self.pool, self.used, self.pieces = np.zeros(1 << 20, np.uint32), 0, 0
-        self.tails: dict[str, list[int]] = {}
-
-    def whole(self, text: str) -> list[int]:
-        return self.tok.encode(text, add_special_tokens=False).ids
-
-    def _ids_of(self, pieces: list[str]) -> list[list[int]]:
-        """Ids of each distinct piece."""
-        out: list[list[int] | None] = [None] * len(pieces)
-        rest, model = [], self.tok.model
-        for k, p in enumerate(pieces):
-            if self.plain and p[:1] == " ":
-                w = p[1:].rstrip(_MARKS)
-                if w.isalpha():
-                    ids = [t.id for t in model.tokenize("\u0120" + w if w.isascii() else (" " + w).encode().decode("latin-1").translate(_BYTE_CHARS))]
-                    if tail := p[len(w) + 1 :]:
-                        if tail not in self.tails:
-                            self.tails[tail] = self.whole(tail)
-                        ids += self.tails[tail]
-                    out[k] = ids
-                    continue
-            rest.append(k)
-        for k, e in zip(rest, self.tok.encode_batch_fast([pieces[k] for k in rest], add_special_tokens=False), strict=True):
-            out[k] = e.ids
-        return out
+        self.pool, self.used, self.known = np.zeros(1 << 20, np.uint32), 0, 0
+
+    def whole(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _slots(self, h: np.ndarray, check: np.ndarray) -> np.ndarray:
         """Slot of each key; -1 if it is not known."""
@@ -92,15 +137,13 @@ class Encoder:
             at[todo] = (at[todo] + 1) & (SLOTS - 1)
         return found
 
-    def _add(self, h: np.ndarray, check: np.ndarray, ids: list[list[int]]) -> None:
-        """Stores distinct new keys."""
-        n = np.fromiter(map(len, ids), np.int64, len(ids))
-        total = int(n.sum())
-        while self.used + total > len(self.pool):
+    def _add(self, h: np.ndarray, check: np.ndarray, ids: np.ndarray, n: np.ndarray) -> None:
+        """Stores distinct new keys; ids of all in a row, n of each."""
+        while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        self.pool[self.used : self.used + total] = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, total)
+        self.pool[self.used : self.used + len(ids)] = ids
         first = self.used + np.cumsum(n) - n
-        self.used, self.pieces = self.used + total, self.pieces + len(ids)
+        self.used, self.known = self.used + len(ids), self.known + len(h)
         at, todo = (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64), np.arange(len(h))
         while len(todo):
             free = self.key[at[todo]] == 0
@@ -110,60 +153,60 @@ class Encoder:
             todo = np.setdiff1d(todo, take, assume_unique=True)
             at[todo] = np.where(self.key[at[todo]] == 0, at[todo], (at[todo] + 1) & (SLOTS - 1))
 
+    def _encoded(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces in a row, and how many each has, by the library's model."""
+        n = ends - starts
+        done = np.cumsum(n)
+        chars = _BYTE_CHARS[data[np.repeat(starts - (done - n), n) + np.arange(done[-1])]].tobytes().decode("utf-32-le")
+        tokenize, ids, count = self.tok.model.tokenize, [], []
+        for a, b in itertools.pairwise([0, *done.tolist()]):
+            found = tokenize(chars[a:b])
+            count.append(len(found))
+            ids += [t.id for t in found]
+        return np.array(ids, np.uint32), np.array(count, np.int64)
+
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and how many each has."""
-        if self.pieces > PIECES:
-            self._forget()
+        odd = {t for t, text in enumerate(texts) if any(s in text for s in self.special)} if self.by_pieces else set(range(len(texts)))
         ids, lengths = [], np.zeros(len(texts), np.int64)
         for a, b, data, offsets in chunks([t.encode("utf-8", "surrogatepass") for t in texts]):
-            for t in range(a, b):
-                if _ODD.search(texts[t]):
-                    return self._apart(texts)
-            # chunks ends each text by a newline, which is not the text's
-            begins = np.zeros(len(data), bool)
-            np.logical_and(data[:-1] == 32, ~WHITE[data[1:]], out=begins[:-1])
-            begins[offsets[:-1]] = True
-            starts = np.flatnonzero(begins)
-            ends = np.append(starts[1:], offsets[-1])
-            last = np.searchsorted(starts, offsets[1:]) - 1
-            ends[last] = offsets[1:] - 1
-            h = span_hashes(data, starts, ends) | np.uint64(1)
-            total = np.concatenate([[0], np.cumsum(_CHECK[data], dtype=np.uint32)]).astype(np.uint32)
-            check = total[ends] - total[starts]
-            slots = self._slots(h, check)
-            raw = data.tobytes()
-            while (new := np.flatnonzero(slots < 0)).size:  # again only where equal hashes differ in their check
-                one = new[np.unique(h[new], return_index=True)[1]]
-                self._add(h[one], check[one], self._ids_of([raw[s:e].decode("utf-8", "surrogatepass") for s, e in zip(starts[one].tolist(), ends[one].tolist(), strict=True)]))
-                slots[new] = self._slots(h[new], check[new])
-            n, first = self.count[slots].astype(np.int64), self.first[slots].astype(np.int64)
-            done = np.cumsum(n)
-            ids.append(self.pool[np.repeat(first - (done - n), n) + np.arange(done[-1] if len(done) else 0)])
-            lengths[a:b] = np.diff(np.concatenate([[0], done[last]]))
+            found, sizes = (np.zeros(0, np.uint32), np.zeros(b - a, np.int64)) if not self.by_pieces else self._chunk(data, offsets, a, odd)
+            if some := [t for t in range(a, b) if t in odd]:
+                parts = np.split(found, np.cumsum(sizes)[:-1])
+                for t, whole in zip(some, self.whole([texts[t] for t in some]), strict=True):
+                    parts[t - a] = np.array(whole, np.uint32)
+                found, sizes = np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+            ids.append(found)
+            lengths[a:b] = sizes
         return (np.concatenate(ids) if ids else np.zeros(0, np.uint32)), lengths
 
-    def _apart(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """As __call__, with the texts of rare white space encoded whole."""
-        odd = [bool(_ODD.search(t)) for t in texts]
-        ids, n = self([t for t, o in zip(texts, odd, strict=True) if not o])
-        at, out, lengths, k = 0, [], [], 0
-        for t, o in zip(texts, odd, strict=True):
-            if o:
-                out.append(np.array(self.whole(t), np.uint32))
-            else:
-                out.append(ids[at : at + n[k]])
-                at, k = at + n[k], k + 1
-            lengths.append(len(out[-1]))
-        return np.concatenate(out), np.array(lengths, np.int64)
-
-
-#: White space and controls beside space, tab, newline and return.
-_ODD = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f\x85\xa0\u1680\u2000-\u200f\u2028\u2029\u202f\u205f\u3000\ufeff]")
+    def _chunk(self, data: np.ndarray, offsets: np.ndarray, base: int, odd: set[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and lengths of one chunk's texts, by pieces; texts that the pieces do not fit are added to odd."""
+        if self.known > PIECES:
+            self._forget()
+        starts, ends, unsure = pieces(data, offsets)
+        odd.update((unsure + base).tolist())
+        h = span_hashes(data, starts, ends) | np.uint64(1)
+        total = np.empty(len(data) + 1, np.uint32)
+        total[0] = 0
+        np.cumsum(_CHECK[data], dtype=np.uint32, out=total[1:])
+        check = total[ends] - total[starts]
+        slots = self._slots(h, check)
+        while (new := np.flatnonzero(slots < 0)).size:  # again only where equal hashes differ in their check
+            one = new[np.unique(h[new], return_index=True)[1]]
+            self._add(h[one], check[one], *self._encoded(data, starts[one], ends[one]))
+            slots[new] = self._slots(h[new], check[new])
+        n, first = self.count[slots].astype(np.int64), self.first[slots].astype(np.int64)
+        done = np.concatenate([[0], np.cumsum(n)])
+        ids = self.pool[np.repeat(first - done[:-1], n) + np.arange(done[-1])]
+        return ids, np.diff(done[np.searchsorted(starts, offsets)])
+
+
 _CHECK = np.random.default_rng(77).integers(0, 2**32, 256, dtype=np.uint32)
-#: Marks that may follow a word; an apostrophe or a digit may not, as the tokenizer may join it with what follows.
-_MARKS = ",.;:!?)]}%$#&*@/+=<>|~^-"
 #: Byte-level tokenizers write a byte that is no printable Latin-1 character as the next unused one from 256 on.
-_BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b))}
+_PRINTED = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+_BYTE_CHARS = np.arange(256, dtype="<u4")
+_BYTE_CHARS[np.setdiff1d(np.arange(256), _PRINTED)] = 256 + np.arange(256 - len(_PRINTED))
 _ENCODERS: dict[str, Encoder] = {}
 
 
