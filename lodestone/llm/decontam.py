@@ -8,9 +8,10 @@ one band holds them all; bands that reach the bound are verified by a banded ali
 Case and white space do not count: texts are lower-cased, runs of white space become one space. The benchmark is the
 query set: it is read in blocks of bounded size, each of which is one pass over all documents.
 
-Null and empty texts and items match nothing, nor do items under MIN_CHARS characters. Repeated documents and items
-match as rows of their own, except that rows that agree in document and item id are reported once for each document
-row. Empty tables give empty results. Whole texts are read.
+Null and empty texts and items match nothing. Items of under 1 / RATE characters allow no edit: they match where they
+occur exactly, however short they are. Repeated documents and items match as rows of their own, except that rows that
+agree in document and item id are reported once for each document row. Texts of any length are read whole; hits of
+repeated q-grams are counted HITS at a time. Empty tables give empty results. Only the named columns are read.
 """
 from __future__ import annotations
 
@@ -25,9 +26,9 @@ from pyspark.sql import functions as F
 from .common import join_small, stash
 
 #: Edits allowed for each character of an item; q-grams' length (shorter for short items).
-RATE, Q, MIN_CHARS = 0.08, 10, 8
-#: Characters of items in a block; characters of documents looked at together.
-BLOCK_CHARS, CHUNK = 4 << 20, 1 << 20
+RATE, Q = 0.08, 10
+#: Characters of items in a block; characters of documents, and hits of q-grams, looked at together.
+BLOCK_CHARS, CHUNK, HITS = 4 << 20, 1 << 20, 1 << 22
 _WHITE = re.compile(r"\s+")
 _TABLE_BITS = 22
 #: Stands before a document's first character; no character has this code.
@@ -129,22 +130,13 @@ class Items:
         pos, lo, n = pos[some], lo[some], n[some]
         if not len(pos):
             return
-        text = np.searchsorted(starts, pos, "right") - 1
-        p, d = np.repeat(pos, n), np.repeat(text, n)
-        e = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        item = self.owner[e]
-        diag = p - starts[d] - self.place[e] + self.m[item]  # made positive
-        band = diag // self.wide[item]
-        keys = np.concatenate([np.stack([d, item, band], 1), np.stack([d, item, band - 1], 1)])
-        pack = (keys[:, 0] * len(self.ids) + keys[:, 1]) * (1 << 24) + keys[:, 2] + 1
-        uniq, count = np.unique(pack, return_counts=True)
-        both, band = uniq >> 24, (uniq & ((1 << 24) - 1)) - 1
-        item = both % len(self.ids)
+        key, band, count = self._bands(pos, lo, n, starts)
+        item = key % len(self.ids)
         live = count >= np.maximum(1, self.need[item])
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for key, i, b in zip(both[live] // len(self.ids), item[live], band[live], strict=True):
+        for key, i, b in zip((key // len(self.ids))[live].tolist(), item[live].tolist(), band[live].tolist(), strict=True):
             m, k, w = int(self.m[i]), int(self.k[i]), int(self.wide[i])
-            first = int(b) * w - m - k  # the band's first diagonal, less the edits
+            first = b * w - m - k  # the band's first diagonal, less the edits
             size = int(starts[key + 1] - starts[key]) - 1
             s, t = max(0, first), min(size, first + 2 * w + 2 * k + m)
             if t <= s or best.get((key, i), (1,))[0] == 0:
@@ -156,14 +148,37 @@ class Items:
                 new = (found[0], s - left + found[1], s)
                 best[key, i] = min(best.get((key, i), new), new)
         for (key, i), (edits, end, _) in sorted(best.items()):
-            yield int(key), int(i), edits, max(0, end - int(self.m[i])), end
+            yield key, i, edits, max(0, end - int(self.m[i])), end
+
+    def _bands(self, pos: np.ndarray, lo: np.ndarray, n: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text * items + item, band, hits in it), sorted, of the q-grams at pos, each of which has n entries from lo on."""
+        step = int(starts[-1] + self.m.max()) + 2  # more than there are bands
+        done, held = np.concatenate([[0], np.cumsum(n)]), []
+        cut = np.searchsorted(done, np.arange(0, done[-1], HITS))
+        for a, b in zip(cut, [*cut[1:], len(pos)], strict=True):
+            p, many = pos[a:b], n[a:b]
+            text = np.repeat(np.searchsorted(starts, p, "right") - 1, many)
+            e = np.repeat(lo[a:b] - (done[a:b] - done[a]), many) + np.arange(done[b] - done[a])
+            item = self.owner[e]
+            diag = np.repeat(p, many) - starts[text] - self.place[e] + self.m[item]  # made positive
+            band = diag // self.wide[item]
+            key = text * len(self.ids) + item
+            names, code = np.unique(key, return_inverse=True)
+            each, count = np.unique(np.concatenate([code * step + band, code * step + band - 1]) + 1, return_counts=True)
+            held.append((names[each // step], each % step - 1, count))
+        key, band, count = (np.concatenate(x) for x in zip(*held, strict=True))
+        if len(held) > 1:
+            names, code = np.unique(key, return_inverse=True)
+            each, back = np.unique(code * step + band + 1, return_inverse=True)
+            key, band, count = names[each // step], each % step - 1, np.bincount(back, count).astype(np.int64)
+        return key, band, count
 
 
 def item_blocks(bench: DataFrame) -> Iterator[Items]:
     """The benchmark, block by block; at most BLOCK_CHARS characters (or one item) are on the driver at once."""
     held: dict[int, tuple[list[int], list[str], list[int]]] = {}
     for r in bench.select("item_id", "text").where("text is not null").toLocalIterator():
-        if len(t := normalise(r.text)) < MIN_CHARS:
+        if not (t := normalise(r.text)):
             continue
         ids, texts, size = held.setdefault(gram_length(len(t)), ([], [], [0]))
         ids.append(r.item_id)
