@@ -19,10 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
+    """The folder that driver and executors share. One of our own only in local mode, where it is unset."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not getattr(spark.sparkContext, "_lodestone_dir", None):
         spark.sparkContext._lodestone_dir = tempfile.mkdtemp(prefix="lodestone-")
     return f"file://{spark.sparkContext._lodestone_dir}"
@@ -57,6 +59,18 @@ def join_small(df: DataFrame, small: DataFrame, on, how: str = "inner", rows: in
     return df.join(F.broadcast(small) if small.limit(rows + 1).count() <= rows else small, on, how)
 
 
+def join_salted(df: DataFrame, other: DataFrame, on: list[str], spread: Column, how: str = "inner", rows: int = SMALL_ROWS, salts: int = 16) -> DataFrame:
+    """join_small for keys of which a few may hold a large part of df's rows.
+
+    Where other is too large to broadcast, its rows are repeated for each of so many salts, and df's rows are dealt to salts by spread.
+    """
+    if other.limit(rows + 1).count() <= rows:
+        return df.join(F.broadcast(other), on, how)
+    left = df.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    right = other.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [*on, "_salt"], how).drop("_salt")
+
+
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

@@ -7,8 +7,9 @@ that may matter, then weights and factors are fitted together on these by AdaGra
 
 Labels are learned from a hashed sample of at most about SAMPLE rows of each class (documented bound); the bias is
 corrected for the share of each class in the sample. Scoring reads whole texts. Null and empty texts have no term
-and get the bias; without labelled rows all scores are 0. Repeated labelled rows count as often as they occur. Input
-columns other than those named are not read.
+and get the bias; without labelled rows all scores are 0. Repeated labelled rows count as often as they occur. Ties do
+not matter: a text's score depends on that text and the model alone. Empty tables give empty results. Input columns other
+than those named are not read; of input columns called score or predicted, score() puts its own in their place.
 """
 from __future__ import annotations
 
@@ -20,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import join_small, stash
 from .hashing import NON_LETTERS, chunks, span_hashes, words
 
 #: Rows of each class to learn from; bits of a hashed term; terms rarer than this in the sample are left out.
@@ -135,7 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic",
     share = tuple(min(1.0, sample / max(1, n.get(k, 0))) for k in (0, 1))
     key = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(5)), F.lit(1 << 30))
     some = known.withColumn("k", key).where(" or ".join(f"y = {c} and k < {int(share[c] * (1 << 30)) + 1}" for c in (0, 1)))
-    some = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # about 2 * sample rows of numbers
+    some = join_small(docs.select("doc_id", "text"), stash(some, "labels"), "doc_id")  # about 2 * sample rows of numbers
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["k", "doc_id", "y"], kind="stable")
@@ -149,15 +151,22 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic",
     return {"keys": np.frombuffer(bytes(r.keys), np.int64), "w": np.frombuffer(bytes(r.w)), "v": np.frombuffer(bytes(r.v)).reshape(-1, RANK), "b": r.b}
 
 
+def score_of(docs: DataFrame, model: dict) -> Column:
+    """The score of the text column of docs; only that column goes to Python."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.arrow_udf("double")
+    def scored(text: pa.Array) -> pa.Array:
+        return pa.array(predict(shared.value, text.to_pylist()), pa.float64())
+
+    return scored(docs["text"])
+
+
 def score(docs: DataFrame, model: dict, threshold: float = 0.7) -> DataFrame:
     """docs: doc_id, text, and more. All columns, score, predicted."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index("text")
+    return docs.withColumn("score", score_of(docs, model)).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            s = predict(shared.value, b.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*b.schema.names, "score", "predicted"])
 
-    schema = docs.withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema
-    return docs.mapInArrow(run, schema)
+def without_toxic(docs: DataFrame, model: dict, threshold: float = 0.7) -> DataFrame:
+    """The rows of docs, as they are, whose score is under the threshold."""
+    return docs.where(score_of(docs, model) < threshold)
