@@ -5,8 +5,11 @@ candidates are its host's suffixes with as many labels as some rule has, joined
 some rule's path. The filter (256-bit blocks, 8 bits a key, each in its own 32-bit word) passes the few candidates
 that may be listed; the join with the rules removes false positives; the longest rule wins.
 
-Nulls and urls without '://' have an empty host and path, and get the default verdict. Repeated urls are judged once.
-Empty tables and empty rule lists give the default verdict for every row.
+Nulls and urls without '://' have an empty host and path, and get the default verdict without a join. Repeated urls are
+judged once. Rules' hosts are lower-cased; of rules with the same host and path the greatest verdict stays (block over
+allow), and of fitting rules of the same length the one with the longer host wins (hosts are suffixes of one another, so
+no further tie is possible). Rules without host or verdict are left out. Empty tables give empty results, empty rule lists the
+default verdict for every row. Columns of pages other than the two named are not read.
 """
 from __future__ import annotations
 
@@ -15,7 +18,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_small, lower_az, stash
+from .common import join_salted, join_small, lower_az, stash
 
 BITS_PER_KEY, BLOCK_BITS, WORDS = 16, 256, 8
 
@@ -46,7 +49,11 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_co
     """pages: id_col, url_col; rules: verdict, host, path. One row per page: id_col, host, path, rule, verdict."""
     host, path = host_path(F.col(url_col))
     rows = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
-    listed = stash(rules.where("host <> '' and host is not null and verdict is not null").select(F.concat("host", F.coalesce("path", F.lit(""))).alias("key"), "verdict", F.length("host").alias("hl"), F.length(F.coalesce("path", F.lit(""))).alias("pl"), (F.size(F.split("host", r"\."))).alias("labels")).dropDuplicates(["key"]), "rules")
+    listed = rules.where("host <> '' and verdict is not null").select(lower_az(F.col("host")).alias("h"), F.coalesce("path", F.lit("")).alias("p"), "verdict")
+    listed = listed.groupBy("h", "p").agg(F.max("verdict").alias("verdict"))
+    # no host or path has a newline before it is part of a key, so a key names one rule
+    listed = listed.select(F.concat_ws("\n", "h", "p").alias("key"), F.concat("h", "p").alias("rule"), "verdict", F.length("h").alias("hl"), F.length("p").alias("pl"), F.size(F.split("h", r"\.")).alias("labels"))
+    listed = stash(listed, "rules")
     n, labels, lengths = listed.agg(F.count("*"), F.collect_set("labels"), F.collect_set("pl")).first()
     if not n:
         return rows.withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(default))
@@ -56,10 +63,12 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_co
     parts = F.split("host", r"\.")
     suffixes = F.array_compact(F.array(*[F.when(F.size(parts) >= k, F.array_join(F.slice(parts, -k, k), ".")) for k in sorted(labels)]))
     prefixes = F.array_compact(F.array(*[F.when(F.length("path") >= k, F.substring(F.col("path"), 1, k)) for k in sorted(lengths)]))
-    keys = urls.withColumn("_p", F.explode(prefixes)).select("host", "path", F.explode(F.transform(suffixes, lambda s: F.concat(s, F.col("_p")))).alias("key"))
-    exact = join_small(bloom_pass(keys, blocks, n_blocks), listed, "key")
-    best = exact.groupBy("host", "path").agg(F.max(F.struct(F.length("key").alias("n"), F.col("hl"), F.col("key").alias("rule"), F.col("verdict"))).alias("m")).select("host", "path", "m.rule", "m.verdict")
-    return rows.join(best, ["host", "path"], "left").select(F.col(id_col), "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+    keys = urls.withColumn("_p", F.explode(prefixes)).select("host", "path", F.explode(F.transform(suffixes, lambda s: F.concat_ws("\n", s, F.col("_p")))).alias("key"))
+    exact = join_salted(bloom_pass(keys, blocks, n_blocks), listed.drop("pl", "labels"), ["key"], F.concat("host", "path"))
+    best = exact.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("n"), "hl", "rule", "verdict")).alias("m")).select("host", "path", "m.rule", "m.verdict")
+    found = join_salted(rows.where("host <> ''"), stash(best, "judged"), ["host", "path"], F.col(id_col), "left")
+    found = found.unionByName(rows.where("host = ''"), allowMissingColumns=True)
+    return found.select(F.col(id_col), "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
 
 
 def rule_table(spark, rules: Iterable[tuple[str, str, str]]) -> DataFrame:
