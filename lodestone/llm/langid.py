@@ -3,10 +3,12 @@
 Features: n-grams of 1 to 3 characters of the lower-cased text, other characters than letters as one space, hashed to
 65,536 columns; term frequency is the share of a text's n-grams. Document frequencies are counted over all training
 rows. Follow-the-regularised-leader with elastic-net penalties is fitted on a hashed sample of at most about SAMPLE
-training rows (a documented bound), one in five of which is kept for the temperature of the softmax.
+training rows, and of rare labels up to about LEAST rows each (documented bounds), one in five of which is kept for the
+temperature of the softmax; the biases are corrected for the share of each label's rows in the sample.
 
 Null and empty texts and texts without a letter get 'und' with score 0. Ties go to the first class in code-point order.
 Rows without a label are not learned from; without any training row every text is 'und'. Repeated rows are scored alike.
+Empty tables give empty results. Only doc_id, text and the label are read, whatever other columns are called.
 """
 from __future__ import annotations
 
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DIMS, ORDERS, SAMPLE, SCALE = 1 << 16, 3, 4096, 30.0
+DIMS, ORDERS, SAMPLE, LEAST, SCALE = 1 << 16, 3, 4096, 200, 30.0
 ALPHA, BETA, L1, L2, EPOCHS, BATCH = 0.5, 0.1, 0.02, 0.02, 3, 16
 _LETTERS: list[np.ndarray] = []
 
@@ -142,14 +144,20 @@ def identify(docs: DataFrame, learn: Column, label: str = "lang", sample: int =
     spark = docs.sparkSession
     train = docs.where(learn & F.col(label).isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", F.col(label).alias("label"))
     idf = idf_table(train)
-    n = max(1, docs.where(learn & F.col(label).isNotNull()).count())
+    n = {r.label: r.n for r in docs.where(learn & F.col(label).isNotNull()).groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n")).collect()}  # a row for each language
+    share = {c: min(1.0, max(sample / max(1, sum(n.values())), LEAST / m)) for c, m in n.items()}
     key = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(1 << 30))
-    some = train.withColumn("k", key).where(F.col("k") < int(min(1.0, sample / n) * (1 << 30)) + 1)
+    some = train.withColumn("k", key)
+    if share:
+        most = F.element_at(F.create_map(*[F.lit(x) for c, r in share.items() for x in (c, int(r * (1 << 30)) + 1)]), F.col("label"))
+        some = some.where(F.col("k") < most)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["k", "doc_id", "text", "label"], kind="stable")
         m = fit_ftrl(list(pdf.text), list(pdf.label), (pdf.k.to_numpy() % 5) == 0, idf)
-        return pd.DataFrame({"classes": [m["classes"]], "w": [m["w"].tobytes()], "b": [list(map(float, m["b"]))], "t": [m["t"]]})
+        top = max(share.values())
+        b = [float(x) + m["t"] * math.log(top / share[c]) for c, x in zip(m["classes"], m["b"], strict=True)]
+        return pd.DataFrame({"classes": [m["classes"]], "w": [m["w"].tobytes()], "b": [b], "t": [m["t"]]})
 
     rows = some.groupBy(F.lit(0).alias("one")).applyInPandas(fit, "classes array<string>, w binary, b array<double>, t double").collect()
     model = {"classes": [], "w": None}
