@@ -1,12 +1,18 @@
 """Line dedup by content-defined chunks of lines, in DataFrame functions only.
 
-A rolling hash over the hashes of the last two lines decides, from their content alone, whether a chunk ends there,
-so that inserting a line moves no boundary further on. Chunks of at least min_lines lines whose hash occurs more than
-once are compared byte for byte; the first occurrence (smallest id, then position) stays, the others are removed.
+A rolling hash runs over the hashes of neighbouring lines, two at a time. Pairs of lines whose hash is divisible by STARTS begin
+a chunk, and pairs for which the rest is divisible by ENDS end one; a chunk runs from each beginning to the next end, over
+two lines at least and MOST at most. So a chunk depends on its own lines alone, not on what stands around it: a passage that
+is inserted or moved has the same chunks everywhere. Each of several rolling hashes (FAMILIES) chooses its own boundaries, so
+that few lines at a passage's ends fall between them; a line goes if any of its chunks is a repetition.
 
-Null text counts as empty and stays null if nothing is removed. Repeated rows: the same id again counts as a later
-occurrence of all its chunks, told apart by the rows' place in the input. Empty tables give empty results. Only doc_id
-and text are read.
+Chunks of at least min_lines lines whose hash occurs more than once are compared byte for byte; the first occurrence
+(smallest id, then the row's place in the input, then the line) stays, the lines of the others are removed. A chunk that
+overlaps the first occurrence of its own bytes (a run of equal lines) stays too.
+
+Null text counts as empty and stays null. Repeated rows: the same id again counts as a later occurrence of all its
+chunks. Rows are written once with their numbers, so that a rerun of a lost task cannot number them otherwise. Texts of any
+length are read whole. Empty tables give empty results. Only doc_id and text are read.
 """
 from __future__ import annotations
 
@@ -15,42 +21,53 @@ from pyspark.sql import functions as F
 
 from .common import join_small, stash
 
-#: One in so many line pairs ends a chunk.
-MODULUS = 2
-MULTIPLIER = 31
+#: Multipliers of a line's hash and of the next line's, one pair for each rolling hash; sums are taken modulo PRIME.
+FAMILIES, PRIME = ((31, 1), (1, 131), (7919, 104729), (611953, 1299709)), 2147483647
+#: One pair of lines in so many begins a chunk, one in so many ends it; lines of a chunk at most.
+STARTS, ENDS, MOST = 2, 2, 16
 
 
-def line_chunks(text: Column, modulus: int = MODULUS) -> Column:
-    """Array of chunks, each an array of lines; joining all by newlines gives the text back."""
-    def cut(lines: Column) -> Column:
-        hashes = F.transform(lines, lambda x: F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long"))
-        return _let(hashes, lambda h: _let(starts(h), lambda s: F.transform(s, lambda a, i: F.slice(lines, a + 1, F.coalesce(F.get(s, i + 1), F.size(lines)) - a))))
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.transform(F.array(value), body)[0]
 
-    def starts(h: Column) -> Column:
-        ends = F.zip_with(h, F.slice(h, 2, F.size(h)), lambda a, b: (a * MULTIPLIER + b) % modulus == 0)
-        after = F.filter(F.transform(ends, lambda e, i: F.when(e, i + 2).otherwise(0)), lambda at: (at > 0) & (at < F.size(h)))
-        return F.concat(F.array(F.lit(0)), after)
 
-    return _let(F.split(F.coalesce(text, F.lit("")), "\n", -1), cut)
+def _lines(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def _let(value: Column, body) -> Column:
-    """body(value), with value computed once."""
-    return F.transform(F.array(value), body)[0]
+def chunk_places(lines: Column, families=FAMILIES) -> Column:
+    """Distinct (start, n) of the chunks of an array of lines, of all families."""
+    hashes = F.transform(lines, lambda x: F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long"))
+    n = F.size(lines)
+
+    def places(rolled: Column) -> Column:
+        ends = F.transform(rolled, lambda r: F.floor(r / STARTS) % ENDS == 0)
+        after = lambda ends, i: F.array_position(F.slice(ends, i + 1, F.lit(MOST - 1)), True)
+        size = lambda ends, i: _let(after(ends, i), lambda k: F.when(k > 0, k + 1).otherwise(F.least(F.lit(MOST), n - i)))
+        each = lambda ends: F.transform(rolled, lambda r, i: F.when(r % STARTS == 0, F.struct(i.alias("start"), size(ends, i).cast("int").alias("n"))))
+        return F.array_compact(_let(ends, each))
+
+    # the last line has no pair
+    pairs = lambda h, a, b: F.zip_with(F.slice(h, 1, F.size(h) - 1), F.slice(h, 2, F.size(h)), lambda x, y: (x * a + y * b) % PRIME)
+    return _let(hashes, lambda h: F.array_distinct(F.concat(*[_let(pairs(h, a, b), places) for a, b in families])))
 
 
-def line_dedup(docs: DataFrame, min_lines: int = 2, modulus: int = MODULUS) -> DataFrame:
+def line_dedup(docs: DataFrame, min_lines: int = 2, families=FAMILIES) -> DataFrame:
     """docs: doc_id, text. Per document: doc_id, text (what stays), n_lines, n_removed (lines)."""
-    rows = docs.select(F.col("doc_id"), F.col("text"), F.monotonically_increasing_id().alias("rid"))
-    chunked = rows.select("doc_id", "rid", F.posexplode(line_chunks(F.col("text"), modulus)).alias("pos", "chunk")).where(F.size("chunk") >= min_lines)
-    chunked = chunked.select("doc_id", "rid", "pos", F.concat_ws("\n", "chunk").alias("chunk")).withColumn("h", F.xxhash64("chunk"))
-    again = stash(chunked.groupBy("h").count().where("count > 1").select("h"), "chunk-hashes")
-    some = stash(join_small(chunked, again, "h"), "chunks")
-    first = F.min(F.struct("doc_id", "rid", "pos"))
+    rows = stash(docs.select(F.col("doc_id"), F.col("text"), F.monotonically_increasing_id().alias("rid")), "numbered")
+    places = lambda l: F.transform(F.filter(chunk_places(l, families), lambda c: c["n"] >= min_lines), lambda c: _let(F.array_join(F.slice(l, c["start"] + 1, c["n"]), "\n"), lambda t: F.struct(c["start"].alias("start"), c["n"].alias("n"), F.xxhash64(t).alias("h"), t.alias("chunk"))))
+    each = rows.select("doc_id", "rid", F.explode(_let(_lines(F.col("text")), places)).alias("c")).select("doc_id", "rid", "c.*")
+    again = stash(each.groupBy("h").count().where("count > 1").select("h"), "chunk-hashes")
+    some = stash(join_small(each, again, "h"), "chunks")
+    first = F.min(F.struct("doc_id", "rid", "start", "n"))
     # bytes are compared here: the key is the chunk itself, not its hash; its salted part comes first
     part = some.groupBy("chunk", F.pmod("rid", F.lit(32)).alias("salt")).agg(first.alias("f"))
-    keep = part.groupBy("chunk").agg(F.min("f").alias("f")).select("f.rid", "f.pos")
-    gone = stash(some.select("rid", "pos").join(keep, ["rid", "pos"], "left_anti").groupBy("rid").agg(F.collect_list("pos").alias("gone")), "chunk-gone")
-    out = join_small(rows, gone, "rid", "left").withColumn("_c", line_chunks(F.col("text"), modulus))
-    kept = F.filter("_c", lambda c, i: ~F.array_contains("gone", i))
-    return out.select("doc_id", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(kept), "\n")).alias("text"), F.size(F.flatten("_c")).cast("long").alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size(F.flatten("_c")) - F.size(F.flatten(kept))).cast("long").alias("n_removed"))
+    keep = part.groupBy("chunk").agg(F.min("f").alias("f")).select(F.xxhash64("chunk").alias("h"), "f.rid", F.explode(F.sequence(F.col("f.start"), F.col("f.start") + F.col("f.n") - 1)).alias("start"))
+    later = some.select("h", "rid", "start", "n").join(keep, ["h", "rid", "start"], "left_anti")
+    lines = later.select("rid", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("line"))
+    gone = stash(lines.groupBy("rid").agg(F.collect_set("line").alias("gone")), "lines-gone")
+    out = join_small(rows, gone, "rid", "left").withColumn("_l", _lines(F.col("text")))
+    kept = F.filter("_l", lambda _, i: ~F.array_contains("gone", i))
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    return out.select("doc_id", text.alias("text"), F.size("_l").cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))

@@ -5,8 +5,8 @@ lines that lie in a window seen before (smaller id, then place in the input, the
 starts a window, nothing is lost at chunk boundaries: each repeated run goes from its first line to its last.
 
 A window that overlaps the first occurrence of the same bytes (a run of equal lines) does not count as seen before. Null
-text counts as empty and stays null. Repeated rows: the same id again counts as a later occurrence. Empty tables give
-empty results. Only doc_id and text are read.
+text counts as empty and stays null. Repeated rows: the same id again counts as a later occurrence. Rows are written once
+with their numbers. Empty tables give empty results. Only doc_id and text are read.
 """
 from __future__ import annotations
 
@@ -14,11 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import join_small, stash
-from .line_chunks import _let
-
-
-def _lines(text: Column) -> Column:
-    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
+from .line_chunks import _let, _lines
 
 
 def _windows(text: Column, n: int) -> Column:
@@ -29,7 +25,7 @@ def _windows(text: Column, n: int) -> Column:
 
 def passage_dedup(docs: DataFrame, min_lines: int = 2) -> DataFrame:
     """docs: doc_id, text. Per document: doc_id, text (what stays), n_lines, n_removed (lines)."""
-    rows = docs.select(F.col("doc_id"), F.col("text"), F.monotonically_increasing_id().alias("rid"))
+    rows = stash(docs.select(F.col("doc_id"), F.col("text"), F.monotonically_increasing_id().alias("rid")), "numbered")
     each = rows.select("doc_id", "rid", F.posexplode(_windows(F.col("text"), min_lines)).alias("pos", "window")).withColumn("h", F.xxhash64("window"))
     again = stash(each.groupBy("h").count().where("count > 1").select("h"), "window-hashes")
     some = stash(join_small(each, again, "h"), "windows")

@@ -69,16 +69,19 @@ WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coales
      r AS (SELECT doc_id, t, row_number() OVER (PARTITION BY t ORDER BY n DESC, doc_id) AS rn, count(*) OVER (PARTITION BY t) AS group_size,
                   first_value(doc_id) OVER (PARTITION BY t ORDER BY n DESC, doc_id) AS keep_id FROM d)
 SELECT doc_id, keep_id, group_size, rn = 1 AS kept, sha256(t) AS text_sha256 FROM r""",
-    "op3_line_dedup": r"""
+    "op3_line_dedup": rf"""
 WITH d AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
-     x AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM d),
-     h AS (SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h FROM x),
-     c AS (SELECT *, CASE WHEN i >= 3 AND (lag(h, 2) OVER w * 31 + lag(h, 1) OVER w) % 2 = 0 THEN 1 ELSE 0 END AS s FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-     g AS (SELECT *, sum(s) OVER (PARTITION BY doc_id ORDER BY i) AS pos FROM c),
-     k AS (SELECT doc_id, pos, string_agg(line, chr(10) ORDER BY i) AS chunk, count(*) AS n FROM g GROUP BY doc_id, pos),
-     f AS (SELECT *, n >= 2 AND row_number() OVER (PARTITION BY chunk, n >= 2 ORDER BY doc_id, pos) > 1 AS gone FROM k)
-SELECT doc_id, CASE WHEN bool_or(gone) THEN coalesce(string_agg(chunk, chr(10) ORDER BY pos) FILTER (NOT gone), '') ELSE string_agg(chunk, chr(10) ORDER BY pos) END AS text,
-       CAST(sum(n) AS BIGINT) AS n_lines, CAST(coalesce(sum(n) FILTER (gone), 0) AS BIGINT) AS n_removed FROM f GROUP BY doc_id""",
+     x AS MATERIALIZED (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM d),
+     h AS MATERIALIZED (SELECT doc_id, line, i, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h FROM x),
+     r AS (SELECT doc_id, line, i, f, (h * a + lead(h) OVER w * b) % {line_chunks.PRIME} AS r FROM h, (VALUES {', '.join(f'({k}, {a}, {b})' for k, (a, b) in enumerate(line_chunks.FAMILIES))}) t(f, a, b) WINDOW w AS (PARTITION BY doc_id, f ORDER BY i)),
+     e AS (SELECT doc_id, line, i, f, r, max(i) OVER (PARTITION BY doc_id, f) AS lines, lag(r) OVER w // {line_chunks.STARTS} % {line_chunks.ENDS} = 0 AS last FROM r WINDOW w AS (PARTITION BY doc_id, f ORDER BY i)),
+     c AS (SELECT doc_id, i, f, r, lines, min(CASE WHEN last THEN i END) OVER (PARTITION BY doc_id, f ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS till FROM e),
+     k AS (SELECT DISTINCT doc_id, i AS start, least(coalesce(till, lines), lines, i + {line_chunks.MOST - 1}) - i + 1 AS n FROM c WHERE i < lines AND r % {line_chunks.STARTS} = 0),
+     u AS (SELECT k.doc_id, start, n, string_agg(line, chr(10) ORDER BY i) AS chunk FROM k JOIN x ON x.doc_id = k.doc_id AND i BETWEEN start AND start + n - 1 GROUP BY k.doc_id, start, n),
+     o AS (SELECT doc_id, start, n, first_value(doc_id) OVER w AS fd, first_value(start) OVER w AS fs FROM u WINDOW w AS (PARTITION BY chunk ORDER BY doc_id, start)),
+     z AS (SELECT DISTINCT doc_id, unnest(generate_series(start, start + n - 1)) AS i FROM o WHERE doc_id <> fd OR start >= fs + n),
+     y AS (SELECT x.doc_id, count(*) AS n_lines, count(z.i) AS n_removed, string_agg(x.line, chr(10) ORDER BY x.i) FILTER (z.i IS NULL) AS rest FROM x LEFT JOIN z ON z.doc_id = x.doc_id AND z.i = x.i GROUP BY x.doc_id)
+SELECT d.doc_id, CASE WHEN n_removed > 0 THEN coalesce(rest, '') ELSE text END AS text, n_lines, n_removed FROM d JOIN y ON y.doc_id = d.doc_id""",
     "op7_jaccard_join": r"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
      s AS MATERIALIZED (SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 4], ' ') END AS g
