@@ -74,19 +74,57 @@ def test_long_texts_that_differ_in_one_block(spark):
 
 
 # line dedup
-def test_line_chunks_give_the_text_back(spark):
-    text = "\n".join(f"line {i}" for i in range(40)) + "\n"
-    rows = spark.createDataFrame([(text,), ("",), (None,), ("one",)], "t string").select("t", line_chunks.line_chunks(F.col("t")).alias("c")).collect()
-    for r in rows:
-        assert "\n".join("\n".join(c) for c in r.c) == (r.t or "")
+def places(lines, a, b):
+    """(start, n) of one rolling hash's chunks, by the stated rule."""
+    h = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
+    r = [(x * a + y * b) % line_chunks.PRIME for x, y in itertools.pairwise(h)]
+    for i, x in enumerate(r):
+        if x % line_chunks.STARTS == 0:
+            last = min([i + line_chunks.MOST - 1, len(lines) - 1, *(k for k in range(i + 1, len(lines)) if r[k - 1] // line_chunks.STARTS % line_chunks.ENDS == 0)])
+            yield i, last - i + 1
+
+
+def brute_chunks(rows):
+    """rows in order of doc_id: (doc_id, kept text, lines, removed)."""
+    first, out = {}, []
+    for d, (i, t) in enumerate(rows):
+        lines, gone = (t or "").split("\n"), set()
+        for k, n in sorted({p for a, b in line_chunks.FAMILIES for p in places(lines, a, b) if p[1] > 1}):
+            f = first.setdefault(tuple(lines[k : k + n]), (d, k))
+            if f[0] != d or k >= f[1] + n:
+                gone |= set(range(k, k + n))
+        out.append((i, "\n".join(x for k, x in enumerate(lines) if k not in gone) if gone else t, len(lines), len(gone)))
+    return out
+
+
+def test_chunks_have_two_lines_at_least_and_depend_on_their_lines_alone(spark):
+    lines = [f"line {i}" for i in range(40)]
+    got = spark.createDataFrame([(lines,)], "l array<string>").select(line_chunks.chunk_places(F.col("l")).alias("c")).first().c
+    assert sorted((r.start, r.n) for r in got) == sorted({p for a, b in line_chunks.FAMILIES for p in places(lines, a, b)})
+    assert min(r.n for r in got) >= 2 and max(r.n for r in got) <= line_chunks.MOST
+    inside = {(r.start, r.n) for r in got if r.start + r.n <= 36}
+    more = spark.createDataFrame([(["other"] * 3 + lines[:36] + ["end"],)], "l array<string>").select(line_chunks.chunk_places(F.col("l")).alias("c")).first().c
+    assert {(k + 3, n) for k, n in inside if n < line_chunks.MOST} <= {(r.start, r.n) for r in more}
 
 
-def test_repeated_chunks_go_and_boundaries_resist_shifts(spark):
-    shared = "\n".join(f"shared line number {i}" for i in range(30))
-    rows = [(1, "top\n" + shared), (2, "a\nb\nc\n" + shared + "\nend"), (3, "alone"), (4, None)]
-    got = {r.doc_id: r for r in line_chunks.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got[1].n_removed == 0 and got[1].text == rows[0][1] and got[4].text is None
-    assert got[2].n_removed > 10 and got[2].text.startswith("a\nb\nc") and got[2].text.endswith("end")
+def test_line_dedup_equals_brute_force(spark):
+    r = random.Random(12)
+    passages = [[prose(r, 9) for _ in range(n)] for n in (3, 5, 8, 20)]
+    rows = [(i, "\n".join([prose(r, 4) for _ in range(i % 3)] + p + [prose(r, 4) for _ in range(i % 4)])) for i, p in enumerate(passages * 5)]
+    rows += [(30, None), (31, ""), (32, "x\nx\nx\nx\nx"), (33, "one\n\n\ntwo"), (34, "a\nb\na\nb\nc"), (35, "a\nb"), (36, "a\nb"), (37, "\n".join(f"l{i % 7}" for i in range(5000)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"rid": F.lit("clash"), "chunk": F.lit(1), "h": F.lit(2), "gone": F.lit(3)})
+    got = sorted(tuple(x) for x in line_chunks.line_dedup(df.repartition(3)).select("doc_id", "text", "n_lines", "n_removed").collect())
+    assert got == brute_chunks(rows)
+    # of the copies of a passage of eight lines or more, nearly all lines go
+    assert sum(x[3] for x in got[4:20]) >= 0.9 * 4 * sum(map(len, passages))
+
+
+def test_line_dedup_of_repeated_rows_and_empty_tables(spark):
+    rows = [(1, "a\nb\nc\nd"), (1, "a\nb\nc\nd"), (None, "a\nb\nc\nd")]
+    for f in (line_chunks.line_dedup, line_windows.passage_dedup):
+        got = f(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sorted(x.n_removed for x in got) == [0, 4, 4]
+        assert f(empty(spark)).count() == 0
 
 
 def brute_passages(rows):
@@ -138,6 +176,18 @@ def test_url_rules_equal_brute_force(spark):
     assert {r.verdict for r in url_rules.judge_urls(df, url_rules.rule_table(spark, rules).limit(0)).collect()} == {"allow"}
 
 
+def test_url_rules_with_ties_capitals_and_hot_urls(spark, monkeypatch):
+    from lodestone.llm import common
+
+    rules = spark.createDataFrame([("allow", "A.example", "/x"), ("block", "a.example", "/x"), ("allow", "example", None), ("block", "b.com", "b"), ("block", None, "/"), (None, "c.com", "/")], "verdict string, host string, path string")
+    df = spark.createDataFrame([(i, "http://w.a.example/xy") for i in range(40)] + [(50, "http://b.example/"), (51, "http://b.comb"), (52, None), (53, "http://c.com/")], "page_id long, url string").withColumns({"host": F.lit("clash"), "key": F.lit(1), "rule": F.lit(2)})
+    for rows in (200_000, 0):  # 0: nothing is small enough to broadcast
+        monkeypatch.setattr(common.join_salted, "__defaults__", ("inner", rows, 16))
+        got = {r.page_id: (r.rule, r.verdict) for r in url_rules.judge_urls(df, rules).collect()}
+        assert got == {i: ("a.example/x", "block") for i in range(40)} | {50: ("example", "allow"), 51: (None, "allow"), 52: (None, "allow"), 53: (None, "allow")}
+    assert url_rules.judge_urls(df.limit(0), rules).count() == 0
+
+
 def test_bloom_filter_has_no_false_negatives(spark):
     keys = spark.range(3000).select(F.concat(F.lit("h"), F.col("id").cast("string"), F.lit("/")).alias("key"))
     n = 3000 * 16 // 256
@@ -184,6 +234,14 @@ def test_language_of_awkward_rows(spark, docs):
     assert langid.identify(empty(spark), F.lit(True)).count() == 0
 
 
+def test_rare_labels_are_learned(spark):
+    r = random.Random(2)
+    rows = [(i, prose(r, 12), "en") for i in range(3000)] + [(5000 + i, " ".join(r.choice(["zug", "wolk", "qux", "vim"]) + r.choice(["zz", "kk"]) for _ in range(12)), "xx") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.identify(df, F.col("doc_id") % 3 != 0, sample=200).where("held_out and doc_id >= 5000").collect()
+    assert len(got) == 10 and {x.lang_pred for x in got} == {"xx"}
+
+
 # toxicity
 def test_toxicity_learns_a_pair(spark):
     r = random.Random(1)
@@ -208,6 +266,21 @@ def test_toxicity_of_awkward_rows(spark, docs):
     assert {r.score for r in none} == {0.0}
 
 
+def test_toxicity_with_clashing_columns_and_empty_tables(spark, docs):
+    import corpus_pipeline as cp
+
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, F.lit(True))
+    mine = docs.withColumn("predicted", F.lit("clash"))
+    got = toxicity.score(mine, model)
+    assert got.columns == mine.columns and dict(got.dtypes)["score"] == "double" and got.count() == docs.count()
+    want = {(r.doc_id, r.text) for r in got.collect() if r.score < 0.7}
+    left = toxicity.without_toxic(mine, model)
+    assert left.columns == mine.columns and {(r.doc_id, r.text) for r in left.collect()} == want and {r.score for r in left.collect()} <= {"clash"}
+    assert toxicity.score(empty(spark), model).count() == 0 and toxicity.fit(empty(spark), labels, F.lit(True)) == {"keys": None}
+    assert cp.drop_toxic(spark, mine, D).columns == mine.columns
+
+
 # token files
 @pytest.mark.parametrize("n,alphabet", [(0, 10), (1, 10), (63, 2), (1000, 50257), (70_000, 50257)])
 def test_range_coder_round_trip(n, alphabet):
@@ -230,8 +303,7 @@ def test_token_files_hold_the_ids(spark, docs, awkward):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
-    texts = [(i, t or "") for i, t, *_ in awkward] + [(90, "a  b"), (91, " \n x"), (92, "it's 1,000 <|endoftext|> ünïcode\u3000x"), (93, "a\u00a0b ,c")]
+    texts = [(i, t or "") for i, t, *_ in awkward] + [(90, "a  b"), (91, " \n x"), (92, "it's 1,000 <|endoftext|> ünïcode\u3000x"), (93, "a\u00a0b ,c"), (94, "a <|endoftext|> b"), (95, "we've 'style ( 's 12³ x\n\n\nyou'll \n z  ")]
     df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
     got = token_files.read_digests(token_files.write_tokens(df, path("byte_bpe_50k.json"), block=500)).orderBy("start").collect()
     ids = {t: np.array(tok.encode(t, add_special_tokens=False).ids + [0], "<u4") for _, t in texts}
@@ -242,6 +314,25 @@ def test_token_files_hold_the_ids(spark, docs, awkward):
     assert token_files.read_digests(token_files.write_tokens(df.limit(0), path("byte_bpe_50k.json"))).count() == 0
 
 
+def test_ids_of_random_strings_equal_the_library():
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    r = random.Random(3)
+    parts = [*"ab'sstrevldm 1² \t\n\r..,-_!—“”éß中文ｱ٣Ⅷ😀\x0b\x1c\u200b\ufeff\U000e0101", "'s", "'re", "'ll", "'ve", "<|endoftext|>", "  ", "\n\n", " '", "'t ", "\u0378"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 30))) for _ in range(6000)]
+    tok, enc = Tokenizer.from_file(path("byte_bpe_50k.json")), token_files.Encoder(path("byte_bpe_50k.json"))
+    for at in range(0, len(texts), 300):
+        some = texts[at : at + 300]
+        ids, n = enc(some)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [e.ids for e in tok.encode_batch(some, add_special_tokens=False)]
+
+
+def test_too_large_an_alphabet_is_refused():
+    with pytest.raises(ValueError):
+        range_coder.encode_block(np.zeros(5, np.uint32), (1 << 19) + 1)
+
+
 # similarity join
 def brute_components(texts):
     sets = []
@@ -323,7 +414,7 @@ def edit_distance_within(item, text, k):
 
 def test_leaks_equal_brute_force(spark):
     r = random.Random(4)
-    items = [(i, prose(r, 14)) for i in range(6)] + [(6, None), (7, ""), (8, "short one!")]
+    items = [(i, prose(r, 14)) for i in range(6)] + [(6, None), (7, ""), (8, "short one!"), (9, "2+2=4?"), (10, "zq")]
     rows = [(100, None), (101, "")]
     for d in range(40):
         t = items[r.randrange(6)][1]
@@ -336,13 +427,13 @@ def test_leaks_equal_brute_force(spark):
                 del c[k]
             else:
                 c.insert(k, "q")
-        rows.append((d, prose(r, 25) + "\n " + ("".join(c) if d % 4 else "") + " \n" + prose(r, 10)))
+        rows.append((d, prose(r, 25) + "\n " + ("".join(c) if d % 4 else "is 2+2=4? ZQ" if d % 8 else "") + " \n" + prose(r, 10)))
     got = {(x.doc_id, x.item_id) for x in decontam.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
     want = set()
     for d, t in rows:
         for i, x in items:
             x = decontam.normalise(x)
-            if len(x) >= decontam.MIN_CHARS and edit_distance_within(x, decontam.normalise(t), decontam.edits_of(len(x))):
+            if x and edit_distance_within(x, decontam.normalise(t), decontam.edits_of(len(x))):
                 want.add((d, i))
     assert got == want
 
@@ -363,6 +454,21 @@ def test_leaks_at_the_edges_of_documents_equal_brute_force(spark):
     assert all(0 <= x.start < x.end <= len(texts[x.doc_id]) for x in found)
 
 
+def test_repeated_grams_and_very_long_texts(monkeypatch):
+    texts = ["ab" * 400 + "c" * 300, "", "x", "c" * 99 + "d" + "ab" * 60, "ab" * 45 + "ba" + "ab" * 40]
+    things = [(1, "c" * 120), (2, "ab" * 70), (3, "c" * 100), (4, "aabb")]
+    want = {(t, i) for t, x in enumerate(texts) for i, y in things if edit_distance_within(y, x, decontam.edits_of(len(y)))}
+    for hits in (1 << 22, 500):
+        monkeypatch.setattr(decontam, "HITS", hits)
+        got = set()
+        for q in {decontam.gram_length(len(y)) for _, y in things}:
+            some = [(i, y) for i, y in things if decontam.gram_length(len(y)) == q]
+            got |= {(t, some[k][0]) for t, k, *_ in decontam.Items([i for i, _ in some], [y for _, y in some], q).search(texts)}
+        assert got == want
+    far = "y" * 17_200_000 + "needle is h"
+    assert [x[:3] for x in decontam.Items([7], ["needle is h"], 10).search(["zz", far, "a needle is here"])] == [(1, 0, 0), (2, 0, 0)]
+
+
 def test_decontaminate_keeps_the_rest(spark, docs):
     bench = spark.createDataFrame([(1, prose(random.Random(5), 60)[:120])], "item_id long, text string")
     assert decontam.decontaminate(docs, bench.limit(0)).count() == docs.count()
