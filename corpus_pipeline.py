@@ -15,7 +15,7 @@ from lodestone.llm.common import crc, stash, table
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under 0.7, by a model of the labels that may be learned."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), crc(F.col("doc_id")) % 3 != 1)
-    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+    return toxicity.without_toxic(docs, model)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
