@@ -16,8 +16,8 @@ def alternation(terms: list[str]) -> str:
 
 def count_terms(c: Column, terms: list[str]) -> tuple[Column, Column]:
     """How many non-overlapping terms c has, case aside, and the sorted distinct ones."""
-    low, rx = F.lower(F.coalesce(c, F.lit(""))), F.lit(alternation(terms))
-    return F.regexp_count(low, rx), F.array_sort(F.array_distinct(F.regexp_extract_all(low, rx, F.lit(0))))
+    found = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(alternation(terms)), F.lit(0))  # one pass serves both
+    return F.size(found), F.array_sort(F.array_distinct(found))
 
 
 def hits(c: Column, terms: list[str]) -> Column:
@@ -41,24 +41,31 @@ def lexicon_score(df: DataFrame, text_cols: list[str], target: list[str], contex
     return df.withColumns(out)
 
 
-def kwic(df: DataFrame, text: str, target: list[str], context: list[str], width: int = 80) -> DataFrame:
-    """One row for each target match: start, end, marker, window of width characters on each side, context hits in it."""
-    rx = alternation(target)
-    low = F.lower(F.col(text))
-    parts, marks = F.split(low, rx, -1), F.regexp_extract_all(low, F.lit(rx), F.lit(0))
+def matches(text: Column, rx: str) -> Column:
+    """Array of (start, end, match) of all matches of a pattern, from 0."""
+    parts, marks = F.split(text, rx, -1), F.regexp_extract_all(text, F.lit(rx), F.lit(0))
     lengths = F.transform(F.arrays_zip(parts.alias("p"), marks.alias("m")), lambda x: F.struct(F.length(x["p"]).alias("gap"), F.coalesce(F.length(x["m"]), F.lit(0)).alias("n"), x["m"].alias("m")))
-    fold = F.aggregate(
+    return F.aggregate(
         lengths,
-        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,marker:string>>)").alias("found")),
+        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,match:string>>)").alias("found")),
         lambda a, x: F.struct(
             (a["at"] + x["gap"] + x["n"]).alias("at"),
-            F.when(x["m"].isNull(), a["found"]).otherwise(F.concat(a["found"], F.array(F.struct((a["at"] + x["gap"]).alias("start"), (a["at"] + x["gap"] + x["n"]).alias("end"), x["m"].alias("marker"))))).alias("found"),
+            F.when(x["m"].isNull(), a["found"]).otherwise(F.concat(a["found"], F.array(F.struct((a["at"] + x["gap"]).alias("start"), (a["at"] + x["gap"] + x["n"]).alias("end"), x["m"].alias("match"))))).alias("found"),
         ),
-    )
-    rows = df.withColumn("_found", fold["found"]).select("*", F.posexplode("_found").alias("hit", "_m")).drop("_found")
+    )["found"]
+
+
+def around(text: Column, start: Column, end: Column, width: int) -> Column:
+    """The part of text from width characters before start to width characters after end."""
+    return F.substring(text, F.greatest(start - width, F.lit(0)) + 1, F.least(end + width, F.length(text)) - F.greatest(start - width, F.lit(0)))
+
+
+def kwic(df: DataFrame, text: str, target: list[str], context: list[str], width: int = 80) -> DataFrame:
+    """One row for each target match: start, end, marker, window of width characters on each side, context hits in it."""
+    found = matches(F.lower(F.col(text)), alternation(target))
+    rows = df.select("*", F.posexplode(found).alias("hit", "_m"))
     start, end = F.col("_m.start"), F.col("_m.end")
-    window = F.substring(F.col(text), F.greatest(start - width, F.lit(0)) + 1, F.least(end + width, F.length(text)) - F.greatest(start - width, F.lit(0)))
-    rows = rows.withColumns({"start": start, "end": end, "marker": F.col("_m.marker"), "window": window}).drop("_m")
+    rows = rows.withColumns({"start": start, "end": end, "marker": F.col("_m.match"), "window": around(F.col(text), start, end, width)}).drop("_m")
     return rows.withColumn("context_hits", hits(F.col("window"), context))
 
 

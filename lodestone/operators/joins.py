@@ -4,6 +4,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import cut_lineage
+
+
+def join_bounded(df: DataFrame, small: DataFrame, on: list[str], weigh: Column, how: str = "inner", spread: Column | None = None, most: int = 2_000_000, salts: int = 16) -> DataFrame:
+    """Joins with a broadcast of small if the sum of weigh over its rows is within the bound.
+
+    Beyond it the join shuffles; with spread, hot keys of df are dealt to salts by it, for each of which small's rows are repeated.
+    """
+    if (small.agg(F.coalesce(F.sum(weigh), F.lit(0))).first()[0] or 0) <= most:
+        return df.join(F.broadcast(small), on, how)
+    if spread is None:
+        return df.join(small, on, how)
+    left = df.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    return left.join(small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [*on, "_salt"], how).drop("_salt")
+
 
 def lookup(df: DataFrame, dim: DataFrame, key: str, order: list, first: bool = True) -> DataFrame:
     """Left join on the lower-cased key; where the dimension repeats a key, its first (or last) row by order counts."""
@@ -38,33 +53,42 @@ def shingles(text: Column, width: int = 5) -> Column:
     return F.when(F.size(w) > 0, F.array_distinct(runs)).otherwise(F.array().cast("array<bigint>"))
 
 
-def similar_pairs(df: DataFrame, id_col: str, group: list[str], sets: str, t: float) -> DataFrame:
+def similar_pairs(df: DataFrame, id_col: str, group: list[str], sets: str, t: float, listed: int = 1000) -> DataFrame:
     """Pairs of a group whose sets have a Jaccard similarity of at least t, by prefix filtering.
 
-    Sets are cut to the prefix that a pair above t must share an element in, so only rows that share one are compared.
+    Elements are ordered by how many sets hold them, rare ones first, and sets are cut to the prefix that a pair above t must
+    share an element in. Lists of sets that share an element are joined with themselves in parts of about listed sets.
     """
-    n = F.size(sets)
-    prefix = F.slice(F.array_sort(F.col(sets)), 1, n - F.ceil(n * t).cast("int") + 1)
-    posts = df.where(n > 0).select(F.col(id_col).alias("id"), *group, n.alias("n"), F.explode(prefix).alias("s"))
-    a, b = posts.alias("a"), posts.alias("b")
-    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (*group, "s")]
-    on = (F.col("a.id") < F.col("b.id")) & (F.least("a.n", "b.n") >= t * F.greatest("a.n", "b.n"))
-    for c in same:
-        on = on & c
+    n = F.size("s")
+    rows = cut_lineage(df.where(F.size(sets) > 0).select(F.col(id_col).alias("id"), *group, F.col(sets).alias("s")))
+    each = rows.select("id", *group, n.alias("n"), F.explode("s").alias("s"))
+    often = each.groupBy("s").agg(F.count("*").alias("c"))
+    ordered = each.join(often, "s").groupBy("id", *group, "n").agg(F.array_sort(F.collect_list(F.struct("c", "s"))).alias("o"))
+    prefix = F.slice("o", 1, F.col("n") - F.ceil(F.col("n") * t - 1e-9).cast("int") + 1)
+    posts = cut_lineage(ordered.select("id", *group, "n", F.explode(F.transform(prefix, lambda p: p["s"])).alias("s")))
+    lists = posts.groupBy(*group, "s").agg(F.count("*").alias("_c")).where("_c > 1").withColumn("_k", F.ceil(F.col("_c") / listed).cast("int"))
+    posts = cut_lineage(posts.join(lists.drop("_c"), [*group, "s"]))
+    a = posts.select("*", F.pmod(F.xxhash64("id"), F.col("_k")).cast("int").alias("_part")).drop("_k").alias("a")
+    b = posts.select("*", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("_part")).drop("_k").alias("b")
+    on = (F.col("a.id") < F.col("b.id")) & (F.least("a.n", "b.n") >= t * F.greatest("a.n", "b.n") - 1e-9)
+    for c in (*group, "s", "_part"):
+        on = on & (F.col(f"a.{c}") == F.col(f"b.{c}"))
     pairs = a.join(b, on).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-    sets_of = df.select(F.col(id_col).alias("id"), F.col(sets).alias("s"))
-    both = pairs.join(sets_of.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets_of.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    j = F.size(F.array_intersect("sa", "sb")) / F.size(F.array_union("sa", "sb"))
-    return both.select("a", "b", j.alias("similarity")).where(F.col("similarity") >= t)
+    both = pairs.join(rows.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(rows.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    both = both.withColumn("c", F.size(F.array_intersect("sa", "sb")))
+    return both.select("a", "b", (F.col("c") / (F.size("sa") + F.size("sb") - F.col("c"))).alias("similarity")).where(F.col("similarity") >= t)
 
 
 def neighbour_pairs(df: DataFrame, order: str, span: int, first: int, sets: str, t: float) -> DataFrame:
     """Among the first rows by order, pairs at most span places apart with similarity of at least t (a bounded scan)."""
     rows = df.orderBy(order).limit(first).withColumn("pos", F.row_number().over(Window.orderBy(order)))
-    a = rows.select(F.col(order).alias("a"), F.col("pos"), F.col(sets).alias("sa"))
-    b = rows.select(F.col(order).alias("b"), F.col(sets).alias("sb"), F.explode(F.sequence(F.col("pos") - span, F.col("pos") - 1)).alias("pos"))
-    j = F.size(F.array_intersect("sa", "sb")) / F.nullif(F.size(F.array_union("sa", "sb")), F.lit(0))
-    return a.join(b, "pos").select("a", "b", j.alias("similarity")).where(F.col("similarity") >= t)
+    rows = cut_lineage(rows.select(F.col(order).alias("id"), "pos", F.col(sets).alias("s"), F.size(sets).alias("n")))
+    a = rows.select(F.col("id").alias("a"), "pos", F.col("s").alias("sa"), F.col("n").alias("na"))
+    b = rows.select(F.col("id").alias("b"), F.col("s").alias("sb"), F.col("n").alias("nb"), F.explode(F.sequence(F.col("pos") - span, F.col("pos") - 1)).alias("pos"))
+    # sizes tell most pairs apart before their elements are compared
+    both = a.join(b, "pos").where((F.least("na", "nb") > 0) & (F.least("na", "nb") >= t * F.greatest("na", "nb") - 1e-9))
+    both = both.withColumn("c", F.size(F.array_intersect("sa", "sb")))
+    return both.select("a", "b", (F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).alias("similarity")).where(F.col("similarity") >= t)
 
 
 def complete_years(df: DataFrame, key: str, value: str, year: str = "year") -> DataFrame:

@@ -1,10 +1,15 @@
 """Seeded samples, trends, bootstrap and permutation tests. Draws are hashes, so that any engine repeats them."""
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import hash_rank
+from ..sources.tables import cut_lineage
 
 
 def sample_per_stratum(df: DataFrame, keys: list[str], id_col: str, n: int, seed: int) -> DataFrame:
@@ -22,16 +27,39 @@ def balance_bins(df: DataFrame, bin_col: str, positive: str, id_col: str, ratio:
     return df.withColumns({"_p": pos, "_r": rank}).where(F.col(positive) | (F.col("_r") <= F.round(F.col("_p") * ratio))).drop("_p", "_r")
 
 
-def balanced_index(df: DataFrame, bin_col: str, positive: str) -> DataFrame:
-    out = df.groupBy(bin_col).agg(F.count_if(positive).alias("positives"), F.count_if(~F.col(positive)).alias("negatives"), F.avg(F.col(positive).cast("double")).alias("balanced_index"))
-    return out.withColumn("usable", (F.col("positives") > 0) & (F.col("negatives") > 0))
+def balanced_index(all_rows: DataFrame, balanced: DataFrame, bin_col: str, positive: str, value: str, weight: str, k: int) -> DataFrame:
+    """all_rows, and what balance_bins left of them. For each bin of k years: rows, the weighted index of the balanced rows, whether it can be used."""
+    here = all_rows.groupBy(bin_col).agg(F.count_if(~F.col(positive)).alias("negatives_available"))
+    out = balanced.groupBy(bin_col).agg(F.count_if(positive).alias("positives"), F.count_if(~F.col(positive)).alias("negatives_sampled"), F.count("*").alias("sampled_rows"), F.sum(weight).alias("weight_sum"), F.sum(F.col(value) * F.col(weight)).alias("_v"))
+    out = here.join(out, bin_col, "left").fillna(0)
+    index = F.when(F.col("weight_sum") > 0, F.col("_v") / F.col("weight_sum")).otherwise(0.0)
+    return out.select(bin_col, (F.col(bin_col) + k / 2).alias("midpoint"), "positives", "negatives_available", "negatives_sampled", "sampled_rows", "weight_sum", index.alias("balanced_index"), ((F.col("positives") > 0) & (F.col("negatives_sampled") > 0)).alias("usable"))
+
+
+# Priorities of the reasons for an audit, source types to suspect, and when a year is rare and a source overused
+AUDIT = {"low_confidence": 90, "verified_but_suspect_source_type": 85, "rare_year": 70, "highly_reused_source_artifact": 65, "single_record_brand": 55, "deterministic_random_sample": 10}
+SUSPECT_TYPES = ["personal_blog", "review_platform", "blog", "social_media", "forum"]
+RARE_YEAR, REUSED_SOURCE = 2, 20
+
+
+def audit_rules(df: DataFrame) -> tuple[DataFrame, list[tuple[Column, int, str]]]:
+    """df with the counts that the rules ask for, and the rules, in order."""
+    for key, name in (("year", "_years"), ("brand", "_brands"), ("source_ref", "_sources")):
+        df = df.join(df.select(key).where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias(name)), key, "left")
+    c = F.col
+    tests = {
+        "low_confidence": c("confidence_score").isNull() | (c("confidence_score") < 0.5), "verified_but_suspect_source_type": (c("verification_level") == "verified") & F.lower("source_type").isin(SUSPECT_TYPES),
+        "rare_year": c("_years") <= RARE_YEAR, "single_record_brand": c("_brands") == 1, "highly_reused_source_artifact": c("_sources") >= REUSED_SOURCE,
+    }
+    return df, [(F.coalesce(t, F.lit(False)), AUDIT[n], n) for n, t in tests.items()]
 
 
 def audit_queue(df: DataFrame, id_col: str, rules: list[tuple[Column, int, str]], n: int, seed: int) -> DataFrame:
-    """Rows by the priority of the rules that they meet, then in hashed order, up to n."""
+    """Rows by the priority of the rules that they meet, then in hashed order, up to n; rows that meet none fill up."""
     reasons = F.array_compact(F.array(*[F.when(test, F.lit(name)) for test, _, name in rules]))
-    top = F.greatest(F.lit(0), *[F.when(test, p).otherwise(0) for test, p, _ in rules])
-    rows = df.withColumns({"reasons": F.when(F.size(reasons) > 0, reasons).otherwise(F.array(F.lit("random_sample"))), "priority": top})
+    fill = "deterministic_random_sample"
+    top = F.greatest(F.lit(AUDIT[fill]), *[F.when(test, p).otherwise(0) for test, p, _ in rules])
+    rows = df.withColumns({"reasons": F.when(F.size(reasons) > 0, reasons).otherwise(F.array(F.lit(fill))), "priority": top})
     return rows.orderBy(F.desc("priority"), hash_rank(seed, F.col(id_col).cast("string")), id_col).limit(n)
 
 
@@ -78,7 +106,7 @@ def bootstrap_trend(series: DataFrame, key: str, x: str, y: str, w: str, reps: i
 
 
 def permutation_p(series: DataFrame, key: str, x: str, y: str, reps: int, seed: int) -> DataFrame:
-    """Share of permutations of y whose slope is at least as large as the one seen."""
+    """Share of permutations of y whose slope is at least as large as the one seen. series: a few points for each key."""
     points = numbered(series, key, x).select(key, "i", "n", "xc", y)
     seen = points.groupBy(key).agg(F.regr_slope(y, "xc").alias("slope"))
     spark = series.sparkSession
@@ -121,18 +149,87 @@ def sample_sufficiency(df: DataFrame, keys: list[str], value: str, weight: str,
     return out.withColumn("interpretation", F.when(F.col("additional_needed") == 0, "sufficient").otherwise("insufficient"))
 
 
-def readiness(df: DataFrame) -> DataFrame:
-    """df: effective_n, p_value, stability, primary_share. The verdict."""
-    ok = (F.col("effective_n") >= 30) & (F.col("p_value") < 0.10) & F.col("stability").isin("high", "medium") & (F.col("primary_share") >= 0.2)
-    verdict = F.when(ok, "ready").when((F.col("effective_n") >= 15) & (F.col("p_value") < 0.2), "cautious").otherwise("collect_more")
-    return df.withColumn("verdict", verdict)
+def readiness(df: DataFrame, target: int = 350, near: int = 25, most_tourism: float = 0.40) -> DataFrame:
+    """df: rows, p_value, stability, tourism_ratio. records_needed and status: ready, almost_ready or keep_collecting.
+
+    Ready: enough rows and a trend (p under 0.10, high or medium stability) with a balanced mix of sources, or a strong one (p
+    under 0.05, high stability) with any mix. Almost: a trend, and at most near rows too few.
+    """
+    c = F.col
+    seen = (c("p_value") < 0.10) & c("stability").isin("high", "medium")
+    strong = (c("p_value") < 0.05) & (c("stability") == "high")
+    enough = c("rows") >= target
+    status = F.when(enough & seen & (c("tourism_ratio") <= most_tourism) | enough & strong, "ready").when((c("rows") >= max(0, target - near)) & seen, "almost_ready").otherwise("keep_collecting")
+    return df.withColumns({"records_needed": F.greatest(F.lit(0), target - c("rows")), "status": F.when(c("p_value").isNull(), "keep_collecting").otherwise(status)})
+
+
+def _poisson(u: Column, most: int = 8) -> Column:
+    """A Poisson(1) number from a uniform integer below 2**32; at most most (beyond lies under a millionth)."""
+    p, total, cuts = math.exp(-1), 0.0, []
+    for k in range(most):
+        total += p / math.factorial(k)
+        cuts.append(int(total * 2**32))
+    out = F.lit(most)
+    for k in reversed(range(most)):
+        out = F.when(u < cuts[k], k).otherwise(out)
+    return out
 
 
 def bootstrap_index_ci(df: DataFrame, key: str, id_col: str, value: str, weight: str, reps: int, seed: int) -> DataFrame:
-    """95 % interval of sum(value) / sum(weight) for each key, over draws of rows with replacement."""
-    points = numbered(df, key, id_col).select(key, "i", "n", value, weight)
-    ratio = F.when(F.sum(weight) > 0, F.sum(value) / F.sum(weight)).otherwise(0.0)
-    each = _draws(points, key, reps, seed).join(points.select(key, "i", value, weight), [key, "i"]).groupBy(key, "rep").agg(ratio.alias("s"))
-    w = Window.partitionBy(key)
+    """95 % interval of sum(value) / sum(weight) for each key, over Poisson bootstrap replicates.
+
+    Each row counts a Poisson(1) number of times in each replicate, by a hash of its id: no row moves, and all replicates are summed
+    in one pass before the shuffle.
+    """
+    each = df.select(key, id_col, value, weight, F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
+    times = _poisson(hash_rank(seed, F.col("rep").cast("string"), F.col(id_col).cast("string")))
+    sums = each.withColumn("_k", times).where("_k > 0").groupBy(key, "rep").agg(F.sum(F.col(value) * F.col("_k")).alias("v"), F.sum(F.col(weight) * F.col("_k")).alias("w"))
+    each = sums.select(key, "rep", F.when(F.col("w") > 0, F.col("v") / F.col("w")).otherwise(0.0).alias("s"))
+    w = Window.partitionBy(key)  # reps rows
     each = each.withColumns({"r": F.row_number().over(w.orderBy("s", "rep")) - 1, "m": F.count("*").over(w)})
     return each.groupBy(key).agg(F.max(F.when(F.col("r") == F.floor(F.col("m") * 0.025), F.col("s"))).alias("ci_low"), F.max(F.when(F.col("r") == F.floor(F.col("m") * 0.975), F.col("s"))).alias("ci_high"))
+
+
+def permuted_cells(x: np.ndarray, y: np.ndarray, n: np.ndarray, reps: int, seed: int) -> float:
+    """Share of permutations of y over the rows whose slope on x is at least as large as the one seen.
+
+    The rows come as counts n of equal (x, y). Dealing a value's rows at random to the places that are left is a multivariate
+    hypergeometric draw, so a permutation costs as many steps as there are distinct values, not rows.
+    """
+    xs, ys = np.unique(x), np.unique(y)
+    places = np.bincount(np.searchsorted(xs, x), n, len(xs)).astype(np.int64)
+    of_value = np.bincount(np.searchsorted(ys, y), n, len(ys)).astype(np.int64)
+    centred = xs - (xs * places).sum() / places.sum()
+    seen = abs((n * (x - (xs * places).sum() / places.sum()) * y).sum())
+    rng, extreme = np.random.default_rng(seed), 0
+    for _ in range(reps):
+        left, total = places.copy(), 0.0
+        for v, m in zip(ys[:-1], of_value[:-1], strict=True):
+            got = rng.multivariate_hypergeometric(left, m, method="marginals")
+            total += v * (centred * got).sum()
+            left -= got
+        total += ys[-1] * (centred * left).sum()
+        extreme += abs(total) >= seen - 1e-9
+    return extreme / reps
+
+
+def primary_balance(df: DataFrame, key: str, value: str, reps: int = 500, seed: int = 20260604, least: int = 20) -> DataFrame:
+    """df: key, year, authority_level, value, usable rows only. For each key: rows, primary rows and share, and the permutation p of the primary rows' trend.
+
+    p is null under least primary rows, and 1 where the slope is 0. value should take few distinct values: a key's task holds
+    its (year, value) cells, not its rows.
+    """
+    df = cut_lineage(df.where("year is not null").select(key, "year", F.lower(F.trim(F.coalesce("authority_level", F.lit("missing")))).alias("level"), F.col(value).cast("double").alias("v")))
+    one = df.groupBy(key).agg(F.count("*").alias("rows"), F.count_if(F.col("level") == "primary").alias("primary_rows")).withColumn("primary_share", F.col("primary_rows") / F.col("rows"))
+    cells = df.where("level = 'primary' and v is not null").groupBy(key, "year", "v").agg(F.count("*").alias("n"))
+
+    def tested(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y, n = (pdf[c].to_numpy(float) for c in ("year", "v", "n"))
+        if n.sum() < least:
+            return pd.DataFrame({"k": [], "p_value": []})
+        mean = (x * n).sum() / n.sum()
+        flat = abs((n * (x - mean) * y).sum()) < 1e-12 * max(1.0, (n * (x - mean) ** 2).sum())
+        return pd.DataFrame({"k": [str(pdf[key].iloc[0])], "p_value": [1.0 if flat else permuted_cells(x, y, n.astype(np.int64), reps, seed)]})
+
+    p = cells.groupBy(key).applyInPandas(tested, "k string, p_value double")
+    return one.join(p, F.col(key).cast("string") == F.col("k"), "left").drop("k")

@@ -4,8 +4,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lexicon import hits
-from ..functions.text import contains_any, text_blob
+from ..functions.lexicon import around, hits, matches
+from ..functions.text import clamp, collapse, contains_any, text_blob
 
 # Words in a source's type or address that tell its authority
 TERTIARY_TYPE = ["blog", "review", "forum", "social", "retrospective", "official_tourism", "municipal_tourism", "tourism_profile"]
@@ -46,15 +46,38 @@ def authority(source_type: Column, url: Column) -> tuple[Column, Column]:
     return first_rule([(t, level) for t, level, _ in tests], "secondary"), first_rule([(t, why) for t, _, why in tests], "default secondary classification")
 
 
+# Words that tell the authority of a source whose level is not given; kinds of sources
+INFERRED = [("type", ["newspaper", "archive", "scan", "advertisement", "ad"], "primary"), ("url", ["newspaper"], "primary"), ("url", ["blog"], "tertiary")]
+SOURCE_BUCKETS = [(["newspaper", "archive", "scan"], "archive"), (["tourism", "municipal", "travel"], "retrospective"), (["blog", "review", "social"], "blog")]
+
+
 def infer_authority(level: Column, source_type: Column, url: Column) -> Column:
     """The given level where it is one of the three, else one from type and address."""
     given = F.lower(F.trim(level))
-    found = first_rule([(contains_any(source_type, ["newspaper", "archive", "scan", "advertisement", "ad"]), "primary"), (contains_any(url, ["newspaper"]), "primary"), (contains_any(url, ["blog"]), "tertiary")], "secondary")
+    found = first_rule([(contains_any(source_type if where == "type" else url, words), label) for where, words, label in INFERRED], "secondary")
     return F.when(given.isin("primary", "secondary", "tertiary"), given).otherwise(found)
 
 
 def source_bucket(source_type: Column) -> Column:
-    return first_rule([(contains_any(source_type, ["newspaper", "archive", "advertisement"]), "archive"), (contains_any(source_type, ["tourism", "retrospective"]), "retrospective"), (contains_any(source_type, ["blog", "review"]), "blog")], "other")
+    return first_rule([(contains_any(source_type, words), label) for words, label in SOURCE_BUCKETS], "other")
+
+
+def item_type(text: Column, groups: list[tuple[str, list[str]]]) -> Column:
+    """The first group with a word in the text; 'other' for other texts, 'unknown' for blank ones."""
+    blank = F.trim(F.coalesce(text, F.lit(""))) == ""
+    return first_rule([*[(contains_any(text, words), label) for label, words in groups], (~blank, "other")], "unknown")
+
+
+def row_binding(raw: Column, weighted: Column, weight: Column, lexical: Column, branding: Column, ownership: Column) -> tuple[Column, Column]:
+    """Binding of a row between 0 and 1, and which mode gave it.
+
+    explicit: the raw value where there is one. deweighted: the weighted value over the weight that is in it, or as it is where
+    it exceeds its weight or there is none. fallback: a blend of the three flags.
+    """
+    w, v = F.coalesce(weight, F.lit(0.0)), F.greatest(F.lit(0.0), weighted)
+    undone = F.when((w > 0) & (v <= w), v / w).otherwise(v)
+    value = F.when(raw.isNotNull(), raw).when(weighted.isNotNull(), undone).otherwise(0.5 * lexical + 0.25 * branding + 0.25 * ownership)
+    return clamp(value), F.when(raw.isNotNull(), "explicit").when(weighted.isNotNull(), "deweighted").otherwise("fallback")
 
 
 def rule_score(rules: list[tuple[Column, int, str]]) -> tuple[Column, Column]:
@@ -65,9 +88,18 @@ def rule_score(rules: list[tuple[Column, int, str]]) -> tuple[Column, Column]:
     return score, F.array_compact(F.array(*[F.when(test, F.lit(name)) for test, _, name in rules]))
 
 
-def decide_ownership(score: Column, fired: Column, theme: str = "theme_branding_only", weak: str = "third_place_weak_signal") -> Column:
-    strong = F.exists(fired, lambda r: F.contains(r, F.lit("official")) | F.contains(r, F.lit("capital")))
-    return first_rule([((score >= 70) & strong, "capital"), (F.array_contains(fired, weak) & (score >= 45), "intermediary"), (F.array_contains(fired, theme) & (score < 70), "themed")], "unknown")
+def decide(score: Column, fired: Column, decisions: list[tuple[list[str], int | None, int | None, str]], default: str = "unknown") -> Column:
+    """Label of the first decision that holds.
+
+    A decision (names, least, under, label) holds where a fired rule's name contains one of names and the score is at least
+    least and below under, where these are given.
+    """
+    def holds(names: list[str], least: int | None, under: int | None) -> Column:
+        test = F.exists(fired, lambda r: contains_any(r, names))
+        test = test if least is None else test & (score >= least)
+        return test if under is None else test & (score < under)
+
+    return first_rule([(holds(names, least, under), label) for names, least, under, label in decisions], default)
 
 
 def stance(text: Column, producer_hits: Column, context: list[str], target: list[str], rejection: list[str], attribute: list[str]) -> tuple[Column, Column]:
@@ -100,11 +132,18 @@ def evidence_type(found: Column, groups: list[tuple[str, list[str]]], default: s
     return first_rule([(F.arrays_overlap(found, F.array(*map(F.lit, words))), label) for label, words in groups], default)
 
 
-def target_control(blob: Column, target_rx: str, control_rx: str, context: Column) -> Column:
-    return F.when(context & blob.rlike(target_rx), "target_positive").when(context & blob.rlike(control_rx), "context_control").when(blob.rlike(target_rx), "target_without_context")
+def target_control(blob: Column, marker: Column, target_rx: str, context_words: list[str]) -> Column:
+    """For rows with a context (a context marker, or one of the words in the blob): whether the target is in the blob. Null without a context."""
+    context = (F.trim(F.coalesce(marker, F.lit(""))) != "") | contains_any(blob, context_words)
+    hit = F.coalesce(blob, F.lit("")).rlike(f"(?iu){target_rx}")
+    return F.when(context & hit, "target_positive").when(context, "target_absent_with_context")
 
 
-def marker_issues(df: DataFrame, id_col: str, cols: list[str], short: int = 2, long: int = 40, special: str = r"[<>{}\[\]\\]") -> DataFrame:
+# A marker holds letters, digits, white space and these marks only
+MARKER_SPECIAL = r"[^\p{L}\p{N}\p{M}_\s;:：/、，。！？\-]"
+
+
+def marker_issues(df: DataFrame, id_col: str, cols: list[str], short: int = 2, long: int = 200, special: str = MARKER_SPECIAL) -> DataFrame:
     """Values of marker columns that are too short, too long or hold a special character."""
     long_form = df.select(id_col, *cols).unpivot([id_col], cols, "field", "value").where(F.trim("value") != "")
     issue = F.when(F.length("value") < short, "too_short").when(F.length("value") > long, "too_long").when(F.col("value").rlike(special), "special_character")
@@ -115,16 +154,27 @@ def marker_issues(df: DataFrame, id_col: str, cols: list[str], short: int = 2, l
 SENSITIVE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "url": r"https?://[^\s\"'<>]+", "path": r"/(?:home|Users|root)/[A-Za-z0-9._/-]+"}
 
 
-def sensitive_scan(df: DataFrame, id_col: str, text_col: str, patterns: dict[str, str] = SENSITIVE, cap: int | None = None) -> DataFrame:
-    """One row for each hit: kind, position among the text's hits of its kind, redacted hit. cap: hits of a text and kind to report."""
-    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.regexp_extract_all(F.col(text_col), F.lit(p), F.lit(0)).alias("found")) for k, p in patterns.items()])
-    rows = df.select(id_col, F.explode(kinds).alias("k")).select(id_col, "k.kind", F.posexplode("k.found").alias("hit_no", "hit"))
-    rows = rows.where(F.col("hit_no") < cap) if cap else rows
-    return rows.select(id_col, "kind", "hit_no", F.concat(F.substring("hit", 1, 3), F.lit("***")).alias("redacted"), F.length("hit").alias("hit_length"))
+def sensitive_scan(df: DataFrame, id_col: str, text_col: str, patterns: dict[str, str] = SENSITIVE, terms: list[str] = (), width: int = 60, cap: int | None = None) -> DataFrame:
+    """One row for each hit: kind, position among the text's hits, length, and the text around it with every hit redacted.
+
+    terms: further strings to look for, case aside. cap: hits of a text to report, in order of kind and place.
+    """
+    kinds = [*patterns.items(), *[("term", f"(?i)\\Q{t}\\E") for t in terms if t.strip()]]
+    text = F.col(text_col)
+    named = lambda kind, p: F.transform(matches(text, p), lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end")))
+    found = F.flatten(F.array(*[named(k, p) for k, p in kinds]))
+    rows = df.where(text.isNotNull()).select(id_col, text_col, found.alias("_f")).where(F.size("_f") > 0)
+    rows = rows.select(id_col, text_col, F.posexplode(F.slice("_f", 1, cap) if cap else F.col("_f")).alias("hit_no", "_h"))
+    snippet = around(text, F.col("_h.start"), F.col("_h.end"), width)
+    for k, p in kinds:
+        snippet = F.regexp_replace(snippet, p, f"<redacted:{k}>")
+    return rows.select(id_col, F.col("_h.kind").alias("kind"), "hit_no", (F.col("_h.end") - F.col("_h.start")).alias("hit_length"), collapse(snippet).alias("snippet"))
 
 
-def outlier_reason(target: Column, context: Column, level: Column, novelty: Column) -> Column:
-    return F.when(~target & ~context, "no_markers").when(target & ~context, "target_without_context").when(context & ~target, "context_without_target").when(level == "tertiary", "tertiary_source").when(novelty < 0.3, "low_novelty").otherwise("other")
+def outlier_reason(raw: Column, weighted: Column, target: Column, context: Column, threshold: float) -> Column:
+    """Why a row's binding is low; 'not_outlier' where it is not."""
+    none = F.coalesce(raw, F.lit(0.0)) <= 0
+    return F.when(none & target & ~context, "target_without_context").when(none & context & ~target, "context_without_target").when(none, "no_binding_control").when(F.coalesce(weighted, F.lit(0.0)) <= threshold, "positive_but_low_weight").otherwise("not_outlier")
 
 
 def usable(df: DataFrame, level: str = "verification_level", blank_ok: bool = True) -> DataFrame:

@@ -13,6 +13,11 @@ def bin_delta(df: DataFrame, keys: list[str], order: str, value: str) -> DataFra
     return df.withColumn("delta_from_previous", F.col(value) - F.lag(value).over(Window.partitionBy(*keys).orderBy(order)))
 
 
+def ranked(df: DataFrame, keys: list[str], order: list, name: str = "rank") -> DataFrame:
+    """df sorted by keys and then order, with each row's place within its keys."""
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long")).orderBy(*keys, name)
+
+
 def top_per_group(df: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= n)
 
@@ -74,9 +79,22 @@ def early_links(df: DataFrame, key: str, home: str, until: int, over: float = 0.
     return hit.groupBy(key).agg(F.min("bin").alias("first_bin"), F.min_by("index", "bin").alias("first_index"), F.min_by("rows", "bin").alias("rows"))
 
 
-def velocity(df: DataFrame, day: str, stall: float = 0.5) -> DataFrame:
-    """Rows for each day, gain on the day before, and whether the gain is under a share of the average."""
-    per = df.groupBy(F.to_date(day).alias("day")).agg(F.count("*").alias("rows"))
-    w = Window.orderBy("day")  # one row for each day
-    per = per.withColumn("gain", F.col("rows") - F.lag("rows").over(w)).withColumn("mean_rows", F.avg("rows").over(Window.partitionBy(F.lit(0))))
-    return per.withColumn("stalled", F.col("rows") < stall * F.col("mean_rows"))
+def velocity(snapshots: DataFrame, at: str = "snapshot_at", rows: str = "rows") -> DataFrame:
+    """snapshots: one row each, with its time and number of rows. Adds gain, days and daily gain since the snapshot before."""
+    w = Window.orderBy(at)  # one row for each snapshot
+    days = (F.unix_micros(F.col(at).cast("timestamp")) - F.unix_micros(F.lag(at).over(w).cast("timestamp"))) / 86_400_000_000
+    out = snapshots.withColumns({"gain": F.col(rows) - F.lag(rows).over(w), "days": days})
+    return out.withColumn("daily_gain", F.when(F.col("days") > 0, F.col("gain") / F.col("days")))
+
+
+def stall(snapshots: DataFrame, at: str = "snapshot_at", rows: str = "rows", recent: int = 6, least_gain: float = 5.0, stale_days: float = 3.0) -> DataFrame:
+    """One row for the last recent snapshots: daily gain on average and last, and whether capture has stalled.
+
+    It has if the last daily gain is under least_gain after at least stale_days, or if three gains or more average under 1 a day.
+    """
+    last = velocity(snapshots.orderBy(F.desc(at)).limit(recent), at, rows)
+    newest = F.struct(F.col(at))
+    one = last.agg(F.count("*").alias("snapshots"), F.max_by(rows, newest).alias("current_rows"), F.coalesce(F.avg("daily_gain"), F.lit(0.0)).alias("avg_daily_gain"), F.count("daily_gain").alias("gains"), F.coalesce(F.max_by("daily_gain", F.when(F.col("daily_gain").isNotNull(), newest)), F.lit(0.0)).alias("recent_daily_gain"), F.coalesce(F.max_by("days", newest), F.lit(0.0)).alias("days_since_previous"))
+    few = F.col("snapshots") < 2
+    stalled = ((F.col("recent_daily_gain") < least_gain) & (F.col("days_since_previous") >= stale_days)) | ((F.col("gains") >= 3) & (F.col("avg_daily_gain") < 1.0))
+    return one.withColumns({"insufficient_history": few, "stall_detected": ~few & stalled})

@@ -1,9 +1,10 @@
 """Registered queries of the library's operators over the given tables, each with its SQL twin where SQL can say it."""
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
@@ -13,7 +14,7 @@ from ..operators import joins as jn
 from ..operators import rules as rl
 from ..operators import windows as wn
 from ..sources import tables as st
-from .views import ATT, CONTEXT, DOMAINS, EV, LOG, METRIC_DOUBLES, METRICS, PC, PRES, TARGET, attestations, consumers, evidence, execution_log, presence, producers, rounded, sql, table
+from .views import ATT, CONTEXT, DOMAINS, EV, LOG, METRIC_DOUBLES, METRICS, OWN, PC, PRES, SEARCHES, TARGET, attestations, consumers, evidence, execution_log, ownership, presence, producers, rounded, searches, sql, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -38,12 +39,110 @@ def _(s, d):
     return st.union_tables(table(s, d, "pages").select(F.col("page_id").alias("id"), "url"), table(s, d, "documents").select(F.col("doc_id").alias("id"), "source"))
 
 
+def _alerts(s, d):
+    return execution_log(s, d).where("not ok").select(F.concat(F.lit("AL_"), F.col("task_id").cast("string")).alias("alert_id"), "ts")
+
+
+def _scratch(s, name: str) -> str:
+    return f"{st.shared_folder(s)}/{name}-{uuid.uuid4().hex}"
+
+
 @query("s09_new_alerts", "WITH n AS (SELECT DISTINCT concat('AL_', user_id) AS alert_id FROM events WHERE event_type = 'error'), o AS (SELECT DISTINCT concat('AL_', user_id) AS alert_id FROM events WHERE event_type = 'error' AND ts < TIMESTAMP '2024-01-03') SELECT alert_id FROM n WHERE alert_id NOT IN (SELECT alert_id FROM o)")
 def _(s, d):
-    new = execution_log(s, d).where("not ok").select(F.concat(F.lit("AL_"), F.col("task_id").cast("string")).alias("alert_id"), "ts")
+    new = _alerts(s, d)
     return st.new_alerts(new.select("alert_id"), new.where("ts < timestamp'2024-01-03'"))
 
 
+@query("s09_append_alerts", "SELECT concat('AL_', user_id) AS alert_id, count(DISTINCT event_type) AS times FROM events WHERE event_type = 'error' GROUP BY 1")
+def _(s, d):
+    """Alerts appended in three overlapping runs; each is there once."""
+    at, new = _scratch(s, "alerts"), _alerts(s, d)
+    for part in (new.where("ts < timestamp'2024-01-03'"), new, new):
+        st.append_alerts(part.select("alert_id"), at)
+    return s.read.parquet(at).groupBy("alert_id").agg(F.count("*").alias("times"))
+
+
+def _written(s, d, name: str, df, **how) -> str:
+    """df as text files in the shared folder."""
+    at = _scratch(s, name)
+    st.write_table(df, at, **how)
+    return at
+
+
+@query("s01_csv_scan", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, source, text FROM documents WHERE text <> ''")
+def _(s, d):
+    """Documents written as CSV and read back: all strings, line breaks and quotes inside cells kept."""
+    docs = table(s, d, "documents").select("doc_id", "lang", "source", "text").where("text <> ''")
+    return st.read_table(s, _written(s, d, "csv", docs, fmt="csv"))
+
+
+@query("s02_ragged_rows", "SELECT CAST(page_id AS VARCHAR) AS page_id, url, CASE page_id % 3 WHEN 1 THEN 'more' WHEN 2 THEN 'more,even more' END AS _extra_fields FROM pages")
+def _(s, d):
+    """Lines with more cells than the header has."""
+    url = F.concat(F.lit('"'), F.regexp_replace("url", '"', '""'), F.lit('"'))
+    line = F.concat_ws(",", F.col("page_id").cast("string"), url, F.when(F.col("page_id") % 3 >= 1, "more"), F.when(F.col("page_id") % 3 == 2, "even more"))
+    at = _scratch(s, "ragged")
+    # Spark's text writer puts no header: one line of its own in a file of its own, for each file read
+    table(s, d, "pages").select(line.alias("value")).write.text(at)
+    return st.read_ragged(s, at, ["page_id", "url"], "_extra_fields")
+
+
+@query("s04_jsonl_scan", "SELECT event_id, user_id, value FROM events WHERE event_id % 7 <> 0")
+def _(s, d):
+    """JSON lines, one in seven of them broken or blank."""
+    rows = table(s, d, "events")
+    good = F.to_json(F.struct("event_id", "user_id", "value"))
+    at = _scratch(s, "jsonl")
+    rows.select(F.when(F.col("event_id") % 7 != 0, good).when(F.col("event_id") % 14 == 0, F.lit("")).otherwise(F.concat(F.lit("{broken "), good)).alias("value")).write.text(at)
+    return st.read_jsonl(s, at, "event_id long, user_id long, value double")
+
+
+@query("s07_enrich_and_write", "SELECT page_id, url, regexp_replace(lower(url), '/+$', '') AS url_key FROM pages")
+def _(s, d):
+    rows = table(s, d, "pages").select("page_id", "url").withColumn("url_key", tx.url_key(F.col("url")))
+    return s.read.parquet(_written(s, d, "enriched", rows))
+
+
+@query("s08_append_log", "SELECT event_id, event_type FROM events WHERE event_type IN ('error', 'signup') UNION ALL SELECT event_id, event_type FROM events WHERE event_type = 'view'")
+def _(s, d):
+    """Two runs append to a log of JSON lines."""
+    at, rows = _scratch(s, "log"), table(s, d, "events").select("event_id", "event_type")
+    for kinds in (["error", "signup"], ["view"]):
+        st.append_log(rows.where(F.col("event_type").isin(kinds)), at)
+    return st.read_jsonl(s, at, "event_id long, event_type string")
+
+
+@query("s12_lexicon", "SELECT DISTINCT 'target' AS \"group\", p_name AS term FROM part UNION SELECT 'context', p_type FROM part UNION SELECT d, p_brand FROM part, (SELECT unnest(['context', 'brands']) AS d)")
+def _(s, d):
+    """A lexicon in JSON: domain terms count as context terms too."""
+    part = table(s, d, "part")
+    one = part.agg(F.collect_set("p_name").alias("t"), F.collect_set("p_type").alias("c"), F.struct(F.collect_set("p_brand").alias("brands")).alias("domains"))
+    at = _scratch(s, "lexicon")
+    one.write.json(at)
+    return st.load_lexicon(s, at, "t", "c")
+
+
+@query("p28_snapshot_date", "SELECT DATE '2024-01-05' AS snapshot_date, count(*) AS rows FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT DATE '2024-02-29', count(*) FROM pages WHERE page_id % 2 = 1")
+def _(s, d):
+    """Snapshots whose folders carry a date."""
+    at, rows = _scratch(s, "history"), table(s, d, "pages").select("page_id")
+    for day, left in (("20240105", 0), ("20240229", 1)):
+        st.write_table(rows.where(F.col("page_id") % 2 == left), f"{at}/attestations_{day}")
+    return st.snapshot_date(s.read.option("recursiveFileLookup", True).parquet(at)).groupBy("snapshot_date").agg(F.count("*").alias("rows"))
+
+
+@query("o01_sorted", "SELECT doc_id, lang, n_chars, rn AS place FROM (SELECT doc_id, lang, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC NULLS LAST, doc_id) AS rn FROM documents)")
+def _(s, d):
+    """Rows in order of several keys; the place within the first key makes the order visible in the rows."""
+    return wn.ranked(table(s, d, "documents").select("doc_id", "lang", "n_chars"), ["lang"], [F.desc_nulls_last("n_chars"), "doc_id"], "place")
+
+
+@query("u01_union_all", "SELECT CAST(doc_id AS VARCHAR) AS id, 'document' AS kind, lang FROM documents UNION ALL SELECT CAST(page_id AS VARCHAR), 'page', NULL FROM pages UNION ALL SELECT CAST(conv_id AS VARCHAR), 'conversation', NULL FROM conversations")
+def _(s, d):
+    part = lambda name, key, kind, *more: table(s, d, name).select(F.col(key).cast("string").alias("id"), F.lit(kind).alias("kind"), *more)
+    return st.union_tables(part("documents", "doc_id", "document", "lang"), part("pages", "page_id", "page"), part("conversations", "conv_id", "conversation"))
+
+
 @query("s10_freeze_manifest", sql("SELECT 'period' AS dimension, period AS key, count(*) AS n FROM ev GROUP BY period UNION ALL SELECT 'corridor', corridor, count(*) FROM ev GROUP BY corridor UNION ALL SELECT 'authority_level', authority_level, count(*) FROM ev GROUP BY authority_level", EV))
 def _(s, d):
     return st.freeze(evidence(s, d), ["period", "corridor", "authority_level"], ag.weighted_mean_by)["manifest"]
@@ -102,10 +201,16 @@ def _(s, d):
     return table(s, d, "pages").select("page_id", tx.url_key(F.col("url")).alias("url_key"), tx.is_direct_url(F.col("url")).alias("direct"), tx.encode_iri(F.col("url")).alias("iri"))
 
 
-@query("p13_p14_years", r"WITH y AS (SELECT doc_id, regexp_extract_all(concat(text, ' ', 1900 + doc_id % 150), '(?:^|\D)((?:1[89]|20)\d\d)(?:\D|$)', 1) AS y, concat(1900 + doc_id % 150, ' and ', 1950 + doc_id % 40) AS t FROM documents) SELECT doc_id, list_sort(list_distinct([1900 + doc_id % 150, 1950 + doc_id % 40])).list_filter(lambda x: x BETWEEN 1940 AND 2030) AS years, CAST(1900 + doc_id % 150 AS INT) AS first_year FROM y")
+ERAS = {"nicht aus": (1950, 1952), "license": (1998, 1999)}
+_years = "list_transform(list_filter(regexp_extract_all(t, '\\d+'), lambda x: length(x) = 4 AND x BETWEEN '1800' AND '2099'), lambda x: x::BIGINT)"
+
+
+@query("p13_p14_years", rf"""WITH y AS (SELECT doc_id, concat_ws(' ', text, n_chars, 'of', 1900 + doc_id % 150, source) AS t FROM documents)
+ SELECT doc_id, list_sort(list_distinct(list_filter({_years} || CASE WHEN contains(t, 'nicht aus') THEN [1950::BIGINT, 1951, 1952] ELSE [] END || CASE WHEN contains(t, 'license') THEN [1998::BIGINT, 1999] ELSE [] END, lambda x: x BETWEEN 1940 AND 2030))) AS years, TRY_CAST(regexp_extract(t, '(?:1[89]|20)\d\d') AS INT) AS first_year FROM y""")
 def _(s, d):
-    t = F.concat((1900 + F.col("doc_id") % 150).cast("string"), F.lit(" and "), (1950 + F.col("doc_id") % 40).cast("string"))
-    return table(s, d, "documents").select("doc_id", F.transform(tx.extract_years(t, 1940, 2030), lambda y: y.cast("long")).alias("years"), tx.first_year(t).alias("first_year"))
+    """Years named in the whole text and its description, and the years of eras named there."""
+    t = F.concat_ws(" ", "text", F.col("n_chars").cast("string"), F.lit("of"), (1900 + F.col("doc_id") % 150).cast("string"), "source")
+    return table(s, d, "documents").select("doc_id", F.transform(tx.extract_years(t, 1940, 2030, ERAS), lambda y: y.cast("long")).alias("years"), tx.first_year(t).alias("first_year"))
 
 
 @query("p15_p16_p17_periods", sql("SELECT year, five_year_bin, CASE WHEN year BETWEEN 1946 AND 1987 THEN 'early' WHEN year BETWEEN 1987 AND 2001 THEN 'middle' WHEN year BETWEEN 2002 AND 2025 THEN 'late' ELSE 'unknown' END AS phase, (period = '1987_2015' OR year BETWEEN 1990 AND 1995) AS wanted, count(*) AS n FROM ev GROUP BY ALL", EV))
@@ -119,6 +224,13 @@ def _(s, d):
     return table(s, d, "part").select("p_partkey", tx.normalize_brand(F.concat(F.lit("_ "), F.col("p_brand"), F.lit(" batch 7 /"))).alias("brand"), tx.split_markers(F.concat_ws(";", "p_type", F.lit(" "), "p_name")).alias("markers"), tx.contains_any(F.col("p_name"), ["ring"]).alias("carries"))
 
 
+@query("p26_marker_present", "SELECT p_partkey, trim(concat_ws('', CASE WHEN p_size % 3 = 0 THEN p_name END, CASE WHEN p_size % 5 = 0 THEN p_type END)) <> '' AS present, p_size % 3 = 0 AND contains(lower(p_brand), '#1') AS carries_context FROM part")
+def _(s, d):
+    """Whether one of two marker columns is filled, and whether the brand names the context where the first marker is."""
+    name, kind = F.when(F.col("p_size") % 3 == 0, F.col("p_name")).otherwise("  "), F.when(F.col("p_size") % 5 == 0, F.col("p_type"))
+    return table(s, d, "part").select("p_partkey", tx.marker_present(name, kind).alias("present"), (tx.marker_present(name) & tx.contains_any(F.col("p_brand"), ["#1"])).alias("carries_context"))
+
+
 @query("p20_cut", sql("SELECT bucket, count(*) AS n FROM (SELECT CASE WHEN weighted_binding > -0.01 AND weighted_binding <= 0.001 THEN 'zero' WHEN weighted_binding > 0.001 AND weighted_binding <= 0.5 THEN 'weak' WHEN weighted_binding > 0.5 AND weighted_binding <= 0.8 THEN 'middle' WHEN weighted_binding > 0.8 AND weighted_binding <= 1.2 THEN 'strong' END AS bucket FROM ev) GROUP BY bucket", EV))
 def _(s, d):
     return evidence(s, d).groupBy(tx.cut(F.col("weighted_binding"), ag.EDGES, ag.BUCKETS).alias("bucket")).agg(F.count("*").alias("n"))
@@ -129,6 +241,14 @@ def _(s, d):
     return evidence(s, d).select("attestation_id", "analysis_weight", "raw_binding", "weighted_binding")
 
 
+@query("p22_row_binding", sql("SELECT attestation_id, least(1, greatest(0, CASE WHEN attestation_id % 3 = 0 THEN raw_binding WHEN attestation_id % 3 = 1 THEN CASE WHEN wt > 0 AND weighted_binding <= wt THEN weighted_binding / wt ELSE weighted_binding END ELSE 0.5 * (target AND context)::INT + 0.25 * context::INT + 0.25 * (authority_level = 'primary')::INT END)) AS binding, CASE attestation_id % 3 WHEN 0 THEN 'explicit' WHEN 1 THEN 'deweighted' ELSE 'fallback' END AS mode FROM (SELECT *, CASE WHEN attestation_id % 2 = 0 THEN analysis_weight END AS wt FROM ev)", EV, "binding"))
+def _(s, d):
+    """Rows with a raw value, with a weighted one (half of them with its weight), and with flags alone."""
+    i, b = F.col("attestation_id"), lambda c: c.cast("double")
+    value, mode = rl.row_binding(F.when(i % 3 == 0, F.col("raw_binding")), F.when(i % 3 == 1, F.col("weighted_binding")), F.when(i % 2 == 0, F.col("analysis_weight")), b(F.col("target") & F.col("context")), b(F.col("context")), b(F.col("authority_level") == "primary"))
+    return evidence(s, d).select("attestation_id", value.alias("binding"), mode.alias("mode"))
+
+
 @query("p24_p27_provenance", "SELECT page_id, concat('CAP_', substr(sha1(concat_ws('|', url, page_id)), 1, 12)) AS capture_id, concat('SRC_', substr(sha1(url), 1, 10)) AS source_id, sha1(html) AS content_hash FROM pages")
 def _(s, d):
     return table(s, d, "pages").select("page_id", tx.stable_id("CAP_", 12, F.col("url"), F.col("page_id")).alias("capture_id"), tx.stable_id("SRC_", 10, F.col("url")).alias("source_id"), tx.content_hash(F.col("html")).alias("content_hash"))
@@ -178,12 +298,20 @@ def _(s, d):
     return evidence(s, d).select("attestation_id", "family", "marker_frame", "discourse_frame")
 
 
-@query("l08_l09_l12_buckets", sql("SELECT source_type, CASE WHEN source_type IN ('personal_blog', 'review_platform') THEN 'consumer_or_ugc' WHEN source_type LIKE 'official%' THEN 'merchant_or_platform' ELSE 'other_voice' END AS voice, CASE WHEN source_type IN ('newspaper_archive', 'advertisement') THEN 'archive' WHEN source_type = 'official_tourism_profile' THEN 'retrospective' WHEN source_type IN ('personal_blog', 'review_platform') THEN 'blog' ELSE 'other' END AS bucket, count(*) AS n FROM ev GROUP BY ALL", EV))
+@query("l08_l12_buckets", sql("SELECT source_type, CASE WHEN source_type IN ('personal_blog', 'review_platform') THEN 'consumer_or_ugc' WHEN source_type LIKE 'official%' THEN 'merchant_or_platform' ELSE 'other_voice' END AS voice, CASE WHEN source_type = 'newspaper_archive' THEN 'archive' WHEN source_type = 'official_tourism_profile' THEN 'retrospective' WHEN source_type IN ('personal_blog', 'review_platform') THEN 'blog' ELSE 'other' END AS bucket, count(*) AS n FROM ev GROUP BY ALL", EV))
 def _(s, d):
     df = evidence(s, d).select("source_type", rl.platform_voice(F.col("source_type")).alias("voice"), rl.source_bucket(F.col("source_type")).alias("bucket"))
     return df.groupBy("source_type", "voice", "bucket").agg(F.count("*").alias("n"))
 
 
+ITEMS = [("core", ["thing", "night"]), ("negation", ["nicht"]), ("doubled", ["queque", "ouaux"])]
+
+
+@query("l09_item_type", sql("SELECT attestation_id, CASE WHEN contains(t, 'thing') OR contains(t, 'night') THEN 'core' WHEN contains(t, 'nicht') THEN 'negation' WHEN contains(t, 'queque') OR contains(t, 'ouaux') THEN 'doubled' WHEN trim(t) <> '' THEN 'other' ELSE 'unknown' END AS item_type FROM (SELECT attestation_id, lower(coalesce(original_text, '')) AS t FROM att)", ATT))
+def _(s, d):
+    return attestations(s, d).select("attestation_id", rl.item_type(F.col("original_text"), ITEMS).alias("item_type"))
+
+
 @query("l10_l11_authority", sql("SELECT source_type, authority_level, CASE authority_level WHEN 'tertiary' THEN 'blog/review/social retrospective source' WHEN 'primary' THEN 'dated archive/newspaper/registry-like source' ELSE 'official/media curated narrative source' END AS reason, CASE WHEN source_type IN ('newspaper_archive', 'advertisement') THEN 'primary' ELSE 'secondary' END AS inferred, count(*) AS n FROM ev GROUP BY ALL", EV))
 def _(s, d):
     st_ = F.col("source_type")
@@ -191,11 +319,15 @@ def _(s, d):
     return evidence(s, d).select("source_type", level.alias("authority_level"), why.alias("reason"), rl.infer_authority(F.lit(""), st_, F.lit("")).alias("inferred")).groupBy("source_type", "authority_level", "reason", "inferred").agg(F.count("*").alias("n"))
 
 
+# rules' names, least score, score to stay below, decision
+DECISIONS = [(["official", "capital"], 70, None, "capital"), (["third_place_weak_signal"], 45, None, "intermediary"), (["theme_branding_only"], None, 70, "themed")]
+
+
 @query("l13_rule_score", "WITH r AS (SELECT p_partkey, (CASE WHEN p_type = 'ECONOMY' THEN 45 ELSE 0 END) + (CASE WHEN p_size > 25 THEN 35 ELSE 0 END) + (CASE WHEN contains(p_name, 'red') THEN 10 ELSE 0 END) + (CASE WHEN contains(p_name, 'small') THEN 15 ELSE 0 END) AS score, list_filter([CASE WHEN p_type = 'ECONOMY' THEN 'official_type' END, CASE WHEN p_size > 25 THEN 'capital_size' END, CASE WHEN contains(p_name, 'red') THEN 'third_place_weak_signal' END, CASE WHEN contains(p_name, 'small') THEN 'theme_branding_only' END], lambda x: x IS NOT NULL) AS fired FROM part) SELECT p_partkey, score, fired, CASE WHEN score >= 70 AND list_has_any(fired, ['official_type', 'capital_size']) THEN 'capital' WHEN list_contains(fired, 'third_place_weak_signal') AND score >= 45 THEN 'intermediary' WHEN list_contains(fired, 'theme_branding_only') AND score < 70 THEN 'themed' ELSE 'unknown' END AS decision FROM r")
 def _(s, d):
     rules = [(F.col("p_type") == "ECONOMY", 45, "official_type"), (F.col("p_size") > 25, 35, "capital_size"), (tx.contains_any(F.col("p_name"), ["red"]), 10, "third_place_weak_signal"), (tx.contains_any(F.col("p_name"), ["small"]), 15, "theme_branding_only")]
     score, fired = rl.rule_score(rules)
-    return table(s, d, "part").select("p_partkey", score.alias("score"), fired.alias("fired"), rl.decide_ownership(score, fired).alias("decision"))
+    return table(s, d, "part").select("p_partkey", score.alias("score"), fired.alias("fired"), rl.decide(score, fired, DECISIONS).alias("decision"))
 
 
 @query("l14_build_events", "SELECT concat('OWN_', lpad(CAST(p_partkey + 1 AS VARCHAR), 6, '0')) AS event_id, p_brand AS brand, CASE WHEN p_type = 'ECONOMY' THEN 'capital' WHEN contains(p_name, 'red') THEN 'intermediary' ELSE 'unknown' END AS category, coalesce(nullif(p_name, ''), p_type) AS evidence FROM part")
@@ -231,13 +363,21 @@ def _(s, d):
     return _stances(s, d).groupBy("conv_id").agg(F.count("*").alias("review_count"), rate(0).alias("no_mention_rate"), rate(1).alias("reproduction_rate"), rate(2, 3).alias("transformation_rate"), rate(4).alias("rejection_rate"))
 
 
-@query("l17_l20_l21_groups", sql("SELECT attestation_id, CASE WHEN target AND context THEN 'target' WHEN target THEN 'control_same_target_no_context' WHEN context AND list_has_any(ch, ['ment']) THEN 'control_context_other_target' END AS grp, CASE WHEN list_has_any(context_markers, ['license']) THEN 'legal' WHEN list_has_any(context_markers, ['tion', 'keit']) THEN 'noun' ELSE 'none' END AS evidence FROM ev", EV))
+@query("l17_l20_groups", sql("SELECT attestation_id, CASE WHEN target AND context THEN 'target' WHEN target THEN 'control_same_target_no_context' WHEN context AND list_has_any(ch, ['ment']) THEN 'control_context_other_target' END AS grp, CASE WHEN list_has_any(context_markers, ['license']) THEN 'legal' WHEN list_has_any(context_markers, ['tion', 'keit']) THEN 'noun' ELSE 'none' END AS evidence FROM ev", EV))
 def _(s, d):
     df = attestations(s, d)
     _, found = lx.count_terms(F.col("original_text"), CONTEXT)
     return df.select("attestation_id", rl.experimental_group(F.col("original_text"), TARGET, CONTEXT, ["ment"]).alias("grp"), rl.evidence_type(found, [("legal", ["license"]), ("noun", ["tion", "keit"])], "none").alias("evidence"))
 
 
+@query("l21_target_controls", sql("SELECT attestation_id, kind, CASE WHEN kind = 'target_positive' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS target_binding FROM (SELECT attestation_id, CASE WHEN regexp_matches(lower(original_text), 'thing|nicht') THEN 'target_positive' ELSE 'target_absent_with_context' END AS kind FROM att WHERE corridor = 'es' OR contains(lower(original_text), 'tion') OR contains(lower(original_text), 'keit'))", ATT))
+def _(s, d):
+    """Rows with a context marker or a context word, and whether the target is in their text."""
+    kind = rl.target_control(F.col("original_text"), F.when(F.col("corridor") == "es", F.lit("marked")), "thing|nicht", ["tion", "keit"])
+    rows = attestations(s, d).select("attestation_id", kind.alias("kind")).where("kind is not null")
+    return rows.withColumn("target_binding", F.when(F.col("kind") == "target_positive", 1.0).otherwise(0.0))
+
+
 @query("l18_l19_j05_categories", f"""WITH {PC}, p AS (SELECT conv_id, list_filter(['tion', 'keit', 'ment', 'anea'], lambda x: contains(lower(text), x)) AS f FROM producers),
  pc AS (SELECT conv_id, CASE WHEN len(f) >= 2 THEN 'multiple_markers' WHEN len(f) = 0 THEN 'no_marker' WHEN f[1] = 'anea' THEN 'nostalgia_marker' WHEN f[1] = 'tion' THEN 'style_marker' ELSE 'explicit_marker' END AS producer FROM p)
  SELECT producer, CASE WHEN regexp_matches(lower(text), 'tion|keit|ment|anea') AND producer <> 'no_marker' THEN 'reproduces' WHEN regexp_matches(lower(text), 'tion|keit|ment|anea') THEN 'adds_new' WHEN regexp_matches(lower(text), 'the|und') THEN 'converted_to_value' ELSE 'ignored_or_unmarked' END AS response, count(*) AS rows FROM consumers JOIN pc USING (conv_id) GROUP BY ALL""")
@@ -264,10 +404,18 @@ def _(s, d):
     return rl.marker_issues(table(s, d, "part"), "p_partkey", ["p_name", "p_brand"], 8, 12, "#")
 
 
-@query("l25_sensitive_scan", r"""WITH k AS (SELECT doc_id, unnest(['email', 'url', 'path']) AS kind, unnest([regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}'), regexp_extract_all(text, 'https?://[^\s"''<>]+'), regexp_extract_all(text, '/(?:home|Users|root)/[A-Za-z0-9._/-]+')]) AS f FROM documents),
- h AS (SELECT doc_id, kind, unnest(f) AS hit, unnest(generate_series(0, len(f) - 1)) AS hit_no FROM k WHERE len(f) > 0) SELECT doc_id, kind, CAST(hit_no AS INT) AS hit_no, concat(substr(hit, 1, 3), '***') AS redacted, CAST(length(hit) AS INT) AS hit_length FROM h""")
+_rx = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "url": r"https?://[^\s\"'<>]+".replace('\\"', '"').replace("'", "''"), "path": r"/(?:home|Users|root)/[A-Za-z0-9._/-]+", "term": "(?i)license"}
+_redact = "substr(text, greatest(p0 - 60, 0) + 1, least(p0 + n0 + 60, length(text)) - greatest(p0 - 60, 0))"
+for _k, _p in _rx.items():
+    _redact = f"regexp_replace({_redact}, '{_p}', '<redacted:{_k}>', 'g')"
+_found = " UNION ALL ".join(f"SELECT doc_id, text, {n} AS no, '{k}' AS kind, string_split_regex(text, '{p}') AS p, regexp_extract_all(text, '{p}') AS m FROM documents" for n, (k, p) in enumerate(_rx.items()))
+
+
+@query("l25_sensitive_scan", rf"""WITH f AS ({_found}), g AS (SELECT doc_id, text, no, kind, p, m, unnest(generate_series(1, len(m))) AS i FROM f WHERE len(m) > 0),
+ h AS (SELECT doc_id, text, kind, no, i, CAST(list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS INT) AS p0, length(m[i]) AS n0 FROM g)
+ SELECT doc_id, kind, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY no, i) - 1 AS INT) AS hit_no, CAST(n0 AS INT) AS hit_length, trim(regexp_replace({_redact}, '\s+', ' ', 'g')) AS snippet FROM h""")
 def _(s, d):
-    return rl.sensitive_scan(table(s, d, "documents"), "doc_id", "text")
+    return rl.sensitive_scan(table(s, d, "documents"), "doc_id", "text", terms=["license"])
 
 
 QUOTAS = [("Q1", "en", 1946, 1969, 120), ("Q2", "en", 1965, 1999, 150), ("Q3", "de", 1946, 1999, 60), ("Q4", "fr", 1946, 2025, 90), ("Q5", "xx", 1946, 2025, 10)]
@@ -286,10 +434,13 @@ def _(s, d):
     return _quota_rows(s, d)[0].select("attestation_id", "quota_id")
 
 
-@query("l27_l28_outlier_reasons", sql("SELECT CASE WHEN NOT target AND NOT context THEN 'no_markers' WHEN target AND NOT context THEN 'target_without_context' WHEN context AND NOT target THEN 'context_without_target' WHEN authority_level = 'tertiary' THEN 'tertiary_source' WHEN novelty < 0.3 THEN 'low_novelty' ELSE 'other' END AS reason, count(*) AS rows FROM ev WHERE verification_level IN ('verified', 'probable') GROUP BY 1", EV))
+_reason = "CASE WHEN raw_binding <= 0 AND target AND NOT context THEN 'target_without_context' WHEN raw_binding <= 0 AND context AND NOT target THEN 'context_without_target' WHEN raw_binding <= 0 THEN 'no_binding_control' WHEN weighted_binding <= {} THEN 'positive_but_low_weight' ELSE 'not_outlier' END"
+
+
+@query("l27_l28_outlier_reasons", sql(f"SELECT {_reason.format(0.4)} AS reason, count(*) AS rows FROM ev WHERE verification_level IN ('verified', 'probable') GROUP BY 1", EV))
 def _(s, d):
     c = F.col
-    return rl.usable(evidence(s, d)).groupBy(rl.outlier_reason(c("target"), c("context"), c("authority_level"), c("novelty")).alias("reason")).agg(F.count("*").alias("rows"))
+    return rl.usable(evidence(s, d)).groupBy(rl.outlier_reason(c("raw_binding"), c("weighted_binding"), c("target"), c("context"), 0.4).alias("reason")).agg(F.count("*").alias("rows"))
 
 
 @query("l29_unresolved_alerts", "SELECT event_id FROM events WHERE event_type = 'error' AND user_id % 3 <> 0 AND value > 50")
@@ -371,7 +522,9 @@ def _(s, d):
 
 # aggregations
 def _metrics(name: str, keys: list[str]) -> None:
-    query(name, sql(f"SELECT {', '.join(keys)}, {METRICS} FROM ev GROUP BY {', '.join(keys)}", EV, METRIC_DOUBLES))(lambda s, d: ag.group_metrics(evidence(s, d), keys))
+    voiced = EV + ", vo AS (SELECT *, CASE WHEN source_type IN ('personal_blog', 'review_platform') THEN 'consumer_or_ugc' WHEN source_type LIKE 'official%' THEN 'merchant_or_platform' ELSE 'other_voice' END AS voice FROM ev)"
+    rows = lambda s, d: evidence(s, d).withColumn("voice", rl.platform_voice(F.col("source_type")))
+    query(name, sql(f"SELECT {', '.join(keys)}, {METRICS} FROM vo GROUP BY {', '.join(keys)}", voiced, METRIC_DOUBLES))(lambda s, d: ag.group_metrics(rows(s, d), keys))
 
 
 _metrics("a01_a02_a03_group_metrics", ["period", "corridor"])
@@ -379,19 +532,21 @@ _metrics("a04_propagation_cube", ["period", "five_year_bin", "corridor", "family
 _metrics("a53_authority_source_metrics", ["authority_level", "source_type"])
 
 
-@query("a05_binding_index", sql("SELECT period, corridor, count(*) AS rows, avg(target::INT * context::INT) AS lexical_index, avg(context::INT) AS branding_index, avg((authority_level = 'primary')::INT) AS ownership_index, 0.5 * avg(target::INT * context::INT) + 0.25 * avg(context::INT) + 0.25 * avg((authority_level = 'primary')::INT) AS historical_index FROM ev GROUP BY period, corridor", EV, "lexical_index branding_index ownership_index historical_index"))
+FLAGS = EV + ", " + OWN + ", fl AS (SELECT ev.*, coalesce(own.ownership_category, '') AS ownership_category, (target AND context)::INT::DOUBLE AS lexical, (context AND contains(ev.brand, 'brand_1'))::INT::DOUBLE AS branding, (coalesce(own.ownership_category, '') = 'economy')::INT::DOUBLE AS ownership FROM ev LEFT JOIN own ON own.brand = lower(ev.brand))"
+
+
+@query("a05_binding_index", sql("SELECT period, corridor, count(*) AS rows, avg(lexical) AS lexical_index, avg(branding) AS branding_index, avg(ownership) AS ownership_index, 0.5 * avg(lexical) + 0.25 * avg(branding) + 0.25 * avg(ownership) AS historical_index FROM fl GROUP BY period, corridor", FLAGS, "lexical_index branding_index ownership_index historical_index"))
 def _(s, d):
     return ag.binding_index(_flags(s, d), ["period", "corridor"])
 
 
 def _flags(s, d):
-    b = lambda c: c.cast("double")
-    return evidence(s, d).withColumns({"lexical": b(F.col("target") & F.col("context")), "branding": b(F.col("context")), "ownership": b(F.col("authority_level") == "primary")})
+    return ag.binding_flags(evidence(s, d), ownership(s, d), ["brand_1"], "economy")
 
 
-@query("a06_adjusted_binding", sql("SELECT period, corridor, count(*) AS rows, avg(r) AS unweighted_index, sum(analysis_weight) AS effective_weight, sum(r * analysis_weight) / sum(analysis_weight) AS weighted_index, sum(r * analysis_weight) / sum(analysis_weight) - avg(r) AS delta FROM (SELECT *, 0.5 * (target AND context)::INT + 0.25 * context::INT + 0.25 * (authority_level = 'primary')::INT AS r FROM ev) GROUP BY period, corridor", EV, "unweighted_index effective_weight weighted_index delta"))
+@query("a06_adjusted_binding", sql("SELECT period, corridor, count(*) AS rows, avg(r) AS unweighted_index, sum(analysis_weight) AS effective_weight, sum(r * analysis_weight) / sum(analysis_weight) AS weighted_index, sum(r * analysis_weight) / sum(analysis_weight) - avg(r) AS delta FROM (SELECT *, 0.5 * lexical + 0.25 * branding + 0.25 * ownership AS r FROM fl WHERE verification_level <> 'candidate') GROUP BY period, corridor", FLAGS, "unweighted_index effective_weight weighted_index delta"))
 def _(s, d):
-    return ag.adjusted_binding(_flags(s, d), ["period", "corridor"])
+    return ag.adjusted_binding(rl.usable(_flags(s, d)), ["period", "corridor"])
 
 
 @query("a07_a56_weighted_mean_by", sql(f"SELECT CAST(year AS VARCHAR) AS year, corridor, count(*) AS rows, sum(analysis_weight) AS weight_sum, {IDX} AS index FROM ev GROUP BY ALL", EV, "weight_sum index"))
@@ -399,11 +554,24 @@ def _(s, d):
     return ag.weighted_mean_by(evidence(s, d), ["year", "corridor"])
 
 
+@query("a56_control_index", sql(f"SELECT period, corridor, control_type, count(*) AS rows, sum(analysis_weight) AS weight_sum, {IDX} AS index FROM (SELECT *, CASE WHEN target THEN 'target_positive' ELSE 'target_absent_with_context' END AS control_type FROM ev WHERE context) GROUP BY ALL", EV, "weight_sum index"))
+def _(s, d):
+    """The index of L21's groups: rows with a context marker, by whether they name the target."""
+    kind = rl.target_control(F.array_join("target_markers", " "), F.array_join("context_markers", " "), "\\S", [])
+    return ag.weighted_mean_by(evidence(s, d).withColumn("control_type", kind).where("control_type is not null"), ["period", "corridor", "control_type"])
+
+
 @query("a08_a09_semantic_summary", sql("SELECT period, corridor, source_type, count(*) AS rows, avg((target AND context)::INT) AS binding_rate, avg(novelty) AS mean_novelty, avg(confidence_score) AS mean_confidence_score FROM ev GROUP BY period, corridor, source_type", EV, "binding_rate mean_novelty mean_confidence_score"))
 def _(s, d):
     return ag.semantic_summary(evidence(s, d).withColumn("binding_present", F.col("target") & F.col("context")), ["period", "corridor", "source_type"], ["novelty", "confidence_score"])
 
 
+@query("a09_ownership_summary", sql("SELECT period, corridor, CASE WHEN ownership_category = '' THEN 'unknown' ELSE ownership_category END AS ownership_category, count(*) AS rows, avg((target AND context)::INT) AS binding_rate, avg(novelty) AS mean_novelty, avg(confidence_score) AS mean_confidence_score FROM fl GROUP BY ALL", FLAGS, "binding_rate mean_novelty mean_confidence_score"))
+def _(s, d):
+    rows = _flags(s, d).withColumns({"binding_present": F.col("target") & F.col("context"), "ownership_category": F.coalesce("ownership_category", F.lit("unknown"))})
+    return ag.semantic_summary(rows, ["period", "corridor", "ownership_category"], ["novelty", "confidence_score"])
+
+
 @query("a12_spatial_indices", sql("SELECT brand, min(year) AS first_year, sum(CASE WHEN NOT coastal THEN open_count ELSE 0 END) / sum(open_count) AS inland_penetration, max(c) / sum(open_count) AS gateway_concentration FROM pres JOIN (SELECT brand, max(o) AS c FROM (SELECT brand, city, sum(open_count) AS o FROM pres GROUP BY ALL) GROUP BY brand) USING (brand) GROUP BY brand", PRES, "inland_penetration gateway_concentration"))
 def _(s, d):
     cells = presence(s, d).groupBy("brand", "city", "coastal").agg(F.sum("open_count").alias("o"), F.min("year").alias("y"))
@@ -464,26 +632,39 @@ def _(s, d):
     return ag.control_density(evidence(s, d).withColumn("kind", kind), "corridor", "kind", ["target", "control_a", "control_b"], "target")
 
 
-@query("a22_a23_transfer_funnel", f"WITH {STANCE} SELECT unnest([0, 1, 2, 3]) AS step, unnest(['reviews', 'mentions', 'reproduces', 'rejects']) AS stage, unnest([count(*), count(*) FILTER (stance > 0), count(*) FILTER (stance = 1), count(*) FILTER (stance = 4)]) AS rows FROM st")
+@query("a22_a23_transfer_funnel", f"""WITH {PC}, p AS (SELECT conv_id, len(list_filter(['tion', 'keit', 'ment', 'anea'], lambda x: contains(lower(text), x))) > 0 AS marked FROM producers), r AS (SELECT conv_id, regexp_matches(lower(text), 'tion|keit|ment|anea') AS again FROM consumers),
+ c AS (SELECT (SELECT count(*) FROM p) AS a, (SELECT count(*) FROM p WHERE marked) AS b, (SELECT count(*) FROM r JOIN p USING (conv_id) WHERE marked) AS c, (SELECT count(*) FROM r JOIN p USING (conv_id) WHERE marked AND again) AS d)
+ SELECT unnest([0, 1, 2, 3]) AS step, unnest(['producer_records', 'producers_with_marker', 'reviews_of_marked_producers', 'reviews_that_reproduce']) AS stage, unnest([a, b, c, d]) AS rows FROM c""")
 def _(s, d):
-    c = F.col("stance")
-    return ag.funnel(_stances(s, d), [("reviews", F.lit(True)), ("mentions", c > 0), ("reproduces", c == 1), ("rejects", c == 4)])
+    """How many producers use the marker, and how many of their reviews take it up."""
+    w = STANCE_WORDS["context"]
+    prod = producers(s, d).select("conv_id", rl.producer_category(F.col("text"), w, "anea", "tion").alias("producer"))
+    rev = consumers(s, d).join(prod, "conv_id").select("producer", rl.response_category(F.col("text"), F.col("producer"), w, ["the", "und"]).alias("response"))
+    rows = prod.select("producer", F.lit(None).cast("string").alias("response")).unionByName(rev)
+    own, marked = F.col("response").isNull(), F.col("producer") != "no_marker"
+    return ag.funnel(rows, [("producer_records", own), ("producers_with_marker", own & marked), ("reviews_of_marked_producers", ~own & marked), ("reviews_that_reproduce", ~own & marked & (F.col("response") == "reproduces"))])
 
 
-CRED = EV + """, cr AS (SELECT ev.*, count(DISTINCT source_ref) OVER (PARTITION BY brand, year) AS cs FROM ev), cred AS (SELECT *, least(1, greatest(0, (cs - 1) / 3.0::DOUBLE)) AS corroboration,
- least(1, greatest(0, 0.35::DOUBLE * verification + 0.25::DOUBLE * authority_weight + 0.20::DOUBLE * novelty + 0.10::DOUBLE * confidence_score + 0.10::DOUBLE * least(1, greatest(0, (cs - 1) / 3.0::DOUBLE)))) AS credibility FROM cr)"""
+@query("a22_flow_matrix", f"""WITH {STANCE} SELECT stance, len(p) > 0 AS marked_producer, count(*) AS rows FROM (SELECT st.stance, coalesce(h.p, []) AS p FROM st JOIN h ON h.conv_id = st.conv_id AND h.turn = st.turn) GROUP BY ALL""")
+def _(s, d):
+    prod = producers(s, d).select("conv_id", (F.size(lx.hits(F.col("text"), STANCE_WORDS["context"])) > 0).alias("marked_producer"))
+    return _stances(s, d).join(prod, "conv_id", "left").groupBy("stance", F.coalesce("marked_producer", F.lit(False)).alias("marked_producer")).agg(F.count("*").alias("rows"))
+
+
+CRED = EV + """, cr AS (SELECT ev.*, c.cs, c.n AS corroborating_rows FROM ev JOIN (SELECT brand, year, period, count(DISTINCT source_ref) AS cs, count(*) AS n FROM ev GROUP BY brand, year, period) c ON c.brand = ev.brand AND c.year = ev.year AND c.period = ev.period), c1 AS (SELECT *, least(1, 0.35::DOUBLE * greatest(cs - 1, 0)) AS corroboration FROM cr),
+ cred AS (SELECT *, least(1, greatest(0, 0.35::DOUBLE * verification + 0.25::DOUBLE * authority_weight + 0.20::DOUBLE * novelty + 0.10::DOUBLE * confidence_score + 0.10::DOUBLE * corroboration)) AS credibility FROM c1), cb AS (SELECT *, CASE WHEN credibility >= 0.75 THEN 'strong' WHEN credibility >= 0.65 THEN 'good' WHEN credibility >= 0.5 THEN 'moderate' ELSE 'low' END AS band FROM cred)"""
 
 
 def _credibility(s, d):
-    return ag.credibility(ag.corroboration(evidence(s, d), ["brand", "year"]).withColumn("authority", F.col("authority_weight")))
+    return ag.credibility(ag.corroboration(evidence(s, d), ["brand", "year", "period"]).withColumn("authority", F.col("authority_weight")))
 
 
-@query("a24_a25_credibility", sql("SELECT attestation_id, cs AS corroborating_sources, credibility, CASE WHEN credibility >= 0.75 THEN 'high' WHEN credibility >= 0.65 THEN 'medium_high' WHEN credibility >= 0.5 THEN 'medium' ELSE 'low' END AS band FROM cred", CRED, "credibility"))
+@query("a24_a25_credibility", sql("SELECT attestation_id, cs AS corroborating_sources, corroborating_rows, corroboration, credibility, band FROM cb", CRED, "corroboration credibility"))
 def _(s, d):
-    return _credibility(s, d).select("attestation_id", "corroborating_sources", "credibility", "band")
+    return _credibility(s, d).select("attestation_id", "corroborating_sources", "corroborating_rows", "corroboration", "credibility", "band")
 
 
-@query("a26_credibility_summary", sql("SELECT count(*) AS rows, avg(credibility) AS mean, median(credibility) AS median, stddev_pop(credibility) AS stdev, avg((credibility >= 0.75)::INT) AS high_ratio, avg((credibility < 0.5)::INT) AS low_ratio, avg(verification) AS mean_verification, avg(authority_weight) AS mean_authority, avg(novelty) AS mean_novelty, avg(corroboration) AS mean_corroboration FROM cred", CRED, "mean median stdev high_ratio low_ratio mean_verification mean_authority mean_novelty mean_corroboration"))
+@query("a26_credibility_summary", sql("SELECT count(*) AS rows, avg(credibility) AS mean, median(credibility) AS median, stddev_pop(credibility) AS stdev, avg((credibility >= 0.7)::INT) AS high_ratio, avg((credibility < 0.5)::INT) AS low_ratio, count(*) FILTER (band = 'strong') AS strong_rows, count(*) FILTER (band = 'good') AS good_rows, count(*) FILTER (band = 'moderate') AS moderate_rows, count(*) FILTER (band = 'low') AS low_rows, avg(verification) AS mean_verification, avg(authority_weight) AS mean_authority, avg(novelty) AS mean_novelty, avg(confidence_score) AS mean_confidence_score, avg(corroboration) AS mean_corroboration FROM cb", CRED, "mean median stdev high_ratio low_ratio mean_verification mean_authority mean_novelty mean_confidence_score mean_corroboration"))
 def _(s, d):
     return ag.credibility_summary(_credibility(s, d))
 
@@ -491,25 +672,31 @@ def _(s, d):
 PHASES = [("1946_1987", 400), ("1987_2015", 400), ("2015_2025", 150), ("2026_2030", 10)]
 
 
+EXPECTED = ["es", "pt", "xx"]
+
+
 def _health(s, d):
-    phases = s.createDataFrame(PHASES, "phase string, target int")
-    brands = table(s, d, "part").select(F.regexp_replace(F.lower("p_brand"), "#", "_").alias("brand")).distinct()
-    return ag.corpus_health(evidence(s, d).withColumn("phase", F.col("period")), phases, brands)
+    return ag.corpus_health(evidence(s, d), ownership(s, d), searches(s, d), EXPECTED)
 
 
-HEALTH = EV + """, ph AS (SELECT * FROM (VALUES ('1946_1987', 400), ('1987_2015', 400), ('2015_2025', 150), ('2026_2030', 10)) t(phase, target)),
- h1 AS (SELECT 100 * avg(least(coalesce(n, 0) / target, 1.0)) AS phase_coverage FROM ph LEFT JOIN (SELECT period, count(*) AS n FROM ev GROUP BY period) ON period = phase),
- h2 AS (SELECT 100 * avg((b IN (SELECT lower(brand) FROM ev))::INT) AS brand_coverage FROM (SELECT DISTINCT replace(lower(p_brand), '#', '_') AS b FROM part)),
- h3 AS (SELECT 100 * least(count(DISTINCT source_ref) / (count(*) * 0.25), 1.0) AS source_diversity, 100 * least(count(DISTINCT corridor) / 8.0, 1.0) AS geographic_diversity, 100 * least(count(DISTINCT source_type) / 8.0, 1.0) AS type_diversity, 100 * avg((verification_level IN ('verified', 'probable'))::INT) AS verification, 100 * (1 - (count(*) - count(DISTINCT dedupe_key)) / count(*)) AS uniqueness, 100 * avg((source_ref IS NOT NULL)::INT) AS reproducibility FROM ev),
- hh AS (SELECT *, phase_coverage * 0.2 + source_diversity * 0.15 + geographic_diversity * 0.1 + type_diversity * 0.1 + verification * 0.2 + uniqueness * 0.1 + reproducibility * 0.1 + brand_coverage * 0.05 AS health_score FROM h3, h1, h2)"""
+EFFORT = f"""{SEARCHES}, us AS (SELECT * FROM ev WHERE verification_level IN ('verified', 'probable')), ec AS (SELECT unnest(['es', 'pt', 'xx']) AS corridor), pc AS (SELECT corridor, count(*) AS n FROM us GROUP BY corridor),
+ ef AS (SELECT coalesce(ec.corridor, pc.corridor) AS corridor, coalesce(n, 0) AS usable_records, coalesce(ec.corridor, pc.corridor) IN (SELECT corridor FROM neg) AS has_search_log FROM ec FULL JOIN pc ON pc.corridor = ec.corridor WHERE ec.corridor IS NOT NULL OR n < 30)"""
+HEALTH = EV + ", " + OWN + ", " + EFFORT + """,
+ g1 AS (SELECT count(*) AS n, count(*) FILTER (period = '1946_1987') AS a, count(*) FILTER (period = '1987_2015') AS b, count(*) FILTER (period = '2015_2025') AS c, count(DISTINCT source_ref) AS sources, count(*) FILTER (confidence = 'low') AS low, count(source_ref) AS refs, count(DISTINCT corridor) AS corridors FROM us),
+ g2 AS (SELECT sum(n) AS rows, count(*) AS keys, count(*) FILTER (n > 1) AS split_artifact_groups FROM (SELECT count(*) AS n FROM us GROUP BY source_ref, year, brand)), g3 AS (SELECT 100 * max(n) / sum(n) AS top FROM (SELECT count(*) AS n FROM us GROUP BY source_type)),
+ g4 AS (SELECT 100 * avg((b IN (SELECT brand FROM own))::INT) AS ownership_matching_rate FROM (SELECT DISTINCT lower(brand) AS b FROM us)), g5 AS (SELECT 100 * avg((ownership_category <> 'unknown')::INT) AS ownership_completeness FROM own), g6 AS (SELECT 100 * avg(has_search_log::INT) AS negative_search_effort FROM ef), g7 AS (SELECT min(n) AS least_corridor FROM pc),
+ h1 AS (SELECT n AS usable_records, sources AS unique_sources, least(100, 100 * a / 700) AS p1, least(100, 100 * b / 750) AS p2, least(100, 100 * c / 300) AS p3, least(100, 100 * sources / 300) AS source_coverage, least(100, 100 * corridors / 12) AS geographic_coverage, 100 - greatest(0, top - 40) AS source_type_diversity, 100 * n / (SELECT count(*) FROM ev) AS verification_quality,
+   100 * (rows - keys) / rows AS duplicate_rate, split_artifact_groups, ownership_completeness, ownership_matching_rate, negative_search_effort, 100 * low / n AS low_confidence_probable_rate, 100 * refs / n AS reproducibility, least_corridor FROM g1, g2, g3, g4, g5, g6, g7),
+ hh AS (SELECT *, 0.2 * p1 + 0.15 * p2 + 0.1 * p3 + 0.15 * source_coverage + 0.1 * geographic_coverage + 0.1 * source_type_diversity + 0.1 * verification_quality + 0.05 * (100 - duplicate_rate) + 0.05 * ownership_completeness + 0.05 * reproducibility AS health_score,
+   CASE WHEN least(p1, p2, p3) >= 90 AND verification_quality >= 85 AND duplicate_rate < 10 THEN 'A' WHEN least(p1, p2, p3) >= 70 AND verification_quality >= 75 AND duplicate_rate < 15 THEN 'B' WHEN least(p1, p2, p3) >= 40 AND verification_quality >= 60 AND duplicate_rate < 25 THEN 'C' WHEN verification_quality < 40 THEN 'F' ELSE 'D' END AS grade FROM h1)"""
 
 
-@query("a27_corpus_health", sql("SELECT source_diversity, geographic_diversity, type_diversity, verification, uniqueness, reproducibility, phase_coverage, brand_coverage, health_score, CASE WHEN health_score >= 90 THEN 'A' WHEN health_score >= 80 THEN 'B' WHEN health_score >= 70 THEN 'C' WHEN health_score >= 60 THEN 'D' ELSE 'F' END AS grade FROM hh", HEALTH, "source_diversity geographic_diversity type_diversity verification uniqueness reproducibility phase_coverage brand_coverage health_score"))
+@query("a27_corpus_health", sql('SELECT health_score, grade, usable_records, unique_sources, verification_quality, duplicate_rate, split_artifact_groups, low_confidence_probable_rate, ownership_completeness, ownership_matching_rate, negative_search_effort, source_coverage, geographic_coverage, source_type_diversity, reproducibility, least_corridor, p1 AS "1946_1987_coverage", p2 AS "1987_2015_coverage", p3 AS "2015_2025_coverage" FROM hh', HEALTH, 'health_score verification_quality duplicate_rate low_confidence_probable_rate ownership_completeness ownership_matching_rate negative_search_effort source_coverage geographic_coverage source_type_diversity reproducibility "1946_1987_coverage" "1987_2015_coverage" "2015_2025_coverage"'))
 def _(s, d):
     return _health(s, d)
 
 
-@query("a30_claim_flags", sql("SELECT health_score, health_score >= 60 AS descriptive_claims, health_score >= 75 AND phase_coverage >= 60 AS trend_claims, health_score >= 80 AND source_diversity >= 50 AND verification >= 70 AS comparative_claims, health_score >= 90 AND uniqueness >= 95 AS publication_ready FROM hh", HEALTH, "health_score"))
+@query("a30_claim_flags", sql("SELECT health_score, grade, grade IN ('A', 'B') AS macro_historical_claims, least_corridor >= 30 AS compare_regions, least(p1, p2, p3) >= 70 AS compare_periods, ownership_completeness >= 60 AND ownership_matching_rate >= 70 AS ownership_shift, p3 >= 60 AS platformization, grade IN ('A', 'B') AND health_score >= 70 AS quantitative_tables FROM hh", HEALTH, "health_score"))
 def _(s, d):
     return ag.claim_flags(_health(s, d))
 
@@ -520,19 +707,19 @@ def _(s, d):
     return jn.left_counts(phases, evidence(s, d).withColumn("phase", F.col("period")), ["phase"], [F.count("*").alias("rows")], ["rows"])
 
 
-@query("a29_negative_effort", sql("SELECT corridor, rows, coalesce(searches, 0) AS searches FROM (SELECT corridor, count(*) AS rows FROM ev GROUP BY corridor HAVING count(*) < 140 UNION SELECT 'xx', 0) LEFT JOIN (SELECT corridor, count(*) AS searches FROM ev WHERE attestation_id % 10 = 0 GROUP BY corridor) USING (corridor)", EV))
+@query("a29_negative_effort", sql("SELECT corridor, usable_records, has_search_log, has_search_log AS absence_claim_allowed, 100 * avg(has_search_log::INT) OVER () AS effort FROM ef", EV + ", " + EFFORT, "effort"))
 def _(s, d):
-    df = evidence(s, d)
-    thin = df.groupBy("corridor").agg(F.count("*").alias("rows")).where("rows < 140").unionByName(s.createDataFrame([("xx", 0)], "corridor string, rows long"))
-    return jn.left_counts(thin, df.where("attestation_id % 10 = 0"), ["corridor"], [F.count("*").alias("searches")], ["searches"])
+    return ag.negative_effort(rl.usable(evidence(s, d)), searches(s, d), EXPECTED)
 
 
-@query("a31_transparency", sql("""SELECT *, 100 * (traceable * 0.2 + url_share * 0.15 + dated * 0.15 + verified * 0.15 + captured * 0.15 + searched_pairs * 0.1 + log_success * 0.1) AS transparency_score FROM
- (SELECT avg((source_ref IS NOT NULL)::INT) AS traceable, avg(regexp_matches(source_url, '^https?://')::INT) AS url_share, avg((year IS NOT NULL)::INT) AS dated, avg((verification_level = 'verified')::INT) AS verified FROM ev),
- (SELECT avg(h::INT) AS captured FROM (SELECT source_ref, bool_or(attestation_id % 3 = 0) AS h FROM ev GROUP BY 1)), (SELECT avg(h::INT) AS searched_pairs FROM (SELECT period, corridor, bool_or(attestation_id % 50 = 3) AS h FROM ev GROUP BY ALL)), (SELECT avg(ok::INT) AS log_success FROM log)""", EV + ", " + LOG, "traceable url_share dated verified captured searched_pairs log_success transparency_score"))
+@query("a31_transparency", sql("""SELECT *, 100 * (source_traceable * 0.2 + process_log_ref * 0.12 + harvest_log_available * 0.08 + raw_capture_exists * 0.15 + verification_recorded * 0.18 + notes_recorded * 0.07 + expected_pairs_searched * 0.1 + documentation * 0.1) AS transparency_score FROM
+ (SELECT avg((source_ref IS NOT NULL)::INT) AS source_traceable, avg((attestation_id % 5 < 3)::INT) AS process_log_ref, avg((verification_level NOT IN ('', 'unknown'))::INT) AS verification_recorded, avg((verification_level <> 'probable')::INT) AS notes_recorded, avg((attestation_id IN (SELECT page_id FROM pages))::INT) AS raw_capture_exists FROM ev), (SELECT (count(*) > 0)::INT::DOUBLE AS harvest_log_available FROM log),
+ (SELECT avg(((corridor, period) IN (SELECT (corridor, period) FROM neg))::INT) AS attested_pairs_searched FROM (SELECT DISTINCT corridor, period FROM ev)), (SELECT avg(((corridor, '1946_1987') IN (SELECT (corridor, period) FROM neg))::INT) AS expected_pairs_searched FROM (SELECT unnest(['en', 'de', 'xx']) AS corridor)), (SELECT 0.75::DOUBLE AS documentation)""", EV + ", " + LOG + ", " + SEARCHES, "source_traceable process_log_ref verification_recorded notes_recorded raw_capture_exists harvest_log_available attested_pairs_searched expected_pairs_searched documentation transparency_score"))
 def _(s, d):
-    df = evidence(s, d)
-    return ag.transparency(df, df.where("attestation_id % 3 = 0"), df.where("attestation_id % 50 = 3"), execution_log(s, d))
+    i = F.col("attestation_id")
+    df = evidence(s, d).withColumns({"log_ref": F.when(i % 5 < 3, F.concat(F.lit("H_"), i.cast("string"))).when(i % 5 == 3, "manual_entry"), "capture_id": i, "notes": F.when(F.col("verification_level") != "probable", "noted")})
+    expected = s.createDataFrame([(c, "1946_1987") for c in ("en", "de", "xx")], "corridor string, period string")
+    return ag.transparency(df, table(s, d, "pages").select(F.col("page_id").alias("capture_id")), searches(s, d), execution_log(s, d), expected, (True, True, False, True))
 
 
 @query("a32_quota_audit", sql("SELECT phase, target, coalesce(n, 0) AS rows, coalesce(n, 0) >= target AS full, coalesce(n, 0) * 2 >= target AS half FROM (VALUES ('1946_1987', 400), ('1987_2015', 400), ('2015_2025', 150), ('2026_2030', 10)) t(phase, target) LEFT JOIN (SELECT period, count(*) AS n FROM ev WHERE verification_level <> 'candidate' GROUP BY period) ON period = phase", EV))
@@ -549,52 +736,114 @@ def _(s, d):
 
 @query("a36_a37_outliers", sql("SELECT attestation_id, year, 'year' AS issue FROM ev WHERE NOT year BETWEEN 1950 AND 2020 UNION ALL SELECT attestation_id, year, CASE verification_level WHEN 'verified' THEN 'verified_low_confidence' ELSE 'probable_low_confidence' END FROM ev WHERE verification_level IN ('verified', 'probable') AND confidence_score <= 0.3 UNION ALL SELECT attestation_id, year, 'short' FROM ev WHERE text_length < 100", EV))
 def _(s, d):
-    df = evidence(s, d)
+    df = st.cut_lineage(evidence(s, d).select("attestation_id", "year", "verification_level", "confidence_score", "text_length"))
     cols = ["attestation_id", "year"]
     a = ag.year_outliers(df, 1950, 2020).select(*cols, F.lit("year").alias("issue"))
     return a.union(ag.confidence_mismatch(df).select(*cols, "issue")).union(df.where("text_length < 100").select(*cols, F.lit("short")))
 
 
-@query("a38_a57_w04_duplicates", sql("SELECT dedupe_key, count(*) AS rows, min(attestation_id) AS first_id FROM ev GROUP BY dedupe_key HAVING count(*) > 1", EV))
+ARTIFACT = ["source_ref", "period", "source_type"]
+EXACT = [*ARTIFACT, "corridor", "verification_level"]
+
+
+@query("a38_a57_w04_duplicates", sql("SELECT 'exact' AS kind, concat_ws('|', source_ref, period, source_type, corridor, verification_level) AS key, count(*) AS rows, min(attestation_id) AS first_id FROM ev GROUP BY ALL HAVING count(*) > 1 UNION ALL SELECT 'split', concat_ws('|', source_ref, period, source_type), count(*), min(attestation_id) FROM ev GROUP BY ALL HAVING count(*) > 1", EV))
 def _(s, d):
-    return ag.duplicate_groups(evidence(s, d), ["dedupe_key"])
+    """Groups that agree in all columns of a record, and groups of one artifact that is split over several records."""
+    df = st.cut_lineage(evidence(s, d).select("attestation_id", *EXACT))
+    part = lambda kind, keys: ag.duplicate_groups(df, keys).select(F.lit(kind).alias("kind"), F.concat_ws("|", *keys).alias("key"), "rows", "first_id")
+    return part("exact", EXACT).union(part("split", ARTIFACT))
 
 
-@query("a39_anomaly_report", sql("""SELECT k AS check, found, CASE WHEN found > 0 AND k IN ('untraceable', 'duplicate_rows') THEN 'critical' WHEN found > 0 THEN 'warning' ELSE 'ok' END AS severity FROM (SELECT unnest(['year_outliers', 'short_texts', 'verified_low_confidence', 'untraceable', 'duplicate_rows']) AS k,
- unnest([count(*) FILTER (NOT year BETWEEN 1950 AND 2020), count(*) FILTER (text_length < 100), count(*) FILTER (verification_level = 'verified' AND confidence_score <= 0.3), count(*) FILTER (source_ref IS NULL), count(*) - count(DISTINCT dedupe_key)]) AS found FROM ev)""", EV))
+@query("w04_a57_duplicate_rows", sql("SELECT attestation_id, group_rows, CAST(copy AS INT) AS copy FROM (SELECT attestation_id, count(*) OVER (PARTITION BY source_ref, period, source_type) AS group_rows, row_number() OVER (PARTITION BY source_ref, period, source_type ORDER BY attestation_id) AS copy FROM ev) WHERE copy > 1", EV))
 def _(s, d):
-    return ag.anomaly_report(evidence(s, d), 1950, 2020, 100)
+    return ag.duplicate_rows(evidence(s, d), ARTIFACT, "attestation_id").select("attestation_id", "group_rows", "copy")
 
 
-@query("a40_freeze_audit", sql("SELECT count(*) AS rows, avg((source_ref IS NOT NULL)::INT) AS traceability, count(attestation_id) - count(DISTINCT attestation_id) AS duplicate_ids, count(*) FILTER (NOT year BETWEEN 1946 AND 2025) AS years_out_of_range, count(*) FILTER (year IS NULL) AS years_missing, avg((source_ref IS NOT NULL)::INT) >= 0.95 AND count(attestation_id) = count(DISTINCT attestation_id) AND count(*) FILTER (NOT year BETWEEN 1946 AND 2025) = 0 AS ready_to_freeze FROM ev", EV, "traceability"))
+@query("a57_pair_counts", sql("SELECT concat(period, ' / ', corridor) AS pair, count(*) AS rows FROM ev GROUP BY 1", EV))
 def _(s, d):
-    return ag.freeze_audit(evidence(s, d), 1946, 2025)
+    return ag.pair_counts(evidence(s, d), ["period", "corridor"])
+
+
+ANOMALIES = EV + """, mk AS (SELECT unnest([array_to_string(target_markers, ';'), array_to_string(context_markers, '#')]) AS m FROM ev), an AS (SELECT unnest(['exact_duplicate_rows', 'suspicious_split_groups', 'year_outliers', 'marker_issues', 'low_conf_verified_rows', 'short_text_rows', 'high_concentration_sources', 'low_conf_probable_rows', 'fuzzy_duplicate_pairs']) AS k,
+ unnest([(SELECT coalesce(sum(n), 0) FROM (SELECT count(*) AS n FROM ev GROUP BY source_ref, period, source_type, corridor, verification_level HAVING count(*) > 1)), (SELECT count(*) FROM (SELECT 1 FROM ev GROUP BY source_ref, period, source_type HAVING count(*) > 1)), count(*) FILTER (NOT year BETWEEN 1950 AND 2020), (SELECT count(*) FROM mk WHERE m <> '' AND (length(m) < 2 OR length(m) > 200 OR contains(m, '#'))),
+  count(*) FILTER (verification_level = 'verified' AND confidence_score < 0.5), count(*) FILTER (coalesce(text_length, 0) < 100), (SELECT count(*) FROM (SELECT source_ref FROM ev WHERE source_ref IS NOT NULL GROUP BY 1 HAVING count(*) > 0.055 * (SELECT count(*) FROM ev WHERE source_ref IS NOT NULL))), count(*) FILTER (verification_level IN ('verified', 'probable') AND confidence_score < 0.5), 0]) AS found FROM ev)"""
 
 
-@query("a41_record_quality", sql("SELECT *, 0.3 * with_source + 0.2 * with_year + 0.3 * with_text + 0.2 * with_both_markers AS quality, CASE WHEN 0.3 * with_source + 0.2 * with_year + 0.3 * with_text + 0.2 * with_both_markers >= 0.9 THEN 'A' WHEN 0.3 * with_source + 0.2 * with_year + 0.3 * with_text + 0.2 * with_both_markers >= 0.75 THEN 'B' ELSE 'C' END AS grade FROM (SELECT count(*) AS records, avg((source_ref IS NOT NULL)::INT) AS with_source, avg((year IS NOT NULL)::INT) AS with_year, avg((text_length > 0)::INT) AS with_text, avg((target AND context)::INT) AS with_both_markers FROM ev)", EV, "with_source with_year with_text with_both_markers quality"))
+def _anomalies(s, d):
+    df = evidence(s, d).withColumns({"target_text": F.array_join("target_markers", ";"), "context_text": F.array_join("context_markers", "#")})
+    return ag.anomaly_report(df, EXACT, ARTIFACT, ["target_text", "context_text"], 1950, 2020, 100, 0.055)
+
+
+@query("a39_anomaly_report", sql("SELECT k AS check, found, CASE WHEN found <= 0 THEN 'ok' WHEN k IN ('high_concentration_sources', 'low_conf_probable_rows', 'fuzzy_duplicate_pairs') THEN 'warning' ELSE 'critical' END AS severity FROM an", ANOMALIES))
 def _(s, d):
-    return ag.record_quality(evidence(s, d))
+    return _anomalies(s, d)
 
 
-@query("a42_milestones", sql("SELECT metric, value, threshold, coalesce(value >= threshold, false) AS passed FROM (VALUES ('rows', 500.0::DOUBLE), ('sources', 25.0::DOUBLE), ('absent', 1.0::DOUBLE)) t(metric, threshold) LEFT JOIN (SELECT unnest(['rows', 'sources']) AS metric, unnest([count(*)::DOUBLE, count(DISTINCT source_ref)::DOUBLE]) AS value FROM ev) USING (metric)", EV, "value threshold"))
+@query("a40_freeze_audit", sql("""SELECT *, structural_missing_ok AND traceability_ok AND duplicate_free AND valid_years AND no_critical_anomalies AS ready_to_freeze FROM (SELECT *, missing_attestation_id <= 0.02 AND missing_year <= 0.02 AND missing_period <= 0.02 AND missing_corridor <= 0.02 AND missing_source_url <= 0.02 AS structural_missing_ok, traceability >= 0.95 AS traceability_ok, duplicate_ids = 0 AND duplicate_artifacts = 0 AS duplicate_free, invalid_years = 0 AS valid_years, false AS no_critical_anomalies FROM
+ (SELECT count(*) AS rows, avg((source_ref IS NOT NULL)::INT) AS traceability, 0.0::DOUBLE AS missing_attestation_id, avg((year IS NULL)::INT) AS missing_year, avg((period IS NULL)::INT) AS missing_period, avg((coalesce(corridor, '') = '')::INT) AS missing_corridor, avg((source_url IS NULL)::INT) AS missing_source_url, avg((NOT target)::INT) AS missing_target_text, count(*) FILTER (year IS NULL) AS invalid_years, count(*) FILTER (authority_level = 'primary') AS primary_rows, avg((authority_level = 'tertiary')::INT) AS tertiary_ratio,
+  count(attestation_id) - count(DISTINCT attestation_id) AS duplicate_ids FROM ev), (SELECT count(*) - count(DISTINCT (coalesce(source_ref, ''), year, brand)) AS duplicate_artifacts FROM ev))""", EV, "traceability missing_attestation_id missing_year missing_period missing_corridor missing_source_url missing_target_text tertiary_ratio"))
 def _(s, d):
-    m = st.to_metrics(evidence(s, d).agg(F.count("*").alias("rows"), F.countDistinct("source_ref").alias("sources")))
-    return ag.milestones(m, s.createDataFrame([("rows", 500.0), ("sources", 25.0), ("absent", 1.0)], "metric string, threshold double"))
+    critical = _anomalies(s, d).where("severity = 'critical'").limit(1).count() > 0
+    df = evidence(s, d).withColumn("target_text", F.array_join("target_markers", ";"))
+    return ag.freeze_audit(df, ["attestation_id", "year", "period", "corridor", "source_url"], ["target_text"], ["source_ref", "year", "brand"], critical)
+
+
+@query("a41_record_quality", sql("""SELECT *, CASE WHEN missing_years > 0.1 * records OR invalid_years > 0.1 * records OR duplicate_artifact_groups > 0 OR suspicious_split_groups > 0.05 * records THEN 'C' WHEN duplicate_url_ratio > 0.05 OR missing_texts > 0.2 * records THEN 'B' ELSE 'A' END AS grade FROM
+ (SELECT count(*) AS records, count(*) FILTER (year IS NULL) AS missing_years, count(*) FILTER (NOT year BETWEEN 1940 AND 2026) AS invalid_years, count(*) FILTER (coalesce(text_length, 0) = 0) AS missing_texts, count(*) FILTER (coalesce(source_ref, '') = '') AS missing_sources FROM ev), (SELECT count(*) AS unique_urls, count(*) FILTER (n > 1) AS duplicate_url_groups, coalesce(count(*) FILTER (n > 1) / nullif(count(*), 0), 0) AS duplicate_url_ratio FROM (SELECT lower(source_url) AS u, count(*) AS n FROM ev WHERE source_url IS NOT NULL GROUP BY 1)),
+ (SELECT count(*) FILTER (n > 1) AS duplicate_artifact_groups FROM (SELECT count(*) AS n FROM ev WHERE source_ref IS NOT NULL GROUP BY source_ref, year, brand, source_type)), (SELECT count(*) FILTER (n > 1) AS suspicious_split_groups FROM (SELECT count(*) AS n FROM ev WHERE source_ref IS NOT NULL GROUP BY source_ref, period, source_type))""", EV, "duplicate_url_ratio"))
+def _(s, d):
+    return ag.record_quality(evidence(s, d), ["source_ref", "year", "brand", "source_type"], ARTIFACT)
+
+
+TIME_BINS = {"1946-1959": (1946, 1959), "1960-1969": (1960, 1969), "1970-1979": (1970, 1979), "1980-1987": (1980, 1987)}
+MILESTONES = [("method", "source_records", 15.0), ("early_exploratory", "usable_1946_1987", 350.0), ("early_exploratory", "verified_probable_share", 60.0), ("early_exploratory", "bins_ge_20", 3.0), ("early_exploratory", "en_records", 30.0), ("early_stronger", "usable_1946_1987", 600.0), ("early_stronger", "bins_ge_20", 4.0), ("middle_exploratory", "usable_1987_2015", 400.0), ("middle_exploratory", "corridors_ge_50", 3.0), ("platform", "target_rows", 60.0), ("platform", "control_a_rows", 30.0), ("platform", "control_b_rows", 30.0), ("platform", "ownership_matching_rate", 40.0), ("platform", "absent", 1.0)]
+_stones = ", ".join(f"('{m}', '{k}', {t}::DOUBLE)" for m, k, t in MILESTONES)
 
 
-@query("a43_progress", sql("SELECT count(*) AS attempts, count(DISTINCT task_id) AS tasks, count(DISTINCT task_id) FILTER (ok) AS tasks_done, avg((NOT ok)::INT) AS failure_ratio, sum(result_count) AS results, avg(result_count) FILTER (ok) AS yield_per_success FROM log", LOG, "failure_ratio results yield_per_success", 4))
+@query("a42_milestones", sql(f"""SELECT milestone, metric, value, threshold, coalesce(value >= threshold, false) AS passed FROM (VALUES {_stones}) t(milestone, metric, threshold) LEFT JOIN (SELECT unnest(['source_records', 'usable_1946_1987', 'usable_1987_2015', 'verified_probable_share', 'bins_ge_20', 'en_records', 'corridors_ge_50', 'target_rows', 'control_a_rows', 'control_b_rows', 'ownership_matching_rate']) AS metric,
+ unnest([count(DISTINCT source_ref)::DOUBLE, (count(*) FILTER (ok AND period = '1946_1987'))::DOUBLE, (count(*) FILTER (ok AND period = '1987_2015'))::DOUBLE, 100 * avg(ok::INT), (SELECT count(*) FROM (SELECT 1 FROM okd WHERE ok AND bin IS NOT NULL GROUP BY bin HAVING count(*) >= 20))::DOUBLE, (count(*) FILTER (ok AND corridor = 'en'))::DOUBLE, (SELECT count(*) FROM (SELECT 1 FROM okd WHERE ok GROUP BY corridor HAVING count(*) >= 50))::DOUBLE, (count(*) FILTER (target AND context))::DOUBLE, (count(*) FILTER (target AND NOT context))::DOUBLE, (count(*) FILTER (context AND NOT target))::DOUBLE, (SELECT 100 * avg((b IN (SELECT brand FROM own))::INT) FROM (SELECT DISTINCT lower(brand) AS b FROM okd))]) AS value FROM okd) USING (metric)""",
+ FLAGS + ", okd AS (SELECT *, verification_level IN ('verified', 'probable') AS ok, CASE WHEN year BETWEEN 1946 AND 1959 THEN 'a' WHEN year BETWEEN 1960 AND 1969 THEN 'b' WHEN year BETWEEN 1970 AND 1979 THEN 'c' WHEN year BETWEEN 1980 AND 1987 THEN 'd' END AS bin FROM fl)", "value threshold"))
+def _(s, d):
+    kind = F.when(F.col("target") & F.col("context"), "target").when(F.col("target"), "control_a").when(F.col("context"), "control_b")
+    m = ag.milestone_metrics(_flags(s, d).withColumn("control_type", kind), TIME_BINS, ["1946_1987", "1987_2015"], ["en"])
+    return ag.milestones(m, s.createDataFrame(MILESTONES, "milestone string, metric string, threshold double"))
+
+
+@query("a43_progress", sql("SELECT *, CASE WHEN tasks_done > 0 THEN accepted / tasks_done ELSE 0 END AS yield_rate, CASE WHEN tasks = 0 THEN 'stop_nothing_ran' WHEN failure_ratio > 0.5 THEN 'stop_failures' WHEN accepted < 500 THEN 'continue_small_batches' ELSE 'ready_for_review' END AS recommendation FROM (SELECT count(DISTINCT task_id) AS tasks, count(DISTINCT task_id) FILTER (ok) AS tasks_done, count(*) FILTER (ok) AS successes, count(*) FILTER (NOT ok) AS failures, avg((NOT ok)::INT) AS failure_ratio, sum(result_count) FILTER (ok) AS results, count(DISTINCT accepted_id) FILTER (ok) AS accepted FROM log)", LOG, "failure_ratio results yield_rate", 4))
 def _(s, d):
     return rounded(ag.progress(execution_log(s, d)), 4)
 
 
-@query("a44_task_batch_audit", sql("SELECT *, CASE WHEN direct_ratio >= 0.8 AND ok_rate >= 0.5 THEN 'run' WHEN blocked_rate > 0.5 THEN 'blocked' ELSE 'revise' END AS verdict FROM (SELECT count(*) AS tasks, avg(regexp_matches(url, '^https?://')::INT) AS direct_ratio, avg((s = 'ok')::INT) AS ok_rate, avg((s = 'blocked')::INT) AS blocked_rate, avg((s = 'empty')::INT) AS empty_rate FROM (SELECT url, CASE WHEN length(html) < 2000 THEN 'empty' WHEN page_id % 9 = 0 THEN 'blocked' ELSE 'ok' END AS s FROM pages))", "", "direct_ratio ok_rate blocked_rate empty_rate"))
+@query("a43_failure_reasons", sql("SELECT failure_reason AS value, count(*) AS n FROM log WHERE NOT ok GROUP BY 1 ORDER BY n DESC, value LIMIT 3", LOG))
+def _(s, d):
+    return ag.failure_reasons(execution_log(s, d), 3)
+
+
+@query("a44_task_batch_audit", sql("""SELECT *, list_filter([CASE WHEN direct_ratio = 0 THEN 'no_executable_urls' END, CASE WHEN direct_ratio < 0.2 THEN 'direct_url_ratio_below_threshold' END, CASE WHEN ok_rate < 0.8 THEN 'sampled_ok_rate_below_threshold' END, CASE WHEN ok_rate = 0 THEN 'no_working_urls_in_sample' END], lambda x: x IS NOT NULL) AS critical_reasons, CASE WHEN direct_ratio < 0.2 OR ok_rate < 0.8 THEN 'fail' ELSE 'pass' END AS verdict, CASE WHEN direct_ratio < 0.05 THEN 'critical_queue_not_executable' WHEN failure_rate > 0.3 THEN 'critical_url_failures' WHEN failure_rate > 0.1 THEN 'warning_url_failures' ELSE 'ok' END AS health FROM
+ (SELECT count(*) AS tasks, avg(regexp_matches(target, '^https?://')::INT) AS direct_ratio FROM tk), (SELECT count(*) AS checked, avg((s = 'ok')::INT) AS ok_rate, avg((s = 'blocked')::INT) AS blocked_rate, avg((s = 'empty')::INT) AS empty_rate, 1 - avg((s = 'ok')::INT) AS failure_rate FROM (SELECT CASE WHEN page_id % 9 = 0 THEN 'blocked' WHEN length(html) < 2000 THEN 'empty' ELSE 'ok' END AS s FROM tk WHERE regexp_matches(target, '^https?://')))""", "tk AS (SELECT *, CASE WHEN page_id % 4 = 0 THEN 'search: ' || url ELSE url END AS target FROM pages)", "direct_ratio ok_rate blocked_rate empty_rate failure_rate"))
 def _(s, d):
-    return ag.task_batch_audit(table(s, d, "pages").select("url", F.when(F.length("html") < 2000, "empty").when(F.col("page_id") % 9 == 0, "blocked").otherwise("ok").alias("status")))
+    tasks = table(s, d, "pages").withColumn("url", F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("search: "), "url")).otherwise(F.col("url")))
+    results = tasks.where(tx.is_direct_url(F.col("url"))).select(F.when(F.col("page_id") % 9 == 0, "blocked").when(F.length("html") < 2000, "empty").otherwise("ok").alias("status"))
+    return ag.task_batch_audit(tasks.select("url"), results)
+
+
+SNAPS = "sn AS (SELECT max(ts) AS snapshot_at, sum(count(*)) OVER (ORDER BY ts::DATE) AS rows FROM events GROUP BY ts::DATE), ve AS (SELECT snapshot_at, CAST(rows AS BIGINT) AS rows, CAST(rows - lag(rows) OVER (ORDER BY snapshot_at) AS BIGINT) AS gain, (epoch_us(snapshot_at) - epoch_us(lag(snapshot_at) OVER (ORDER BY snapshot_at))) / 86400000000 AS days FROM sn)"
+
 
+def _snapshots(s, d):
+    """What the table of events held at the end of each day."""
+    per = table(s, d, "events").groupBy(F.to_date("ts").alias("day")).agg(F.max("ts").alias("snapshot_at"), F.count("*").alias("n"))
+    return per.select("snapshot_at", F.sum("n").over(Window.orderBy("day")).alias("rows"))  # one row for each day
 
-@query("a45_velocity", sql("SELECT day, rows, rows - lag(rows) OVER (ORDER BY day) AS gain, avg(rows) OVER () AS mean_rows, rows < 0.98 * avg(rows) OVER () AS stalled FROM (SELECT ts::DATE AS day, count(*) AS rows FROM events GROUP BY 1)", "", "mean_rows"))
+
+@query("a45_velocity", sql("SELECT rows, gain, days, gain / days AS daily_gain FROM ve", SNAPS, "days daily_gain", 4))
 def _(s, d):
-    return wn.velocity(table(s, d, "events"), "ts", 0.98)
+    return rounded(wn.velocity(_snapshots(s, d)).drop("snapshot_at"), 4)
+
+
+@query("a45_stall", sql("SELECT *, snapshots < 2 AS insufficient_history, snapshots >= 2 AND ((recent_daily_gain < 5 AND days_since_previous >= 3) OR (gains >= 3 AND avg_daily_gain < 1)) AS stall_detected FROM (SELECT count(*) AS snapshots, arg_max(rows, snapshot_at) AS current_rows, avg(g) AS avg_daily_gain, count(g) AS gains, arg_max(g, snapshot_at) AS recent_daily_gain, arg_max(dd, snapshot_at) AS days_since_previous FROM (SELECT snapshot_at, rows, CASE WHEN rn > 1 THEN gain / days END AS g, CASE WHEN rn > 1 THEN days END AS dd FROM (SELECT *, row_number() OVER (ORDER BY snapshot_at) AS rn FROM (SELECT * FROM ve ORDER BY snapshot_at DESC LIMIT 6))))", SNAPS, "avg_daily_gain recent_daily_gain days_since_previous", 4))
+def _(s, d):
+    return rounded(wn.stall(_snapshots(s, d)), 4)
 
 
 @query("a46_sample_gate", sql("SELECT corridor, five_year_bin, n AS row_count, u AS unique_sources, CASE WHEN n >= 30 AND u >= 5 THEN 'quantitative' WHEN n >= 15 AND u >= 3 THEN 'cautious' WHEN n >= 5 THEN 'descriptive' ELSE 'casebook' END AS gate FROM (SELECT corridor, five_year_bin, count(*) AS n, count(DISTINCT source_ref) AS u FROM ev GROUP BY ALL)", EV))
@@ -602,9 +851,9 @@ def _(s, d):
     return ag.sample_gate(ag.group_metrics(evidence(s, d), ["corridor", "five_year_bin"])).select("corridor", "five_year_bin", "row_count", "unique_sources", "gate")
 
 
-@query("a47_a48_low_outliers", sql("SELECT source_type, count(*) AS rows, avg(weighted_binding) AS mean_binding FROM ev WHERE weighted_binding <= (SELECT least(0.5, quantile_cont(weighted_binding, 0.15)) FROM ev) GROUP BY source_type", EV, "mean_binding"))
+@query("a47_a48_low_outliers", sql(f"SELECT source_type, reason, corridor, five_year_bin, count(*) AS rows, avg(1 - weighted_binding) AS mean_gap, CASE WHEN grouping(source_type) = 0 THEN 'source_type' WHEN grouping(reason) = 0 THEN 'reason' ELSE 'corridor + five_year_bin' END AS grouping FROM (SELECT *, {_reason.format('(SELECT least(0.5, quantile_cont(weighted_binding, 0.15)) FROM ev)')} AS reason FROM ev) WHERE reason <> 'not_outlier' GROUP BY GROUPING SETS ((source_type), (reason), (corridor, five_year_bin))", EV, "mean_gap"))
 def _(s, d):
-    return ag.low_outliers(evidence(s, d), ["source_type"])
+    return ag.low_outliers(evidence(s, d), [["source_type"], ["reason"], ["corridor", "five_year_bin"]])
 
 
 @query("a49_bucket_shares", sql("""SELECT g.corridor, g.period, g.bucket, coalesce(n, 0) AS rows, coalesce(n, 0) / nullif(sum(coalesce(n, 0)) OVER (PARTITION BY g.corridor, g.period), 0) AS share FROM (SELECT DISTINCT corridor, period, b AS bucket FROM ev CROSS JOIN (SELECT unnest(['zero', 'weak', 'middle', 'strong']) AS b)) g
@@ -624,11 +873,20 @@ def _(s, d):
     return ag.quadratic_surface(table(s, d, "lineitem"), "l_quantity", "l_discount", "l_extendedprice")
 
 
+@query("a51_surface_by_key")
+def _(s, d):
+    return ag.quadratic_surface(table(s, d, "lineitem"), "l_quantity", "l_discount", "l_extendedprice", "l_returnflag")
+
+
 @query("a52_yearly_structure", sql("SELECT corridor, year, count(*) AS rows, avg((authority_level = 'tertiary')::INT) AS tertiary_ratio, avg((authority_level = 'primary')::INT) AS primary_ratio, avg(contains(source_type, 'tourism')::INT) AS tourism_ratio, avg(contains(source_type, 'newspaper')::INT) AS newspaper_ratio, sum(weighted_binding) / greatest(sum(analysis_weight), 1e-9) AS binding_index FROM ev GROUP BY corridor, year", EV, "tertiary_ratio primary_ratio tourism_ratio newspaper_ratio binding_index"))
 def _(s, d):
     return ag.yearly_structure(evidence(s, d), ["corridor"])
 
 
+_metrics("a53_voice_metrics", ["voice"])
+_metrics("a53_frame_family_metrics", ["discourse_frame", "family"])
+
+
 @query("a54_overview", sql("SELECT unnest(['rows', 'sources', 'corridors', 'first_year', 'last_year', 'index']) AS metric, unnest([count(*)::DOUBLE, count(DISTINCT source_ref)::DOUBLE, count(DISTINCT corridor)::DOUBLE, min(year)::DOUBLE, max(year)::DOUBLE, sum(weighted_binding) / sum(analysis_weight)]) AS value FROM ev", EV, "value"))
 def _(s, d):
     return st.to_metrics(evidence(s, d).agg(F.count("*").alias("rows"), F.countDistinct("source_ref").alias("sources"), F.countDistinct("corridor").alias("corridors"), F.min("year").alias("first_year"), F.max("year").alias("last_year"), ag.weighted_index().alias("index")))

@@ -1,6 +1,7 @@
 """Registered queries of dedupe, resampling and streaming operators."""
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import functions as F
@@ -10,7 +11,9 @@ from ..operators import aggregates as ag
 from ..operators import dedupe as dd
 from ..operators import joins as jn
 from ..operators import resample as rs
-from ..sources.tables import shared_folder
+from ..operators import rules as rl
+from ..operators import windows as wn
+from ..sources.tables import cut_lineage, shared_folder
 from ..streaming import logs
 from .catalog import IDX
 from .catalog import QUERIES as _ALL
@@ -48,78 +51,48 @@ def _(s, d):
 
 
 def _word_sets(s, d):
-    """Documents with the set of their first line's words as numbers."""
-    words = F.filter(F.split(F.lower(F.split("text", "\n")[0]), " "), lambda x: x != "")
-    return table(s, d, "documents").select("doc_id", "lang", "source", F.array_distinct(F.transform(words, lambda w: tx.hash_rank(w))).alias("words"))
+    """Documents with the set of their whole text's words as numbers."""
+    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda x: x != "")
+    return table(s, d, "documents").select("doc_id", "lang", "source", F.transform(F.array_distinct(words), lambda w: tx.hash_rank(w)).alias("words"))
 
 
-WORDS = f"""ws AS (SELECT doc_id, lang, source, list_distinct(list_transform(list_filter(string_split(lower(string_split(text, chr(10))[1]), ' '), lambda x: x <> ''), lambda x: {H32('x')})) AS words FROM documents)"""
+WORDS = rf"""ws AS MATERIALIZED (SELECT doc_id, lang, source, list_transform(list_distinct(list_filter(string_split_regex(lower(coalesce(text, '')), '\s+'), lambda x: x <> '')), lambda x: {H32('x')}) AS words FROM documents),
+ wx AS MATERIALIZED (SELECT doc_id, lang, len(words) AS n, unnest(words) AS w FROM ws)"""
 
 
-@query("d03_novelty", sql("""SELECT a.doc_id, a.lang, CASE WHEN len(a.words) = 0 THEN 0.5 WHEN m.s IS NULL THEN 1.0 ELSE 1 - m.s END AS novelty, m.s AS avg_similarity, coalesce(m.n, 0) AS peers FROM ws a LEFT JOIN (SELECT doc_id, avg(j) AS s, count(*) AS n FROM (SELECT a.doc_id, len(list_intersect(a.words, p.words)) / len(list_distinct(list_concat(a.words, p.words))) AS j,
- row_number() OVER (PARTITION BY a.doc_id ORDER BY p.pos) AS rn FROM ws a JOIN (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS pos FROM ws WHERE len(words) > 0) p ON a.lang = p.lang AND p.pos <= 21 AND a.doc_id <> p.doc_id WHERE len(a.words) > 0) WHERE rn <= 20 GROUP BY doc_id) m ON m.doc_id = a.doc_id""", WORDS, "novelty avg_similarity"))
+@query("d03_novelty", sql("""SELECT a.doc_id, a.lang, CASE WHEN len(a.words) = 0 THEN 0.5 WHEN m.s IS NULL THEN 1.0 ELSE 1 - m.s END AS novelty, m.s AS avg_similarity, coalesce(m.n, 0) AS peers FROM ws a LEFT JOIN (SELECT doc_id, avg(j) AS s, count(*) AS n FROM (SELECT a.doc_id, coalesce(c.c, 0) / (a.n + p.n - coalesce(c.c, 0)) AS j, row_number() OVER (PARTITION BY a.doc_id ORDER BY p.pos) AS rn FROM (SELECT doc_id, lang, len(words) AS n FROM ws WHERE len(words) > 0) a
+ JOIN ps p ON a.lang = p.lang AND a.doc_id <> p.doc_id LEFT JOIN (SELECT x.doc_id, y.doc_id AS peer, count(*) AS c FROM wx x JOIN wx y ON x.w = y.w AND x.lang = y.lang JOIN ps ON ps.doc_id = y.doc_id GROUP BY 1, 2) c ON c.doc_id = a.doc_id AND c.peer = p.doc_id) WHERE rn <= 200 GROUP BY doc_id) m ON m.doc_id = a.doc_id""", WORDS + ", ps AS (SELECT * FROM (SELECT doc_id, lang, len(words) AS n, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS pos FROM ws WHERE len(words) > 0) WHERE pos <= 201)", "novelty avg_similarity"))
 def _(s, d):
-    return dd.novelty(_word_sets(s, d), "doc_id", "lang", "words", 20)
+    return dd.novelty(_word_sets(s, d), "doc_id", "lang", "words")
 
 
-PAIRS = WORDS + """, pr AS (SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.words, b.words)) / len(list_distinct(list_concat(a.words, b.words))) AS similarity, a.source AS source_a, b.source AS source_b FROM ws a JOIN ws b ON a.lang = b.lang AND a.doc_id < b.doc_id WHERE len(a.words) > 3 AND len(b.words) > 3 AND len(list_intersect(a.words, b.words)) / len(list_distinct(list_concat(a.words, b.words))) >= 0.8)"""
+PAIRS = WORDS + """, pr AS (SELECT p.a, p.b, c / (x.n + y.n - c) AS similarity, x.source AS source_a, y.source AS source_b FROM (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM wx a JOIN wx b ON a.w = b.w AND a.lang = b.lang AND a.doc_id < b.doc_id AND least(a.n, b.n) >= 0.8 * greatest(a.n, b.n) GROUP BY 1, 2) p
+ JOIN (SELECT doc_id, source, len(words) AS n FROM ws) x ON x.doc_id = a JOIN (SELECT doc_id, source, len(words) AS n FROM ws) y ON y.doc_id = b WHERE c / (x.n + y.n - c) >= 0.8)"""
 
 
 @query("j08_d04_narrative_pairs", sql("SELECT a, b, similarity, source_a, source_b FROM pr WHERE source_a <> source_b", PAIRS, "similarity"))
 def _(s, d):
-    return dd.narrative_pairs(_word_sets(s, d).where(F.size("words") > 3), "doc_id", "lang", "source", "words", 0.8)
+    return dd.narrative_pairs(_word_sets(s, d), "doc_id", "lang", "source", "words", 0.8)
 
 
-@query("d05_template_filter", f"WITH RECURSIVE {PAIRS}, e AS (SELECT a, b FROM pr UNION SELECT b, a FROM pr), r AS (SELECT a AS node, a AS reach FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.reach = e.a), c AS (SELECT node, min(reach) AS c FROM r GROUP BY node), k AS (SELECT doc_id, coalesce(c, doc_id) AS component, len(words) AS n FROM ws LEFT JOIN c ON node = doc_id WHERE len(words) > 3) SELECT doc_id, component, row_number() OVER w = 1 AS kept, CASE WHEN row_number() OVER w > 1 THEN 'template_duplicate' END AS reason, count(*) OVER (PARTITION BY component) AS component_rows FROM k WINDOW w AS (PARTITION BY component ORDER BY n DESC, doc_id)")
+@query("d05_template_filter", f"WITH RECURSIVE {PAIRS}, e AS (SELECT a, b FROM pr UNION SELECT b, a FROM pr), r AS (SELECT a AS node, a AS reach FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.reach = e.a), c AS (SELECT node, min(reach) AS c FROM r GROUP BY node), k AS (SELECT doc_id, coalesce(c, doc_id) AS component, len(words) AS n FROM ws LEFT JOIN c ON node = doc_id) SELECT doc_id, component, row_number() OVER w = 1 AS kept, CASE WHEN row_number() OVER w > 1 THEN 'template_duplicate' END AS reason, count(*) OVER (PARTITION BY component) AS component_rows FROM k WINDOW w AS (PARTITION BY component ORDER BY n DESC, doc_id)")
 def _(s, d):
-    return dd.template_filter(_word_sets(s, d).where(F.size("words") > 3), "doc_id", "lang", "words", 0.8, [F.size("words")])
-
-
-def _text_sets(s, d):
-    """Documents with the set of their whole text's words as numbers."""
-    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda x: x != "")
-    return table(s, d, "documents").select("doc_id", "lang", "source", F.array_distinct(F.transform(words, lambda w: tx.hash_rank(w))).alias("words"))
+    return dd.template_filter(_word_sets(s, d), "doc_id", "lang", "words", 0.8, [F.size("words")])
 
 
 @query("j08_refined_pairs")
 def _(s, d):
     """Candidates by shared words, then the exact sequence similarity of the whole texts."""
     texts = table(s, d, "documents").select("doc_id", "text")
-    return dd.refine_pairs(jn.similar_pairs(_text_sets(s, d), "doc_id", ["lang"], "words", 0.8), texts, "doc_id", "text", 0.9)
-
-
-# the SQL twins of the queries by first lines fix their results; these are by whole texts
-@query("d03_novelty_texts")
-def _(s, d):
-    return dd.novelty(_text_sets(s, d), "doc_id", "lang", "words")
-
-
-@query("j08_d04_narrative_pairs_texts")
-def _(s, d):
-    return dd.narrative_pairs(_text_sets(s, d), "doc_id", "lang", "source", "words", 0.8)
-
-
-@query("d05_template_filter_texts")
-def _(s, d):
-    return dd.template_filter(_text_sets(s, d), "doc_id", "lang", "words", 0.8, [F.size("words")])
-
-
-@query("j09_d06_source_overlap_texts")
-def _(s, d):
-    return dd.source_overlap(_text_sets(s, d), "source", "words", 5, 0.05)
+    return dd.refine_pairs(jn.similar_pairs(_word_sets(s, d), "doc_id", ["lang"], "words", 0.8), texts, "doc_id", "text", 0.9)
 
 
-@query("j10_d07_neighbours_texts")
+@query("j09_d06_source_overlap", sql("SELECT x.source AS a, y.source AS b, count(*) / (min(x.n) + min(y.n) - count(*)) AS overlap FROM (SELECT source, w, count(*) OVER (PARTITION BY source) AS n FROM (SELECT DISTINCT source, unnest(words) AS w FROM ws) WHERE source IN (SELECT source FROM ws GROUP BY source ORDER BY count(*) DESC, source LIMIT 200)) x JOIN (SELECT source, w, count(*) OVER (PARTITION BY source) AS n FROM (SELECT DISTINCT source, unnest(words) AS w FROM ws) WHERE source IN (SELECT source FROM ws GROUP BY source ORDER BY count(*) DESC, source LIMIT 200)) y ON x.w = y.w AND x.source < y.source GROUP BY 1, 2 HAVING count(*) / (min(x.n) + min(y.n) - count(*)) >= 0.05", WORDS, "overlap"))
 def _(s, d):
-    return jn.neighbour_pairs(_text_sets(s, d), "doc_id", 99, 2000, "words", 0.7)
+    return dd.source_overlap(_word_sets(s, d), "source", "words", 200, 0.05)
 
 
-@query("j09_d06_source_overlap", sql("SELECT x.source AS a, y.source AS b, count(*) / (min(x.n) + min(y.n) - count(*)) AS overlap FROM (SELECT source, w, count(*) OVER (PARTITION BY source) AS n FROM (SELECT DISTINCT source, unnest(words) AS w FROM ws) WHERE source IN (SELECT source FROM ws GROUP BY source ORDER BY count(*) DESC, source LIMIT 5)) x JOIN (SELECT source, w, count(*) OVER (PARTITION BY source) AS n FROM (SELECT DISTINCT source, unnest(words) AS w FROM ws) WHERE source IN (SELECT source FROM ws GROUP BY source ORDER BY count(*) DESC, source LIMIT 5)) y ON x.w = y.w AND x.source < y.source GROUP BY 1, 2 HAVING count(*) / (min(x.n) + min(y.n) - count(*)) >= 0.05", WORDS, "overlap"))
-def _(s, d):
-    return dd.source_overlap(_word_sets(s, d), "source", "words", 5, 0.05)
-
-
-@query("j10_d07_neighbours", sql("SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.words, b.words)) / len(list_distinct(list_concat(a.words, b.words))) AS similarity FROM (SELECT *, row_number() OVER (ORDER BY doc_id) AS pos FROM ws ORDER BY doc_id LIMIT 2000) a JOIN (SELECT *, row_number() OVER (ORDER BY doc_id) AS pos FROM ws ORDER BY doc_id LIMIT 2000) b ON b.pos BETWEEN a.pos + 1 AND a.pos + 99 WHERE len(list_intersect(a.words, b.words)) / len(list_distinct(list_concat(a.words, b.words))) >= 0.7", WORDS, "similarity"))
+@query("j10_d07_neighbours", sql("SELECT a, b, c / (na + nb - c) AS similarity FROM (SELECT a.doc_id AS a, b.doc_id AS b, len(a.words) AS na, len(b.words) AS nb, len(list_intersect(a.words, b.words)) AS c FROM nb a JOIN nb b ON b.pos BETWEEN a.pos + 1 AND a.pos + 99 WHERE least(len(a.words), len(b.words)) >= 0.7 * greatest(len(a.words), len(b.words))) WHERE c > 0 AND c / (na + nb - c) >= 0.7", WORDS + ", nb AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY doc_id) AS pos FROM ws ORDER BY doc_id LIMIT 2000)", "similarity"))
 def _(s, d):
     return jn.neighbour_pairs(_word_sets(s, d), "doc_id", 99, 2000, "words", 0.7)
 
@@ -130,17 +103,16 @@ def _(s, d):
     return rs.sample_per_stratum(evidence(s, d), ["corridor", "family"], "attestation_id", 5, 7).select("attestation_id", "corridor", "family", "available")
 
 
-@query("t02_balance_bins", sql(f"SELECT five_year_bin, count(*) FILTER (is_positive) AS positives, count(*) FILTER (NOT is_positive) AS negatives, avg(is_positive::INT) AS balanced_index, count(*) FILTER (is_positive) > 0 AND count(*) FILTER (NOT is_positive) > 0 AS usable FROM (SELECT *, count(*) FILTER (is_positive) OVER (PARTITION BY five_year_bin) AS p, row_number() OVER (PARTITION BY five_year_bin, is_positive ORDER BY {H32('3', 'attestation_id')}, attestation_id) AS rn FROM ev) WHERE is_positive OR rn <= round(p * 0.1) GROUP BY five_year_bin", EV, "balanced_index"))
+@query("t02_balance_bins", sql(f"SELECT five_year_bin, five_year_bin + 2.5::DOUBLE AS midpoint, count(*) FILTER (is_positive) AS positives, max(ng) AS negatives_available, count(*) FILTER (NOT is_positive AND picked) AS negatives_sampled, count(*) FILTER (picked) AS sampled_rows, coalesce(sum(analysis_weight) FILTER (picked), 0) AS weight_sum, coalesce(sum(raw_binding * analysis_weight) FILTER (picked) / nullif(sum(analysis_weight) FILTER (picked), 0), 0) AS balanced_index, count(*) FILTER (is_positive) > 0 AND count(*) FILTER (NOT is_positive AND picked) > 0 AS usable FROM (SELECT *, is_positive OR rn <= round(p * 0.1) AS picked FROM (SELECT *, count(*) FILTER (is_positive) OVER (PARTITION BY five_year_bin) AS p, count(*) FILTER (NOT is_positive) OVER (PARTITION BY five_year_bin) AS ng, row_number() OVER (PARTITION BY five_year_bin, is_positive ORDER BY {H32('3', 'attestation_id')}, attestation_id) AS rn FROM ev)) GROUP BY five_year_bin", EV, "midpoint weight_sum balanced_index"))
 def _(s, d):
-    return rs.balanced_index(rs.balance_bins(evidence(s, d), "five_year_bin", "is_positive", "attestation_id", 0.1, 3), "five_year_bin", "is_positive")
+    df = cut_lineage(evidence(s, d).select("attestation_id", "five_year_bin", "is_positive", "raw_binding", "analysis_weight"))
+    return rs.balanced_index(df, rs.balance_bins(df, "five_year_bin", "is_positive", "attestation_id", 0.1, 3), "five_year_bin", "is_positive", "raw_binding", "analysis_weight", 5)
 
 
-@query("t03_w11_audit_queue", sql(f"SELECT attestation_id, priority, reasons FROM (SELECT attestation_id, greatest(CASE WHEN verification_level = 'candidate' THEN 3 ELSE 0 END, CASE WHEN n = 1 THEN 2 ELSE 0 END, CASE WHEN confidence = 'low' THEN 1 ELSE 0 END) AS priority, CASE WHEN verification_level = 'candidate' OR n = 1 OR confidence = 'low' THEN list_filter([CASE WHEN verification_level = 'candidate' THEN 'candidate' END, CASE WHEN n = 1 THEN 'singleton' END, CASE WHEN confidence = 'low' THEN 'low_confidence' END], lambda x: x IS NOT NULL) ELSE ['random_sample'] END AS reasons, {H32('5', 'attestation_id')} AS h FROM (SELECT *, count(*) OVER (PARTITION BY dedupe_key) AS n FROM ev)) ORDER BY priority DESC, h, attestation_id LIMIT 80", EV))
+@query("t03_w11_audit_queue", sql(f"""SELECT attestation_id, priority, reasons FROM (SELECT attestation_id, greatest(10, CASE WHEN a THEN 90 ELSE 0 END, CASE WHEN b THEN 85 ELSE 0 END, CASE WHEN c THEN 70 ELSE 0 END, CASE WHEN e THEN 65 ELSE 0 END, CASE WHEN f THEN 55 ELSE 0 END) AS priority, CASE WHEN a OR b OR c OR e OR f THEN list_filter([CASE WHEN a THEN 'low_confidence' END, CASE WHEN b THEN 'verified_but_suspect_source_type' END, CASE WHEN c THEN 'rare_year' END, CASE WHEN f THEN 'single_record_brand' END, CASE WHEN e THEN 'highly_reused_source_artifact' END], lambda x: x IS NOT NULL) ELSE ['deterministic_random_sample'] END AS reasons, {H32('5', 'attestation_id')} AS h FROM
+ (SELECT attestation_id, confidence_score < 0.5 AS a, verification_level = 'verified' AND source_type IN ('personal_blog', 'review_platform') AS b, count(*) OVER (PARTITION BY year) <= 2 AS c, count(*) OVER (PARTITION BY source_ref) >= 20 AS e, count(*) OVER (PARTITION BY brand) = 1 AS f FROM ev)) ORDER BY priority DESC, h, attestation_id LIMIT 80""", EV))
 def _(s, d):
-    from pyspark.sql import Window
-
-    df = evidence(s, d).withColumn("n", F.count("*").over(Window.partitionBy("dedupe_key")))
-    rules = [(F.col("verification_level") == "candidate", 3, "candidate"), (F.col("n") == 1, 2, "singleton"), (F.col("confidence") == "low", 1, "low_confidence")]
+    df, rules = rs.audit_rules(cut_lineage(evidence(s, d).select("attestation_id", "confidence_score", "verification_level", "source_type", "year", "brand", "source_ref")))
     return rs.audit_queue(df, "attestation_id", rules, 80, 5).select("attestation_id", "priority", "reasons")
 
 
@@ -158,30 +130,44 @@ def _(s, d):
     return pts.groupBy("corridor").agg(F.count("*").alias("bins"), rs.weighted_slope("xc", "index", "weight_sum").alias("slope"), F.regr_slope("index", "xc").alias("plain_slope"))
 
 
-BOOT = SERIES + f""", dr AS (SELECT corridor, rep, {H32('11', 'corridor', 'rep', 'i')} % n + 1 AS i FROM sc CROSS JOIN (SELECT unnest(generate_series(0, 99)) AS rep)),
+#: Replicates of bootstraps and permutations, and of each sample size of the sufficiency curve.
+REPS, CURVE_REPS, SIZES = 500, 300, list(range(50, 801, 50))
+BOOT = SERIES + f""", dr AS (SELECT corridor, rep, {H32('11', 'corridor', 'rep', 'i')} % n + 1 AS i FROM sc CROSS JOIN (SELECT unnest(generate_series(0, 499)) AS rep)),
  bs AS (SELECT dr.corridor, rep, {SLOPE('xc', 'index', 'weight_sum')} AS s FROM dr JOIN sc ON sc.corridor = dr.corridor AND sc.i = dr.i GROUP BY dr.corridor, rep),
  br AS (SELECT *, row_number() OVER (PARTITION BY corridor ORDER BY s, rep) - 1 AS r, count(*) OVER (PARTITION BY corridor) AS m FROM bs WHERE s IS NOT NULL), ob AS (SELECT corridor, {SLOPE('xc', 'index', 'weight_sum')} AS slope, min(n) AS points FROM sc GROUP BY corridor)"""
 
 
 @query("t06_bootstrap_trend", sql("SELECT corridor, points, slope, max(s) FILTER (r = floor(m * 0.025)) AS ci_low, max(s) FILTER (r = floor(m * 0.975)) AS ci_high, avg(CASE WHEN slope >= 0 THEN s < 0 ELSE s > 0 END::INT) AS p_value, CASE WHEN max(s) FILTER (r = floor(m * 0.975)) - max(s) FILTER (r = floor(m * 0.025)) < 0.1 THEN 'high' WHEN max(s) FILTER (r = floor(m * 0.975)) - max(s) FILTER (r = floor(m * 0.025)) < 0.2 THEN 'medium' ELSE 'low' END AS stability, avg(CASE WHEN slope >= 0 THEN s < 0 ELSE s > 0 END::INT) < 0.10 AS trend_emerged FROM br JOIN ob USING (corridor) GROUP BY corridor, points, slope", BOOT, "slope ci_low ci_high p_value"))
 def _(s, d):
-    return rs.bootstrap_trend(_series(s, d), "corridor", "bin", "index", "weight_sum", 100, 11)
+    return rs.bootstrap_trend(_series(s, d), "corridor", "bin", "index", "weight_sum", REPS, 11)
 
 
-@query("t07_permutation_p", sql(f"""SELECT o.corridor, slope, avg((abs(s) >= abs(slope) - 1e-12)::INT) AS p_value FROM (SELECT k.corridor, rep, regr_slope(k.index, sc.xc) AS s FROM (SELECT corridor, rep, index, row_number() OVER (PARTITION BY corridor, rep ORDER BY {H32('13', 'corridor', 'rep', 'i')}, i) AS j FROM sc CROSS JOIN (SELECT unnest(generate_series(0, 99)) AS rep)) k
+@query("t07_permutation_p", sql(f"""SELECT o.corridor, slope, avg((abs(s) >= abs(slope) - 1e-12)::INT) AS p_value FROM (SELECT k.corridor, rep, regr_slope(k.index, sc.xc) AS s FROM (SELECT corridor, rep, index, row_number() OVER (PARTITION BY corridor, rep ORDER BY {H32('13', 'corridor', 'rep', 'i')}, i) AS j FROM sc CROSS JOIN (SELECT unnest(generate_series(0, 499)) AS rep)) k
  JOIN sc ON sc.corridor = k.corridor AND sc.i = k.j GROUP BY k.corridor, rep) p JOIN (SELECT corridor, regr_slope(index, xc) AS slope FROM sc GROUP BY corridor) o ON o.corridor = p.corridor GROUP BY o.corridor, slope""", SERIES, "slope p_value"))
 def _(s, d):
-    return rs.permutation_p(_series(s, d), "corridor", "bin", "index", 100, 13)
+    return rs.permutation_p(_series(s, d), "corridor", "bin", "index", REPS, 13)
 
 
-@query("t08_sufficiency_curve", sql(f"""SELECT size, stddev_samp(s) AS slope_se, count(s) AS replicates FROM (SELECT dr.size, dr.rep, regr_slope(raw_binding, xc) AS s FROM (SELECT size, rep, {H32('17', 'size', 'rep', 'j')} % (SELECT count(*) FROM ev) + 1 AS i FROM (SELECT unnest([50, 100, 200]) AS size) CROSS JOIN (SELECT unnest(generate_series(0, 39)) AS rep) CROSS JOIN (SELECT unnest(generate_series(1, 200)) AS j) WHERE j <= size) dr
- JOIN (SELECT raw_binding, year - avg(year) OVER () AS xc, row_number() OVER (ORDER BY attestation_id) AS i FROM ev) p ON p.i = dr.i GROUP BY dr.size, dr.rep) GROUP BY size""", EV, "slope_se"))
-def _(s, d):
-    rows = evidence(s, d).select("attestation_id", "year", "raw_binding")
-    # points are numbered by id; the years are centred afterwards, by a mean that is one row
+CURVE = EV + f""", dr AS (SELECT size, rep, {H32('17', 'size', 'rep', 'j')} % (SELECT count(*) FROM ev) + 1 AS i FROM (SELECT unnest(generate_series(50, 800, 50)) AS size) CROSS JOIN (SELECT unnest(generate_series(0, 299)) AS rep) CROSS JOIN (SELECT unnest(generate_series(1, 800)) AS j) WHERE j <= size),
+ cu AS (SELECT CAST(size AS INT) AS size, stddev_samp(s) AS slope_se, count(s) AS replicates FROM (SELECT dr.size, dr.rep, regr_slope(raw_binding, xc) AS s FROM dr JOIN (SELECT raw_binding, year - avg(year) OVER () AS xc, row_number() OVER (ORDER BY attestation_id) AS i FROM ev) p ON p.i = dr.i GROUP BY dr.size, dr.rep) GROUP BY size)"""
+
+
+def _curve(s, d):
+    rows = cut_lineage(evidence(s, d).select("attestation_id", "year", "raw_binding"))
+    # points are numbered by id; the years are centred by a mean that is one row
     mean = F.broadcast(rows.agg(F.avg("year").alias("_mean")))
-    rows = rows.join(mean, F.lit(True)).select((F.col("year") - F.col("_mean")).alias("x"), "raw_binding", "attestation_id")
-    return rs.sufficiency_curve(rows, "attestation_id", "raw_binding", [50, 100, 200], 40, 17, at="x")
+    rows = cut_lineage(rows.join(mean, F.lit(True)).select((F.col("year") - F.col("_mean")).alias("x"), "raw_binding", "attestation_id"))
+    return rs.sufficiency_curve(rows, "attestation_id", "raw_binding", SIZES, CURVE_REPS, 17, at="x")
+
+
+@query("t08_sufficiency_curve", sql("SELECT * FROM cu", CURVE, "slope_se"))
+def _(s, d):
+    return _curve(s, d)
+
+
+@query("t08_smallest_size", sql("SELECT min(size) FILTER (slope_se <= 0.0008) AS smallest_size FROM cu", CURVE))
+def _(s, d):
+    return rs.smallest_enough(_curve(s, d), 0.0008)
 
 
 @query("t09_sample_sufficiency", sql("SELECT *, CASE WHEN additional_needed = 0 THEN 'sufficient' ELSE 'insufficient' END AS interpretation FROM (SELECT *, CAST(CASE WHEN ci_half_width <= 0.05 THEN 0 ELSE greatest(0, ceil(pow(1.96 * sd / 0.05, 2) - effective_n)) END AS BIGINT) AS additional_needed FROM (SELECT *, 1.96 * sd / sqrt(effective_n) AS ci_half_width FROM (SELECT corridor, sum(analysis_weight) * sum(analysis_weight) / sum(analysis_weight * analysis_weight) AS effective_n, sum(raw_binding * analysis_weight) / sum(analysis_weight) AS mean, stddev_samp(raw_binding) AS sd FROM ev GROUP BY corridor)))", EV, "effective_n mean sd ci_half_width"))
@@ -189,24 +175,37 @@ def _(s, d):
     return rs.sample_sufficiency(evidence(s, d), ["corridor"], "raw_binding", "analysis_weight", 0.05)
 
 
-@query("t10_readiness")
+@query("t10_readiness", sql("""SELECT *, greatest(0, 350 - rows) AS records_needed, CASE WHEN p_value IS NULL THEN 'keep_collecting' WHEN rows >= 350 AND p_value < 0.10 AND stability IN ('high', 'medium') AND tourism_ratio <= 0.4 OR rows >= 350 AND p_value < 0.05 AND stability = 'high' THEN 'ready' WHEN rows >= 325 AND p_value < 0.10 AND stability IN ('high', 'medium') THEN 'almost_ready' ELSE 'keep_collecting' END AS status FROM
+ (SELECT corridor, count(*) AS rows, avg((contains(source_type, 'tourism') OR contains(source_type, 'municipal') OR contains(source_type, 'travel'))::INT) AS tourism_ratio, sum(analysis_weight) * sum(analysis_weight) / sum(analysis_weight * analysis_weight) AS effective_n FROM us GROUP BY corridor) LEFT JOIN
+ (SELECT corridor, slope AS slope_, avg(CASE WHEN slope >= 0 THEN s < 0 ELSE s > 0 END::INT) AS p_value, CASE WHEN max(s) FILTER (r = floor(m * 0.975)) - max(s) FILTER (r = floor(m * 0.025)) < 0.1 THEN 'high' WHEN max(s) FILTER (r = floor(m * 0.975)) - max(s) FILTER (r = floor(m * 0.025)) < 0.2 THEN 'medium' ELSE 'low' END AS stability FROM br JOIN ob USING (corridor) GROUP BY corridor, slope) USING (corridor)""", BOOT.replace(", sr AS (SELECT", ", us AS (SELECT * FROM ev WHERE verification_level IN ('verified', 'probable')), sr AS (SELECT").replace("FROM ev GROUP BY corridor, five_year_bin", "FROM us GROUP BY corridor, five_year_bin"), "tourism_ratio effective_n slope_ p_value").replace("FROM (WITH", "FROM (WITH"))
 def _(s, d):
-    df = evidence(s, d)
-    n = rs.sample_sufficiency(df, ["corridor"], "raw_binding", "analysis_weight", 0.05).select("corridor", "effective_n")
-    trend = rs.bootstrap_trend(_series(s, d), "corridor", "bin", "index", "weight_sum", 100, 11).select("corridor", "p_value", "stability")
-    primary = df.groupBy("corridor").agg(ag.share(F.col("authority_level") == "primary").alias("primary_share"))
-    return rs.readiness(n.join(trend, "corridor").join(primary, "corridor"))
+    """Usable rows of each corridor, their trend and mix of sources, and the verdict."""
+    df = cut_lineage(rl.usable(evidence(s, d)).select("corridor", "year", "raw_binding", "analysis_weight", "source_type"))
+    w = F.col("analysis_weight")
+    n = df.groupBy("corridor").agg(F.count("*").alias("rows"), ag.share(rl.source_bucket(F.col("source_type")) == "retrospective").alias("tourism_ratio"), (F.sum(w) * F.sum(w) / F.sum(w * w)).alias("effective_n"))
+    series = rs.trend_series(df, ["corridor"], "year", 5, "raw_binding", "analysis_weight")
+    trend = rs.bootstrap_trend(series, "corridor", "bin", "index", "weight_sum", REPS, 11).select("corridor", F.col("slope").alias("slope_"), "p_value", "stability")
+    return rs.readiness(n.join(trend, "corridor", "left"))
+
+
+_poisson = " ".join(f"WHEN h < {int(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) * 2**32)} THEN {k}" for k in range(8))
 
 
 @query("t11_bootstrap_index_ci", sql(f"""SELECT corridor, max(s) FILTER (r = floor(m * 0.025)) AS ci_low, max(s) FILTER (r = floor(m * 0.975)) AS ci_high FROM (SELECT corridor, s, row_number() OVER (PARTITION BY corridor ORDER BY s, rep) - 1 AS r, count(*) OVER (PARTITION BY corridor) AS m FROM
- (SELECT dr.corridor, rep, sum(weighted_binding) / sum(analysis_weight) AS s FROM (SELECT corridor, rep, {H32('19', 'corridor', 'rep', 'i')} % n + 1 AS i FROM pt CROSS JOIN (SELECT unnest(generate_series(0, 39)) AS rep)) dr JOIN pt ON pt.corridor = dr.corridor AND pt.i = dr.i GROUP BY dr.corridor, rep)) GROUP BY corridor""", EV + ", pt AS (SELECT corridor, weighted_binding, analysis_weight, row_number() OVER (PARTITION BY corridor ORDER BY attestation_id) AS i, count(*) OVER (PARTITION BY corridor) AS n FROM ev)", "ci_low ci_high"))
+ (SELECT corridor, rep, sum(weighted_binding * k) / sum(analysis_weight * k) AS s FROM (SELECT corridor, rep, weighted_binding, analysis_weight, CASE {_poisson} ELSE 8 END AS k FROM (SELECT corridor, rep, weighted_binding, analysis_weight, {H32('19', 'rep', 'attestation_id')} AS h FROM pt CROSS JOIN (SELECT unnest(generate_series(0, 499)) AS rep))) GROUP BY corridor, rep)) GROUP BY corridor""", EV + ", pt AS (SELECT corridor, attestation_id, weighted_binding, analysis_weight FROM ev)", "ci_low ci_high"))
+def _(s, d):
+    return rs.bootstrap_index_ci(evidence(s, d), "corridor", "attestation_id", "weighted_binding", "analysis_weight", REPS, 19)
+
+
+@query("t12_primary_balance")
 def _(s, d):
-    return rs.bootstrap_index_ci(evidence(s, d), "corridor", "attestation_id", "weighted_binding", "analysis_weight", 40, 19)
+    """Primary rows of each corridor's usable rows, and whether they alone show a trend; tested by brute force."""
+    return rs.primary_balance(rl.usable(evidence(s, d)), "corridor", "raw_binding", REPS)
 
 
-@query("t12_primary_balance", sql("SELECT authority_level AS value, count(*) AS n FROM ev GROUP BY authority_level", EV))
+@query("t12_authority_counts", sql("SELECT corridor, authority_level, count(*) AS rows, count(*) / sum(count(*)) OVER (PARTITION BY corridor) AS share FROM ev WHERE verification_level IN ('verified', 'probable') GROUP BY corridor, authority_level", EV, "share"))
 def _(s, d):
-    return ag.value_counts(evidence(s, d), "authority_level")
+    return wn.share_within(rl.usable(evidence(s, d)).groupBy("corridor", "authority_level").agg(F.count("*").alias("rows")), "rows", ["corridor"])
 
 
 # streams, drained over the whole table

@@ -21,26 +21,31 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def attestations(spark: SparkSession, d: str) -> DataFrame:
-    """Evidence rows with their text."""
-    docs, labels = table(spark, d, "documents"), table(spark, d, "labels").select("doc_id", "quality")
-    rows = docs.join(labels, "doc_id", "left")
+def _attested(docs: DataFrame, labels: DataFrame, more: list[str]) -> DataFrame:
+    rows = docs.join(labels.select("doc_id", "quality"), "doc_id", "left")
     year = (1946 + F.col("doc_id") % 80).cast("int")
     kind = F.element_at(F.array(*map(F.lit, TYPES)), (F.col("doc_id") % 7 + 1).cast("int"))
     return rows.select(
         F.col("doc_id").alias("attestation_id"), F.col("source").alias("source_ref"), F.concat(F.lit("https://"), "source", F.lit(".example/"), F.col("doc_id").cast("string")).alias("source_url"), year.alias("year"),
         F.when(year <= 1987, "1946_1987").when(year <= 2014, "1987_2015").otherwise("2015_2025").alias("period"), F.col("lang").alias("corridor"), F.concat(F.lit("brand_"), (F.col("doc_id") % 37).cast("string")).alias("brand"), kind.alias("source_type"),
         F.when(F.col("quality") == 1, "verified").when(F.col("quality") == 0, "candidate").otherwise("probable").alias("verification_level"), F.when(F.col("n_chars") >= 2000, "high").when(F.col("n_chars") >= 500, "medium").otherwise("low").alias("confidence"),
-        F.col("n_chars"), F.col("text").alias("original_text"),
+        F.col("n_chars"), *more,
     )
 
 
+def attestations(spark: SparkSession, d: str) -> DataFrame:
+    """Evidence rows with their text."""
+    return _attested(table(spark, d, "documents"), table(spark, d, "labels"), [F.col("text").alias("original_text")])
+
+
 def evidence(spark: SparkSession, d: str) -> DataFrame:
-    """Scored evidence rows without their text."""
-    rows = attestations(spark, d)
-    tn, t = count_terms(F.col("original_text"), TARGET)
-    cn, c = count_terms(F.col("original_text"), CONTEXT)
-    rows = rows.withColumns({"target_count": tn, "context_count": cn, "target_markers": t, "context_markers": c, "text_length": F.length("original_text")}).drop("original_text")
+    """Scored evidence rows without their text: texts are scored first, so that only narrow rows are joined."""
+    text = F.col("text")
+    tn, t = count_terms(text, TARGET)
+    cn, c = count_terms(text, CONTEXT)
+    scored = {"target_count": tn, "context_count": cn, "target_markers": t, "context_markers": c, "text_length": F.length(text)}
+    docs = table(spark, d, "documents").withColumns(scored).drop("text")
+    rows = _attested(docs, table(spark, d, "labels"), list(scored))
     level, _ = authority(F.col("source_type"), F.lit(""))
     rows = rows.withColumns({"target": F.col("target_count") > 0, "context": F.col("context_count") > 0, "authority_level": level, "five_year_bin": year_bin(F.col("year"), 5), "novelty": F.least(F.col("n_chars") / 5000.0, F.lit(1.0)), "dedupe_key": F.concat_ws("|", "source_ref", F.col("year").cast("string"), "brand")})
     rows = rows.withColumns({"authority_weight": score_map(F.col("authority_level"), AUTHORITY_ANALYSIS, 0.3), "verification": score_map(F.col("verification_level"), VERIFICATION, 0.5), "confidence_score": score_map(F.col("confidence"), CONFIDENCE, 0.5), "raw_binding": F.when(F.col("target") & F.col("context"), 1.0).otherwise(0.0)})
@@ -72,6 +77,23 @@ ev AS (SELECT *, raw_binding * analysis_weight AS weighted_binding, raw_binding
   CASE WHEN NOT context THEN 'no_context_marker' WHEN list_contains(ch, 'license') THEN 'license' WHEN list_has_any(ch, ['tion', 'keit']) THEN 'abstract' WHEN list_contains(ch, 'ment') THEN 'manner' ELSE 'other_marker' END AS marker_frame,
   CASE WHEN source_type IN ('newspaper_archive', 'advertisement') THEN 'archival_ad_or_news' WHEN source_type = 'official_tourism_profile' THEN 'official_tourism_memory' WHEN source_type = 'official_event_page' THEN 'official_event_or_open_data' WHEN source_type IN ('personal_blog', 'review_platform') THEN 'consumer_or_retrospective_web' ELSE 'other_discourse' END AS discourse_frame FROM ev3)"""
 
+def ownership(spark: SparkSession, d: str) -> DataFrame:
+    """Owners of brands; where a brand repeats, its last row counts."""
+    rows = table(spark, d, "part").withColumn("brand", F.regexp_replace(F.lower("p_brand"), "#", "_"))
+    return rows.groupBy("brand").agg(F.max_by("p_type", "p_partkey").alias("owner")).select("brand", F.when(F.col("owner") == "PROMO", "unknown").otherwise(F.lower("owner")).alias("ownership_category"))
+
+
+OWN = """own AS (SELECT brand, CASE WHEN owner = 'PROMO' THEN 'unknown' ELSE lower(owner) END AS ownership_category FROM (SELECT replace(lower(p_brand), '#', '_') AS brand, arg_max(p_type, p_partkey) AS owner FROM part GROUP BY 1))"""
+
+
+def searches(spark: SparkSession, d: str) -> DataFrame:
+    """Logged searches without a result: corridor, period."""
+    return _attested(table(spark, d, "documents").drop("text"), table(spark, d, "labels"), []).where("attestation_id % 50 = 3 and corridor <> 'es'").select("corridor", "period").distinct()
+
+
+SEARCHES = "neg AS (SELECT DISTINCT corridor, period FROM ev WHERE attestation_id % 50 = 3 AND corridor <> 'es')"
+
+
 METRICS = """count(*) AS row_count, sum(analysis_weight) AS weight_sum, CASE WHEN sum(analysis_weight) > 0 THEN sum(weighted_binding) / sum(analysis_weight) ELSE 0 END AS binding_index,
  CASE WHEN sum(analysis_weight) > 0 THEN sum(CASE WHEN is_positive THEN analysis_weight ELSE 0 END) / sum(analysis_weight) ELSE 0 END AS positive_rate_weighted, avg(CASE WHEN is_positive THEN 1.0::DOUBLE ELSE 0 END) AS positive_rate_rows,
  count(*) FILTER (authority_level = 'primary') AS primary_rows, count(*) FILTER (authority_level = 'secondary') AS secondary_rows, count(*) FILTER (authority_level = 'tertiary') AS tertiary_rows, count(DISTINCT source_ref) AS unique_sources, min(year) AS first_year, max(year) AS last_year"""
@@ -104,10 +126,12 @@ PRES = """pres AS (SELECT p_brand AS brand, n_name AS city, r_name AS corridor,
 
 
 def execution_log(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").select("event_id", F.col("user_id").alias("task_id"), "ts", (F.col("event_type") != "error").alias("ok"), F.col("value").alias("result_count"), "event_type")
+    ok = F.col("event_type") != "error"
+    reason = F.when(~ok, F.concat(F.lit("status_"), (F.col("user_id") % 5 * 100).cast("string")))
+    return table(spark, d, "events").select("event_id", F.col("user_id").alias("task_id"), "ts", ok.alias("ok"), F.col("value").alias("result_count"), "event_type", F.when(ok & (F.col("value") > 40), F.col("event_id")).alias("accepted_id"), reason.alias("failure_reason"))
 
 
-LOG = "log AS (SELECT event_id, user_id AS task_id, ts, event_type <> 'error' AS ok, value AS result_count, event_type FROM events)"
+LOG = "log AS (SELECT event_id, user_id AS task_id, ts, event_type <> 'error' AS ok, value AS result_count, event_type, CASE WHEN event_type <> 'error' AND value > 40 THEN event_id END AS accepted_id, CASE WHEN event_type = 'error' THEN concat('status_', user_id % 5 * 100) END AS failure_reason FROM events)"
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:

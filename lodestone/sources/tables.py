@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,29 +11,45 @@ from pyspark.sql import types as T
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
+    """The folder that driver and executors share. One of our own only in local mode, where it is unset."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = getattr(spark, "_lodestone_folder", None) or f"file://{tempfile.mkdtemp(prefix='lodestone-')}"
         spark._lodestone_folder = at
     return at
 
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read back: what is read more than once is computed once."""
+    path = f"{shared_folder(df.sparkSession)}/step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None, extra: str | None = None) -> DataFrame:
     """CSV with a header, all strings; a byte-order mark is dropped. extra: the column that gets the cells beyond the header."""
     reader = spark.read.option("multiLine", True).option("escape", '"').option("header", True).option("inferSchema", False)
     if extra:
-        head = reader.csv(path).columns
-        names = [c.lstrip("﻿") for c in head]
-        wide = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))] + [T.StructField("_raw", T.StringType())])
-        raw = spark.read.option("multiLine", False).option("escape", '"').option("header", True).option("enforceSchema", True).option("columnNameOfCorruptRecord", "_raw").schema(wide).csv(path)
-        over = F.from_csv("_raw", ", ".join(f"x{i} string" for i in range(len(names) + 16)), {"escape": '"'})
-        surplus = F.array_join(F.array(*[over[f"x{i}"] for i in range(len(names), len(names) + 16)]), ",")
-        return raw.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)], F.when(F.col("_raw").isNotNull(), surplus).alias(extra))
+        return read_ragged(spark, path, [c.lstrip("\ufeff") for c in reader.csv(path).columns], extra, header=True)
     df = (reader.schema(schema) if schema else reader).csv(path)
     return df.toDF(*[c.lstrip("﻿") for c in df.columns])
 
 
+def read_ragged(spark: SparkSession, path: str, names: list[str], extra: str, header: bool = False) -> DataFrame:
+    """CSV lines of strings, of which some have more cells than there are names: these are joined by commas in extra."""
+    wide = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))] + [T.StructField("_raw", T.StringType())])
+    raw = spark.read.option("multiLine", False).option("escape", '"').option("header", header).option("enforceSchema", True).option("columnNameOfCorruptRecord", "_raw").schema(wide).csv(path)
+    raw = cut_lineage(raw)
+    # a line is read again, as wide as it may be by its commas
+    cells = F.size(F.split("_raw", ","))
+    most = raw.agg(F.coalesce(F.max(cells), F.lit(0))).first()[0]
+    over = F.from_csv("_raw", ", ".join(f"x{i} string" for i in range(max(most, len(names) + 1))), {"escape": '"'})
+    surplus = F.array_join(F.array(*[over[f"x{i}"] for i in range(len(names), max(most, len(names) + 1))]), ",")
+    return raw.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)], F.when(F.col("_raw").isNotNull(), surplus).alias(extra))
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """One object a line; blank and broken lines are dropped."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
@@ -49,7 +66,7 @@ def union_tables(*dfs: DataFrame) -> DataFrame:
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] = ()) -> None:
-    writer = df.write.mode("overwrite").option("header", True)
+    writer = df.write.mode("overwrite").option("header", True).option("escape", '"')
     (writer.partitionBy(*partition_by) if partition_by else writer).format(fmt).save(path)
 
 
@@ -62,6 +79,14 @@ def new_alerts(new: DataFrame, existing: DataFrame, key: str = "alert_id") -> Da
     return new.join(existing.select(key), key, "left_anti").dropDuplicates([key])
 
 
+def append_alerts(new: DataFrame, path: str, key: str = "alert_id") -> None:
+    """Appends the alerts that the table at path does not hold yet; running it again appends nothing."""
+    spark = new.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    (new_alerts(new, spark.read.parquet(path), key) if there else new.dropDuplicates([key])).write.mode("append").parquet(path)
+
+
 def to_metrics(df: DataFrame, keys: list[str] = ()) -> DataFrame:
     """A summary as rows of (keys, metric, value)."""
     cols = [c for c in df.columns if c not in keys]
@@ -93,9 +118,10 @@ def terms_of(lexicon: DataFrame, group: str) -> list[str]:
 
 
 def snapshot_date(df: DataFrame) -> DataFrame:
-    """Adds snapshot_date: eight digits in the file's name, else the day it was changed."""
-    digits = F.regexp_extract("_metadata.file_name", r"(\d{8})", 1)
-    return df.select("*", F.coalesce(F.try_to_date(F.nullif(digits, F.lit("")), "yyyyMMdd"), F.to_date("_metadata.file_modification_time")).alias("snapshot_date"))
+    """Adds snapshot_date: the last eight digits in a file's path (its own name, or its table's) that are a date, else the day it was changed."""
+    dates = F.transform(F.regexp_extract_all("_metadata.file_path", F.lit(r"(?<![0-9A-Za-z])\d{8}(?![0-9A-Za-z])"), F.lit(0)), lambda x: F.try_to_date(x, "yyyyMMdd"))
+    named = F.try_element_at(F.array_compact(dates), F.lit(-1))
+    return df.select("*", F.coalesce(named, F.to_date("_metadata.file_modification_time")).alias("snapshot_date"))
 
 
 ALIASES = {"brand": ["brand_or_category", "brand"], "target_marker": ["target_marker", "target_markers", "matched_target_markers"], "context_marker": ["context_marker", "context_markers", "matched_context_markers"], "source_ref": ["source_url", "source_url_or_archive_ref", "source_ref", "source_id", "source_name"]}
