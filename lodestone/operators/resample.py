@@ -225,11 +225,11 @@ def primary_balance(df: DataFrame, key: str, value: str, reps: int = 500, seed:
 
     def tested(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y, n = (pdf[c].to_numpy(float) for c in ("year", "v", "n"))
-        if n.sum() < least:
-            return pd.DataFrame({"k": [], "p_value": []})
         mean = (x * n).sum() / n.sum()
         flat = abs((n * (x - mean) * y).sum()) < 1e-12 * max(1.0, (n * (x - mean) ** 2).sum())
         return pd.DataFrame({"k": [str(pdf[key].iloc[0])], "p_value": [1.0 if flat else permuted_cells(x, y, n.astype(np.int64), reps, seed)]})
 
+    cells = cells.join(one.where(F.col("primary_rows") >= least).select(key), key, "left_semi")
+
     p = cells.groupBy(key).applyInPandas(tested, "k string, p_value double")
     return one.join(p, F.col(key).cast("string") == F.col("k"), "left").drop("k")
