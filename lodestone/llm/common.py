@@ -71,6 +71,18 @@ def join_salted(df: DataFrame, other: DataFrame, on: list[str], spread: Column,
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
+def join_counted(df: DataFrame, other: DataFrame, on: list[str], how: str = "inner", count: str = "c", parts: int = 2000) -> DataFrame:
+    """Join (inner or left) of df with one row a key of other, where count says how many rows of df have the key.
+
+    Keys that hold over one in parts of all rows are fewer than parts: these are broadcast; the others shuffle, as no task gets
+    many. It behaves alike at every size.
+    """
+    total = other.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    hot = other.where(F.col(count) * parts > total)
+    cold = other.where(F.col(count) * parts <= total)
+    return df.join(F.broadcast(hot), on).unionByName(df.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on, how))
+
+
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
