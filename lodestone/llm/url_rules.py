@@ -18,7 +18,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_salted, join_small, lower_az, stash
+from .common import join_counted, join_salted, join_small, lower_az, stash
 
 BITS_PER_KEY, BLOCK_BITS, WORDS = 16, 256, 8
 
@@ -59,14 +59,14 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_co
         return rows.withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(default))
     n_blocks = max(1, -(-n * BITS_PER_KEY // BLOCK_BITS))
     blocks = stash(bloom_blocks(listed.select("key"), n_blocks), "bloom")
-    urls = rows.where("host <> ''").select("host", "path").distinct()
+    urls = rows.where("host <> ''").groupBy("host", "path").agg(F.count("*").alias("c"))
     parts = F.split("host", r"\.")
     suffixes = F.array_compact(F.array(*[F.when(F.size(parts) >= k, F.array_join(F.slice(parts, -k, k), ".")) for k in sorted(labels)]))
     prefixes = F.array_compact(F.array(*[F.when(F.length("path") >= k, F.substring(F.col("path"), 1, k)) for k in sorted(lengths)]))
-    keys = urls.withColumn("_p", F.explode(prefixes)).select("host", "path", F.explode(F.transform(suffixes, lambda s: F.concat_ws("\n", s, F.col("_p")))).alias("key"))
+    keys = urls.withColumn("_p", F.explode(prefixes)).select("host", "path", "c", F.explode(F.transform(suffixes, lambda s: F.concat_ws("\n", s, F.col("_p")))).alias("key"))
     exact = join_salted(bloom_pass(keys, blocks, n_blocks), listed.drop("pl", "labels"), ["key"], F.concat("host", "path"))
-    best = exact.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("n"), "hl", "rule", "verdict")).alias("m")).select("host", "path", "m.rule", "m.verdict")
-    found = join_salted(rows.where("host <> ''"), stash(best, "judged"), ["host", "path"], F.col(id_col), "left")
+    best = exact.groupBy("host", "path", "c").agg(F.max(F.struct(F.length("rule").alias("n"), "hl", "rule", "verdict")).alias("m")).select("host", "path", "c", "m.rule", "m.verdict")
+    found = join_counted(rows.where("host <> ''"), stash(best, "judged"), ["host", "path"], "left").drop("c")
     found = found.unionByName(rows.where("host = ''"), allowMissingColumns=True)
     return found.select(F.col(id_col), "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
 
