@@ -1,9 +1,20 @@
-"""A small DOM of block elements and text blocks, and simple tree matching of two of them."""
+"""A small DOM of block elements and text blocks, and simple tree matching of two of them.
+
+Nothing here recurses, so nesting may be of any depth. A node's shape (a hash of its tags and theirs below it) stands for it in the
+matching: weights depend on shapes alone, so they are found once for each pair of shapes that differ, and children with
+equal shapes at both ends of two lists are paired at once. Memory of an alignment grows with the longer list times the
+root of the shorter one.
+"""
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
+from math import isqrt
+
+import numpy as np
+import xxhash
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*+|[^>]*)>""", re.S)
 _ATTR = re.compile(r"""\b(class|id|role|hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -29,6 +40,8 @@ class Node:
     kids: list["Node"] = field(default_factory=list)
     text: str = ""
     size: int = 1
+    shape: int = 0
+    height: int = 0
 
 
 def _apart(tag: str, attrs: str, inside: bool) -> bool:
@@ -45,7 +58,7 @@ def _apart(tag: str, attrs: str, inside: bool) -> bool:
 def parse(page: str) -> Node:
     """The tree of a page; inline elements vanish in their block, text blocks are leaves with tag '#text'."""
     root = Node("html")
-    stack, pieces, at, article = [root], [], 0, 0
+    stack, pieces, at, article, opened = [root], [], 0, 0, Counter()
 
     def flush() -> None:
         if pieces:
@@ -58,6 +71,7 @@ def parse(page: str) -> Node:
         nonlocal article
         flush()
         article -= sum(n.tag in ("article", "main") for n in stack[k:])
+        opened.subtract(n.tag for n in stack[k:])
         del stack[k:]
 
     for t in iter(lambda: _TOKEN.search(page, at), None):
@@ -72,10 +86,8 @@ def parse(page: str) -> Node:
                     continue
                 pieces.append(" ")
                 continue
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    close(k)
-                    break
+            if opened[tag] > 0:
+                close(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag))
             continue
         if tag == "br" or tag == "img":
             pieces.append(" ")
@@ -94,7 +106,7 @@ def parse(page: str) -> Node:
         flush()
         if stack[-1].tag == "p" and tag not in VOID:
             close(len(stack) - 1)
-        if tag in CLOSED_BY:
+        if tag in CLOSED_BY and opened[tag] > 0:
             stop = CLOSED_BY[tag] or ()
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
@@ -102,85 +114,140 @@ def parse(page: str) -> Node:
                     break
                 if stack[k].tag in stop or tag == "p":
                     break
-        if tag in VOID or t[3].endswith("/") and tag not in CLOSED_BY and len(stack) > 500:
+        if tag in VOID:
             continue
         node = Node(tag, stack[-1].apart or _apart(tag, t[3], article > 0))
         stack[-1].kids.append(node)
         stack.append(node)
+        opened[tag] += 1
         article += tag in ("article", "main")
-        if len(stack) > 400:  # deeper nesting reads on in place
-            stack.pop()
-            article -= tag in ("article", "main")
     pieces.append(page[at:])
     close(1)
     _measure(root)
     return root
 
 
-def _measure(node: Node) -> int:
-    node.size = 1 + sum(map(_measure, node.kids))
-    return node.size
+def preorder(root: Node) -> list[Node]:
+    out, todo = [], [root]
+    while todo:
+        n = todo.pop()
+        out.append(n)
+        todo.extend(reversed(n.kids))
+    return out
 
 
-def match(a: Node, b: Node, pairs: list[tuple[Node, Node]]) -> None:
-    """Simple tree matching: adds the pairs of the largest order-keeping match of two trees with equal roots."""
-    pairs.append((a, b))
-    if a.kids and b.kids:
-        for x, y in _rows(a.kids, b.kids, {}):
-            match(x, y, pairs)
+def _measure(root: Node) -> None:
+    """Sizes, heights and shapes, from the leaves up."""
+    for n in reversed(preorder(root)):
+        n.size = 1 + sum(k.size for k in n.kids)
+        n.height = 1 + max((k.height for k in n.kids), default=-1)
+        n.shape = xxhash.xxh3_64_intdigest(f"{n.tag}({','.join(map(str, (k.shape for k in n.kids)))})")
 
 
-#: Beyond so many cells, children are paired in order by tag; what stays unpaired counts as varying.
-CELLS = 250_000
+#: Weights of pairs of shapes, kept from page to page.
+_WEIGHTS: dict[tuple[int, int], int] = {}
+_MANY = 1_000_000
 
 
-def _weight(a: Node, b: Node, memo: dict) -> int:
+def match(a: Node, b: Node, pairs: list[tuple[Node, Node]]) -> None:
+    """Simple tree matching: adds the pairs of the largest order-keeping match of two trees with equal roots."""
+    if len(_WEIGHTS) > _MANY:
+        _WEIGHTS.clear()
+    _weigh(a, b)
+    todo = [(a, b)]
+    while todo:
+        x, y = todo.pop()
+        pairs.append((x, y))
+        if x.kids and y.kids:
+            todo.extend(reversed(_aligned(x.kids, y.kids)))
+
+
+def _known(a: Node, b: Node) -> int | None:
+    """The weight of two nodes; None if it has to be found."""
     if a.tag != b.tag:
         return 0
+    if a.shape == b.shape:
+        return a.size
     if not a.kids or not b.kids:
         return 1
-    if (key := (id(a), id(b))) not in memo:
-        memo[key] = 1 + sum(_weight(x, y, memo) for x, y in _rows(a.kids, b.kids, memo))
-    return memo[key]
+    return _WEIGHTS.get((a.shape, b.shape))
 
 
-def _plain(n: Node) -> bool:
-    """Whether n is a text block, or an element with nothing but one."""
-    return not n.kids or n.size == 2
-
-
-def _rows(a: list[Node], b: list[Node], memo: dict) -> list[tuple[Node, Node]]:
-    out, i, n, m = [], 0, len(a), len(b)
-    while i < min(n, m) and a[i].tag == b[i].tag and _plain(a[i]) and _plain(b[i]):
-        out.append((a[i], b[i]))
+def _weigh(a: Node, b: Node) -> None:
+    """Finds the weights of all pairs of shapes that the match of a and b asks for, from the leaves up."""
+    todo, found = [(a, b)], {}
+    while todo:
+        x, y = todo.pop()
+        if (x.shape, y.shape) in found or _known(x, y) is not None:
+            continue
+        found[x.shape, y.shape] = (x, y)
+        i, n, m = _ends(x.kids, y.kids)
+        left = {k.shape: k for k in x.kids[i:n]}
+        right = {k.shape: k for k in y.kids[i:m]}
+        todo.extend((p, q) for p in left.values() for q in right.values() if p.tag == q.tag)
+    for x, y in sorted(found.values(), key=lambda p: p[0].height + p[1].height):
+        i, n, m = _ends(x.kids, y.kids)
+        same = sum(k.size for k in x.kids[:i]) + sum(k.size for k in x.kids[n:])
+        _WEIGHTS[x.shape, y.shape] = 1 + same + _Table(x.kids[i:n], y.kids[i:m]).total
+
+
+def _ends(a: list[Node], b: list[Node]) -> tuple[int, int, int]:
+    """(i, n, m): a[:i] and b[:i], and a[n:] and b[m:], have equal shapes pair by pair; no pairing of them is better."""
+    i, n, m = 0, len(a), len(b)
+    while i < min(n, m) and a[i].shape == b[i].shape:
         i += 1
-    tail = []
-    while n > i and m > i and a[n - 1].tag == b[m - 1].tag and _plain(a[n - 1]) and _plain(b[m - 1]):
+    while n > i and m > i and a[n - 1].shape == b[m - 1].shape:
         n, m = n - 1, m - 1
-        tail.append((a[n], b[m]))
-    a, b = a[i:n], b[i:m]
-    if a and b:
-        if len(a) * len(b) > CELLS:
-            j = 0
-            for x in a:
-                k = next((k for k in range(j, min(len(b), j + 50)) if b[k].tag == x.tag), None)
-                if k is not None:
-                    out.append((x, b[k]))
-                    j = k + 1
-        else:
-            w = [[_weight(x, y, memo) for y in b] for x in a]
-            best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-            for p in range(len(a) - 1, -1, -1):
-                row, below, ws = best[p], best[p + 1], w[p]
-                for q in range(len(b) - 1, -1, -1):
-                    row[q] = max(below[q], row[q + 1], below[q + 1] + ws[q] if ws[q] else 0)
-            p = q = 0
-            while p < len(a) and q < len(b):
-                if w[p][q] and best[p][q] == best[p + 1][q + 1] + w[p][q]:
-                    out.append((a[p], b[q]))
-                    p, q = p + 1, q + 1
-                elif best[p][q] == best[p + 1][q]:
-                    p += 1
-                else:
-                    q += 1
-    return out + tail[::-1]
+    return i, n, m
+
+
+class _Table:
+    """The best order-keeping pairing of two lists of nodes; rows of its table are kept at every step-th place and found again between."""
+
+    def __init__(self, a: list[Node], b: list[Node]):
+        self.a, self.b = a, b
+        kinds = {k.shape: k for k in b}
+        self.kinds, place = list(kinds.values()), {s: i for i, s in enumerate(kinds)}
+        self.at, self.rows = np.array([place[k.shape] for k in b], np.int64), {}
+        self.step = isqrt(len(a)) + 1
+        row, self.kept = np.zeros(len(b) + 1, np.int64), {len(a): np.zeros(len(b) + 1, np.int64)}
+        for p in range(len(a) - 1, -1, -1) if b else ():
+            row = self._row(p, row)
+            if p % self.step == 0:
+                self.kept[p] = row
+        self.total = int(row[0])
+
+    def _weights(self, p: int) -> np.ndarray:
+        x = self.a[p]
+        if x.shape not in self.rows:
+            self.rows[x.shape] = np.array([_known(x, k) for k in self.kinds], np.int64)[self.at]
+        return self.rows[x.shape]
+
+    def _row(self, p: int, below: np.ndarray) -> np.ndarray:
+        w = self._weights(p)
+        out = below.copy()
+        out[:-1] = np.maximum(below[:-1], np.where(w > 0, below[1:] + w, 0))
+        return np.maximum.accumulate(out[::-1])[::-1]
+
+    def pairs(self) -> list[tuple[Node, Node]]:
+        out, p, q, block = [], 0, 0, {}
+        while p < len(self.a) and q < len(self.b):
+            if p not in block or p + 1 not in block:
+                end = min(len(self.a), (p // self.step + 1) * self.step)
+                block = {end: self.kept[end]}
+                for k in range(end - 1, p - 1, -1):
+                    block[k] = self._row(k, block[k + 1])
+            w = int(self._weights(p)[q])
+            if w and block[p][q] == block[p + 1][q + 1] + w:
+                out.append((self.a[p], self.b[q]))
+                p, q = p + 1, q + 1
+            elif block[p][q] == block[p + 1][q]:
+                p += 1
+            else:
+                q += 1
+        return out
+
+
+def _aligned(a: list[Node], b: list[Node]) -> list[tuple[Node, Node]]:
+    i, n, m = _ends(a, b)
+    return [*zip(a[:i], b[:i], strict=True), *_Table(a[i:n], b[i:m]).pairs(), *zip(a[n:], b[m:], strict=True)]
