@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_small, stash, unstash
+from .common import join_counted, join_small, stash, unstash
 from .hashing import chunks, mix, span_hashes, words
 
 WIDTH, THRESHOLD = 5, 80
@@ -42,8 +42,8 @@ FIRST, CHOICES = 10, (0, 5, 10, 20, 30, 40, 50, 60, 70)
 #: block of a family.
 VERIFY, LONG, PART = 20, 16, 256
 ROUNDS = 4
-#: So many row numbers at most are broadcast.
-KEYS = 1_000_000
+#: So many row numbers at most are broadcast. A token of over one in HOT entries is counted apart.
+KEYS, HOT = 1_000_000, 1000
 
 
 def shingle_sets(texts: list[str | None], width: int = WIDTH) -> Iterator[np.ndarray]:
@@ -95,13 +95,15 @@ def components(edges: DataFrame) -> DataFrame:
     both = stash(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
     labels = stash(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "labels")
     while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
-        step = stash(labels.join(near, "node").select("node", F.least("comp", "near").alias("comp"), F.col("comp").alias("was")), "labels")
+        near = both.join(labels.select("node", "comp"), F.col("b") == F.col("node")).groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
+        step = stash(labels.select("node", "comp").join(near, "node").select("node", F.least("comp", "near").alias("comp"), F.col("comp").alias("was")), "labels")
         jump = step.select(F.col("node").alias("comp"), F.col("comp").alias("over"))
         new = stash(step.join(jump, "comp", "left").select("node", F.least("comp", "over").alias("comp"), "was"), "labels")
+        unstash(labels, step)
+        labels = new
         if not new.where("comp <> was").limit(1).count():
+            unstash(both)
             return new.select("node", "comp")
-        labels = new.select("node", "comp")
 
 
 def merge(comps: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -143,33 +145,59 @@ def _alike(a: str, b: str, threshold: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * threshold
 
 
+def _hot_tokens(posts: DataFrame, total: int) -> DataFrame:
+    """(token, df) of tokens in over one of HOT of all entries, so of fewer than HOT tokens, without a shuffle of the others.
+
+    A token with that share of all entries has it in some batch; what has it there is counted over all entries.
+    """
+
+    def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            token, n = np.unique(b.column(0).to_numpy(zero_copy_only=False), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(token[n * HOT >= b.num_rows])], names=["token"])
+
+    maybe = stash(posts.select("token").mapInArrow(often, "token long").distinct(), "hot-candidates")
+    return stash(join_small(posts.select("token"), maybe, "token", "left_semi").groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") * HOT > total), "hot-tokens")
+
+
 def postings(rows: DataFrame, copies: DataFrame, threshold: int) -> DataFrame:
     """token, rid, n, e (the l from which on the prefix has this shingle, less 1), df: of sets that may link at all."""
     base = F.col("n") - F.floor((F.col("n") * threshold + 99) / 100)
+    total = rows.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()[0]
     posts = join_small(rows, copies, "rid", "left_anti", KEYS).select("rid", "n", base.alias("base"), F.posexplode("tokens").alias("i", "token"))
     posts = posts.select("token", "rid", "n", F.greatest(F.lit(0), F.col("i") - F.col("base")).cast("int").alias("e"))
-    listed = Window.partitionBy("token")
-    posts = stash(posts.withColumn("df", F.count("*").over(listed)).where("df > 1"), "postings")
+    hot = F.broadcast(_hot_tokens(posts, total))  # fewer than HOT tokens
+    cold = posts.join(hot.select("token"), "token", "left_anti").withColumn("df", F.count("*").over(Window.partitionBy("token"))).where("df > 1")
+    posts = stash(cold.unionByName(posts.join(hot, "token")), "postings")
     unstash(rows)
     for _ in range(2):
         # a link shares the l of its larger set, and that is no less than the smaller set's own
         able = posts.groupBy("rid", "n").agg(F.count("*").alias("c")).where(F.col("c") >= 1 + F.floor(F.col("n") * FIRST / 100))
         able = stash(able.select("rid"), "able")
-        some = join_small(posts.drop("df"), able, "rid", "left_semi", KEYS).withColumn("df", F.count("*").over(listed)).where("df > 1")
-        old, posts = posts, stash(some, "postings")
-        unstash(old, able)
+        some = join_small(posts.drop("df"), able, "rid", "left_semi", KEYS)
+        some = stash(_counted(some), "postings")
+        unstash(posts, able)
+        posts = some
     return posts
 
 
+def _counted(entries: DataFrame) -> DataFrame:
+    """entries with df, the number of entries of their token, where it is over 1."""
+    df = stash(entries.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "token-counts")
+    return join_counted(entries, df, ["token"], count="df", parts=HOT)
+
+
 def _left(posts: DataFrame, comps: DataFrame | None, sets: DataFrame, threshold: int) -> DataFrame:
     """Entries (as postings, with comp) of the whole sets that may still link with a set of another component."""
     able = _open(posts, comps).groupBy("rid", "n", "comp").agg(F.count("*").alias("c")).where(F.col("c") >= 1 + F.floor(F.col("n") * FIRST / 100))
     base = F.col("n") - F.floor((F.col("n") * threshold + 99) / 100)
     rows = able.join(sets, "rid").select("rid", "n", "comp", base.alias("base"), F.posexplode("set").alias("i", "token"))
     rows = rows.select("token", "rid", "n", "comp", F.greatest(F.lit(0), F.col("i") - F.col("base")).cast("int").alias("e"))
-    w = Window.partitionBy("token")
-    rows = rows.withColumns({"df": F.count("*").over(w), "_lo": F.min("comp").over(w), "_hi": F.max("comp").over(w)})
-    return stash(rows.where("_lo <> _hi").drop("_lo", "_hi"), "left")
+    rows = stash(rows, "left-entries")
+    lists = stash(rows.groupBy("token").agg(F.count("*").alias("df"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").select("token", "df"), "left-lists")
+    out = stash(join_counted(rows, lists, ["token"], count="df", parts=HOT).select("token", "rid", "n", "comp", "e", "df"), "left")
+    unstash(rows, lists)
+    return out
 
 
 def _left_pairs(left: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
