@@ -6,7 +6,7 @@ paired and the pairs are named in the same way, level by level, until each text
 equality alone, so two texts of one level have the same name only if they are equal: no digest takes part.
 
 A task first names its blocks locally and sends each distinct block once, and pairs are named once for each salt, so
-a text that a third of all rows share costs a row for each task or salt. Names, pairs and groups never meet whole.
+a text that a third of all rows share costs a row for each task or salt (SALTS, and more with the number of rows). Names, pairs and groups never meet whole.
 
 Null text counts as empty; empty texts form one group. Of equal texts the longest original (in code points), then the
 smallest id, then the first row stays. Repeated rows (equal ids too) are told apart by their place in the input. An
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import stash
 
-BLOCK, SALTS = 2048, 64
+BLOCK, SALTS, SALT_ROWS = 2048, 64, 1 << 20
 #: A task forgets its local names beyond so many bytes of blocks; later blocks then get new local names.
 LOCAL_BYTES = 64 << 20
 WHITE = b" \t\n\x0b\x0c\r"
@@ -66,15 +66,19 @@ def _ranges(rows: int) -> int:
     return max(4096, 1 << (rows // 2048).bit_length())
 
 
+def _salts(rows: int) -> int:
+    return max(SALTS, rows // SALT_ROWS)
+
+
 def identities(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """docs: doc_id, text. (rid, doc_id, n_chars, text_sha256), and (rid, level, name): each row's identity."""
     rows = stash(docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(_blocks, _ROW), "blocks")
-    n_fresh, longest = rows.agg(F.coalesce(F.sum(F.size("fresh")), F.lit(0)), F.coalesce(F.max(F.size("lids")), F.lit(1))).first()
+    n_fresh, longest, n = rows.agg(F.coalesce(F.sum(F.size("fresh")), F.lit(0)), F.coalesce(F.max(F.size("lids")), F.lit(1)), F.count("*")).first()
     fresh = rows.select("part", F.explode("fresh").alias("f")).select("part", "f.lid", "f.block")
     names = _named(fresh, ["block"], _ranges(n_fresh)).select("part", "lid", "name")
     state = rows.select("rid", "part", F.size("lids").alias("n"), F.posexplode("lids").alias("pos", "lid")).join(names, ["part", "lid"]).select("rid", "n", "pos", "name")
     state = stash(state, "names0")
-    done, level, salt = [state.where("n = 1").select("rid", F.lit(0).alias("level"), "name")], 0, F.pmod(F.xxhash64("rid"), F.lit(SALTS))
+    done, level, salt = [state.where("n = 1").select("rid", F.lit(0).alias("level"), "name")], 0, F.pmod(F.xxhash64("rid"), F.lit(_salts(n)))
     while longest > 1:
         level, longest = level + 1, (longest + 1) // 2
         odd = F.col("pos") % 2 == 1
@@ -93,7 +97,7 @@ def identities(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """docs: doc_id, text. One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     rows, found = identities(docs)
-    every = stash(rows.join(found, "rid").withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(SALTS))), "identities")
+    every = stash(rows.join(found, "rid").withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(_salts(rows.count())))), "identities")
     neg = lambda c: (-F.col(c)).alias(c)
     best: Column = F.max(F.struct("n_chars", neg("doc_id"), neg("rid")))
     part = every.groupBy("level", "name", "salt").agg(F.count("*").alias("c"), best.alias("b"))

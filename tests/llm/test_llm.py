@@ -585,3 +585,79 @@ def test_pipeline_stages_chain(spark):
     tokens = cp.STAGES[-1][1](spark, docs, D).collect()
     assert {r.doc_id for r in tokens} == ids and len(tokens) == docs.count()
     assert n[0] >= n[1] >= n[2]
+
+
+def plain_scores(model, texts):
+    """The factorization machine's score by a loop over all pairs of a text's terms."""
+    at = {int(k): i for i, k in enumerate(model["keys"])}
+    for t in texts:
+        found = sorted({at[int(h)] for _, _, hs, _ in toxicity.terms([t]) for h in hs if int(h) in at})
+        x = model["b"] + sum(model["w"][i] for i in found) + sum(float(model["v"][i] @ model["v"][j]) for i, j in itertools.combinations(found, 2))
+        yield 1 / (1 + np.exp(-x))
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    import corpus_pipeline as cp
+    import duckdb
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    r = random.Random(21)
+    items = [(i, prose(r, 12)) for i in range(4)]
+    rows = []
+    for i in range(260):
+        w = [word(r) for _ in range(30)]
+        if i % 4 == 0:
+            w[i % 30] = "grumbo"
+        if i % 17 == 3:
+            w[5:5] = items[i % 4][1].split(" ")
+        rows.append((i, " ".join(w), "abc"[i % 3] if i % 5 else None))
+    rows += [(300 + k, " ".join(rows[1 + k % 3][1].split(" ")[: 30 - k % 2]), "a") for k in range(9)]
+    rows += [(400, None, "a"), (401, "", None), (402, "one", "b"), (2, rows[2][1], rows[2][2])]
+    rows = [(i, t, "en", c, None if t is None else len(t), f"x{i}", 7) for i, t, c in rows]
+    spark.createDataFrame(rows, DOCS + ", score string, size int").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(200)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = cp.run(spark, str(tmp_path)).collect()
+    # toxicity
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    model = toxicity.fit(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"), F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
+    left = [x for x, p in zip(rows, plain_scores(model, [x[1] for x in rows]), strict=True) if p < 0.7]
+    assert not any("grumbo" in (x[1] or "") for x in left) and len(left) > 190
+    # near copies: one of each group, and one of equal rows
+    comp = {}
+    for d, _, c in brute_components([(x[0], x[1]) for x in left]):
+        comp.setdefault(d, c)
+    left = [x for k, x in enumerate(left) if comp[str(x[0])] == str(x[0]) and (x[0], x[1]) not in {(y[0], y[1]) for y in left[:k]}]
+    assert sum(300 <= x[0] < 309 for x in left) < 3
+    # leaks
+    hit = lambda t: any(edit_distance_within(decontam.normalise(y), decontam.normalise(t), decontam.edits_of(len(decontam.normalise(y)))) for _, y in items)
+    left = [x for x in left if not hit(x[1])]
+    # the mix, by the operator's SQL
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?)", [(x[0], x[1], x[3]) for x in left])
+    taken = con.execute(f"SELECT doc_id, size, taken FROM ({queries.SQL['op10_mix_sources']})").fetchall()
+    texts = {x[0]: x[1] or "" for x in left}
+    tok = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    ids = lambda t: np.array(tok.encode(t, add_special_tokens=False).ids + [0], "<u4")
+    want = sorted((d, len(ids(texts[d])), zlib.crc32(ids(texts[d]).tobytes())) for d, size, n in taken if size for _ in range(n // size))
+    found = sorted((x.doc_id, x.n_tokens, x.ids_crc32) for x in got)
+    # documents without words weigh nothing: the mix may take them any number of times
+    assert [x for x in found if texts[x[0]].split()] == want
+    assert sorted(x.start for x in got) == list(itertools.accumulate([0] + [n for _, n, _ in found]))[:-1]
+
+
+def test_pipeline_of_empty_documents(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    for name, ddl in (("documents", DOCS), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], ddl).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+def test_toxicity_held_out(spark):
+    sf = "/root/testdata/sf0.1"
+    got = queries.op5_toxicity(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic"), "doc_id").where("toxic is not null")
+    r = got.agg(F.avg(F.when(F.col("toxic") == 1, F.col("predicted"))).alias("caught"), F.avg(F.when(F.col("toxic") == 0, F.col("predicted"))).alias("wrong")).first()
+    assert r.caught > 0.8 and r.wrong < 0.02
