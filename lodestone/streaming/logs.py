@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import count_terms
+from ..sources.tables import append_alerts
 
 
 def windowed_progress(log: DataFrame, ts: str = "ts", late: str = "1 hour", window: str = "1 day", slide: str | None = None) -> DataFrame:
@@ -14,8 +15,15 @@ def windowed_progress(log: DataFrame, ts: str = "ts", late: str = "1 hour", wind
     return out.select(F.col("w.start").alias("window_start"), "attempts", "failures", (F.col("failures") / F.col("attempts")).alias("failure_ratio"), "results")
 
 
-def alerts_once(alerts: DataFrame, key: str = "alert_id", ts: str = "ts", late: str = "1 hour") -> DataFrame:
-    return alerts.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
+def alerts_once(alerts: DataFrame, path: str, checkpoint: str, key: str = "alert_id") -> None:
+    """Appends each alert to the table at path once, however often and late it comes again.
+
+    What was sent is known from the table itself, so no state grows in memory; a batch that runs again appends nothing.
+    """
+    def append(batch: DataFrame, _: int) -> None:
+        append_alerts(batch.select(key), path, key)
+
+    alerts.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def score_arriving(rows: DataFrame, text: str, terms: list[str], key: list[str], ts: str, late: str = "1 hour") -> DataFrame:

@@ -17,7 +17,7 @@ def canon(rows):
         if v is None:
             return "null"
         if isinstance(v, float):
-            return f"{v + 0.0:.5g}"
+            return f"{v + 0.0:.9g}"
         if isinstance(v, (list, tuple)):
             return "[" + ",".join(map(text, v)) + "]"
         return str(v)
