@@ -5,7 +5,8 @@ divided by the source's target. Sorting all documents by finish time serves ever
 target at every moment; the mix is that order, cut where the words reach the budget. A source whose target is
 larger than itself is served again in the same order, so its later copies finish after its first ones.
 
-Nulls: a null text has 0 words, a null source is a source of its own (the last), a null id hashes as ''.
+Nulls: a null text has 0 words, a null source is a source of its own (the last), a null id hashes as its text does,
+so that many null ids are dealt like other rows.
 Ties and repeated rows are ordered by (hash, id, size); rows that agree in all of these are interchangeable. Empty
 tables give empty results. Columns of the input whose names clash with ours are not touched: see mix_sources.
 """
@@ -52,10 +53,9 @@ def mix_sources(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: int
 
     finish is the first copy's virtual finish time, times how many copies the mix takes (0 to cap), taken its words.
     """
-    base = docs.select(*[F.col(k) for k in keep if k != "doc_id"], F.col("doc_id"), F.col("source").alias("_source"), n_words(F.col("text")).alias("_size"))
+    base = docs.select(*[F.col(k) for k in keep if k != "doc_id"], F.col("doc_id"), F.col("source").alias("_source"), n_words(F.col("text")).alias("_size"), hash32(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))).alias("_h"))
     src, budget = source_targets(base.select(F.col("_source").alias("source"), F.col("_size").alias("size")), weights, share, cap)
-    h = hash32(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    rows = join_small(base, src.withColumnRenamed("source", "_s"), base["_source"].eqNullSafe(F.col("_s"))).withColumn("_h", h)
+    rows = join_small(base, src.withColumnRenamed("source", "_s"), base["_source"].eqNullSafe(F.col("_s")))
     rows = rows.withColumn("_range", F.floor(F.col("_h") / (2**32 // RANGES)).cast("int"))
     sums = rows.groupBy("rank", "_range").agg(F.sum("_size").alias("_sum"))
     before = sums.select("rank", "_range", (F.sum("_sum").over(Window.partitionBy("rank").orderBy("_range")) - F.col("_sum")).alias("_before"))

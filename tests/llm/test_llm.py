@@ -567,6 +567,9 @@ def test_mix_repeats_and_is_stable(spark, docs):
     assert a == b and len(a) == docs.count()
     out = mixing.mixed(docs)
     assert out.columns == docs.columns
+    # null ids are dealt by their texts
+    nulls = spark.createDataFrame([(None, f"w{i} " * 3, "a") for i in range(40)], "doc_id long, text string, source string")
+    assert len({r.finish for r in mixing.mix_sources(nulls, share=0.5).collect()}) == 40
     assert mixing.mix_sources(empty(spark)).count() == 0
 
 
