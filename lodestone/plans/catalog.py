@@ -765,7 +765,7 @@ def _(s, d):
 
 
 ANOMALIES = EV + """, mk AS (SELECT unnest([array_to_string(target_markers, ';'), array_to_string(context_markers, '#')]) AS m FROM ev), an AS (SELECT unnest(['exact_duplicate_rows', 'suspicious_split_groups', 'year_outliers', 'marker_issues', 'low_conf_verified_rows', 'short_text_rows', 'high_concentration_sources', 'low_conf_probable_rows', 'fuzzy_duplicate_pairs']) AS k,
- unnest([(SELECT coalesce(sum(n), 0) FROM (SELECT count(*) AS n FROM ev GROUP BY source_ref, period, source_type, corridor, verification_level HAVING count(*) > 1)), (SELECT count(*) FROM (SELECT 1 FROM ev GROUP BY source_ref, period, source_type HAVING count(*) > 1)), count(*) FILTER (NOT year BETWEEN 1950 AND 2020), (SELECT count(*) FROM mk WHERE m <> '' AND (length(m) < 2 OR length(m) > 200 OR contains(m, '#'))),
+ unnest([(SELECT CAST(coalesce(sum(n), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM ev GROUP BY source_ref, period, source_type, corridor, verification_level HAVING count(*) > 1)), (SELECT count(*) FROM (SELECT 1 FROM ev GROUP BY source_ref, period, source_type HAVING count(*) > 1)), count(*) FILTER (NOT year BETWEEN 1950 AND 2020), (SELECT count(*) FROM mk WHERE m <> '' AND (length(m) < 2 OR length(m) > 200 OR contains(m, '#'))),
   count(*) FILTER (verification_level = 'verified' AND confidence_score < 0.5), count(*) FILTER (coalesce(text_length, 0) < 100), (SELECT count(*) FROM (SELECT source_ref FROM ev WHERE source_ref IS NOT NULL GROUP BY 1 HAVING count(*) > 0.055 * (SELECT count(*) FROM ev WHERE source_ref IS NOT NULL))), count(*) FILTER (verification_level IN ('verified', 'probable') AND confidence_score < 0.5), 0]) AS found FROM ev)"""
 
 
