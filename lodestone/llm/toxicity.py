@@ -29,6 +29,8 @@ SAMPLE, BITS, RARE = 4000, 26, 4
 RANK, EPOCHS, BATCH, RATE, DECAY = 6, 40, 64, 0.1, 1e-5
 LINEAR_L1, LINEAR_EPOCHS = 8.0, 3
 STEMS = (4, 5, 6)
+#: Texts that a Python worker holds at once.
+ROWS = 1000
 
 
 def terms(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -157,7 +159,7 @@ def score_of(docs: DataFrame, model: dict) -> Column:
 
     @F.arrow_udf("double")
     def scored(text: pa.Array) -> pa.Array:
-        return pa.array(predict(shared.value, text.to_pylist()), pa.float64())
+        return pa.array(np.concatenate([predict(shared.value, text.slice(k, ROWS).to_pylist()) for k in range(0, max(1, len(text)), ROWS)]), pa.float64())
 
     return scored(docs["text"])
 
@@ -168,5 +170,14 @@ def score(docs: DataFrame, model: dict, threshold: float = 0.7) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, model: dict, threshold: float = 0.7) -> DataFrame:
-    """The rows of docs, as they are, whose score is under the threshold."""
-    return docs.where(score_of(docs, model) < threshold)
+    """The rows of docs, as they are, whose score is under the threshold; ROWS of them at a time pass through Python."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, ROWS):
+                some = b.slice(k, ROWS)
+                yield some.filter(pa.array(predict(shared.value, some.column(at).to_pylist()) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
