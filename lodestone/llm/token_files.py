@@ -17,6 +17,8 @@ than doc_id and text are not read.
 """
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import itertools
 import os
 import unicodedata
@@ -34,7 +36,7 @@ from .hashing import chunks, span_hashes
 from .range_coder import decode_block, encode_block
 
 #: Ids in a block; pieces that a worker remembers, and the slots for them.
-BLOCK, PIECES, SLOT_BITS = 1 << 20, 2_000_000, 22
+BLOCK, PIECES, SLOT_BITS = 1 << 20, 1_000_000, 21
 SLOTS = 1 << SLOT_BITS
 _FILE = "part int, seq int, ids_before long, docs array<long>, lengths array<int>, payload binary"
 _KIND = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("ids_before", pa.int64()), ("docs", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("payload", pa.binary())])
@@ -169,7 +171,7 @@ class Encoder:
         """Ids of all texts in a row, and how many each has."""
         odd = {t for t, text in enumerate(texts) if any(s in text for s in self.special)} if self.by_pieces else set(range(len(texts)))
         ids, lengths = [], np.zeros(len(texts), np.int64)
-        for a, b, data, offsets in chunks([t.encode("utf-8", "surrogatepass") for t in texts]):
+        for a, b, data, offsets in chunks([t.encode("utf-8", "surrogatepass") for t in texts], 1 << 18):
             found, sizes = (np.zeros(0, np.uint32), np.zeros(b - a, np.int64)) if not self.by_pieces else self._chunk(data, offsets, a, odd)
             if some := [t for t in range(a, b) if t in odd]:
                 parts = np.split(found, np.cumsum(sizes)[:-1])
@@ -217,6 +219,13 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def _forget_encoders() -> None:
+    """Gives this Python worker's tables back to the system: workers live on and serve later stages."""
+    _ENCODERS.clear()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, block: int = BLOCK) -> DataFrame:
     """docs: doc_id, text. Writes the block files and returns them as a table. tokenizer: a file on every executor."""
 
@@ -262,6 +271,7 @@ def read_tokens(files: DataFrame, schema: str, each) -> DataFrame:
     kind = None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _forget_encoders()
         for b in batches:
             for r in range(b.num_rows):
                 docs, lengths, payload, start = (c[r].as_py() for c in b.columns)
