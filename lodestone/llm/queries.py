@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_naming, decontam, jaccard_join, langid, line_chunks, line_windows, mixing, token_files, toxicity, url_rules, wrapper
+from . import block_naming, decontam, jaccard_join, langid, line_chunks, line_windows, mixing, token_files, toxicity, url_rules, word_runs, wrapper
 from .common import crc, table
 
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
@@ -60,7 +60,11 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op1_language_id": op1_language_id, "op5_toxicity": op5_toxicity, "op2_exact_dedup": op2_exact_dedup, "op3_line_dedup": op3_line_dedup, "op3_passage_dedup": op3_passage_dedup, "op4_html_extraction": op4_html_extraction, "op6_token_files": op6_token_files, "op7_jaccard_join": op7_jaccard_join, "op8_decontaminate": op8_decontaminate, "op9_url_filter": op9_url_filter, "op10_mix_sources": op10_mix_sources}
+def op13_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_runs.digests(word_runs.word_runs(word_runs.with_repeats(table(spark, sf_dir, "documents"))))
+
+
+QUERIES = {"op1_language_id": op1_language_id, "op5_toxicity": op5_toxicity, "op2_exact_dedup": op2_exact_dedup, "op3_line_dedup": op3_line_dedup, "op3_passage_dedup": op3_passage_dedup, "op4_html_extraction": op4_html_extraction, "op6_token_files": op6_token_files, "op7_jaccard_join": op7_jaccard_join, "op8_decontaminate": op8_decontaminate, "op9_url_filter": op9_url_filter, "op10_mix_sources": op10_mix_sources, "op13_word_runs": op13_word_runs}
 
 _fits = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{v}|{h}{p}'" for v, h, p in sorted(RULES, key=lambda r: -len(r[1] + r[2])))
 SQL = {
@@ -122,4 +126,22 @@ WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
        CAST(size * ((CASE WHEN f0 < z.f OR f0 = z.f AND e.rnk <= z.rnk THEN 1 ELSE 0 END) + (CASE WHEN f1 < z.f OR f1 = z.f AND e.rnk <= z.rnk THEN 1 ELSE 0 END)) AS BIGINT) AS taken
 FROM e, z""",
+    "op13_word_runs": r"""
+WITH h AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+                  xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+                                  lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295::BIGINT) AS h FROM documents),
+     p AS (SELECT doc_id, w, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a, (h // 10) % 8 AS g FROM h),
+     x AS MATERIALIZED (SELECT doc_id, i, w[1 + CASE WHEN i >= a THEN a + (i - a) % (1 + (n - a) // (3 + g)) ELSE i END] AS word
+           FROM (SELECT *, unnest(range(n)) AS i FROM p)),
+     e AS (SELECT a.doc_id, b.i - a.i AS q, a.i, a.i - row_number() OVER (PARTITION BY a.doc_id, b.i - a.i ORDER BY a.i) AS island
+           FROM x AS a JOIN x AS b ON a.doc_id = b.doc_id AND a.word = b.word AND a.i < b.i),
+     s AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM e GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(24, 3 * q)),
+     r AS MATERIALIZED (SELECT doc_id, start, length, min(q) AS period FROM s GROUP BY doc_id, start, length),
+     t AS (SELECT doc_id, count(*) AS n_runs, arg_max(r, (length::DOUBLE / period, -start, -period)) AS best,
+                  string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs FROM r GROUP BY doc_id),
+     y AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY i) AS rest FROM x
+           WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = x.doc_id AND x.i >= r.start + r.period AND x.i < r.start + r.length) GROUP BY x.doc_id)
+SELECT p.doc_id, coalesce(n_runs, 0) AS n_runs, best.start AS start, best.length AS length, best.period AS period, 1000 * best.length // best.period AS exponent_milli,
+       sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(rest, '')) AS collapsed_sha256
+FROM p LEFT JOIN t ON t.doc_id = p.doc_id LEFT JOIN y ON y.doc_id = p.doc_id""",
 }
