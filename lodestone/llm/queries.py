@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_naming, decontam, jaccard_join, langid, line_chunks, line_windows, mixing, token_files, toxicity, url_rules, word_runs, wrapper
+from . import block_naming, decontam, jaccard_join, langid, line_chunks, line_windows, mixing, token_files, toxicity, url_rules, warc, word_runs, wrapper
 from .common import crc, table
 
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
@@ -60,11 +60,15 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op12_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.through_warc(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op13_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_runs.digests(word_runs.word_runs(word_runs.with_repeats(table(spark, sf_dir, "documents"))))
 
 
-QUERIES = {"op1_language_id": op1_language_id, "op5_toxicity": op5_toxicity, "op2_exact_dedup": op2_exact_dedup, "op3_line_dedup": op3_line_dedup, "op3_passage_dedup": op3_passage_dedup, "op4_html_extraction": op4_html_extraction, "op6_token_files": op6_token_files, "op7_jaccard_join": op7_jaccard_join, "op8_decontaminate": op8_decontaminate, "op9_url_filter": op9_url_filter, "op10_mix_sources": op10_mix_sources, "op13_word_runs": op13_word_runs}
+QUERIES = {"op1_language_id": op1_language_id, "op5_toxicity": op5_toxicity, "op2_exact_dedup": op2_exact_dedup, "op3_line_dedup": op3_line_dedup, "op3_passage_dedup": op3_passage_dedup, "op4_html_extraction": op4_html_extraction, "op6_token_files": op6_token_files, "op7_jaccard_join": op7_jaccard_join, "op8_decontaminate": op8_decontaminate, "op9_url_filter": op9_url_filter, "op10_mix_sources": op10_mix_sources, "op12_arc_to_warc": op12_arc_to_warc, "op13_word_runs": op13_word_runs}
 
 _fits = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{v}|{h}{p}'" for v, h, p in sorted(RULES, key=lambda r: -len(r[1] + r[2])))
 SQL = {
@@ -126,6 +130,13 @@ WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
        CAST(size * ((CASE WHEN f0 < z.f OR f0 = z.f AND e.rnk <= z.rnk THEN 1 ELSE 0 END) + (CASE WHEN f1 < z.f OR f1 = z.f AND e.rnk <= z.rnk THEN 1 ELSE 0 END)) AS BIGINT) AS taken
 FROM e, z""",
+    "op12_arc_to_warc": r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+     d AS (SELECT page_id, html, array_to_string(list_transform(range(8), lambda i: array_to_string(list_transform([15, 10, 5, 0],
+                  lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((('0x' || substr(hex, 5 * i + 1, 5))::BIGINT >> s) & 31 AS INT) + 1, 1)), '')), '') AS payload_digest FROM p),
+     r AS (SELECT *, row_number() OVER w AS nth, first_value(page_id) OVER w AS keep FROM d WINDOW w AS (PARTITION BY html ORDER BY page_id DESC NULLS LAST))
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN nth = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN nth > 1 THEN keep END AS refers_to FROM r""",
     "op13_word_runs": r"""
 WITH h AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
                   xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
