@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_naming, decontam, jaccard_join, langid, line_chunks, line_windows, mixing, token_files, toxicity, url_rules, warc, word_runs, wrapper
+from . import block_naming, decontam, jaccard_join, langid, line_chunks, line_windows, mixing, phrases, token_files, toxicity, url_rules, warc, word_runs, wrapper
 from .common import crc, table
 
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
@@ -60,6 +60,10 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.through_warc(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -68,7 +72,7 @@ def op13_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_runs.digests(word_runs.word_runs(word_runs.with_repeats(table(spark, sf_dir, "documents"))))
 
 
-QUERIES = {"op1_language_id": op1_language_id, "op5_toxicity": op5_toxicity, "op2_exact_dedup": op2_exact_dedup, "op3_line_dedup": op3_line_dedup, "op3_passage_dedup": op3_passage_dedup, "op4_html_extraction": op4_html_extraction, "op6_token_files": op6_token_files, "op7_jaccard_join": op7_jaccard_join, "op8_decontaminate": op8_decontaminate, "op9_url_filter": op9_url_filter, "op10_mix_sources": op10_mix_sources, "op12_arc_to_warc": op12_arc_to_warc, "op13_word_runs": op13_word_runs}
+QUERIES = {"op1_language_id": op1_language_id, "op5_toxicity": op5_toxicity, "op2_exact_dedup": op2_exact_dedup, "op3_line_dedup": op3_line_dedup, "op3_passage_dedup": op3_passage_dedup, "op4_html_extraction": op4_html_extraction, "op6_token_files": op6_token_files, "op7_jaccard_join": op7_jaccard_join, "op8_decontaminate": op8_decontaminate, "op9_url_filter": op9_url_filter, "op10_mix_sources": op10_mix_sources, "op11_phrases": op11_phrases, "op12_arc_to_warc": op12_arc_to_warc, "op13_word_runs": op13_word_runs}
 
 _fits = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{v}|{h}{p}'" for v, h, p in sorted(RULES, key=lambda r: -len(r[1] + r[2])))
 SQL = {
@@ -130,6 +134,23 @@ WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
        CAST(size * ((CASE WHEN f0 < z.f OR f0 = z.f AND e.rnk <= z.rnk THEN 1 ELSE 0 END) + (CASE WHEN f1 < z.f OR f1 = z.f AND e.rnk <= z.rnk THEN 1 ELSE 0 END)) AS BIGINT) AS taken
 FROM e, z""",
+    "op11_phrases": r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+     p AS (SELECT lang, regexp_extract_all(unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM d),
+     g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM p, (VALUES (1), (2), (3), (4)) t(k) WHERE len(w) >= k)),
+     f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY lang, k, phrase HAVING count(*) >= 30),
+     n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
+     c AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+     s AS (SELECT lang, w, k, a, unnest(generate_series(1, k - 1)) AS cut FROM c),
+     z AS (SELECT s.lang, array_to_string(s.w, ' ') AS phrase, s.a, x.a AS l, y.a AS r, CAST(2000000::HUGEINT * s.a // (x.a + y.a) AS BIGINT) AS score,
+                  row_number() OVER (PARTITION BY s.lang, s.w ORDER BY 2000000::HUGEINT * s.a // (x.a + y.a), cut) AS nth
+           FROM s JOIN f AS x ON x.lang = s.lang AND x.phrase = array_to_string(s.w[1:cut], ' ') JOIN f AS y ON y.lang = s.lang AND y.phrase = array_to_string(s.w[cut + 1:], ' ')),
+     b AS (SELECT DISTINCT lang, phrase FROM (SELECT c.lang, c.a AS over, array_to_string(w[i:i + m - 1], ' ') AS phrase FROM
+               (SELECT lang, w, k, a, m, unnest(generate_series(1, k - m + 1)) AS i FROM c, (VALUES (2), (3)) t(m) WHERE m < k) AS c) AS o
+           JOIN f USING (lang, phrase) WHERE 100::HUGEINT * over >= 80::HUGEINT * f.a),
+     t AS (SELECT lang, phrase, a, l, r, score, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank
+           FROM z WHERE nth = 1 AND NOT EXISTS (SELECT 1 FROM b WHERE b.lang = z.lang AND b.phrase = z.phrase))
+SELECT lang, rank, phrase, a, l, r, n, score FROM t JOIN n USING (lang) WHERE rank <= 2000""",
     "op12_arc_to_warc": r"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
      d AS (SELECT page_id, html, array_to_string(list_transform(range(8), lambda i: array_to_string(list_transform([15, 10, 5, 0],
