@@ -9,7 +9,7 @@ Case and white space do not count: texts are lower-cased, runs of white space be
 query set: it is read in blocks of bounded size, each of which is one pass over all documents.
 
 Null and empty texts and items match nothing. Items of under 1 / RATE characters allow no edit: they match where they
-occur exactly, however short they are. Repeated documents and items match as rows of their own, except that rows that
+occur exactly, however short they are. Documents with null or equal ids, repeated documents and items match as rows of their own, except that rows that
 agree in document and item id are reported once for each document row. Texts of any length are read whole; hits of
 repeated q-grams are counted HITS at a time. Empty tables give empty results. Only the named columns are read.
 """
@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_small, stash
-
 #: Edits allowed for each character of an item; q-grams' length (shorter for short items).
 RATE, Q = 0.08, 10
 #: Characters of items in a block; characters of documents, and hits of q-grams, looked at together.
 BLOCK_CHARS, CHUNK, HITS = 4 << 20, 1 << 20, 1 << 22
+#: Texts that a Python worker holds at once.
+ROWS = 1000
 _WHITE = re.compile(r"\s+")
 _TABLE_BITS = 22
 #: Stands before a document's first character; no character has this code.
@@ -202,8 +202,8 @@ def leaks(docs: DataFrame, bench: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             items = shared.value
             for b in batches:
-                for at in range(0, b.num_rows, 1000):
-                    ids, texts = (c.to_pylist() for c in b.slice(at, 1000).columns)
+                for at in range(0, b.num_rows, ROWS):
+                    ids, texts = (c.to_pylist() for c in b.slice(at, ROWS).columns)
                     found = [(ids[t], items.ids[i], e, s, n) for t, i, e, s, n in items.search([normalise(t) for t in texts])]
                     if found:
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), kind, strict=True)], schema=kind)
@@ -214,6 +214,18 @@ def leaks(docs: DataFrame, bench: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame) -> DataFrame:
-    """docs without those in which some item is found; a document with a null id stays out only if none of that kind matches."""
-    hit = stash(leaks(docs, bench).select(F.coalesce("doc_id", F.lit(-1)).alias("_hit")).distinct(), "leaks")
-    return join_small(docs, hit, F.coalesce(docs["doc_id"].cast("long"), F.lit(-1)) == hit["_hit"], "left_anti")
+    """docs, as they are, without the rows in which some item is found: row by row, whatever their ids, without a shuffle."""
+    at = docs.columns.index("text")
+    for items in item_blocks(bench):
+        shared = docs.sparkSession.sparkContext.broadcast(items)  # bounded by BLOCK_CHARS
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for k in range(0, b.num_rows, ROWS):
+                    some = b.slice(k, ROWS)
+                    clean = np.ones(some.num_rows, bool)
+                    clean[[t for t, *_ in shared.value.search([normalise(t) for t in some.column(at).to_pylist()])]] = False
+                    yield some.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

@@ -651,6 +651,19 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     assert sorted(x.start for x in got) == list(itertools.accumulate([0] + [n for _, n, _ in found]))[:-1]
 
 
+def test_decontaminate_removes_rows_not_ids(spark):
+    item = "a benchmark passage of some length that nobody would write by chance"
+    rows = [(-1, f"x {item} y"), (None, "clean"), (5, f"{item} z"), (5, "clean too"), (5, "clean too"), (None, item), (7, None), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_hit", F.lit("clash")).repartition(2)
+    bench = spark.createDataFrame([(1, item), (1, item), (None, item), (2, None), (3, "qq")], "item_id long, text string")
+    left = decontam.decontaminate(docs, bench)
+    assert left.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=repr) == sorted([(None, "clean"), (5, "clean too"), (5, "clean too"), (7, None), (8, "")], key=repr)
+    # repeated ids are reported for each row and item
+    assert sorted(((r.doc_id, r.item_id) for r in decontam.leaks(docs, bench).collect()), key=repr) == sorted([(d, i) for d in (-1, 5, None) for i in (1, 1, None)], key=repr)
+    assert decontam.leaks(docs.limit(0), bench).count() == 0 and decontam.decontaminate(docs.limit(0), bench).count() == 0
+
+
 def test_pipeline_of_empty_documents(spark, tmp_path):
     import corpus_pipeline as cp
 
