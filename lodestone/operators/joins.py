@@ -20,6 +20,18 @@ def join_bounded(df: DataFrame, small: DataFrame, on: list[str], weigh: Column,
     return left.join(small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [*on, "_salt"], how).drop("_salt")
 
 
+def join_counted(df: DataFrame, other: DataFrame, on: list[str], how: str = "inner", count: str = "c", parts: int = 2000) -> DataFrame:
+    """Join (inner or left) of df with one row a key of other, whose column count says how many rows of df have the key.
+
+    Keys that hold over one in parts of df's rows are fewer than parts: these are broadcast, and no task gets many rows of the
+    others. other is read more than once (write it first).
+    """
+    total = other.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    hot = other.where(F.col(count) * parts > total)
+    cold = df.join(F.broadcast(hot.select(*on)), on, "left_anti").join(other.where(F.col(count) * parts <= total), on, how)
+    return df.join(F.broadcast(hot), on).unionByName(cold)
+
+
 def lookup(df: DataFrame, dim: DataFrame, key: str, order: list, first: bool = True) -> DataFrame:
     """Left join on the lower-cased key; where the dimension repeats a key, its first (or last) row by order counts."""
     w = Window.partitionBy(F.lower(key)).orderBy(*(order if first else [F.desc(o) for o in order]))

@@ -7,14 +7,16 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.lexicon import count_terms
 from ..operators import aggregates as ag
 from ..operators import dedupe as dd
 from ..operators import joins as jn
 from ..operators import resample as rs
 from ..operators import rules as rl
 from ..operators import windows as wn
+from ..sources import append_log
 from ..sources.tables import cut_lineage, shared_folder
-from ..streaming import logs
+from ..streaming import keyed, logs
 from .catalog import IDX
 from .catalog import QUERIES as _ALL
 from .catalog import SQL as _ALL_SQL
@@ -243,12 +245,45 @@ def _(s, d):
     return s.read.schema("alert_id string").parquet(f"{at}/out").groupBy("alert_id").agg(F.count("*").alias("times"))
 
 
+@query("x02_alerts_by_state", "SELECT concat('AL_', user_id) AS alert_id, count(DISTINCT event_type) AS times FROM events WHERE event_type = 'error' GROUP BY 1")
+def _(s, d):
+    """Alerts of the whole stream, each once by the state kept for its id."""
+    alerts = _stream(s, d).where("event_type = 'error'").select(F.concat(F.lit("AL_"), F.col("user_id").cast("string")).alias("alert_id"), "ts", "event_id")
+    with keyed.disk_state(s):
+        return _drained(s, keyed.first_of_key(alerts, ["alert_id"], ["ts", "event_id"])).groupBy("alert_id").agg(F.count("*").alias("times"))
+
+
+@query("x02_append_log", "SELECT concat('AL_', user_id) AS alert_id, count(DISTINCT event_type) AS times FROM events WHERE event_type = 'error' GROUP BY 1")
+def _(s, d):
+    """Alerts appended by two runs of a stream over the same events, through a log of commits."""
+    alerts = _stream(s, d).where("event_type = 'error'").select(F.concat(F.lit("AL_"), F.col("user_id").cast("string")).alias("alert_id"))
+    at = f"{shared_folder(s)}/alerts-{uuid.uuid4().hex}"
+    for run in ("first", "second"):
+        append_log.append_stream(alerts, f"{at}/log", f"{at}/{run}", run, "alert_id")
+    return append_log.read_log(s, f"{at}/log", "alert_id string").groupBy("alert_id").agg(F.count("*").alias("times"))
+
+
 @query("x03_score_arriving", "SELECT event_id, CAST(len(regexp_extract_all(props, '1|7')) AS INT) AS term_count FROM events")
 def _(s, d):
     """Each event is scored once; a copy that comes within a day is dropped."""
     return _drained(s, logs.score_arriving(_stream(s, d), "props", ["1", "7"], ["event_id"], "ts", "1 day").select("event_id", "term_count"))
 
 
+@query("x03_score_once", "SELECT event_id, CAST(len(regexp_extract_all(props, '1|7')) AS INT) AS term_count FROM events")
+def _(s, d):
+    """Each event is scored once, however late a copy of it comes: its id is kept on disk."""
+    n, _ = count_terms(F.col("props"), ["1", "7"])
+    with keyed.disk_state(s):
+        return _drained(s, keyed.first_of_key(_stream(s, d).select("event_id", "ts", n.alias("term_count")), ["event_id"], ["ts"]).select("event_id", "term_count"))
+
+
+@query("x04_w07_stream_diff", "SELECT user_id, ts, event_id, previous, props <> pp AS text_changed, CAST(len(regexp_extract_all(props, '1')) - len(regexp_extract_all(pp, '1')) AS BIGINT) AS delta_ones FROM (SELECT user_id, ts, event_id, props, lag(props) OVER w AS pp, lag(ts) OVER w AS previous FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE pp IS NOT NULL AND ts < (SELECT max(ts) - INTERVAL 1 HOUR FROM events)")
+def _(s, d):
+    """Changes between an entity's captures, as the stream's watermark passes them."""
+    with keyed.disk_state(s):
+        return _drained(s, keyed.changes(_stream(s, d), "user_id", "ts", "event_id", "props", {"ones": F.regexp_count("props", F.lit("1"))}))
+
+
 @query("x04_sessions", """SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 6 HOUR AS session_end, count(*) AS rows FROM (SELECT *, sum(g) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS g FROM events))
  GROUP BY user_id, k HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
 def _(s, d):

@@ -5,10 +5,10 @@ import os
 import duckdb
 import pytest
 
-from lodestone.plans import catalog, catalog_more
+from lodestone.plans import catalog, catalog_more, catalog_sequence
 
 D = "/root/testdata/sf0.001"
-QUERIES = catalog.QUERIES | catalog_more.QUERIES
+QUERIES = catalog.QUERIES | catalog_more.QUERIES | catalog_sequence.QUERIES
 SQL = catalog.SQL | catalog_more.SQL
 
 
