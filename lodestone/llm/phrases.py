@@ -31,8 +31,8 @@ from .hashing import mix, separators, span_hashes, words
 
 #: Words of a phrase, its least count, and phrases returned for each language.
 MOST, LEAST, TOP = 4, 30, 2000
-#: Bytes of text that a Python worker counts at once; segments of a stripe; 64-bit blocks of the filter; rows of an Arrow batch.
-BLOCK, SEGMENTS, SLOTS, ROWS = 8 << 20, 16, 1 << 20, 50_000
+#: Bytes of text that a Python worker counts at once; segments of a stripe (of that of no word); 64-bit blocks of the filter; rows of an Arrow batch.
+BLOCK, SEGMENTS, WORDS, SLOTS, ROWS = 8 << 20, 16, 256, 1 << 20, 50_000
 #: Lower-cases A-Z, makes ends of pieces line feeds and tabs spaces.
 _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz\n\n\n\n\n\n\n\n\n ")
 _SPLIT = separators()
@@ -64,9 +64,10 @@ class Block:
 
     def stripes(self, lang: str, size: int, prefix: np.ndarray, following: np.ndarray, n: np.ndarray, names: pa.Array) -> Iterator[pa.RecordBatch]:
         """Rows of stripes from (prefix, next word, count); prefix numbers the names."""
-        segment = (self.hashes[following] >> np.uint64(40)).astype(np.int64) % SEGMENTS
-        order = np.argsort(prefix * SEGMENTS + segment, kind="stable")
-        code = (prefix * SEGMENTS + segment)[order]
+        segments = SEGMENTS if size else WORDS
+        code = prefix * segments + (self.hashes[following] >> np.uint64(40)).astype(np.int64) % segments
+        order = np.argsort(code, kind="stable")
+        code = code[order]
         first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
         ends = np.append(first[1:], len(code))
         following, n = self.words.take(pa.array(following[order])), n[order].astype(np.int64)
@@ -75,7 +76,7 @@ class Block:
             at = pa.array(np.append(a, b[-1]) - a[0], pa.int32())
             some = slice(int(a[0]), int(b[-1]))
             yield pa.RecordBatch.from_arrays(
-                [pa.repeat(lang, len(a)), pa.repeat(pa.scalar(size, pa.int32()), len(a)), names.take(pa.array(code[a] // SEGMENTS)), pa.array(code[a] % SEGMENTS, pa.int32()),
+                [pa.repeat(lang, len(a)), pa.repeat(pa.scalar(size, pa.int32()), len(a)), names.take(pa.array(code[a] // segments)), pa.array(code[a] % segments, pa.int32()),
                  pa.ListArray.from_arrays(at, following[some]), pa.ListArray.from_arrays(at, pa.array(n[some]))], schema=_KIND)
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:

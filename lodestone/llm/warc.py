@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import join_counted, shared_dir, stash, unstash
 
 #: Compressed bytes after which an archive is closed; bytes of a gzip member; gzip level.
-MOST, MEMBER, LEVEL = 4 << 20, (1 << 24) - 1, 3
+MOST, MEMBER, LEVEL = 4 << 20, (1 << 24) - 1, 4
 # Fixed values of the formats.
 FIELDS = {
     1: b"URL IP-address Archive-date Content-type Archive-length",
