@@ -6,8 +6,12 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .automaton import contained_terms, matched_terms, term_positions
 from .text import text_blob, token_count
 
+#: Above so many terms a lexicon is matched by an automaton; the result is the same.
+LARGE = 64
+
 
 def alternation(terms: list[str]) -> str:
     """One pattern for all terms, longest first, so that the leftmost-longest term matches."""
@@ -16,12 +20,17 @@ def alternation(terms: list[str]) -> str:
 
 def count_terms(c: Column, terms: list[str]) -> tuple[Column, Column]:
     """How many non-overlapping terms c has, case aside, and the sorted distinct ones."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(alternation(terms)), F.lit(0))  # one pass serves both
+    if len(terms) > LARGE:
+        found = matched_terms(c, terms)
+    else:  # one pass serves both
+        found = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(alternation(terms)), F.lit(0))
     return F.size(found), F.array_sort(F.array_distinct(found))
 
 
 def hits(c: Column, terms: list[str]) -> Column:
     """Terms that are in c, overlapping ones too, in the lexicon's order."""
+    if len(terms) > LARGE:
+        return contained_terms(c, terms)
     low = F.lower(F.coalesce(c, F.lit("")))
     return F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(low, F.lower(t)))
 
@@ -41,20 +50,6 @@ def lexicon_score(df: DataFrame, text_cols: list[str], target: list[str], contex
     return df.withColumns(out)
 
 
-def matches(text: Column, rx: str) -> Column:
-    """Array of (start, end, match) of all matches of a pattern, from 0."""
-    parts, marks = F.split(text, rx, -1), F.regexp_extract_all(text, F.lit(rx), F.lit(0))
-    lengths = F.transform(F.arrays_zip(parts.alias("p"), marks.alias("m")), lambda x: F.struct(F.length(x["p"]).alias("gap"), F.coalesce(F.length(x["m"]), F.lit(0)).alias("n"), x["m"].alias("m")))
-    return F.aggregate(
-        lengths,
-        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,match:string>>)").alias("found")),
-        lambda a, x: F.struct(
-            (a["at"] + x["gap"] + x["n"]).alias("at"),
-            F.when(x["m"].isNull(), a["found"]).otherwise(F.concat(a["found"], F.array(F.struct((a["at"] + x["gap"]).alias("start"), (a["at"] + x["gap"] + x["n"]).alias("end"), x["m"].alias("match"))))).alias("found"),
-        ),
-    )["found"]
-
-
 def around(text: Column, start: Column, end: Column, width: int) -> Column:
     """The part of text from width characters before start to width characters after end."""
     return F.substring(text, F.greatest(start - width, F.lit(0)) + 1, F.least(end + width, F.length(text)) - F.greatest(start - width, F.lit(0)))
@@ -62,7 +57,7 @@ def around(text: Column, start: Column, end: Column, width: int) -> Column:
 
 def kwic(df: DataFrame, text: str, target: list[str], context: list[str], width: int = 80) -> DataFrame:
     """One row for each target match: start, end, marker, window of width characters on each side, context hits in it."""
-    found = matches(F.lower(F.col(text)), alternation(target))
+    found = term_positions(F.col(text), target)
     rows = df.select("*", F.posexplode(found).alias("hit", "_m"))
     start, end = F.col("_m.start"), F.col("_m.end")
     rows = rows.withColumns({"start": start, "end": end, "marker": F.col("_m.match"), "window": around(F.col(text), start, end, width)}).drop("_m")

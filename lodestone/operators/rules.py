@@ -1,10 +1,13 @@
 """Rule classifiers: ordered rules of words or patterns become one CASE expression."""
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lexicon import around, hits, matches
+from ..functions.lexicon import hits
+from ..functions.redact import sensitive_hits
 from ..functions.text import clamp, collapse, contains_any, text_blob
 
 # Words in a source's type or address that tell its authority
@@ -155,20 +158,17 @@ SENSITIVE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "url":
 
 
 def sensitive_scan(df: DataFrame, id_col: str, text_col: str, patterns: dict[str, str] = SENSITIVE, terms: list[str] = (), width: int = 60, cap: int | None = None) -> DataFrame:
-    """One row for each hit: kind, position among the text's hits, length, and the text around it with every hit redacted.
+    """One row for each hit: kind, position among the text's hits, length, and the text around it with every hit redacted whole.
+
+    Hits are redacted in the whole text before it is cut, so that none shows because the edge cuts it.
 
     terms: further strings to look for, case aside. cap: hits of a text to report, in order of kind and place.
     """
-    kinds = [*patterns.items(), *[("term", f"(?i)\\Q{t}\\E") for t in terms if t.strip()]]
-    text = F.col(text_col)
-    named = lambda kind, p: F.transform(matches(text, p), lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end")))
-    found = F.flatten(F.array(*[named(k, p) for k, p in kinds]))
-    rows = df.where(text.isNotNull()).select(id_col, text_col, found.alias("_f")).where(F.size("_f") > 0)
-    rows = rows.select(id_col, text_col, F.posexplode(F.slice("_f", 1, cap) if cap else F.col("_f")).alias("hit_no", "_h"))
-    snippet = around(text, F.col("_h.start"), F.col("_h.end"), width)
-    for k, p in kinds:
-        snippet = F.regexp_replace(snippet, p, f"<redacted:{k}>")
-    return rows.select(id_col, F.col("_h.kind").alias("kind"), "hit_no", (F.col("_h.end") - F.col("_h.start")).alias("hit_length"), collapse(snippet).alias("snippet"))
+    kinds = [*patterns.items(), *[("term", f"(?i){re.escape(t)}") for t in terms if t.strip()]]
+    found = sensitive_hits(F.col(text_col), kinds, width, cap)
+    rows = df.where(F.col(text_col).isNotNull()).select(id_col, found.alias("_f")).where(F.size("_f") > 0)
+    rows = rows.select(id_col, F.posexplode("_f").alias("hit_no", "_h"))
+    return rows.select(id_col, F.col("_h.kind").alias("kind"), "hit_no", (F.col("_h.end") - F.col("_h.start")).alias("hit_length"), collapse(F.col("_h.snippet")).alias("snippet"))
 
 
 def outlier_reason(raw: Column, weighted: Column, target: Column, context: Column, threshold: float) -> Column:

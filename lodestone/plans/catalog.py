@@ -268,6 +268,14 @@ def _(s, d):
     return lx.lexicon_score(attestations(s, d), ["original_text"], TARGET, CONTEXT, DOMAINS).select("attestation_id", "token_count", "english_count", "english_score", "german_score", "romance_score", "binding_present")
 
 
+@query("l01_large_lexicon", sql("SELECT attestation_id, CAST(len(m) AS INT) AS n, list_sort(list_distinct(m)) AS matched FROM (SELECT attestation_id, regexp_extract_all(lower(original_text), (SELECT string_agg(t, '|' ORDER BY length(t) DESC, t) FROM (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS t FROM part UNION SELECT concat('w', range) FROM range(200)))) AS m FROM att)", ATT))
+def _(s, d):
+    """Counts of a lexicon of a few hundred terms (words of part names and more) by an automaton."""
+    words = table(s, d, "part").select(F.explode(F.split("p_name", " ")).alias("t")).distinct()
+    n, m = lx.count_terms(F.col("original_text"), [*[r.t for r in words.collect()], *[f"w{i}" for i in range(200)]])  # a lexicon is part of the plan
+    return attestations(s, d).select("attestation_id", n.alias("n"), m.alias("matched"))
+
+
 @query("l03_hits", sql("SELECT attestation_id, list_filter(['the', 'he', 'ion', 'keit'], lambda x: contains(lower(original_text), x)) AS hits FROM att", ATT))
 def _(s, d):
     return attestations(s, d).select("attestation_id", lx.hits(F.col("original_text"), ["the", "he", "ion", "keit"]).alias("hits"))
@@ -405,15 +413,18 @@ def _(s, d):
 
 
 _rx = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "url": r"https?://[^\s\"'<>]+".replace('\\"', '"').replace("'", "''"), "path": r"/(?:home|Users|root)/[A-Za-z0-9._/-]+", "term": "(?i)license"}
-_redact = "substr(text, greatest(p0 - 60, 0) + 1, least(p0 + n0 + 60, length(text)) - greatest(p0 - 60, 0))"
-for _k, _p in _rx.items():
-    _redact = f"regexp_replace({_redact}, '{_p}', '<redacted:{_k}>', 'g')"
 _found = " UNION ALL ".join(f"SELECT doc_id, text, {n} AS no, '{k}' AS kind, string_split_regex(text, '{p}') AS p, regexp_extract_all(text, '{p}') AS m FROM documents" for n, (k, p) in enumerate(_rx.items()))
 
 
 @query("l25_sensitive_scan", rf"""WITH f AS ({_found}), g AS (SELECT doc_id, text, no, kind, p, m, unnest(generate_series(1, len(m))) AS i FROM f WHERE len(m) > 0),
- h AS (SELECT doc_id, text, kind, no, i, CAST(list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS INT) AS p0, length(m[i]) AS n0 FROM g)
- SELECT doc_id, kind, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY no, i) - 1 AS INT) AS hit_no, CAST(n0 AS INT) AS hit_length, trim(regexp_replace({_redact}, '\s+', ' ', 'g')) AS snippet FROM h""")
+ h AS (SELECT doc_id, text, kind, no, i, CAST(list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS INT) AS p0, length(m[i]) AS n0 FROM g),
+ o AS (SELECT doc_id, no, kind, p0, p0 + n0 AS e0, n0, max(p0 + n0) OVER (PARTITION BY doc_id ORDER BY p0, no, n0 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS me FROM h),
+ q AS (SELECT *, sum(CASE WHEN me IS NULL OR p0 >= me THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p0, no, n0 ROWS UNBOUNDED PRECEDING) AS island FROM o),
+ sp AS (SELECT doc_id, min(p0) AS s, max(e0) AS e, arg_min(kind, (p0, no)) AS sk FROM q GROUP BY doc_id, island),
+ w AS (SELECT *, greatest(p0 - 60, 0) AS lo, least(p0 + n0 + 60, length(text)) AS hi FROM h),
+ x AS (SELECT w.*, s, e, sk, coalesce(lag(e) OVER (PARTITION BY w.doc_id, no, i ORDER BY s), lo) AS a0 FROM w JOIN sp ON sp.doc_id = w.doc_id AND s < hi AND e > lo),
+ y AS (SELECT doc_id, kind, no, i, any_value(n0) AS n0, string_agg(substr(text, a0 + 1, greatest(s - a0, 0)) || '<redacted:' || sk || '>', '' ORDER BY s) || substr(any_value(text), max(e) + 1, greatest(any_value(hi) - max(e), 0)) AS snip FROM x GROUP BY doc_id, kind, no, i)
+ SELECT doc_id, kind, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY no, i) - 1 AS INT) AS hit_no, CAST(n0 AS INT) AS hit_length, trim(regexp_replace(snip, '\s+', ' ', 'g')) AS snippet FROM y""")
 def _(s, d):
     return rl.sensitive_scan(table(s, d, "documents"), "doc_id", "text", terms=["license"])
 

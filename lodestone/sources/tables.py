@@ -1,10 +1,12 @@
 """Reading, uniting and writing tables."""
 from __future__ import annotations
 
+import csv
 import tempfile
 import uuid
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,17 +39,38 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     return df.toDF(*[c.lstrip("﻿") for c in df.columns])
 
 
+def split_cells(n: int):
+    """Column function: the first n cells of a CSV line (null if empty or absent), and the other cells joined by commas (null if there are none)."""
+    kind = pa.struct([("cells", pa.list_(pa.string())), ("extra", pa.string())])
+
+    @F.arrow_udf("struct<cells:array<string>,extra:string>")
+    def split(line: pa.Array) -> pa.Array:
+        csv.field_size_limit(1 << 31)
+        out = []
+        for x in line.to_pylist():
+            cells = next(csv.reader([x]), []) if x else []
+            out.append({"cells": [c or None for c in cells[:n]] + [None] * (n - len(cells)), "extra": ",".join(cells[n:]) if len(cells) > n else None})
+        return pa.array(out, kind)
+
+    return split
+
+
 def read_ragged(spark: SparkSession, path: str, names: list[str], extra: str, header: bool = False) -> DataFrame:
-    """CSV lines of strings, of which some have more cells than there are names: these are joined by commas in extra."""
-    wide = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))] + [T.StructField("_raw", T.StringType())])
-    raw = spark.read.option("multiLine", False).option("escape", '"').option("header", header).option("enforceSchema", True).option("columnNameOfCorruptRecord", "_raw").schema(wide).csv(path)
-    raw = cut_lineage(raw)
-    # a line is read again, as wide as it may be by its commas
-    cells = F.size(F.split("_raw", ","))
-    most = raw.agg(F.coalesce(F.max(cells), F.lit(0))).first()[0]
-    over = F.from_csv("_raw", ", ".join(f"x{i} string" for i in range(max(most, len(names) + 1))), {"escape": '"'})
-    surplus = F.array_join(F.array(*[over[f"x{i}"] for i in range(len(names), max(most, len(names) + 1))]), ",")
-    return raw.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)], F.when(F.col("_raw").isNotNull(), surplus).alias(extra))
+    """CSV lines of strings, of which some have more cells than there are names: these are joined by commas in extra.
+
+    header: lines that repeat the names are left out. Blank lines are none. Only lines with as many commas as names, or more, can
+    have surplus cells: they are split one by one, however many cells they have; the others are read by Spark.
+    """
+    n, given = len(names), F.regexp_replace("value", "^\ufeff|\r$", "")
+    lines = spark.read.text(path).select(given.alias("value")).where("value <> ''")
+    wide = F.regexp_count("value", F.lit(",")) >= n
+    cells = F.from_csv("value", ", ".join(f"c{i} string" for i in range(n)), {"escape": '"'})
+    plain = lines.where(~wide).select(cells.alias("c")).select(*[F.col(f"c.c{i}").alias(f"c{i}") for i in range(n)], F.lit(None).cast("string").alias("extra"))
+    ragged = lines.where(wide).select(split_cells(n)(F.col("value")).alias("c")).select(*[F.col("c.cells")[i].alias(f"c{i}") for i in range(n)], F.col("c.extra").alias("extra"))
+    rows = plain.unionByName(ragged)
+    if header:
+        rows = rows.where(~reduce(lambda a, b: a & b, [F.col(f"c{i}").eqNullSafe(F.lit(x)) for i, x in enumerate(names)]))
+    return rows.toDF(*names, extra)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
