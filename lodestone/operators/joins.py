@@ -69,15 +69,17 @@ def similar_pairs(df: DataFrame, id_col: str, group: list[str], sets: str, t: fl
     """Pairs of a group whose sets have a Jaccard similarity of at least t, by prefix filtering.
 
     Elements are ordered by how many sets hold them, rare ones first, and sets are cut to the prefix that a pair above t must
-    share an element in. Lists of sets that share an element are joined with themselves in parts of about listed sets.
+    share an element in. Pairs whose prefixes share so little that the rest cannot make up for it drop out before sets are joined. Lists of sets that share an element are joined with themselves in parts of about listed sets.
     """
     n = F.size("s")
     rows = cut_lineage(df.where(F.size(sets) > 0).select(F.col(id_col).alias("id"), *group, F.col(sets).alias("s")))
     each = rows.select("id", *group, n.alias("n"), F.explode("s").alias("s"))
     often = each.groupBy("s").agg(F.count("*").alias("c"))
     ordered = each.join(often, "s").groupBy("id", *group, "n").agg(F.array_sort(F.collect_list(F.struct("c", "s"))).alias("o"))
-    prefix = F.slice("o", 1, F.col("n") - F.ceil(F.col("n") * t - 1e-9).cast("int") + 1)
-    posts = cut_lineage(ordered.select("id", *group, "n", F.explode(F.transform(prefix, lambda p: p["s"])).alias("s")))
+    kept = F.ceil(F.col("n") * t - 1e-9).cast("int") - 1  # elements behind the prefix
+    prefix = F.slice("o", 1, F.col("n") - kept)
+    posts = ordered.select("id", *group, "n", kept.alias("rest"), prefix.alias("o"))
+    posts = cut_lineage(posts.select("id", *group, "n", "rest", F.element_at("o", -1).alias("last"), F.explode(F.transform("o", lambda p: p["s"])).alias("s")))
     lists = posts.groupBy(*group, "s").agg(F.count("*").alias("_c")).where("_c > 1").withColumn("_k", F.ceil(F.col("_c") / listed).cast("int"))
     posts = cut_lineage(posts.join(lists.drop("_c"), [*group, "s"]))
     a = posts.select("*", F.pmod(F.xxhash64("id"), F.col("_k")).cast("int").alias("_part")).drop("_k").alias("a")
@@ -85,7 +87,11 @@ def similar_pairs(df: DataFrame, id_col: str, group: list[str], sets: str, t: fl
     on = (F.col("a.id") < F.col("b.id")) & (F.least("a.n", "b.n") >= t * F.greatest("a.n", "b.n") - 1e-9)
     for c in (*group, "s", "_part"):
         on = on & (F.col(f"a.{c}") == F.col(f"b.{c}"))
-    pairs = a.join(b, on).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    # what the set whose prefix ends first shares with the other one, it shares with its prefix or has behind its own
+    behind = F.when(F.col("a.last") <= F.col("b.last"), F.col("a.rest")).otherwise(F.col("b.rest"))
+    need = F.ceil((F.col("a.n") + F.col("b.n")) * (t / (1 + t)) - 1e-9) - behind
+    met = a.join(b, on).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), need.alias("need"))
+    pairs = met.groupBy("a", "b", "need").agg(F.count("*").alias("m")).where("m >= need").select("a", "b")
     both = pairs.join(rows.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(rows.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     both = both.withColumn("c", F.size(F.array_intersect("sa", "sb")))
     return both.select("a", "b", (F.col("c") / (F.size("sa") + F.size("sb") - F.col("c"))).alias("similarity")).where(F.col("similarity") >= t)

@@ -327,20 +327,23 @@ def _(s, d):
     return evidence(s, d).select("source_type", level.alias("authority_level"), why.alias("reason"), rl.infer_authority(F.lit(""), st_, F.lit("")).alias("inferred")).groupBy("source_type", "authority_level", "reason", "inferred").agg(F.count("*").alias("n"))
 
 
-# rules' names, least score, score to stay below, decision
-DECISIONS = [(["official", "capital"], 70, None, "capital"), (["third_place_weak_signal"], 45, None, "intermediary"), (["theme_branding_only"], None, 70, "themed")]
+# parts of this catalogue: rules' names, least score, score to stay below, decision
+DECISIONS = [(["price", "bulk"], 60, None, "stock_closely"), (["worn", "hand"], 40, None, "sell_by_the_piece"), (["cheap"], None, 50, "sell_by_the_box")]
 
 
-@query("l13_rule_score", "WITH r AS (SELECT p_partkey, (CASE WHEN p_type = 'ECONOMY' THEN 45 ELSE 0 END) + (CASE WHEN p_size > 25 THEN 35 ELSE 0 END) + (CASE WHEN contains(p_name, 'red') THEN 10 ELSE 0 END) + (CASE WHEN contains(p_name, 'small') THEN 15 ELSE 0 END) AS score, list_filter([CASE WHEN p_type = 'ECONOMY' THEN 'official_type' END, CASE WHEN p_size > 25 THEN 'capital_size' END, CASE WHEN contains(p_name, 'red') THEN 'third_place_weak_signal' END, CASE WHEN contains(p_name, 'small') THEN 'theme_branding_only' END], lambda x: x IS NOT NULL) AS fired FROM part) SELECT p_partkey, score, fired, CASE WHEN score >= 70 AND list_has_any(fired, ['official_type', 'capital_size']) THEN 'capital' WHEN list_contains(fired, 'third_place_weak_signal') AND score >= 45 THEN 'intermediary' WHEN list_contains(fired, 'theme_branding_only') AND score < 70 THEN 'themed' ELSE 'unknown' END AS decision FROM r")
+@query("l13_rule_score", """WITH r AS (SELECT p_partkey, (CASE WHEN p_type = 'ECONOMY' THEN 30 ELSE 0 END) + (CASE WHEN p_retailprice >= 950 THEN 50 ELSE 0 END) + (CASE WHEN p_size <= 10 THEN 20 ELSE 0 END) + (CASE WHEN p_size > 40 THEN 25 ELSE 0 END) + (CASE WHEN contains(p_name, 'ring') THEN 25 ELSE 0 END) AS score,
+ list_filter([CASE WHEN p_type = 'ECONOMY' THEN 'cheap_line' END, CASE WHEN p_retailprice >= 950 THEN 'high_price' END, CASE WHEN p_size <= 10 THEN 'fits_in_hand' END, CASE WHEN p_size > 40 THEN 'in_bulk' END, CASE WHEN contains(p_name, 'ring') THEN 'is_worn' END], lambda x: x IS NOT NULL) AS fired FROM part)
+ SELECT p_partkey, score, fired, CASE WHEN score >= 60 AND list_has_any(fired, ['high_price', 'in_bulk']) THEN 'stock_closely' WHEN score >= 40 AND list_has_any(fired, ['is_worn', 'fits_in_hand']) THEN 'sell_by_the_piece' WHEN list_contains(fired, 'cheap_line') AND score < 50 THEN 'sell_by_the_box' ELSE 'unknown' END AS decision FROM r""")
 def _(s, d):
-    rules = [(F.col("p_type") == "ECONOMY", 45, "official_type"), (F.col("p_size") > 25, 35, "capital_size"), (tx.contains_any(F.col("p_name"), ["red"]), 10, "third_place_weak_signal"), (tx.contains_any(F.col("p_name"), ["small"]), 15, "theme_branding_only")]
+    size = F.col("p_size")
+    rules = [(F.col("p_type") == "ECONOMY", 30, "cheap_line"), (F.col("p_retailprice") >= 950, 50, "high_price"), (size <= 10, 20, "fits_in_hand"), (size > 40, 25, "in_bulk"), (tx.contains_any(F.col("p_name"), ["ring"]), 25, "is_worn")]
     score, fired = rl.rule_score(rules)
     return table(s, d, "part").select("p_partkey", score.alias("score"), fired.alias("fired"), rl.decide(score, fired, DECISIONS).alias("decision"))
 
 
-@query("l14_build_events", "SELECT concat('OWN_', lpad(CAST(p_partkey + 1 AS VARCHAR), 6, '0')) AS event_id, p_brand AS brand, CASE WHEN p_type = 'ECONOMY' THEN 'capital' WHEN contains(p_name, 'red') THEN 'intermediary' ELSE 'unknown' END AS category, coalesce(nullif(p_name, ''), p_type) AS evidence FROM part")
+@query("l14_build_events", "SELECT concat('OWN_', lpad(CAST(p_partkey + 1 AS VARCHAR), 6, '0')) AS event_id, p_brand AS brand, CASE WHEN p_type = 'ECONOMY' THEN 'economy_line' WHEN contains(p_name, 'red') THEN 'named_by_colour' ELSE 'unknown' END AS category, coalesce(nullif(p_name, ''), p_type) AS evidence FROM part")
 def _(s, d):
-    cat = rl.first_rule([(F.col("p_type") == "ECONOMY", "capital"), (tx.contains_any(F.col("p_name"), ["red"]), "intermediary")], "unknown")
+    cat = rl.first_rule([(F.col("p_type") == "ECONOMY", "economy_line"), (tx.contains_any(F.col("p_name"), ["red"]), "named_by_colour")], "unknown")
     return table(s, d, "part").select(F.format_string("OWN_%06d", F.col("p_partkey") + 1).alias("event_id"), F.col("p_brand").alias("brand"), cat.alias("category"), tx.first_nonblank(F.col("p_name"), F.col("p_type")).alias("evidence"))
 
 
