@@ -47,12 +47,22 @@ def chunk_places(lines: Column, families=FAMILIES) -> Column:
         ends = F.transform(rolled, lambda r: F.floor(r / STARTS) % ENDS == 0)
         after = lambda ends, i: F.array_position(F.slice(ends, i + 1, F.lit(MOST - 1)), True)
         size = lambda ends, i: _let(after(ends, i), lambda k: F.when(k > 0, k + 1).otherwise(F.least(F.lit(MOST), n - i)))
-        each = lambda ends: F.transform(rolled, lambda r, i: F.when(r % STARTS == 0, F.struct(i.alias("start"), size(ends, i).cast("int").alias("n"))))
+        each = lambda ends: F.transform(rolled, lambda r, i: F.when(r % STARTS == 0, i.cast("long") * (MOST + 1) + size(ends, i)))
         return F.array_compact(_let(ends, each))
 
     # the last line has no pair
     pairs = lambda h, a, b: F.zip_with(F.slice(h, 1, F.size(h) - 1), F.slice(h, 2, F.size(h)), lambda x, y: (x * a + y * b) % PRIME)
-    return _let(hashes, lambda h: F.array_distinct(F.concat(*[_let(pairs(h, a, b), places) for a, b in families])))
+    # a place is one number, as numbers are made distinct by hashing and structs by comparing all with all
+    codes = _let(hashes, lambda h: F.array_distinct(F.concat(*[_let(pairs(h, a, b), places) for a, b in families])))
+    return F.transform(codes, lambda c: F.struct(F.floor(c / (MOST + 1)).cast("int").alias("start"), (c % (MOST + 1)).cast("int").alias("n")))
+
+
+def without_lines(rows: DataFrame) -> DataFrame:
+    """rows: doc_id, text, gone (numbers of lines, null for none). doc_id, text (what stays), n_lines, n_removed."""
+    kept = lambda l: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(l) - 1), F.col("gone")), lambda i: F.get(l, i)), "\n")
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(_let(_lines(F.col("text")), kept))
+    removed = F.greatest(F.coalesce(F.size("gone"), F.lit(0)), F.lit(0)).cast("long")
+    return rows.select("doc_id", text.alias("text"), F.size(_lines(F.col("text"))).cast("long").alias("n_lines"), removed.alias("n_removed"))
 
 
 def _chunk(lines: Column, place: Column) -> Column:
@@ -84,8 +94,8 @@ def _with_places(rows: DataFrame, places: DataFrame, how: str) -> DataFrame:
 
 def _with_bytes(rows: DataFrame) -> DataFrame:
     """Places of rows, with chunk, the bytes there."""
-    each = F.transform("places", lambda p: F.struct(p["start"].alias("start"), p["n"].alias("n"), p["h"].alias("h"), _chunk(F.col("_l"), p).alias("chunk")))
-    return rows.where("places is not null").withColumn("_l", _lines(F.col("text"))).select("doc_id", "rid", F.explode(each).alias("p")).select("doc_id", "rid", "p.*")
+    each = _let(_lines(F.col("text")), lambda l: F.transform("places", lambda p: F.struct(p["start"].alias("start"), p["n"].alias("n"), p["h"].alias("h"), _chunk(l, p).alias("chunk"))))
+    return rows.where("places is not null").select("doc_id", "rid", F.explode(each).alias("p")).select("doc_id", "rid", "p.*")
 
 
 def _unequal(rows: DataFrame) -> DataFrame:
@@ -127,7 +137,4 @@ def line_dedup(docs: DataFrame, min_lines: int = 2, families=FAMILIES) -> DataFr
     else:
         lines = F.flatten(F.transform(F.filter("places", lambda p: p["later"]), lambda p: F.sequence(p["start"], p["start"] + p["n"] - 1)))
         out = full.withColumn("gone", F.when(F.size(lines) > 0, F.array_distinct(lines)))
-    out = out.withColumn("_l", _lines(F.col("text")))
-    kept = F.filter("_l", lambda _, i: ~F.array_contains("gone", i))
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return out.select("doc_id", text.alias("text"), F.size("_l").cast("long").alias("n_lines"), F.greatest(F.coalesce(F.size("gone"), F.lit(0)), F.lit(0)).cast("long").alias("n_removed"))
+    return without_lines(out)

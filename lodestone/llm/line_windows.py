@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import join_small, stash
-from .line_chunks import _let, _lines
+from .line_chunks import _let, _lines, without_lines
 
 
 def _windows(text: Column, n: int) -> Column:
@@ -37,7 +37,4 @@ def passage_dedup(docs: DataFrame, min_lines: int = 2) -> DataFrame:
     later = some.select("h", "rid", "pos").join(keep, ["h", "rid", "pos"], "left_anti")
     lines = later.select("rid", F.explode(F.sequence(F.col("pos"), F.col("pos") + (min_lines - 1))).alias("line"))
     gone = stash(lines.groupBy("rid").agg(F.collect_set("line").alias("gone")), "lines-gone")
-    out = join_small(rows, gone, "rid", "left").withColumn("_l", _lines(F.col("text")))
-    kept = F.filter("_l", lambda _, i: ~F.array_contains("gone", i))
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return out.select("doc_id", text.alias("text"), F.size("_l").cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
+    return without_lines(join_small(rows, gone, "rid", "left"))
