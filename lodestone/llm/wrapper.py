@@ -15,7 +15,7 @@ are left out (two pages' comments vary as their articles do); and pages of hosts
 pages with nothing in the region, keep what is in their article or main element, or else all that is not marked. decided_by says which it was.
 
 Null html gives an empty text; pages without a host have no template. Malformed, deeply nested, wide and very long pages
-are read whole, but a page of over REFERENCE characters is no reference. Repeated pages are rows of their own; a host of
+are read whole; the reference is a page of at most REFERENCE characters where the host has one, else the shortest. Repeated pages are rows of their own; a host of
 nothing but equal pages has no region, and where a page would lose all of its text to the template it keeps it.
 Empty tables give empty results. Columns other than those named are not read.
 """
@@ -33,7 +33,7 @@ from .dom import Node, match, parse, preorder
 from .url_rules import host_path
 
 CONSTANT, LEAST, ALIKE, MAJOR = 0.8, 5, 0.5, 0.5
-#: Characters of a reference page at most; hosts with over one in so many pages are joined by a broadcast of their references.
+#: Characters of a reference page that is broadcast, if the host has over one in PARTS of all pages.
 REFERENCE, PARTS = 1 << 17, 500
 #: Elements of running text: never the container of an article.
 RUNNING = frozenset("p ul ol dl li dt dd blockquote pre figure h1 h2 h3 h4 h5 h6".split())
@@ -142,8 +142,21 @@ def _blocks(rows: DataFrame, marks: bool) -> DataFrame:
 
 def _references(rows: DataFrame, keys: list[str]) -> DataFrame:
     """For each key: c, its pages, and ref, the html of one of them."""
-    short = F.when(F.length("html") <= REFERENCE, F.struct(F.xxhash64("page_id"), "page_id", F.xxhash64("html")))
-    return rows.groupBy(*keys).agg(F.count("*").alias("c"), F.min_by("html", short).alias("ref")).where(F.col("ref").isNotNull())
+    over = F.greatest(F.length("html") - REFERENCE, F.lit(0)).alias("over")
+    return rows.groupBy(*keys).agg(F.count("*").alias("c"), F.min_by("html", F.struct(over, F.xxhash64("page_id"), "page_id", F.xxhash64("html"))).alias("ref"))
+
+
+def _with_references(rows: DataFrame, refs: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Pages with their reference. Those of hosts with many pages are broadcast, or if long, repeated for as many salts as the host has parts."""
+    total = refs.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    many = F.col("c") * PARTS > total
+    near = refs.where(many & (F.length("ref") <= REFERENCE))
+    far = refs.where(~(many & (F.length("ref") <= REFERENCE))).withColumn("_salts", F.when(many, F.ceil(F.col("c") * PARTS / max(1, total))).otherwise(1).cast("int"))
+    salts = far.where("_salts > 1").select(*on, "_salts")  # fewer than PARTS rows of numbers
+    rest = rows.join(F.broadcast(near.select(*on)), on, "left_anti").join(F.broadcast(salts), on, "left")
+    rest = rest.withColumn("_salt", F.pmod(F.xxhash64("page_id", "html"), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
+    far = far.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
+    return rows.join(F.broadcast(near), on).unionByName(rest.join(far, [*on, "_salt"], how).drop("_salt")).drop("c")
 
 
 _RULES = pa.schema([("host", pa.string()), ("layout", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
@@ -187,12 +200,12 @@ def extract(pages: DataFrame, marks: bool = True) -> DataFrame:
     rows = pages.select("page_id", "url", "html", host.alias("host"))
     none = F.lit(None).cast("long").alias("layout")
     refs = stash(_references(rows.where("host <> '' and html is not null"), ["host"]), "references")
-    joined = join_counted(rows.where("host <> ''"), refs, ["host"], "left", parts=PARTS).drop("c").unionByName(rows.where("host = ''"), allowMissingColumns=True)
+    joined = _with_references(rows.where("host <> ''"), refs, ["host"], "left").unionByName(rows.where("host = ''"), allowMissingColumns=True)
     blocks = stash(_blocks(joined.select("*", none), marks), "blocks")
     # pages of other layouts
     odd = blocks.where("layout <> 0")
     more = stash(_references(odd, ["host", "layout"]).where(F.col("c") >= LEAST), "layout-references")
-    own = stash(_blocks(join_counted(odd.drop("blocks"), more, ["host", "layout"], parts=PARTS), marks), "layout-blocks").drop("html")
+    own = stash(_blocks(_with_references(odd.drop("blocks"), more, ["host", "layout"]), marks), "layout-blocks").drop("html")
     # pages whose layout too few share stay with the host's reference
     kept = join_counted(blocks.drop("html"), more.drop("ref").withColumn("_own", F.lit(True)), ["host", "layout"], "left").where("_own is null").drop("_own", "c").withColumn("layout", F.lit(0).cast("long"))
     blocks = kept.unionByName(own)

@@ -677,3 +677,36 @@ def test_toxicity_held_out(spark):
     got = queries.op5_toxicity(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic"), "doc_id").where("toxic is not null")
     r = got.agg(F.avg(F.when(F.col("toxic") == 1, F.col("predicted"))).alias("caught"), F.avg(F.when(F.col("toxic") == 0, F.col("predicted"))).alias("wrong")).first()
     assert r.caught > 0.8 and r.wrong < 0.02
+
+
+def test_long_texts_of_many_lines_are_deduplicated_in_linear_time(spark):
+    import time
+
+    lines = [f"line {i} of a text with {i * 7919 % 1000} words" for i in range(100_000)]
+    rows = [(1, "\n".join(lines)), (2, "\n".join(["own first", *lines[:60_000], "own last"])), (3, "\n".join(["x", "y"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for dedup in (line_chunks.line_dedup, line_windows.passage_dedup):
+        t = time.perf_counter()
+        got = {r.doc_id: r for r in dedup(docs).collect()}
+        assert time.perf_counter() - t < 200
+        assert got[1].n_removed == got[3].n_removed == 0 and got[1].text == rows[0][1] and got[1].n_lines == 100_000
+        assert 55_000 < got[2].n_removed <= 60_000 and got[2].text.startswith("own first") and got[2].text.endswith("own last")
+
+
+def test_passages_of_texts_with_clashing_columns(spark):
+    rows = [(1, "a b\nc d\ne f"), (2, "x\na b\nc d"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("rid", "window", "h", "gone", "pos", "line", "count", "_l")})
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_windows.passage_dedup(docs).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("x", 2), None: (None, 0)}
+
+
+def test_hosts_of_long_pages_only_have_a_reference(spark):
+    r = random.Random(8)
+    filler = "".join(f"<li><a href='/{k}'>menu entry number {k} of this site</a></li>" for k in range(3000))
+    page = lambda host, k, menu: (k, f"http://{host}/{k}", f"<html><body><div><ul>{menu}</ul></div><div><p>{prose(r, 60)}</p><p>{prose(r, 40)}</p></div></body></html>")
+    rows = [page("long.example", k, filler) for k in range(7)] + [page("short.example", 100 + k, "<li>home</li><li>news</li>") for k in range(7)]
+    assert all(len(x[2]) > wrapper.REFERENCE for x in rows[:7])
+    got = {x.page_id: x for x in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), marks=False).collect()}
+    for k, _, html in rows:
+        assert got[k].decided_by == "alignment"
+        assert got[k].text == "\n\n".join(re.findall("<p>(.*?)</p>", html))
