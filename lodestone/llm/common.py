@@ -83,6 +83,20 @@ def join_counted(df: DataFrame, other: DataFrame, on: list[str], how: str = "inn
     return df.join(F.broadcast(hot), on).unionByName(df.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on, how))
 
 
+def join_spread(df: DataFrame, other: DataFrame, on: str, spread: Column, keys: DataFrame, parts: int = 500) -> DataFrame:
+    """Inner join of df with one wide row a key of other. keys: a written table that has df's keys as often as df.
+
+    Keys that hold over one in parts of df's rows are fewer than parts. Their numbers of salts are broadcast, not their rows:
+    df's rows are dealt to these salts by spread, and other's row is repeated for each.
+    """
+    counts, total = keys.groupBy(on).agg(F.count("*").alias("_c")), keys.count()
+    salts = F.broadcast(counts.where(F.col("_c") * parts > total).select(on, F.ceil(F.col("_c") * parts / max(1, total)).cast("int").alias("_salts")))
+    n = F.coalesce("_salts", F.lit(1))
+    left = df.join(salts, on, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), n).cast("int")).drop("_salts")
+    right = other.join(salts, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), n - 1))).drop("_salts")
+    return left.join(right, [on, "_salt"]).drop("_salt")
+
+
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

@@ -6,11 +6,12 @@ Two documents link when the Jaccard similarity of their sets of five-word shingl
 2. Shingles are ordered alike in all sets, by hash. If two sets link, their prefixes of n - ceil(t n) + l shingles share
    at least l of these, for any l up to ceil(t n). Each set posts the longest prefix that may be asked for.
 3. Sets that have too few posted shingles in common with any others to link at all drop out.
-4. Each shingle's list of sets is joined with one leader of the list; pairs that share many are verified, and links are
-   merged, in a few rounds with other leaders. A list whose sets are all in one component needs no more work, so a group
+4. Each set picks its l, and with it how far its prefix reaches, by the estimated cost of its candidates. Each shingle's list of
+   sets is joined with one leader of the list; pairs that share the l of the larger set in their prefixes are verified, and
+   links are merged, in a few rounds with other leaders. A list whose sets are all in one component needs no more work, so a group
    of near copies costs a row for each of its sets, not for each pair.
-5. All pairs of different components that are left in some list are joined. Here each set picks its l, and with it how far
-   its prefix reaches, by the estimated cost of its candidates (list lengths, and verifications at 1 / l of them).
+5. All pairs of different components that are left in some list are joined. Here each set picks its l anew, by the lengths of
+   whole lists and verifications at 1 / l of their pairs.
    With h shingles of long lists among its prefix, a link shares at least l - h of the others, so long lists are passed
    over by lengthening the prefix. Candidates with enough shared shingles are verified on whole sets. Sets that no l
    frees of long lists (odd members of large families of near copies) are compared with their family block by block.
@@ -31,13 +32,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_counted, join_small, stash, unstash
+from .common import join_counted, join_small, join_spread, stash, unstash
 from .hashing import chunks, mix, span_hashes, words
 
 WIDTH, THRESHOLD = 5, 80
-#: The first postings serve an l of up to one more than this share (in percent) of a set's size; the last step, on the
-#: whole sets that are left, chooses among these shares.
-FIRST, CHOICES = 10, (0, 5, 10, 20, 30, 40, 50, 60, 70)
+#: The first postings serve an l of up to one more than this share (in percent) of a set's size; the rounds with leaders choose l
+#: among the next shares, the last step, on the whole sets that are left, among the last ones.
+FIRST, EARLY, CHOICES = 10, (0, 2, 5, 10), (0, 5, 10, 20, 30, 40, 50, 60, 70)
 #: Verifying costs as much as so many list entries. Lists of more sets than LONG are passed over where possible. Sets in a
 #: block of a family.
 VERIFY, LONG, PART = 20, 16, 256
@@ -134,9 +135,10 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """pairs: a, b. Those that link."""
-    one = pairs.join(sets.select(F.col("rid").alias("a"), F.col("set").alias("sa")), "a")
-    two = one.join(sets.select(F.col("rid").alias("b"), F.col("set").alias("sb")), "b")
+    """pairs: a, b. Those that link. A set that stands in very many pairs (a family's leader) is repeated for parts of them."""
+    pairs = stash(pairs, "pairs")
+    one = join_spread(pairs, sets.select(F.col("rid").alias("a"), F.col("set").alias("sa")), "a", F.col("b"), pairs)
+    two = join_spread(one, sets.select(F.col("rid").alias("b"), F.col("set").alias("sb")), "b", F.col("a"), pairs)
     both = F.size(F.array_intersect("sa", "sb"))
     return two.where(both * 100 >= threshold * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
@@ -187,6 +189,17 @@ def _counted(entries: DataFrame) -> DataFrame:
     return join_counted(entries, df, ["token"], count="df", parts=HOT)
 
 
+def _lengths(now: DataFrame) -> DataFrame:
+    """(rid, l): how many shingles a set's prefix must share in the rounds with leaders, by what each l costs.
+
+    A longer prefix meets the leaders of more lists, but only 1 / l of these meetings can ask for a verification.
+    """
+    options = [1 + F.floor(F.col("n") * c / 100) for c in EARLY]
+    sums = [F.sum(F.when(F.col("e") < l, 1).otherwise(0)).alias(f"s{k}") for k, l in enumerate(options)]
+    best = F.array_min(F.array(*[F.struct((F.col(f"s{k}") * (1 + VERIFY / l)).alias("cost"), l.alias("l")) for k, l in enumerate(options)]))
+    return now.groupBy("rid", "n").agg(*sums).select("rid", best["l"].cast("int").alias("l"))
+
+
 def _left(posts: DataFrame, comps: DataFrame | None, sets: DataFrame, threshold: int) -> DataFrame:
     """Entries (as postings, with comp) of the whole sets that may still link with a set of another component."""
     able = _open(posts, comps).groupBy("rid", "n", "comp").agg(F.count("*").alias("c")).where(F.col("c") >= 1 + F.floor(F.col("n") * FIRST / 100))
@@ -310,10 +323,13 @@ def link_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     comps = None
     for turn in range(ROUNDS):
         now = _open(posts, comps)
-        lead = now.groupBy("token").agg(F.min_by(F.struct("rid", "n", "comp"), F.xxhash64("rid", F.lit(turn))).alias("l"))
-        meet = (F.col("l.comp") != F.col("comp")) & (F.least("n", F.col("l.n")) * 100 >= F.greatest("n", F.col("l.n")) * threshold)
-        pairs = now.join(lead, "token").where(meet).select(F.least("rid", F.col("l.rid")).alias("a"), F.greatest("rid", F.col("l.rid")).alias("b"), "n")
-        pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("c"), F.min("n").alias("n")).where("c * 10 >= n").select("a", "b")
+        now = now.join(_lengths(now), "rid")
+        lead = now.groupBy("token").agg(F.min_by(F.struct("rid", "n", "comp", "e", "l"), F.xxhash64("rid", F.lit(turn))).alias("o"))
+        met = now.join(lead, "token").where((F.col("o.comp") != F.col("comp")) & _alike("n", "o.n", threshold))
+        # the larger set says how far both prefixes reach and how many shingles they share there
+        own = F.struct("n", "rid") > F.struct("o.n", "o.rid")
+        met = met.withColumn("need", F.when(own, F.col("l")).otherwise(F.col("o.l"))).where((F.col("e") < F.col("need")) & (F.col("o.e") < F.col("need")))
+        pairs = met.select(F.least("rid", "o.rid").alias("a"), F.greatest("rid", "o.rid").alias("b"), "need").groupBy("a", "b", "need").agg(F.count("*").alias("c")).where("c >= need").select("a", "b")
         found = stash(_verified(pairs, sets, threshold), "links")
         if not found.limit(1).count():
             break
