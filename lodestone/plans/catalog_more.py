@@ -17,7 +17,7 @@ from ..operators import windows as wn
 from ..sources import append_log
 from ..sources.tables import cut_lineage, shared_folder
 from ..streaming import keyed, logs
-from .catalog import IDX
+from .catalog import IDX, ITEMS
 from .catalog import QUERIES as _ALL
 from .catalog import SQL as _ALL_SQL
 from .views import EV, LOG, evidence, execution_log, rounded, sql, table
@@ -144,6 +144,33 @@ def _(s, d):
     return rs.bootstrap_trend(_series(s, d), "corridor", "bin", "index", "weight_sum", REPS, 11)
 
 
+# trends over all rows, and by the item type of their markers
+_TYPE = "CASE WHEN list_has_any(target_markers, ['thing', 'night']) THEN 'core' WHEN list_contains(target_markers, 'nicht') THEN 'negation' WHEN list_has_any(target_markers, ['queque', 'ouaux']) THEN 'doubled' ELSE 'unknown' END"
+T5 = lambda ctes: ctes.replace(", sr AS (", f", evk AS (SELECT * REPLACE ('all' AS corridor) FROM ev UNION ALL SELECT * REPLACE ({_TYPE} AS corridor) FROM ev), sr AS (", 1).replace("FROM ev GROUP BY corridor, five_year_bin", "FROM evk GROUP BY corridor, five_year_bin", 1)
+_EDGE = lambda q: f"max(s) FILTER (r = floor(m * {q}))"
+_FLAT = lambda v, x: f"CASE WHEN abs(slope) < 1e-12 THEN {v}::DOUBLE ELSE {x} END"
+_P = "avg(CASE WHEN slope >= 0 THEN s < 0 ELSE s > 0 END::INT)"
+
+
+def _typed_series(s, d):
+    rows = evidence(s, d).select("target_markers", "year", "raw_binding", "analysis_weight")
+    kind = rl.item_type(F.array_join("target_markers", " "), ITEMS)
+    rows = rows.withColumn("item_type", F.explode(F.array(F.lit("all"), kind)))
+    return rs.trend_series(rows, ["item_type"], "year", 5, "raw_binding", "analysis_weight")
+
+
+@query("t05_series", sql("SELECT corridor AS item_type, bin, index, weight_sum, rows FROM sr", T5(SERIES), "index weight_sum"))
+def _(s, d):
+    """The series of all rows and of each item type."""
+    return _typed_series(s, d)
+
+
+@query("t05_trends", sql(f"SELECT corridor AS item_type, points, slope, {_FLAT(0, _EDGE(0.025))} AS ci_low, {_FLAT(0, _EDGE(0.975))} AS ci_high, {_FLAT(1, _P)} AS p_value, CASE WHEN {_FLAT(0, f'{_EDGE(0.975)} - {_EDGE(0.025)}')} < 0.1 THEN 'high' WHEN {_EDGE(0.975)} - {_EDGE(0.025)} < 0.2 THEN 'medium' ELSE 'low' END AS stability, {_FLAT(1, _P)} < 0.10 AS trend_emerged FROM br JOIN ob USING (corridor) GROUP BY corridor, points, slope", T5(BOOT), "slope ci_low ci_high p_value"))
+def _(s, d):
+    """Slope, interval, p and stability of the trend of all rows and of each item type."""
+    return rs.bootstrap_trend(_typed_series(s, d), "item_type", "bin", "index", "weight_sum", REPS, 11)
+
+
 @query("t07_permutation_p", sql(f"""SELECT o.corridor, slope, avg((abs(s) >= abs(slope) - 1e-12)::INT) AS p_value FROM (SELECT k.corridor, rep, regr_slope(k.index, sc.xc) AS s FROM (SELECT corridor, rep, index, row_number() OVER (PARTITION BY corridor, rep ORDER BY {H32('13', 'corridor', 'rep', 'i')}, i) AS j FROM sc CROSS JOIN (SELECT unnest(generate_series(0, 499)) AS rep)) k
  JOIN sc ON sc.corridor = k.corridor AND sc.i = k.j GROUP BY k.corridor, rep) p JOIN (SELECT corridor, regr_slope(index, xc) AS slope FROM sc GROUP BY corridor) o ON o.corridor = p.corridor GROUP BY o.corridor, slope""", SERIES, "slope p_value"))
 def _(s, d):
