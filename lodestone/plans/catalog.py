@@ -882,14 +882,31 @@ def _(s, d):
     return rounded(ag.binned_surface(table(s, d, "lineitem"), "l_quantity", "l_discount", "l_extendedprice"), 4)
 
 
-@query("a51_quadratic_surface")
+def _surface_sql(key: str) -> str:
+    """Least squares in SQL: the terms are made orthogonal one after the other, then the coefficients follow from the last one back."""
+    ctes = [f"r0 AS (SELECT {key} AS key, 1.0::DOUBLE AS t0, l_quantity::DOUBLE AS t1, l_discount::DOUBLE AS t2, (l_quantity * l_quantity)::DOUBLE AS t3, (l_quantity * l_discount)::DOUBLE AS t4, (l_discount * l_discount)::DOUBLE AS t5, l_extendedprice::DOUBLE AS t6, l_extendedprice::DOUBLE AS y FROM lineitem)"]
+    for k in range(6):
+        ctes.append(f"c{k} AS (SELECT key, {', '.join(f'sum(t{k} * t{j}) / sum(t{k} * t{k}) AS c{k}{j}' for j in range(k + 1, 7))} FROM r{k} GROUP BY key)")
+        ctes.append(f"r{k + 1} AS (SELECT key, {', '.join(f't{j} - c{k}{j} * t{k} AS t{j}' for j in range(k + 1, 7))}, y FROM r{k} JOIN c{k} USING (key))")
+    w = {}
+    for k in reversed(range(6)):
+        w[k] = f"(c{k}6 - ({' + '.join(f'c{k}{j} * w{j}' for j in range(k + 1, 6)) or '0'})) AS w{k}"
+    solved = f"(SELECT * FROM {' JOIN '.join(f'c{k}' if k == 0 else f'c{k} USING (key)' for k in range(6))})"
+    for k in reversed(range(6)):
+        solved = f"(SELECT *, {w[k]} FROM {solved})"
+    names = ", ".join(f"struct_pack(term := '{n}', coefficient := w{k})" for k, n in enumerate(ag.SURFACE))
+    ctes.append("q AS (SELECT key, count(*) AS rows, 1 - sum(t6 * t6) / sum((y - m) * (y - m)) AS r_squared FROM r6 JOIN (SELECT key, avg(y) AS m FROM r6 GROUP BY key) USING (key) GROUP BY key)")
+    return f"WITH {', '.join(ctes)} SELECT key, e.term AS term, round(e.coefficient, 3) AS coefficient, round(r_squared, 6) AS r_squared, rows FROM (SELECT key, unnest([{names}]) AS e FROM {solved}) JOIN q USING (key) WHERE rows >= 20"
+
+
+@query("a51_quadratic_surface", _surface_sql("'all'"))
 def _(s, d):
-    return ag.quadratic_surface(table(s, d, "lineitem"), "l_quantity", "l_discount", "l_extendedprice")
+    return ag.quadratic_surface(table(s, d, "lineitem"), "l_quantity", "l_discount", "l_extendedprice").withColumn("coefficient", F.round("coefficient", 3))
 
 
-@query("a51_surface_by_key")
+@query("a51_surface_by_key", _surface_sql("coalesce(l_returnflag, 'unknown')"))
 def _(s, d):
-    return ag.quadratic_surface(table(s, d, "lineitem"), "l_quantity", "l_discount", "l_extendedprice", "l_returnflag")
+    return ag.quadratic_surface(table(s, d, "lineitem"), "l_quantity", "l_discount", "l_extendedprice", "l_returnflag").withColumn("coefficient", F.round("coefficient", 3))
 
 
 @query("a52_yearly_structure", sql("SELECT corridor, year, count(*) AS rows, avg((authority_level = 'tertiary')::INT) AS tertiary_ratio, avg((authority_level = 'primary')::INT) AS primary_ratio, avg(contains(source_type, 'tourism')::INT) AS tourism_ratio, avg(contains(source_type, 'newspaper')::INT) AS newspaper_ratio, sum(weighted_binding) / greatest(sum(analysis_weight), 1e-9) AS binding_index FROM ev GROUP BY corridor, year", EV, "tertiary_ratio primary_ratio tourism_ratio newspaper_ratio binding_index"))
