@@ -205,6 +205,13 @@ ERAS = {"nicht aus": (1950, 1952), "license": (1998, 1999)}
 _years = "list_transform(list_filter(regexp_extract_all(t, '\\d+'), lambda x: length(x) = 4 AND x BETWEEN '1800' AND '2099'), lambda x: x::BIGINT)"
 
 
+@query("p12_encode_iri", r"SELECT doc_id, concat('https://a.example/', url_encode(regexp_extract(coalesce(text, ''), '\p{L}*[^\x00-\x7F]\p{L}*'))) AS iri FROM documents")
+def _(s, d):
+    """Addresses with letters outside of ASCII."""
+    word = F.regexp_extract(F.coalesce("text", F.lit("")), r"\p{L}*[^\x00-\x7F]\p{L}*", 0)
+    return table(s, d, "documents").select("doc_id", tx.encode_iri(F.concat(F.lit("https://a.example/"), word)).alias("iri"))
+
+
 @query("p13_p14_years", rf"""WITH y AS (SELECT doc_id, concat_ws(' ', text, n_chars, 'of', 1900 + doc_id % 150, source) AS t FROM documents)
  SELECT doc_id, list_sort(list_distinct(list_filter({_years} || CASE WHEN contains(t, 'nicht aus') THEN [1950::BIGINT, 1951, 1952] ELSE [] END || CASE WHEN contains(t, 'license') THEN [1998::BIGINT, 1999] ELSE [] END, lambda x: x BETWEEN 1940 AND 2030))) AS years, TRY_CAST(regexp_extract(t, '(?:1[89]|20)\d\d') AS INT) AS first_year FROM y""")
 def _(s, d):
