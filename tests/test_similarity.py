@@ -2,6 +2,7 @@
 import difflib
 import itertools
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,8 +10,10 @@ from pyspark.sql import functions as F
 from lodestone.operators import dedupe as dd
 from lodestone.operators import joins as jn
 from lodestone.operators import similarity as sm
+from lodestone.plans import catalog_sequence
 
 WORDS = "the of and in that was for on with as his they be at one have this from".split()
+Q = catalog_sequence.QUERIES
 ratio = lambda x, y: difflib.SequenceMatcher(None, x, y).ratio()
 
 
@@ -178,3 +181,57 @@ def test_counted_join_of_hot_keys(spark):
     assert sorted((r.k, r.v, r.m) for r in inner.collect()) == sorted((k, v, least[k]) for k, v in rows if k is not None)
     left = jn.join_counted(df, other.where("k = 'hot'"), ["k"], "left", parts=50)
     assert left.count() == len(rows)
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    """Tables whose brands (id modulo 37) and neighbours hold near copies."""
+    r = random.Random(12)
+    found = texts(r, 170)
+    docs = []
+    for i in range(170):
+        t = found[i % 37] if i >= 37 and r.random() < 0.6 else found[i]
+        t = t if r.random() < 0.5 else t.replace(" as ", " so ", 1).capitalize() + "  https://x.example/a "
+        docs.append((i, None if i % 41 == 3 else t, r.choice(["en", "de"]), f"src{r.randrange(6)}", len(t)))
+    at = str(tmp_path_factory.mktemp("sequence"))
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, 0) for i in range(0, 170, 3)], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    norm = lambda t: " ".join(re.sub(r"https?://\S+", " ", t or "").split()).lower()
+    return at, [(i, f"brand_{i % 37}", s, norm(t), (t or "").strip()) for i, t, _, s, _ in docs]
+
+
+def test_queries_of_pairs(spark, folder):
+    at, docs = folder
+    same = {(x[0], y[0]): q for x, y in itertools.combinations(docs, 2) if x[1] == y[1] and x[3] and y[3] and (q := ratio(x[3], y[3])) >= 0.85}
+    src = {x[0]: x[2] for x in docs}
+    got = {(r.a, r.b): r.similarity for r in Q["d04_sequence_narratives"](spark, at).collect()}
+    assert got == pytest.approx({p: q for p, q in same.items() if src[p[0]] != src[p[1]]}, abs=1e-6) and len(got) > 20
+    got = {(r.a, r.b): r.similarity for r in Q["j08_sequence_pairs"](spark, at).collect()}
+    assert got == pytest.approx({p: q for p, q in same.items() if q >= 0.9}, abs=1e-6)
+    rows = {r.attestation_id: r for r in Q["d05_sequence_templates"](spark, at).collect()}
+    assert len(rows) == len(docs) and all(rows[a].component == rows[b].component for a, b in same)
+    assert {r.component for r in rows.values() if r.component_rows > 1} == {rows[a].component for a, _ in same}
+
+
+def test_queries_of_neighbours_and_sources(spark, folder):
+    at, docs = folder
+    near = {(x[0], y[0]): q for i, x in enumerate(docs) for y in docs[i + 1 : i + 100] if x[4] and y[4] and (q := ratio(x[4], y[4])) >= 0.95}
+    for name in ("j10_d07_sequence_neighbours", "d07_all_neighbours"):
+        assert {(r.a, r.b): r.similarity for r in Q[name](spark, at).collect()} == pytest.approx(near, abs=1e-6) and near
+    assert {r.check: r.found for r in Q["a39_fuzzy_anomalies"](spark, at).collect()}["fuzzy_duplicate_pairs"] == len(near)
+    by = {}
+    for i, _, s, t, _ in docs:
+        if t:
+            by.setdefault(s, []).append(t)
+    rep = {s: " ".join(v[:3]) for s, v in by.items()}
+    want = {(a, b): q for a, b in itertools.combinations(sorted(rep), 2) if (q := ratio(rep[a], rep[b])) >= 0.3}
+    assert {(r.a, r.b): r.similarity for r in Q["j09_d06_representative_overlap"](spark, at).collect()} == pytest.approx(want, abs=1e-6)
+
+
+def test_query_of_part_names(spark):
+    d = "/root/testdata/sf0.001"
+    parts = sorted((r.p_partkey, r.p_brand, r.p_name) for r in spark.read.parquet(f"{d}/part.parquet").collect())
+    got = {r.p_partkey: r.novelty for r in Q["d03_sequence_novelty"](spark, d).collect()}
+    for i, g, t in parts[::17]:
+        near = [n for k, b, n in parts if b == g and k != i][:200]
+        assert got[i] == pytest.approx(1 - sum(ratio(t, n) for n in near) / len(near), abs=1e-6)
