@@ -163,15 +163,15 @@ def readiness(df: DataFrame, target: int = 350, near: int = 25, most_tourism: fl
     return df.withColumns({"records_needed": F.greatest(F.lit(0), target - c("rows")), "status": F.when(c("p_value").isNull(), "keep_collecting").otherwise(status)})
 
 
-def _poisson(u: Column, most: int = 8) -> Column:
-    """A Poisson(1) number from a uniform integer below 2**32; at most most (beyond lies under a millionth)."""
+def _poisson(h: Column, most: int = 8) -> Column:
+    """A Poisson(1) number from eight hexadecimal digits, compared as strings; at most most (beyond lies under a millionth)."""
     p, total, cuts = math.exp(-1), 0.0, []
     for k in range(most):
         total += p / math.factorial(k)
-        cuts.append(int(total * 2**32))
+        cuts.append(f"{int(total * 2**32):08x}")
     out = F.lit(most)
     for k in reversed(range(most)):
-        out = F.when(u < cuts[k], k).otherwise(out)
+        out = F.when(h < cuts[k], k).otherwise(out)
     return out
 
 
@@ -182,8 +182,8 @@ def bootstrap_index_ci(df: DataFrame, key: str, id_col: str, value: str, weight:
     in one pass before the shuffle.
     """
     each = df.select(key, id_col, value, weight, F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
-    times = _poisson(hash_rank(seed, F.col("rep").cast("string"), F.col(id_col).cast("string")))
-    sums = each.withColumn("_k", times).where("_k > 0").groupBy(key, "rep").agg(F.sum(F.col(value) * F.col("_k")).alias("v"), F.sum(F.col(weight) * F.col("_k")).alias("w"))
+    digits = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("rep").cast("string"), F.col(id_col).cast("string"))), 1, 8)
+    sums = each.withColumn("_h", digits).withColumn("_k", _poisson(F.col("_h"))).where("_k > 0").groupBy(key, "rep").agg(F.sum(F.col(value) * F.col("_k")).alias("v"), F.sum(F.col(weight) * F.col("_k")).alias("w"))
     each = sums.select(key, "rep", F.when(F.col("w") > 0, F.col("v") / F.col("w")).otherwise(0.0).alias("s"))
     w = Window.partitionBy(key)  # reps rows
     each = each.withColumns({"r": F.row_number().over(w.orderBy("s", "rep")) - 1, "m": F.count("*").over(w)})
