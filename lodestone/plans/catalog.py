@@ -14,7 +14,7 @@ from ..operators import joins as jn
 from ..operators import rules as rl
 from ..operators import windows as wn
 from ..sources import tables as st
-from .views import ATT, CONTEXT, DOMAINS, EV, LOG, METRIC_DOUBLES, METRICS, OWN, PC, PRES, SEARCHES, TARGET, attestations, consumers, evidence, execution_log, ownership, presence, producers, rounded, searches, sql, table
+from .views import ATT, CONTEXT, DOMAINS, EV, LOG, METRIC_DOUBLES, METRICS, OWN, PC, PRES, SEARCHES, TARGET, attestations, consumers, evidence, execution_log, ownership, presence, producers, rounded, searches, sql, table, texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -289,7 +289,7 @@ def _(s, d):
 
 
 def _kwic(s, d):
-    return lx.kwic(table(s, d, "documents").select("doc_id", "text"), "text", ["worthless", "nicht aus", "license"], ["the", "und"], 40)
+    return lx.kwic(texts(s, d, "doc_id", "text"), "text", ["worthless", "nicht aus", "license"], ["the", "und"], 40)
 
 
 KWIC = """k0 AS (SELECT doc_id, text, string_split_regex(lower(text), 'nicht aus|worthless|license') AS p, regexp_extract_all(lower(text), 'nicht aus|worthless|license') AS m FROM documents),
@@ -436,7 +436,7 @@ _found = " UNION ALL ".join(f"SELECT doc_id, text, {n} AS no, '{k}' AS kind, str
  y AS (SELECT doc_id, kind, no, i, any_value(n0) AS n0, string_agg(substr(text, a0 + 1, greatest(s - a0, 0)) || '<redacted:' || sk || '>', '' ORDER BY s) || substr(any_value(text), max(e) + 1, greatest(any_value(hi) - max(e), 0)) AS snip FROM x GROUP BY doc_id, kind, no, i)
  SELECT doc_id, kind, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY no, i) - 1 AS INT) AS hit_no, CAST(n0 AS INT) AS hit_length, trim(regexp_replace(snip, '\s+', ' ', 'g')) AS snippet FROM y""")
 def _(s, d):
-    return rl.sensitive_scan(table(s, d, "documents"), "doc_id", "text", terms=["license"])
+    return rl.sensitive_scan(texts(s, d, "doc_id", "text"), "doc_id", "text", terms=["license"])
 
 
 QUOTAS = [("Q1", "en", 1946, 1969, 120), ("Q2", "en", 1965, 1999, 150), ("Q3", "de", 1946, 1999, 60), ("Q4", "fr", 1946, 2025, 90), ("Q5", "xx", 1946, 2025, 10)]

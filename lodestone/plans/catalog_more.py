@@ -20,7 +20,7 @@ from ..streaming import keyed, logs
 from .catalog import IDX, ITEMS
 from .catalog import QUERIES as _ALL
 from .catalog import SQL as _ALL_SQL
-from .views import EV, LOG, evidence, execution_log, rounded, sql, table
+from .views import EV, LOG, evidence, execution_log, rounded, sql, table, texts
 
 QUERIES, SQL = {}, {}
 
@@ -55,7 +55,7 @@ def _(s, d):
 def _word_sets(s, d):
     """Documents with the set of their whole text's words as numbers."""
     words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda x: x != "")
-    return table(s, d, "documents").select("doc_id", "lang", "source", F.transform(F.array_distinct(words), lambda w: tx.hash_rank(w)).alias("words"))
+    return texts(s, d, "doc_id", "lang", "source", "text").select("doc_id", "lang", "source", F.transform(F.array_distinct(words), lambda w: tx.hash_rank(w)).alias("words"))
 
 
 WORDS = rf"""ws AS MATERIALIZED (SELECT doc_id, lang, source, list_transform(list_distinct(list_filter(string_split_regex(lower(coalesce(text, '')), '\s+'), lambda x: x <> '')), lambda x: {H32('x')}) AS words FROM documents),

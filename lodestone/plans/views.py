@@ -21,6 +21,18 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """A scan that fills fewer tasks than there are cores (one small file) is dealt to all of them, where each row costs much; else df."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def texts(spark: SparkSession, d: str, *cols: str) -> DataFrame:
+    """Documents, with these columns or all, whose texts will be searched."""
+    docs = table(spark, d, "documents")
+    return dealt(docs.select(*cols) if cols else docs)
+
+
 def _attested(docs: DataFrame, labels: DataFrame, more: list[str]) -> DataFrame:
     rows = docs.join(labels.select("doc_id", "quality"), "doc_id", "left")
     year = (1946 + F.col("doc_id") % 80).cast("int")
@@ -35,7 +47,7 @@ def _attested(docs: DataFrame, labels: DataFrame, more: list[str]) -> DataFrame:
 
 def attestations(spark: SparkSession, d: str) -> DataFrame:
     """Evidence rows with their text."""
-    return _attested(table(spark, d, "documents"), table(spark, d, "labels"), [F.col("text").alias("original_text")])
+    return _attested(texts(spark, d), table(spark, d, "labels"), [F.col("text").alias("original_text")])
 
 
 def evidence(spark: SparkSession, d: str) -> DataFrame:
@@ -44,7 +56,7 @@ def evidence(spark: SparkSession, d: str) -> DataFrame:
     tn, t = count_terms(text, TARGET)
     cn, c = count_terms(text, CONTEXT)
     scored = {"target_count": tn, "context_count": cn, "target_markers": t, "context_markers": c, "text_length": F.length(text)}
-    docs = table(spark, d, "documents").withColumns(scored).drop("text")
+    docs = texts(spark, d).withColumns(scored).drop("text")
     rows = _attested(docs, table(spark, d, "labels"), list(scored))
     level, _ = authority(F.col("source_type"), F.lit(""))
     rows = rows.withColumns({"target": F.col("target_count") > 0, "context": F.col("context_count") > 0, "authority_level": level, "five_year_bin": year_bin(F.col("year"), 5), "novelty": F.least(F.col("n_chars") / 5000.0, F.lit(1.0)), "dedupe_key": F.concat_ws("|", "source_ref", F.col("year").cast("string"), "brand")})
