@@ -25,9 +25,19 @@ def shared_folder(spark: SparkSession) -> str:
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read back: what is read more than once is computed once."""
-    path = f"{shared_folder(df.sparkSession)}/step-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark._lodestone_steps = [*getattr(spark, "_lodestone_steps", []), path]
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_steps(spark: SparkSession) -> None:
+    """Deletes what cut_lineage has written so far. For when results are written: DataFrames made of these steps cannot be read any more."""
+    for path in getattr(spark, "_lodestone_steps", []):
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    spark._lodestone_steps = []
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None, extra: str | None = None) -> DataFrame:

@@ -1,4 +1,5 @@
 """Large lexicons against regular expressions, redaction across edges, ragged lines."""
+import os
 import random
 import re
 import time
@@ -104,3 +105,12 @@ def test_ragged_lines(spark, tmp_path):
     want = {("1", "2", None), ('q,uo "te"', "x", None), ("3", "4", "5"), ("6", "7,7", '8 "8",,9'), (None, None, ""), ("only", None, None), (None, "y", None), ("10", "11", ",".join("z" * 1_000_000)), ("12", "13", "")}
     assert got == want
     assert st.read_table(spark, f"file://{tmp_path}/x.csv", extra="more").columns == ["a", "b", "more"]
+
+
+def test_steps_are_deleted_on_request(spark):
+    out = st.cut_lineage(spark.range(5))
+    assert out.count() == 5
+    path = spark._lodestone_steps[-1].removeprefix("file://")
+    assert os.path.isdir(path)
+    st.drop_steps(spark)
+    assert not os.path.exists(path) and spark._lodestone_steps == []
