@@ -26,7 +26,11 @@ def join_counted(df: DataFrame, other: DataFrame, on: list[str], how: str = "inn
     Keys that hold over one in parts of df's rows are fewer than parts: these are broadcast, and no task gets many rows of the
     others. other is read more than once (write it first).
     """
-    total = other.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    total, most = other.agg(F.coalesce(F.sum(count), F.lit(0)), F.coalesce(F.max(count), F.lit(0))).first()
+    if most * parts <= total:  # no such key
+        return df.join(other, on, how)
+    if total < parts:  # nothing but such keys
+        return df.join(F.broadcast(other), on, how)
     hot = other.where(F.col(count) * parts > total)
     cold = df.join(F.broadcast(hot.select(*on)), on, "left_anti").join(other.where(F.col(count) * parts <= total), on, how)
     return df.join(F.broadcast(hot), on).unionByName(cold)
