@@ -121,8 +121,9 @@ def permutation_p(series: DataFrame, key: str, x: str, y: str, reps: int, seed:
 def sufficiency_curve(rows: DataFrame, order: str, y: str, sizes: list[int], reps: int, seed: int, at: str | None = None) -> DataFrame:
     """Standard error of the slope of y on at (by default order) for samples of each size, drawn with replacement from rows numbered by order."""
     spark = rows.sparkSession
-    # all rows get one running number: ranges of order are numbered in parallel, offset by the rows before them
-    flat = rows.repartitionByRange(order).sortWithinPartitions(order).select("*", F.monotonically_increasing_id().alias("_m"))
+    # all rows get one running number: ranges of order are numbered in parallel, offset by the rows before them; they are
+    # written, as a second reading may be cut into other ranges
+    flat = cut_lineage(rows.repartitionByRange(order).sortWithinPartitions(order).select("*", F.monotonically_increasing_id().alias("_m")))
     flat = flat.withColumns({"_part": F.shiftright("_m", 33), "_at": F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))})
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     parts = flat.groupBy("_part").agg(F.count("*").alias("c")).withColumn("_before", F.coalesce(F.sum("c").over(before), F.lit(0))).select("_part", "_before")
