@@ -348,7 +348,7 @@ def _(s, d):
     return table(s, d, "part").select("p_partkey", score.alias("score"), fired.alias("fired"), rl.decide(score, fired, DECISIONS).alias("decision"))
 
 
-@query("l14_build_events", "SELECT concat('OWN_', lpad(CAST(p_partkey + 1 AS VARCHAR), 6, '0')) AS event_id, p_brand AS brand, CASE WHEN p_type = 'ECONOMY' THEN 'economy_line' WHEN contains(p_name, 'red') THEN 'named_by_colour' ELSE 'unknown' END AS category, coalesce(nullif(p_name, ''), p_type) AS evidence FROM part")
+@query("l14_build_events", "SELECT concat('OWN_', printf('%06d', p_partkey + 1)) AS event_id, p_brand AS brand, CASE WHEN p_type = 'ECONOMY' THEN 'economy_line' WHEN contains(p_name, 'red') THEN 'named_by_colour' ELSE 'unknown' END AS category, coalesce(nullif(p_name, ''), p_type) AS evidence FROM part")
 def _(s, d):
     cat = rl.first_rule([(F.col("p_type") == "ECONOMY", "economy_line"), (tx.contains_any(F.col("p_name"), ["red"]), "named_by_colour")], "unknown")
     return table(s, d, "part").select(F.format_string("OWN_%06d", F.col("p_partkey") + 1).alias("event_id"), F.col("p_brand").alias("brand"), cat.alias("category"), tx.first_nonblank(F.col("p_name"), F.col("p_type")).alias("evidence"))

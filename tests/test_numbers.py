@@ -1,10 +1,22 @@
-"""Numbering of rows."""
+"""Numbering of rows and ids that outgrow their padding."""
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
 from lodestone.operators import resample as rs
+from lodestone.plans import catalog
+
+
+def test_ids_of_more_digits_are_not_cut(spark, tmp_path):
+    rows = [(k, f"name {k}", "Brand#1", "SMALL") for k in (0, 998, 999998, 999999, 1000009, 12345678)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    got = catalog.QUERIES["l14_build_events"](spark, str(tmp_path))
+    rel = con.sql(catalog.SQL["l14_build_events"])
+    assert sorted(map(tuple, got.collect())) == sorted(tuple(r[rel.columns.index(c)] for c in got.columns) for r in rel.fetchall())
 
 
 def test_drawn_rows_do_not_depend_on_how_ranges_are_merged(spark):
