@@ -115,3 +115,23 @@ def test_changes_do_not_depend_on_the_order_of_arrival(spark, tmp_path):
         before[u] = (u, i, ts, p)
     got = sorted((x.user_id, x.event_id, x.previous, x.text_changed, x.delta_ones) for x in spark.read.parquet(f"{tmp_path}/out").collect())
     assert got == sorted(want) and len(got) > 150
+
+
+def test_state_is_kept_for_many_keys_at_once(spark, tmp_path):
+    """A call of Python for each key took most of the time of streams of many keys."""
+    at = lambda k: T0 + dt.timedelta(seconds=k)
+    src = stream(spark, tmp_path, [[(k % 300, k, at(k), "x") for k in range(900)], [(k % 300 if k % 2 else None, k, at(k), "y") for k in range(9000, 9600)]])
+    first = keyed.first_of_key(src, ["event_id"], ["ts"], buckets=8)
+    assert "TransformWithState" not in first._jdf.queryExecution().analyzed().toString()
+    with keyed.disk_state(spark):
+        logs.drain(keyed.first_of_key(src, ["user_id"], ["ts", "event_id"], buckets=8), f"file://{tmp_path}/out", f"file://{tmp_path}/cp")
+        logs.drain(keyed.changes(src, "user_id", "ts", "event_id", "props", {}, "10 seconds", buckets=8), f"file://{tmp_path}/out2", f"file://{tmp_path}/cp2")
+    got = sorted(r.event_id for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert got == [*range(300), 9000]
+    want, before = [], {}
+    for u, i in [(k % 300, k) for k in range(900)] + [(k % 300 if k % 2 else None, k) for k in range(9000, 9589)]:
+        if u in before:
+            want.append((u, i, at(before[u]), (i >= 9000) != (before[u] >= 9000)))
+        before[u] = i
+    got = [(r.user_id, r.event_id, r.previous, r.text_changed) for r in spark.read.parquet(f"{tmp_path}/out2").collect()]
+    assert sorted(got, key=lambda r: r[1]) == want
