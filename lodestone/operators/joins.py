@@ -1,8 +1,14 @@
 """Lookup, plan, range, similarity and calendar joins."""
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.tables import cut_lineage
 
@@ -69,36 +75,89 @@ def shingles(text: Column, width: int = 5) -> Column:
     return F.when(F.size(w) > 0, F.array_distinct(runs)).otherwise(F.array().cast("array<bigint>"))
 
 
-def similar_pairs(df: DataFrame, id_col: str, group: list[str], sets: str, t: float, listed: int = 1000) -> DataFrame:
-    """Pairs of a group whose sets have a Jaccard similarity of at least t, by prefix filtering.
+#: Buckets in which elements are counted.
+SKETCH = 1 << 16
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """Finalizer of a 64-bit hash (splitmix64)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-    Elements are ordered by how many sets hold them, rare ones first, and sets are cut to the prefix that a pair above t must
-    share an element in. Pairs whose prefixes share so little that the rest cannot make up for it drop out before sets are joined. Lists of sets that share an element are joined with themselves in parts of about listed sets.
+
+def _part_keys(g: np.ndarray, n: np.ndarray, h: np.ndarray, rarity: np.ndarray, t: float, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, key, chosen) of the parts of each set, cut as the band of its size (step 0) or the next larger one (step 1) cuts it.
+
+    g: hash of each row's group; n: its size; h: hashes of its elements, one row after the other.
+    """
+    width, most = math.log(1 / t) + 1e-9, (1 - t) / (1 + t) * 2  # bands are a little wider than t, so that rounding parts no pair
+    band = np.floor(np.log(n) / width).astype(np.int64) + step
+    m = np.ceil(1.5 * (np.floor(most * np.exp((band + 1) * width) + 1e-9) + 1)).astype(np.int64)
+    ends = np.cumsum(m)
+    of = np.repeat(np.arange(len(n)), m)
+    i = np.arange(len(of)) - np.repeat(ends - m, m)
+    at = np.repeat(np.arange(len(n)), n)
+    slot = (ends - m)[at] + ((_mix(h) >> np.uint64(33)).astype(np.int64) % m[at])
+    sums = np.zeros(len(of), np.uint64)
+    np.add.at(sums, slot, _mix(h ^ np.uint64(0x9E3779B97F4A7C15)))
+    place = _mix(g[of] ^ _mix((band[of] * (1 << 32) + i).astype(np.uint64)))
+    key = _mix(sums + place).astype(np.int64)
+    # the sets of a pair differ in at most most * n elements, so that of one part more one is equal: the rarest are looked up
+    worth = np.bincount(slot, weights=rarity[(h % np.uint64(SKETCH)).astype(np.int64)], minlength=len(of))
+    order = np.lexsort((-worth, of))
+    rank = np.empty(len(of), np.int64)
+    rank[order] = i
+    return of, key, rank <= np.floor(most * n + 1e-9).astype(np.int64)[of]
+
+
+def similar_pairs(df: DataFrame, id_col: str, group: list[str], sets: str, t: float) -> DataFrame:
+    """Pairs of a group whose sets have a Jaccard similarity of at least t. No such pair is lost.
+
+    Equal sets are one representative until the end. The elements are dealt to parts by hash, more parts than a pair above t may
+    differ in elements, so some parts of the larger set are equal in the smaller one: it looks up as many as make this certain, those of the
+    rarest elements. A part holds several elements, which frequent ones alone seldom fill. Candidates that share fewer parts
+    than they must drop out before sets are compared.
     """
-    n = F.size("s")
-    rows = cut_lineage(df.where(F.size(sets) > 0).select(F.col(id_col).alias("id"), *group, F.col(sets).alias("s")))
-    each = rows.select("id", *group, n.alias("n"), F.explode("s").alias("s"))
-    often = each.groupBy("s").agg(F.count("*").alias("c"))
-    ordered = each.join(often, "s").groupBy("id", *group, "n").agg(F.array_sort(F.collect_list(F.struct("c", "s"))).alias("o"))
-    kept = F.ceil(F.col("n") * t - 1e-9).cast("int") - 1  # elements behind the prefix
-    prefix = F.slice("o", 1, F.col("n") - kept)
-    posts = ordered.select("id", *group, "n", kept.alias("rest"), prefix.alias("o"))
-    posts = cut_lineage(posts.select("id", *group, "n", "rest", F.element_at("o", -1).alias("last"), F.explode(F.transform("o", lambda p: p["s"])).alias("s")))
-    lists = posts.groupBy(*group, "s").agg(F.count("*").alias("_c")).where("_c > 1").withColumn("_k", F.ceil(F.col("_c") / listed).cast("int"))
-    posts = cut_lineage(posts.join(lists.drop("_c"), [*group, "s"]))
-    a = posts.select("*", F.pmod(F.xxhash64("id"), F.col("_k")).cast("int").alias("_part")).drop("_k").alias("a")
-    b = posts.select("*", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("_part")).drop("_k").alias("b")
-    on = (F.col("a.id") < F.col("b.id")) & (F.least("a.n", "b.n") >= t * F.greatest("a.n", "b.n") - 1e-9)
-    for c in (*group, "s", "_part"):
-        on = on & (F.col(f"a.{c}") == F.col(f"b.{c}"))
-    # what the set whose prefix ends first shares with the other one, it shares with its prefix or has behind its own
-    behind = F.when(F.col("a.last") <= F.col("b.last"), F.col("a.rest")).otherwise(F.col("b.rest"))
-    need = F.ceil((F.col("a.n") + F.col("b.n")) * (t / (1 + t)) - 1e-9) - behind
-    met = a.join(b, on).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), need.alias("need"))
-    pairs = met.groupBy("a", "b", "need").agg(F.count("*").alias("m")).where("m >= need").select("a", "b")
-    both = pairs.join(rows.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(rows.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    key = F.sha2(F.to_json(F.array_sort(F.transform(sets, lambda w: w.cast("string")))), 256)
+    rows = cut_lineage(df.where((F.size(sets) > 0)).where(" and ".join(f"`{c}` is not null" for c in group)).select(F.col(id_col).alias("id"), F.struct(*group).alias("g"), F.col(sets).alias("s"), key.alias("key")))
+    same = cut_lineage(rows.groupBy("g", "key").agg(F.min("id").alias("rep"), F.count("*").alias("c")))
+    member = cut_lineage(rows.select("id", "g", "key").join(same.where("c > 1"), ["g", "key"]).select("rep", "id", "c"))
+    reps = cut_lineage(rows.join(member.where("id <> rep").select("id"), "id", "left_anti").select("id", "g", "s", F.transform("s", lambda w: F.xxhash64(w)).alias("h")))
+    counts = dict(reps.select(F.explode("h").alias("h")).groupBy(F.pmod("h", F.lit(SKETCH)).cast("int").alias("k")).agg(F.count("*").alias("c")).collect())
+    rarity = np.log(1 + (sum(counts.values()) or 1) / np.array([counts.get(k, 0) + 1 for k in range(SKETCH)]))
+    kind = df.schema[id_col].dataType
+
+    def post(steps: tuple[int, ...], looked: bool):
+        def parts(batches):
+            for batch in batches:
+                for k in range(0, len(batch), 512):
+                    some = batch.slice(k, 512)
+                    sizes = pc.list_value_length(some["h"]).to_numpy().astype(np.int64)
+                    h, g = some["h"].flatten().to_numpy().view(np.uint64), some["gh"].to_numpy().view(np.uint64)
+                    for step in steps:
+                        of, key, chosen = _part_keys(g, sizes, h, rarity, t, step)
+                        if looked:
+                            of, key = of[chosen], key[chosen]
+                        yield pa.RecordBatch.from_arrays([pa.array(key), some["id"].take(pa.array(of)), pa.array(sizes[of])], names=["key", "id", "n"])
+
+        return reps.select("id", F.xxhash64("g").alias("gh"), "h").mapInArrow(parts, T.StructType([T.StructField("key", T.LongType()), T.StructField("id", kind), T.StructField("n", T.LongType())]))
+
+    a, b = post((0,), True).alias("a"), post((0, 1), False).alias("b")
+    larger = F.struct("a.n", "a.id") > F.struct("b.n", "b.id")
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & larger & (F.col("b.n") >= t * F.col("a.n") - 1e-9))
+    # parts that were looked up, less the elements in which such a pair may differ
+    differ = lambda n: F.floor(n * ((1 - t) / (1 + t)) + 1e-9)
+    need = differ(F.col("a.n") * 2) + 1 - differ(F.col("a.n") + F.col("b.n"))
+    pairs = met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), need.alias("need")).groupBy("a", "b", "need").agg(F.count("*").alias("m")).where("m >= need").select("a", "b")
+    both = pairs.join(reps.select(F.col("id").alias("a"), F.col("g").alias("ga"), F.col("s").alias("sa")), "a").join(reps.select(F.col("id").alias("b"), F.col("g").alias("gb"), F.col("s").alias("sb")), "b").where("ga = gb")
     both = both.withColumn("c", F.size(F.array_intersect("sa", "sb")))
-    return both.select("a", "b", (F.col("c") / (F.size("sa") + F.size("sb") - F.col("c"))).alias("similarity")).where(F.col("similarity") >= t)
+    found = both.select("a", "b", (F.col("c") / (F.size("sa") + F.size("sb") - F.col("c"))).alias("similarity")).where(F.col("similarity") >= t)
+    for side in ("a", "b"):  # representatives stand for their copies
+        copies = member.select(F.col("rep").alias(side), F.col("id").alias("_own"))
+        found = found.join(copies, side, "left").withColumn(side, F.coalesce("_own", side)).drop("_own")
+    equal = member.alias("x").join(member.alias("y"), F.expr("x.rep = y.rep and x.id < y.id")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.lit(1.0).alias("similarity"))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity").unionByName(equal)
 
 
 def neighbour_pairs(df: DataFrame, order: str, span: int, first: int, sets: str, t: float) -> DataFrame:
