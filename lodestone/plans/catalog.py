@@ -530,8 +530,10 @@ def _(s, d):
  FROM (SELECT g.corridor, CAST(g.year AS INT) AS year, y.v FROM (SELECT corridor, unnest(generate_series(min(year), max(year))) AS year FROM yy GROUP BY corridor) g LEFT JOIN yy y ON y.corridor = g.corridor AND y.year = g.year)
  WINDOW w1 AS (PARTITION BY corridor ORDER BY year ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), w2 AS (PARTITION BY corridor ORDER BY year ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))""", EV + ", yy AS (SELECT corridor, year, avg(weighted_binding) AS v FROM ev WHERE year % 3 <> 0 GROUP BY ALL)", "v"))
 def _(s, d):
-    per = evidence(s, d).where("year % 3 <> 0").groupBy("corridor", "year").agg(F.avg("weighted_binding").alias("v"))
-    return jn.complete_years(per, "corridor", "v")
+    # exact sums and 12 digits before the 6 of a report: no result hangs on the order in which rows are added
+    mean = F.avg(F.col("weighted_binding").cast("decimal(28,12)")).cast("double")
+    per = evidence(s, d).where("year % 3 <> 0").groupBy("corridor", "year").agg(mean.alias("v"))
+    return jn.complete_years(per, "corridor", "v").withColumn("v", F.round("v", 12))
 
 
 @query("j15_task_grid", "WITH k AS (SELECT DISTINCT p_type AS keyword FROM part), s AS (SELECT r_name AS source FROM region), g AS (SELECT unnest(generate_series(DATE '1950-01-01', DATE '1951-12-01', INTERVAL 6 MONTH))::DATE AS date_start) SELECT keyword, source, date_start, (date_start + INTERVAL 6 MONTH - INTERVAL 1 DAY)::DATE AS date_end, concat('https://', lower(source), '.example/search?q=', replace(keyword, ' ', '+'), '&from=', date_start) AS url FROM k, s, g")

@@ -38,3 +38,18 @@ def test_drawn_rows_do_not_depend_on_how_ranges_are_merged(spark):
     for size in (50, 100):
         slopes = [np.polyfit(*zip(*[at[p.i][1:] for p in picked if p.size == size and p.rep == r]), 1)[0] for r in range(20)]
         assert got[size] == pytest.approx(np.std(slopes, ddof=1), rel=1e-6)
+
+
+def test_means_on_the_edge_of_rounding_are_rounded_up(spark):
+    """Means that end in 5 at the seventh digit: a sum in doubles may fall short of it."""
+    from decimal import ROUND_HALF_UP, Decimal
+
+    from lodestone.plans.views import evidence
+
+    d = "/root/testdata/sf0.01"
+    per = {}
+    for r in evidence(spark, d).where("year % 3 <> 0").select("corridor", "year", "weighted_binding").collect():
+        per.setdefault((r.corridor, r.year), []).append(Decimal(f"{r.weighted_binding:.12f}"))
+    got = {(r.corridor, r.year): r.v for r in catalog.QUERIES["j14_complete_years"](spark, d).collect() if r.observed}
+    want = {k: float((sum(v) / len(v)).quantize(Decimal("1e-6"), ROUND_HALF_UP)) for k, v in per.items()}
+    assert got == want
