@@ -1,7 +1,9 @@
 """Column functions: text normalisation, lenient parsing, labels, keys."""
 from __future__ import annotations
 
-import pandas as pd
+import unicodedata
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,9 +25,17 @@ def collapse(c: Column) -> Column:
     return strip(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
-@F.pandas_udf(T.StringType())
-def nfkc(s: pd.Series) -> pd.Series:
-    return s.str.normalize("NFKC")
+@F.arrow_udf(T.StringType())
+def _nfkc(c: pa.Array) -> pa.Array:
+    # a few rows at a time, so that little but the batch itself and its result is held
+    parts = [pa.array([x and unicodedata.normalize("NFKC", x) for x in c.slice(k, 64).to_pylist()], pa.string()) for k in range(0, len(c), 64)]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+
+
+def nfkc(c: Column) -> Column:
+    """NFKC; ASCII texts stand for themselves, only others pass through Python."""
+    other = F.octet_length(c) > F.length(c)
+    return F.when(other, _nfkc(F.when(other, c))).otherwise(c)
 
 
 def normalize_text(df, cols: list[str]):
