@@ -52,10 +52,15 @@ def _(s, d):
     return out.select("source_ref", "year", "brand", "first_id", "merged_ids", "merged_row_count", F.array_sort("target_markers").alias("targets"), "verification_level")
 
 
+def _words(s, d):
+    """Documents with the words of their whole text."""
+    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda x: x != "")
+    return texts(s, d, "doc_id", "lang", "source", "text").select("doc_id", "lang", "source", words.alias("words"))
+
+
 def _word_sets(s, d):
     """Documents with the set of their whole text's words as numbers."""
-    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda x: x != "")
-    return texts(s, d, "doc_id", "lang", "source", "text").select("doc_id", "lang", "source", F.transform(F.array_distinct(words), lambda w: tx.hash_rank(w)).alias("words"))
+    return _words(s, d).withColumn("words", F.transform(F.array_distinct("words"), lambda w: tx.hash_rank(w)))
 
 
 WORDS = rf"""ws AS MATERIALIZED (SELECT doc_id, lang, source, list_transform(list_distinct(list_filter(string_split_regex(lower(coalesce(text, '')), '\s+'), lambda x: x <> '')), lambda x: {H32('x')}) AS words FROM documents),
@@ -91,7 +96,7 @@ def _(s, d):
 
 @query("j09_d06_source_overlap", sql("SELECT x.source AS a, y.source AS b, count(*) / (min(x.n) + min(y.n) - count(*)) AS overlap FROM (SELECT source, w, count(*) OVER (PARTITION BY source) AS n FROM (SELECT DISTINCT source, unnest(words) AS w FROM ws) WHERE source IN (SELECT source FROM ws GROUP BY source ORDER BY count(*) DESC, source LIMIT 200)) x JOIN (SELECT source, w, count(*) OVER (PARTITION BY source) AS n FROM (SELECT DISTINCT source, unnest(words) AS w FROM ws) WHERE source IN (SELECT source FROM ws GROUP BY source ORDER BY count(*) DESC, source LIMIT 200)) y ON x.w = y.w AND x.source < y.source GROUP BY 1, 2 HAVING count(*) / (min(x.n) + min(y.n) - count(*)) >= 0.05", WORDS, "overlap"))
 def _(s, d):
-    return dd.source_overlap(_word_sets(s, d), "source", "words", 200, 0.05)
+    return dd.source_overlap(_words(s, d), "source", "words", 200, 0.05, tx.hash_rank)
 
 
 @query("j10_d07_neighbours", sql("SELECT a, b, c / (na + nb - c) AS similarity FROM (SELECT a.doc_id AS a, b.doc_id AS b, len(a.words) AS na, len(b.words) AS nb, len(list_intersect(a.words, b.words)) AS c FROM nb a JOIN nb b ON b.pos BETWEEN a.pos + 1 AND a.pos + 99 WHERE least(len(a.words), len(b.words)) >= 0.7 * greatest(len(a.words), len(b.words))) WHERE c > 0 AND c / (na + nb - c) >= 0.7", WORDS + ", nb AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY doc_id) AS pos FROM ws ORDER BY doc_id LIMIT 2000)", "similarity"))
