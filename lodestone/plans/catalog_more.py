@@ -13,6 +13,7 @@ from ..operators import dedupe as dd
 from ..operators import joins as jn
 from ..operators import resample as rs
 from ..operators import rules as rl
+from ..operators import similarity as sm
 from ..operators import windows as wn
 from ..sources import append_log
 from ..sources.tables import cut_lineage, shared_folder
@@ -20,7 +21,7 @@ from ..streaming import keyed, logs
 from .catalog import IDX, ITEMS
 from .catalog import QUERIES as _ALL
 from .catalog import SQL as _ALL_SQL
-from .views import EV, LOG, evidence, execution_log, rounded, sql, table, texts
+from .views import EV, LOG, evidence, execution_log, rounded, sql, texts
 
 QUERIES, SQL = {}, {}
 
@@ -52,15 +53,15 @@ def _(s, d):
     return out.select("source_ref", "year", "brand", "first_id", "merged_ids", "merged_row_count", F.array_sort("target_markers").alias("targets"), "verification_level")
 
 
-def _words(s, d):
+def _words(s, d, *more):
     """Documents with the words of their whole text."""
     words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda x: x != "")
-    return texts(s, d, "doc_id", "lang", "source", "text").select("doc_id", "lang", "source", words.alias("words"))
+    return texts(s, d, "doc_id", "lang", "source", "text").select("doc_id", "lang", "source", words.alias("words"), *more)
 
 
-def _word_sets(s, d):
+def _word_sets(s, d, *more):
     """Documents with the set of their whole text's words as numbers."""
-    return _words(s, d).withColumn("words", F.transform(F.array_distinct("words"), lambda w: tx.hash_rank(w)))
+    return _words(s, d, *more).withColumn("words", F.transform(F.array_distinct("words"), lambda w: tx.hash_rank(w)))
 
 
 WORDS = rf"""ws AS MATERIALIZED (SELECT doc_id, lang, source, list_transform(list_distinct(list_filter(string_split_regex(lower(coalesce(text, '')), '\s+'), lambda x: x <> '')), lambda x: {H32('x')}) AS words FROM documents),
@@ -90,8 +91,7 @@ def _(s, d):
 @query("j08_refined_pairs")
 def _(s, d):
     """Candidates by shared words, then the exact sequence similarity of the whole texts."""
-    texts = table(s, d, "documents").select("doc_id", "text")
-    return dd.refine_pairs(jn.similar_pairs(_word_sets(s, d), "doc_id", ["lang"], "words", 0.8), texts, "doc_id", "text", 0.9)
+    return sm.refined_pairs(_word_sets(s, d, "text"), "doc_id", ["lang"], "words", "text", 0.8, 0.9)
 
 
 @query("j09_d06_source_overlap", sql("SELECT x.source AS a, y.source AS b, count(*) / (min(x.n) + min(y.n) - count(*)) AS overlap FROM (SELECT source, w, count(*) OVER (PARTITION BY source) AS n FROM (SELECT DISTINCT source, unnest(words) AS w FROM ws) WHERE source IN (SELECT source FROM ws GROUP BY source ORDER BY count(*) DESC, source LIMIT 200)) x JOIN (SELECT source, w, count(*) OVER (PARTITION BY source) AS n FROM (SELECT DISTINCT source, unnest(words) AS w FROM ws) WHERE source IN (SELECT source FROM ws GROUP BY source ORDER BY count(*) DESC, source LIMIT 200)) y ON x.w = y.w AND x.source < y.source GROUP BY 1, 2 HAVING count(*) / (min(x.n) + min(y.n) - count(*)) >= 0.05", WORDS, "overlap"))
